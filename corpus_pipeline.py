@@ -12,6 +12,17 @@ from rallyframe.llm import mixing, near_dedup, packing, quality_classifier, qual
 from rallyframe.llm.common import table, written
 
 
+#: A hash of the text, beside the columns of documents.
+KEY = "_text_key"
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents that are not among `rows` (doc_id, KEY)."""
+    keyed = docs.withColumn(KEY, F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(rows["doc_id"]) & (keyed[KEY] == rows[KEY])
+    return keyed.join(rows, same, "left_anti").select(docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of a good grade is high enough."""
     return quality_classifier.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
@@ -19,19 +30,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the word rules and are not depleted by their hosts' boilerplate. A verdict follows from
-    text and source, so rejected documents are known by hashes of these."""
-    host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    text and source, so rejected rows are known by doc_id and a hash of the text."""
     rejected = quality_rules.judge(docs).where("not kept").select("doc_id", "text_key").distinct()
     rejected = written(rejected, "rejected-by-rules")
-    keyed = docs.withColumn("_key", F.xxhash64("text")).withColumn("_host", host)
-    bad = keyed["doc_id"].eqNullSafe(rejected["doc_id"]) & (keyed["_key"] == rejected["text_key"])
-    return keyed.join(rejected, bad, "left_anti").select(docs.columns)
+    return without(docs, rejected.withColumnRenamed("text_key", KEY))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the smallest doc_id; of repeated rows the first stays."""
     gone = written(near_dedup.cluster(docs).where("not kept").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.join(gone, "doc_id", "left_anti").withColumn(KEY, F.xxhash64("text"))
+    again = keyed.where("doc_id is not null").groupBy("doc_id", KEY).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", KEY)
+    again = written(again, "repeated-rows")
+    once = keyed.join(again, ["doc_id", KEY], "left_semi").dropDuplicates(["doc_id", KEY]).select(docs.columns)
+    return without(docs.join(gone, "doc_id", "left_anti"), again).unionByName(once)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,35 +71,35 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     base = docs.drop(*added).withColumn("size", n_words(F.col("text")))
     bits = F.length(F.bin("size"))
     base = (
-        base.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-        .withColumn("_bits", bits)
-        .withColumn("_class", F.col("_bits") * CLASSES_PER_DOUBLING + F.expr("shiftright(size, greatest(_bits - 3, 0)) & 3").cast("int"))
-        .withColumn("_salt", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 1))
-        .withColumn("_tie", F.xxhash64("text"))
-        .drop("_bits")
+        base.withColumn("_mix_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+        .withColumn("_mix_bits", bits)
+        .withColumn("_mix_class", F.col("_mix_bits") * CLASSES_PER_DOUBLING + F.expr("shiftright(size, greatest(_mix_bits - 3, 0)) & 3").cast("int"))
+        .withColumn("_mix_salt", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 1))
+        .withColumn("_mix_tie", F.xxhash64("text"))
+        .drop("_mix_bits")
     )
-    piece = ["_source", "_class", "_salt"]
+    piece = ["_mix_source", "_mix_class", "_mix_salt"]
     pieces = base.groupBy(*piece).agg(F.first("source").alias("source"), F.count("*").alias("_n"), F.sum("size").alias("_size"))
     per_source = targets(pieces.groupBy("source").agg(F.sum("_size").alias("source_size")))
-    before = Window.partitionBy("_source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select(*piece, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    per_source = per_source.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source"), "source_size", "target")
-    offsets = offsets.join(per_source, "_source")
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*piece).orderBy("size", "doc_id", "_tie"))
+    before = Window.partitionBy("_mix_source").orderBy("_mix_class", "_mix_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(*piece, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_mix_before"))
+    per_source = per_source.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_mix_source"), "source_size", "target")
+    offsets = offsets.join(per_source, "_mix_source")
+    rank = F.col("_mix_before") + F.row_number().over(Window.partitionBy(*piece).orderBy("size", "doc_id", "_mix_tie"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = hex_fraction(F.concat(F.lit(f"{seed}/"), F.col("_source")))
-    copies = F.floor(F.col("_rate") * F.col("_rank") + F.col("_offset")) - F.floor(F.col("_rate") * (F.col("_rank") - 1) + F.col("_offset"))
+    offset = hex_fraction(F.concat(F.lit(f"{seed}/"), F.col("_mix_source")))
+    copies = F.floor(F.col("_mix_rate") * F.col("_mix_rank") + F.col("_mix_offset")) - F.floor(F.col("_mix_rate") * (F.col("_mix_rank") - 1) + F.col("_mix_offset"))
     return (
         base.join(offsets, piece)
-        .withColumn("_rank", rank)
-        .withColumn("_rate", rate)
-        .withColumn("_offset", offset)
+        .withColumn("_mix_rank", rank)
+        .withColumn("_mix_rate", rate)
+        .withColumn("_mix_offset", offset)
         .withColumn("copies", copies.cast("long"))
         .withColumn("taken", F.col("size") * F.col("copies"))
-        .drop(*piece, "_tie", "_before", "_rank", "_rate", "_offset")
+        .drop(*piece, "_mix_tie", "_mix_before", "_mix_rank", "_mix_rate", "_mix_offset")
     )
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """One row for each copy."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_copy")
+    return mixed.where("copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_mix_copy")

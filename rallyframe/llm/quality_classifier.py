@@ -169,8 +169,8 @@ def judge(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, select
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     def at_least(k: int) -> Column:
-        return 1 / (1 + F.exp(F.lit(float(thresholds[k - 1])) - F.col("_score")))
+        return 1 / (1 + F.exp(F.lit(float(thresholds[k - 1])) - F.col("_ordinal_score")))
 
-    scored = base.withColumn("_score", score(F.col("text").cast("string")))
+    scored = base.withColumn("_ordinal_score", score(F.col("text").cast("string")))
     scored = scored.withColumn("expected_grade", sum((at_least(k) for k in range(2, GRADES)), at_least(1))).withColumn("tail_probability", at_least(SELECT_GRADE))
-    return scored.withColumn("kept", F.col("tail_probability") >= select).drop("_score")
+    return scored.withColumn("kept", F.col("tail_probability") >= select).drop("_ordinal_score")

@@ -116,5 +116,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
 
     host, path = host_and_path(F.col("url"))
     judged = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    judged = judged.withColumn("_found", look_up("host", "path"))
-    return judged.withColumn("rule", F.col("_found.rule")).withColumn("verdict", F.col("_found.verdict")).drop("_found")
+    judged = judged.withColumn("_rule_found", look_up("host", "path"))
+    return judged.withColumn("rule", F.col("_rule_found.rule")).withColumn("verdict", F.col("_rule_found.verdict")).drop("_rule_found")
