@@ -39,6 +39,10 @@ LINES = {
 }
 
 
+#: Weight of a pixel of the principal point's distance from the centre, against a pixel of error.
+PRIOR = 0.01
+
+
 def apply_homography(h: np.ndarray, points: np.ndarray) -> np.ndarray:
     q = np.c_[points, np.ones(len(points))] @ h.T
     return q[:, :2] / q[:, 2:]
@@ -175,13 +179,14 @@ def build_camera(image: np.ndarray, world: np.ndarray, width: int, height: int,
     centre = np.array([width / 2, height / 2])
     h_inv = np.linalg.inv(fit_homography(image, world)[0])
     f2 = focal_squared(h_inv, centre)
-    stable = f2 > 0
+    stable = bool(np.isfinite(f2) and 0 < f2 < (20 * width) ** 2)  # without perspective along one side there is no focal length to be had
     f = float(np.sqrt(f2)) if stable else float(focal or width)
     matrix = lambda f, c: np.array([[f, 0, c[0]], [0, f, c[1]], [0, 0, 1.0]])
     r, t = pose_from_homography(h_inv, matrix(f, centre))
     points = np.c_[world, np.zeros(len(world))]
     error = lambda x: (project(matrix(x[0], x[1:3]) @ np.c_[rotation(x[3:6]), x[6:9]], points) - image).ravel()
-    x = least_squares(error, np.array([f, *centre, *rotation_vector(r), *t]))
+    # A plane leaves one of the nine numbers free, so the principal point is held to the image's centre, weakly.
+    x = least_squares(lambda x: np.r_[error(x), PRIOR * (x[1:3] - centre)], np.array([f, *centre, *rotation_vector(r), *t]))
     k, r, t = matrix(x[0], x[1:3]), rotation(x[3:6]), x[6:9]
     if second:
         turn = np.diag([-1.0, -1.0, 1.0])

@@ -20,9 +20,9 @@ from ..schemas import EventConfig, TrackerConfig
 COLUMNS = ["clip", *(c.split()[0] for c in TRACK.split(", ")), "event_type", "x_m", "y_m", "in_court"]
 
 
-def track_stream(candidates: DataFrame, homography: Matrix | None, tracker: TrackerConfig = TrackerConfig(), cfg: EventConfig = EventConfig(), clip_type: str = "long", idle: str | None = "10 minutes") -> DataFrame:
+def track_stream(candidates: DataFrame, homography: Matrix | None, tracker: TrackerConfig = TrackerConfig(), cfg: EventConfig = EventConfig(), clip_type: str = "long", idle_ms: int | None = 600_000) -> DataFrame:
     """TRACK rows with the frame's event. `candidates` is a stream of clip, frame, cand_idx, u, v, confidence; a clip's
-    state is dropped when nothing has come for `idle`."""
+    state is dropped when nothing has come for `idle_ms`."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterable[pd.DataFrame]:
         if state.hasTimedOut:
@@ -45,13 +45,13 @@ def track_stream(candidates: DataFrame, homography: Matrix | None, tracker: Trac
             last = frame
         kept = {k: v for k, v in asdict(events).items() if k not in ("cfg", "to_court")}
         state.update((json.dumps({"state": kalman.state, "updates": kalman.updates, "coast": kalman.coast, "last": last, "events": kept}),))
-        if idle:
-            state.setTimeoutDuration(idle)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         out = pd.DataFrame(rows, columns=COLUMNS)
         yield out.astype(object).where(out.notna(), None)
 
     schema = f"clip {clip_type}, {TRACK}, event_type string, x_m double, y_m double, in_court boolean"
-    return candidates.groupBy("clip").applyInPandasWithState(step, schema, "saved string", "append", "ProcessingTimeTimeout" if idle else "NoTimeout")
+    return candidates.groupBy("clip").applyInPandasWithState(step, schema, "saved string", "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
 
 
 def detections_by_window(candidates: DataFrame, late: str = "10 seconds", window: str = "1 minute") -> DataFrame:
