@@ -22,6 +22,7 @@ from .common import _BYTE, _power, constants, mix64, shuffle_partitions
 LEAST_BLOCK = 3
 LENGTH = 64
 WINDOW = 7
+#: Characters that two signatures must have in a row in common; of short ones a quarter of their length, two at least.
 RUN = 7
 #: The fixed alphabet of signatures.
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -84,9 +85,9 @@ def common_subsequence(a: str, b: str) -> int:
 def signature_likeness(a: str, b: str) -> float:
     """1 less the edit distance over the lengths; 0 without a common run."""
     a, b = _short_runs(a), _short_runs(b)
-    run = min(RUN, len(a), len(b))
-    if not run:
+    if not a or not b:
         return 0.0
+    run = min(RUN, len(a), len(b), max(2, min(len(a), len(b)) // 4))
     grams = {a[i : i + run] for i in range(len(a) - run + 1)}
     if not any(b[i : i + run] in grams for i in range(len(b) - run + 1)):
         return 0.0
