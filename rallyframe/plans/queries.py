@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.geometry import num, rounded
-from ..operators import joins, metrics, physics, players, sequences, signals, tracking
+from ..operators import courts, joins, metrics, physics, players, sequences, signals, tracking
 from ..schemas import EventConfig, MiningConfig, TrackerConfig
 from ..sources import writers
 from .views import BOXES, CAMERA_A, CAMS, FPS, OBS, OFFSET, ROI, H, boxes, cameras, observations, projected, r, read
@@ -721,3 +721,106 @@ def label_lines(spark, sf):
     rows = observations(spark, sf).select("clip", "frame", (F.col("found") & (F.col("event_id") % 5 != 0)).cast("int").alias("visible"), "u", "v")
     place = writers.label_lines(rows.withColumn("frame", F.struct("clip", "frame")))
     return place.select("frame.clip", "frame.frame", "visible", "u")
+
+
+# --- small relations and whole jobs -----------------------------------------------------------------------
+
+
+@query("""SELECT user_id AS clip, event_id, k, floor((value + (event_id % 10 - value) * (k / 4e0)) * 1e4 + 0.5e0) / 1e4 AS x FROM events, range(0, 5) r(k) WHERE event_type = 'signup'""")
+def segment_samples(spark, sf):
+    rows = read(spark, sf, "events").where("event_type = 'signup'").select(F.col("user_id").alias("clip"), "event_id", F.col("value").alias("x1"), num(0).alias("y1"), (F.col("event_id") % 10).cast("double").alias("x2"), num(1).alias("y2"))
+    return courts.sample_segments(rows, 5).select("clip", "event_id", F.col("k").cast("long").alias("k"), rounded(F.col("x")).alias("x"))
+
+
+@query(f"""WITH {BOXES}, c AS (SELECT frame, det_idx, (x2 - x1) * (y2 - y1) / 30e0 AS area, 2 * ((x2 - x1) + (y2 - y1)) / 4 AS peri, x1, y1 FROM boxes), q AS (SELECT *, 4 * pi() * area / (peri * peri) AS round FROM c WHERE area BETWEEN 8 AND 1500 AND peri > 0 AND 4 * pi() * area / (peri * peri) >= 0.35e0)
+    SELECT frame, {r('max(round)')} AS roundness, count(*) AS n FROM q GROUP BY frame""")
+def ball_shaped_blobs(spark, sf):
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    rows = boxes(spark, sf).select("frame", F.col("det_idx").alias("cand_idx"), (w * h / 30.0).alias("area"), (2 * (w + h) / 4).alias("perimeter"), F.col("x1").alias("u"), F.col("y1").alias("v"))
+    n = rows.where(courts.ball_shaped(F.col("area"), F.col("perimeter"))).groupBy("frame").agg(F.count("*").alias("n"))
+    return courts.best_blob(rows, ["frame"]).join(n, "frame").select("frame", rounded(F.col("roundness")).alias("roundness"), "n")
+
+
+@query(f"""WITH {OBS}, {CAMS}, e AS (SELECT match, frame, 'A' AS cam, u / 384e0 AS x, v / 108e0 AS y FROM cam_a WHERE event_type = 'purchase' UNION ALL SELECT match, frame - 3, 'B', 10e0 - u / 384e0, 20e0 - v / 108e0 FROM cam_b WHERE event_type = 'purchase')
+    SELECT match, frame, cam, {r('x')} AS x, {r('y')} AS y FROM e WHERE CASE WHEN cam = 'A' THEN y < 10 ELSE y >= 10 END""")
+def dual_bounces(spark, sf):
+    from . import jobs
+
+    side = lambda rows: rows.where("event_type = 'purchase'").select("match", "frame", F.lit("floor_bounce").alias("type"), (F.col("u") / 384.0).alias("x_m"), (F.col("v") / 108.0).alias("y_m"), F.lit(True).alias("in_court"))
+    a, b = cameras(observations(spark, sf))
+    return jobs.dual_bounces(side(a), side(b), OFFSET).select("match", "frame", "cam", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
+
+
+@query(f"""WITH {BOXES} SELECT clip, list_sort(list(DISTINCT l_suppkey)) AS ids FROM boxes WHERE conf > 0.8 GROUP BY clip""")
+def distinct_ids(spark, sf):
+    return courts.distinct_ids(boxes(spark, sf).where("conf > 0.8").select("clip", F.col("l_suppkey").alias("player_id")), ["clip"])
+
+
+@query()
+def ball_evaluation(spark, sf):
+    from . import jobs
+
+    log = jobs.ball_evaluation(_candidates(spark, sf), H, ROI, 200.0, TRACKER, EVENTS)
+    return log.select("clip", "frame", "found", "track.status", F.col("event.type").alias("type"))
+
+
+def _logs(spark, sf):
+    """Tracks of both cameras' views of one made-up flight for each match, driven by the events' numbers."""
+    a, b = _two_cameras()
+    e = F.col("event_id")
+    rows = observations(spark, sf).withColumns({"match": F.floor(F.col("clip") / 2).cast("long"), "px": 2.0 + F.col("frame") % 60 / num(10), "py": 3.0 + F.col("frame") % 70 / num(5), "pz": F.abs(F.sin(F.col("frame") / num(9))) * 3.0, "measured": e % 9 != 0})
+
+    def seen(camera, side, shift):
+        u, v = G.project(tuple(camera.p.ravel()), F.col("px"), F.col("py"), F.col("pz"))
+        part = rows.where(F.col("clip") % 2 == 0).withColumns({"u": u + (e % 3) * 0.5, "v": v + (e % 5) * 0.5})
+        return part.select("match", (F.col("frame") + shift).cast("int").alias("frame"), "measured", F.col("u").alias("meas_u"), F.col("v").alias("meas_v"), "confidence", F.col("u").alias("x"), F.col("v").alias("y"))
+
+    events = rows.where(F.col("clip") % 2 == 0).where("frame % 28 = 0 and frame > 0").select("match", "frame", F.lit("floor_bounce").alias("type"), F.col("px").alias("x_m"), F.col("py").alias("y_m"))
+    return a, b, seen(a, 0, 0), seen(b, 1, OFFSET), events
+
+
+@query()
+def ball_fusion_summary(spark, sf):
+    from . import jobs
+
+    a, b, log_a, log_b, _ = _logs(spark, sf)
+    out = jobs.fusion_summary(jobs.ball_fusion(log_a, log_b, a, b, OFFSET, FPS))
+    return out.select("match", "n_frames", "n_3d", "triangulation_rate", *(rounded(F.col(c), 2).alias(c) for c in ("mean_reproj_px", "z_min", "z_median", "z_max")))
+
+
+@query()
+def ball_3d(spark, sf):
+    from . import jobs
+
+    a, b, log_a, log_b, events = _logs(spark, sf)
+    return jobs.ball_3d(log_a, log_b, events, a, b, H, OFFSET, FPS)
+
+
+@query()
+def dual_view(spark, sf):
+    from . import jobs
+
+    a, b, log_a, log_b, _ = _logs(spark, sf)
+    return jobs.dual_view(jobs.ball_fusion(log_a, log_b, a, b, OFFSET, FPS), H, H).select("match", "frame", "source", rounded(F.col("court_x_m"), 2).alias("court_x_m"), rounded(F.col("court_y_m"), 2).alias("court_y_m"))
+
+
+@query()
+def height_validation(spark, sf):
+    from . import jobs
+
+    a, b, log_a, log_b, _ = _logs(spark, sf)
+    fused = jobs.ball_fusion(log_a, log_b, a, b, OFFSET, FPS).select("match", "frame", "ball3d")
+    state = log_a.join(fused, ["match", "frame"]).select("match", "frame", "measured", F.col("meas_u").alias("u"), F.col("meas_v").alias("v"), "confidence", F.col("x").alias("track_x"), F.col("y").alias("track_y"), F.col("ball3d.x").alias("x3"), F.col("ball3d.y").alias("y3"), F.col("ball3d.z").alias("z3"), F.col("ball3d.std").alias("std3"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("event_x"), F.lit(None).cast("double").alias("event_y"))
+    out = jobs.height_validation(state, a, H, FPS, ["match"])
+    return out.select("n", *(rounded(F.col(c), 2).alias(c) for c in ("median", "mean", "p90")))
+
+
+@query()
+def named_players(spark, sf):
+    from . import jobs
+
+    none = F.array(*[F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))] * 17)
+    rows = boxes(spark, sf).withColumns({"det_idx": F.col("det_idx").cast("int"), "match": F.floor(F.col("frame") / 2) % 97, "keypoints": none, "color_hist": F.array(F.col("l_discount") * 10 + 0.1, F.col("l_tax") * 10 + 0.1, F.col("x1") / 400.0), "_side": F.col("frame") % 2, "frame": F.floor(F.col("frame") / 2).cast("int")})
+    scale = (0.02, 0.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 1.0)
+    profiles = rows.select("match").distinct().withColumn("player_id", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).select("match", "player_id", F.array(F.col("player_id") / num(4), (5 - F.col("player_id")) / num(4), num(0.5)).alias("hist"), (F.col("player_id") * 2.0).alias("x"), (F.col("player_id") * 4.0).alias("y"))
+    return jobs.player_fusion(rows.where("_side = 0"), rows.where("_side = 1"), scale, scale, profiles, 0).select("match", "frame", "cand_idx", "seed", "player_id")
