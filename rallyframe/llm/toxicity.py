@@ -10,8 +10,8 @@ documents that recur over many of them and hardly occur in ordinary ones; the re
 anybody's. Letters are written in two bytes, so that a match of few letters still saves something.
 
 Labels are learned from a bounded, fixed sample: PER_LABEL labelled documents of each kind outside the held-out
-fold, those with the smallest hash of doc_id, and of each at most SAMPLE_CHARS characters. All documents are
-scored whole.
+fold, those with the smallest hash of doc_id; of these, texts over SAMPLE_CHARS characters are left out whole. All
+documents are scored whole.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of a label to learn from, and characters of each.
+#: Documents of a label to learn from, and how long a text to learn from may be.
 PER_LABEL = 1500
 SAMPLE_CHARS = 20_000
 #: The fold held out: crc32 of doc_id as text, modulo 4. Predicted toxic from this score on. Fixed by the contract.
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     n = dict(known.groupBy("toxic").count().collect())
     parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for t in (0, 1)]
     # At most 2 x per_label ids go out, and as many bounded texts come back.
-    chosen = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").where("text is not null")
+    chosen = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
     rows = sorted((r["toxic"], r["text"]) for r in chosen.select("toxic", "text").distinct().collect())
     return train([t for y, t in rows if y == 1], [t for y, t in rows if y == 0], n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0)))
 
