@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -28,19 +27,21 @@ def cell_cost(dist_m: Column, color: Column, fresh: Column, cfg: IdentityConfig
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of the least total, as many as the shorter side; rows are few."""
+    """Pairs (row, column) of the least total, as many as the shorter side. Rows are few: columns are gone through one by
+    one, with the best way so far to have given columns to each set of rows."""
     rows, columns = cost.shape
-    if columns <= 8:
-        if rows <= columns:
-            best = min(itertools.permutations(range(columns), rows), key=lambda p: (sum(cost[i, j] for i, j in enumerate(p)), p))
-            return list(enumerate(best))
-        best = min(itertools.permutations(range(rows), columns), key=lambda p: (sum(cost[i, j] for j, i in enumerate(p)), p))
-        return sorted((i, j) for j, i in enumerate(best))
-    # Many columns: the best `rows` of each row are enough for an optimum.
-    some = sorted({int(j) for i in range(rows) for j in np.argsort(cost[i], kind="stable")[:rows]})
-    part = cost[:, some]
-    best = min(itertools.permutations(range(len(some)), rows), key=lambda p: (sum(part[i, j] for i, j in enumerate(p)), p))
-    return [(i, some[j]) for i, j in enumerate(best)]
+    best: dict[int, tuple[float, tuple[tuple[int, int], ...]]] = {0: (0.0, ())}
+    for j, column in enumerate(cost.T.tolist()):
+        new = dict(best)
+        for taken, (total, pairs) in best.items():
+            for i in range(rows):
+                if not taken >> i & 1:
+                    at, more = taken | 1 << i, total + column[i]
+                    if at not in new or more < new[at][0]:
+                        new[at] = (more, (*pairs, (i, j)))
+        best = new
+    full = min(rows, columns)
+    return sorted(min((v for k, v in best.items() if k.bit_count() == full), key=lambda v: v[0])[1])
 
 
 @dataclass
