@@ -312,15 +312,21 @@ def identity_assign(spark, sf):
     return players.identify(seen, known, ["clip"])
 
 
+def _numbered(rows):
+    """Boxes with a number of their own within the frame, as line numbers may repeat."""
+    order = Window.partitionBy("frame").orderBy("det_idx", "l_partkey", "x1", "y1")
+    return rows.withColumn("det_idx", F.row_number().over(order).cast("int"))
+
+
 @query()
 def player_tracks(spark, sf):
-    rows = boxes(spark, sf).withColumn("det_idx", F.col("det_idx").cast("int")).withColumn("frame", F.col("frame").cast("int"))
+    rows = _numbered(boxes(spark, sf)).withColumn("frame", F.col("frame").cast("int"))
     return players.track_players(rows, ["clip"])
 
 
 @query()
 def player_fusion(spark, sf):
-    rows = boxes(spark, sf).withColumns({"det_idx": F.col("det_idx").cast("int"), "match": F.floor(F.col("frame") / 2) % 97, "keypoints": F.array(*[F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))] * 17), "frame": (F.floor(F.col("frame") / 2)).cast("int"), "_side": F.col("frame") % 2})
+    rows = _numbered(boxes(spark, sf)).withColumns({"match": F.floor(F.col("frame") / 2) % 97, "keypoints": F.array(*[F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))] * 17), "frame": (F.floor(F.col("frame") / 2)).cast("int"), "_side": F.col("frame") % 2})
     scale = (0.02, 0.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 1.0)
     a = players.court_positions(rows.where("_side = 0"), "A", scale)
     b = players.court_positions(rows.where("_side = 1"), "B", scale)
@@ -820,7 +826,7 @@ def named_players(spark, sf):
     from . import jobs
 
     none = F.array(*[F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))] * 17)
-    rows = boxes(spark, sf).withColumns({"det_idx": F.col("det_idx").cast("int"), "match": F.floor(F.col("frame") / 2) % 97, "keypoints": none, "color_hist": F.array(F.col("l_discount") * 10 + 0.1, F.col("l_tax") * 10 + 0.1, F.col("x1") / 400.0), "_side": F.col("frame") % 2, "frame": F.floor(F.col("frame") / 2).cast("int")})
+    rows = _numbered(boxes(spark, sf)).withColumns({"match": F.floor(F.col("frame") / 2) % 97, "keypoints": none, "color_hist": F.array(F.col("l_discount") * 10 + 0.1, F.col("l_tax") * 10 + 0.1, F.col("x1") / 400.0), "_side": F.col("frame") % 2, "frame": F.floor(F.col("frame") / 2).cast("int")})
     scale = (0.02, 0.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 1.0)
     profiles = rows.select("match").distinct().withColumn("player_id", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).select("match", "player_id", F.array(F.col("player_id") / num(4), (5 - F.col("player_id")) / num(4), num(0.5)).alias("hist"), (F.col("player_id") * 2.0).alias("x"), (F.col("player_id") * 4.0).alias("y"))
     return jobs.player_fusion(rows.where("_side = 0"), rows.where("_side = 1"), scale, scale, profiles, 0).select("match", "frame", "cand_idx", "seed", "player_id")
