@@ -16,11 +16,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, shuffle_partitions
 
 #: (verdict, host, path). Fixed by the contract.
 RULES = [
@@ -30,7 +31,7 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: The array goes to every worker with the query, so its size is checked; larger lists are to be dealt by digest.
+#: The array goes to every worker with the query, so its size is checked; larger lists go to `judge_dealt`.
 MOST_BYTES = 64 << 20
 
 
@@ -95,7 +96,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     empty, so no rule fits and the verdict is `default`. Repeated rows are judged alike; empty table: no rows."""
     content = DigestArray.pack(f"{h}{p}" for _, h, p in rules)
     if len(content) > MOST_BYTES:
-        raise ValueError(f"the rules' array has {len(content)} bytes, over {MOST_BYTES}")
+        raise ValueError(f"the rules' array has {len(content)} bytes, over {MOST_BYTES}; use judge_dealt with a table of rules")
     verdicts = {f"{h}{p}".encode(): v for v, h, p in rules}
     path_sizes = sorted({len(p) for _, _, p in rules})
 
@@ -118,3 +119,34 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     judged = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
     judged = judged.withColumn("_rule_found", look_up("host", "path"))
     return judged.withColumn("rule", F.col("_rule_found.rule")).withColumn("verdict", F.col("_rule_found.verdict")).drop("_rule_found")
+
+
+def judge_dealt(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+    """`judge` for a table of rules (verdict, host, path) of any size.
+
+    Rules and the keys to look up are dealt by hash into shards; each shard sorts its own digest array and probes
+    it. Keys are looked up once however many URLs have them, so a hot host is no hot shard. A key under several
+    verdicts is blocked. The driver sees only which path lengths rules have."""
+    shards = 4 * shuffle_partitions(pages.sparkSession)
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+    rules = rules.groupBy(F.concat("host", "path").alias("key"), F.length("host").alias("host_size")).agg(F.max("verdict").alias("verdict"))
+    path_sizes = sorted(r[0] for r in rules.select(F.length("key") - F.col("host_size")).distinct().collect())
+
+    @F.pandas_udf("array<struct<key: string, host_size: int>>")
+    def keys_of(hosts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([[{"key": h + p[:n], "host_size": len(h)} for n in path_sizes if len(p) >= n for h in hosts_above(host)] for host, p in zip(hosts, paths, strict=True)])
+
+    def probe(wanted: pa.Table, known: pa.Table) -> pa.Table:
+        array = DigestArray.mapped(DigestArray.pack(known.column("key").to_pylist()))
+        verdicts = dict(zip(known.column("key").to_pylist(), known.column("verdict").to_pylist(), strict=True))
+        keys = wanted.column("key").to_pylist()
+        hits = [keys[i] for i in np.flatnonzero(array.find([k.encode() for k in keys]) >= 0)]
+        return pa.table({"key": pa.array(hits, pa.string()), "verdict": pa.array([verdicts[k] for k in hits], pa.string())})
+
+    host, path = host_and_path(F.col("url"))
+    judged = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
+    wanted = judged.select("host", "path").distinct().withColumn("k", F.explode(keys_of("host", "path"))).select("host", "path", "k.key", "k.host_size")
+    found = wanted.select("key").distinct().select("key", shard).groupBy("shard").cogroup(rules.select("key", "verdict", shard).groupBy("shard")).applyInArrow(probe, "key string, verdict string")
+    best = wanted.join(found, "key").groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), "host_size")).alias("b"))
+    out = judged.join(best.select("host", "path", F.col("b.key").alias("rule"), F.col("b.verdict").alias("verdict")), ["host", "path"], "left")
+    return out.select(*judged.columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

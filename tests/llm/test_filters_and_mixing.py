@@ -26,6 +26,9 @@ def test_urls_against_plain(spark):
     got = {(r.page_id): (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages).collect()}
     assert got == {i: plain_verdict(u) for i, u in enumerate(urls + urls[:3])}
     assert url_filters.judge(pages.limit(0)).count() == 0
+    rules = spark.createDataFrame(url_filters.RULES, "verdict string, host string, path string")
+    dealt = {(r.page_id): (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_dealt(pages, rules).collect()}
+    assert dealt == got
 
 
 def test_equal_digests_are_told_apart():
