@@ -757,9 +757,9 @@ def dual_bounces(spark, sf):
     return jobs.dual_bounces(side(a), side(b), OFFSET).select("match", "frame", "cam", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
-@query(f"""WITH {BOXES} SELECT clip, list_sort(list(DISTINCT l_suppkey)) AS ids FROM boxes WHERE conf > 0.8 GROUP BY clip""")
+@query(f"""WITH {BOXES} SELECT clip, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS ids FROM boxes WHERE conf > 0.8 GROUP BY clip""")
 def distinct_ids(spark, sf):
-    return courts.distinct_ids(boxes(spark, sf).where("conf > 0.8").select("clip", F.col("l_suppkey").alias("player_id")), ["clip"])
+    return courts.distinct_ids(boxes(spark, sf).where("conf > 0.8").select("clip", F.col("l_suppkey").alias("player_id")), ["clip"]).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
 @query()
