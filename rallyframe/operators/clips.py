@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -37,6 +38,13 @@ def _split(schema: str) -> list[str]:
     return [*out, schema[start:]]
 
 
+def stretches(frames: pd.Series) -> list[tuple[int, int, int]]:
+    """(frame, first, past the last) of each run of equal values of a sorted column."""
+    values = frames.to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, int)
+    return [(int(values[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def none(x: Any) -> Any:
     """Null for NaN."""
     return None if x is None or x != x else x

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Matrix, Polygon, box_center, foot_point, in_court, in_polygon, num, to_global, transform_point
 from ..schemas import IdentityConfig
-from .clips import none, per_clip
+from .clips import none, per_clip, stretches
 from .joins import cluster
 
 
@@ -113,11 +113,12 @@ def identify(detections: DataFrame, profiles: DataFrame, keys: list[str], cfg: I
         array = lambda h: None if h is None else np.asarray(h, float)
         known = pdf[pdf["frame"] == -1]
         state = Identities(cfg, {int(r.det_idx): Profile(array(r.hist), None if none(r.x) is None else (r.x, r.y)) for r in known.itertuples(index=False)})
-        for frame, part in pdf[pdf["frame"] >= 0].groupby("frame", sort=True):
-            index = [int(i) for i in part["det_idx"]]
-            found = state.step(int(frame), [(none(x), none(y), array(h)) for x, y, h in zip(part["x"], part["y"], part["hist"], strict=True)])
-            for j, player, cost, d, color, again in found:
-                yield (int(frame), index[j], player, cost, d, color, again)
+        seen = pdf[pdf["frame"] >= 0]
+        index = seen["det_idx"].tolist()
+        rows = [(none(x), none(y), array(h)) for x, y, h in zip(seen["x"].tolist(), seen["y"].tolist(), seen["hist"].tolist(), strict=True)]
+        for frame, first, last in stretches(seen["frame"]):
+            for j, player, cost, d, color, again in state.step(frame, rows[first:last]):
+                yield (frame, index[first + j], player, cost, d, color, again)
 
     return per_clip(rows, keys, ["frame", "det_idx"], fold, "frame int, det_idx int, player_id int, cost double, pos_dist_m double, color_dist double, reentry boolean")
 
@@ -150,8 +151,9 @@ def track_players(boxes: DataFrame, keys: list[str], high: float = 0.25, low: fl
     def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
         tracks: list[dict] = []
         fresh = 1
-        for frame, part in pdf.groupby("frame", sort=True):
-            box, conf, index = part[["x1", "y1", "x2", "y2"]].to_numpy(float), part["conf"].to_numpy(float), part["det_idx"].to_numpy()
+        boxes_, confs, indices = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float), pdf["det_idx"].to_numpy()
+        for frame, first, last in stretches(pdf["frame"]):
+            box, conf, index = boxes_[first:last], confs[first:last], indices[first:last]
             tracks = [t for t in tracks if frame - t["frame"] <= lost]
             sure, unsure = np.flatnonzero(conf >= high), np.flatnonzero((conf < high) & (conf >= low))
             free = list(tracks)

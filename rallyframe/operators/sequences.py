@@ -66,10 +66,9 @@ def longest_miss(frames: DataFrame, warmup: Column, keys: list[str]) -> DataFram
 
 def isolation_support(hits: DataFrame, keys: list[str], reach: int = 3) -> DataFrame:
     """For each hit, at how many distances up to `reach` frames there is another before or after."""
-    near = hits.select(*keys, F.col("frame").alias("_other"))
-    both = hits.withColumn("_other", F.explode(F.array(*(F.col("frame") + d for d in range(-reach, reach + 1) if d)))).join(near, [*keys, "_other"])
-    counted = both.groupBy(*keys, "frame").agg(F.countDistinct(F.abs(F.col("_other") - F.col("frame"))).alias("support"))
-    return hits.join(counted, [*keys, "frame"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
+    near = F.collect_list("frame").over(by_frame(keys).rangeBetween(-reach, reach))
+    apart = F.filter(F.transform("_near", lambda f: F.abs(f - F.col("frame"))), lambda d: d > 0)
+    return hits.withColumn("_near", near).withColumn("support", F.size(F.array_distinct(apart)).cast("long")).drop("_near")
 
 
 def static_hits(hits: DataFrame, keys: list[str], cfg: MiningConfig = MiningConfig()) -> DataFrame:
@@ -93,16 +92,15 @@ def hard_frames(log: DataFrame, keys: list[str], cfg: MiningConfig = MiningConfi
     `log`: keys, frame, found, u, v, confidence, status, coast. Values are rounded before they are compared."""
     rows = log.withColumns({"u": rounded(F.col("u"), 1), "v": rounded(F.col("v"), 1), "confidence": rounded(F.col("confidence"), 3)})
     hits = static_hits(isolation_support(rows.where("found"), keys, cfg.reach), keys, cfg)
-    isolated = hits.where(F.col("support") < cfg.min_support).withColumns({"reason": F.lit("fp_isolated"), "priority": F.lit(1)})
-    candidates = hits.where((F.col("support") >= cfg.min_support) & F.col("still"))
-    picked = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("frame").cast("int"))).alias("_f"))
-    picked = picked.select(*keys, F.explode(spaced(F.col("_f"), cfg.static_run)).alias("frame"))
-    static = candidates.join(picked, [*keys, "frame"]).withColumns({"reason": F.lit("fp_static"), "priority": F.lit(2)})
-    rest = hits.where(F.col("support") >= cfg.min_support).join(static.select(*keys, "frame"), [*keys, "frame"], "left_anti")
-    unsure = rest.where(F.col("confidence") < cfg.low_conf).withColumns({"reason": F.lit("lowconf"), "priority": F.lit(3)})
-    missed = rows.where(~F.col("found") & (F.col("status") == "coasting") & (F.col("coast") <= cfg.max_gap)).withColumns({"reason": F.lit("miss"), "priority": F.lit(1)})
-    names = [*keys, "frame", "reason", "priority", F.col("u").alias("hint_u"), F.col("v").alias("hint_v"), "confidence"]
-    return isolated.select(names).unionByName(static.select(names)).unionByName(unsure.select(names)).unionByName(missed.select(names))
+    still = hits.where((F.col("support") >= cfg.min_support) & F.col("still"))
+    picked = still.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("frame").cast("int"))).alias("_f"))
+    picked = picked.select(*keys, F.explode(spaced(F.col("_f"), cfg.static_run)).alias("frame"), F.lit(True).alias("_static"))
+    reason = F.when(F.col("support") < cfg.min_support, "fp_isolated").when(F.col("_static"), "fp_static").when(F.col("confidence") < cfg.low_conf, "lowconf")
+    wrong = hits.join(picked, [*keys, "frame"], "left").withColumn("reason", reason).where("reason is not null")
+    missed = rows.where(~F.col("found") & (F.col("status") == "coasting") & (F.col("coast") <= cfg.max_gap)).withColumn("reason", F.lit("miss"))
+    priority = F.when(F.col("reason") == "fp_static", 2).when(F.col("reason") == "lowconf", 3).otherwise(1)
+    names = [*keys, "frame", "reason", priority.alias("priority"), F.col("u").alias("hint_u"), F.col("v").alias("hint_v"), "confidence"]
+    return wrong.select(names).unionByName(missed.select(names))
 
 
 def genuine_apexes(tracked: DataFrame, near_event: DataFrame, keys: list[str], slow: float = 600.0, fast: float = 1500.0, reach: int = 8) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Matrix, cos_degrees
 from ..schemas import COURT_LENGTH, COURT_WIDTH, EventConfig, SuppressConfig, TrackerConfig
-from .clips import none, per_clip
+from .clips import none, per_clip, stretches
 
 TRACK = "frame int, status string, x double, y double, vx double, vy double, std double, measured boolean, gated boolean, coast int, meas_u double, meas_v double"
 
@@ -67,10 +67,10 @@ class Kalman:
 
 
 def _frames(pdf: pd.DataFrame) -> Iterator[tuple[int, list[tuple[float, float, float]]]]:
-    """Each frame with its candidates; rows without u are frames without any."""
-    for frame, rows in pdf.groupby("frame", sort=True):
-        rows = rows[rows["u"].notna()]
-        yield int(frame), list(zip(rows["u"], rows["v"], rows["confidence"], strict=True))
+    """Each frame with its candidates, from rows sorted by frame; rows without u are frames without any."""
+    rows = list(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["confidence"].tolist(), strict=True))
+    for frame, first, last in stretches(pdf["frame"]):
+        yield frame, [r for r in rows[first:last] if r[0] is not None and r[0] == r[0]]
 
 
 def track(candidates: DataFrame, cfg: TrackerConfig = TrackerConfig(), keys: list[str] | None = None) -> DataFrame:
@@ -249,10 +249,12 @@ def suppress_parked(candidates: DataFrame, cfg: SuppressConfig = SuppressConfig(
 
     def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
         state = Suppressor(cfg)
-        for frame, rows in pdf[pdf["u"].notna()].groupby("frame", sort=True):
-            found = list(zip(rows["u"], rows["v"], rows["confidence"], strict=True))
-            for (u, v, confidence), i, kept in zip(found, rows["cand_idx"], state.step(int(frame), found), strict=True):
-                yield (int(frame), int(i), u, v, confidence, kept)
+        seen = pdf[pdf["u"].notna()]
+        rows = list(zip(seen["u"].tolist(), seen["v"].tolist(), seen["confidence"].tolist(), strict=True))
+        index = seen["cand_idx"].tolist()
+        for frame, first, last in stretches(seen["frame"]):
+            for r, i, kept in zip(rows[first:last], index[first:last], state.step(frame, rows[first:last]), strict=True):
+                yield (frame, int(i), *r, kept)
 
     return per_clip(candidates, keys or ["clip"], ["frame", "cand_idx"], fold, "frame int, cand_idx int, u double, v double, confidence double, kept boolean")
 
