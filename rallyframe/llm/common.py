@@ -46,6 +46,18 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch: texts differ in length a thousandfold, so batches are bounded by bytes rather than rows.
+BATCH_BYTES = 2 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Bound the Arrow batches of the session's Python stages, where the session doesn't say otherwise; gives back `df`."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -83,7 +95,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base, and of its inverse modulo 2**64."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 19)
         for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             p = np.full(size, b, np.uint64)
             p[0] = 1
@@ -91,7 +103,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def slices(batches, column: str, limit: int = 1 << 21):
+def slices(batches, column: str, limit: int = 1 << 19):
     """Record batches cut so that `column` holds at most `limit` bytes in each, or is one row."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -135,9 +147,12 @@ class Words:
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans: a polynomial over the whole slice, from which each span is cut."""
         power, inverse = _power(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * power[: len(self.data)], out=total[1:])
-        return mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        upto = _BYTE[self.data]
+        upto *= power[: len(upto)]
+        np.cumsum(upto, out=upto)
+        before = np.where(start > 0, upto[np.maximum(start, 1) - 1], np.uint64(0)) if len(upto) else np.zeros(len(start), np.uint64)
+        total = (upto[end - 1] - before) if len(upto) else before
+        return mix64(total * inverse[start] + (end - start).astype(np.uint64))
 
     @property
     def hash(self) -> np.ndarray:

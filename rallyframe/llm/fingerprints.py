@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _power, constants, mix64, shuffle_partitions
+from .common import _BYTE, _power, bounded_batches, constants, mix64, shuffle_partitions
 
 LEAST_BLOCK = 3
 LENGTH = 64
@@ -118,7 +118,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 
     Null text: empty. Null doc_id: last in order. Rows with one doc_id: in order of their texts. Equal texts
     have equal fingerprints. Empty table: no rows; one row: its own next. Other columns are not looked at."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     parts = 8 * shuffle_partitions(spark)
     kind = dict(docs.dtypes)["doc_id"]
     base = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

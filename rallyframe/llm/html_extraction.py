@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 from .url_filters import host_and_path
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -159,7 +159,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Null or empty html: empty text. Null url, or one without a host: pages of the empty host. Repeated rows:
     extracted alike (and each votes). Very long pages are taken whole. Empty table: no rows. Other columns
     are not looked at."""
-    chosen = written(votes(pages), "host-paths")
+    chosen = written(votes(bounded_batches(pages)), "host-paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

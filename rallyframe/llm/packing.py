@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import bounded_batches, shuffle_partitions, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
 
 # --- the plan, from histograms ---------------------------------------------------------------

@@ -14,12 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, raw_text, slices
+from .common import Words, bounded_batches, raw_text, slices
 
 BITS = 11
 EXTRA = 4
@@ -158,15 +157,13 @@ def judge(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, select
     Null or empty text: scored by the constant feature alone. Null or repeated doc_id, repeated rows: each row
     is scored by its text. Labels that are null or without a document are not used; with several for one
     doc_id, one counts. Empty tables: no rows, or everything kept."""
-    weights, thresholds = train(docs, labels, per_grade)
+    weights, thresholds = train(bounded_batches(docs), labels, per_grade)
     base = docs.drop("expected_grade", "tail_probability", "kept")
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        column, out = pa.array(texts, pa.string(), from_pandas=True), []
-        for part in slices([pa.RecordBatch.from_arrays([column], ["text"])], "text"):
-            out.append(scores(weights, *raw_text(part.column("text"))))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text")
+        return pa.array(np.concatenate([np.zeros(0), *(scores(weights, *raw_text(p.column("text"))) for p in parts)]))
 
     def at_least(k: int) -> Column:
         return 1 / (1 + F.exp(F.lit(float(thresholds[k - 1])) - F.col("_ordinal_score")))

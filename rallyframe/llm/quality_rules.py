@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _power, constants, mix64, raw_text, slices, windows, written
+from .common import Words, _power, bounded_batches, constants, mix64, raw_text, slices, windows, written
 
 #: A line is boilerplate if over MOST_DOCUMENTS and over MOST_SHARE of its host's documents have it.
 MOST_DOCUMENTS = 100
@@ -100,7 +100,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *values], keep + names)
 
     host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    base = docs.select("doc_id", host.alias("host"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    base = bounded_batches(docs).select("doc_id", host.alias("host"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     kind = dict(base.dtypes)["doc_id"]
     return base.mapInArrow(run, f"doc_id {kind}, host string, text_key long, {MEASURES}")
 

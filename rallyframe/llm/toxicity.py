@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Documents of a label to learn from, and how long a text to learn from may be.
 PER_LABEL = 1500
 SAMPLE_CHARS = 20_000
@@ -182,7 +184,7 @@ def judge(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Dat
     Null, empty or letterless text: no window, so the score of a text without evidence. Null doc_id: not held
     out. Repeated rows: scored alike. Texts of any length are scored whole. Empty table: no rows. Nothing but
     the text enters the score; other columns are not looked at."""
-    model = fit(docs, labels, per_label)
+    model = fit(bounded_batches(docs), labels, per_label)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shuffle_partitions
+from .common import ascii_lower, bounded_batches, shuffle_partitions
 
 #: (verdict, host, path). Fixed by the contract.
 RULES = [
@@ -116,7 +116,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
             yield pd.DataFrame({"rule": [r and r.decode() for r in rule], "verdict": [verdicts[r] if r else default for r in rule]})
 
     host, path = host_and_path(F.col("url"))
-    judged = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
+    judged = bounded_batches(pages).drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
     judged = judged.withColumn("_rule_found", look_up("host", "path"))
     return judged.withColumn("rule", F.col("_rule_found.rule")).withColumn("verdict", F.col("_rule_found.verdict")).drop("_rule_found")
 
