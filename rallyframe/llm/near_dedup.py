@@ -8,9 +8,9 @@ enough to drop nearly all false candidates before full sets are compared.
 Every link is confirmed on full sets. No pair of bucket members is formed beyond need:
 1. Texts with equal sets are one class from the start.
 2. In each bucket the smallest id is paired with every other member; links found so give components.
-3. Only buckets that still hold several components are looked at again: inside a task, sketches of members
-   of different components are compared, and only pairs that look similar go on to the full sets. Pairs
-   within a component can't change it.
+3. Only buckets that still hold several components are looked at again: sketches of members of different
+   components are compared, and only pairs that look similar go on to the full sets. Pairs within a component
+   can't change it. A large bucket is cut in blocks, and each pair of blocks is compared in a group of its own.
 After step 3 each pair of different texts that shares a bucket and looks similar is either confirmed, refuted
 or inside one component, so no link is lost but those that miss all bands (at a similarity of 0.85: fewer
 than one in a million) or that a sketch misjudges by over 0.05 (its standard error is below 0.015).
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, constants, mix64, raw_text, shuffle_partitions, slices, windows, written
+from .common import Words, bounded_batches, constants, mix64, raw_text, shuffle_partitions, slices, windows, written
 
 SHINGLE = 5
 #: Link if 100 * intersection >= PERCENT * union.
@@ -34,6 +34,8 @@ BANDS, ROWS = 24, 5
 BIN_BITS, SKETCH_BITS = 9, 10
 #: Candidates go on from this estimated similarity.
 LOOK = 0.80
+#: Members of a block of a large bucket.
+BLOCK = 256
 _XOR = constants(BANDS * ROWS, 5)[:, None]
 _TIMES = (constants(BANDS * ROWS, 6) | np.uint64(1))[:, None]
 _BAND = constants(ROWS, 7)[None, :]
@@ -100,7 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *sums, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
@@ -152,27 +154,33 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def across_components(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of `members` (key, id, component, sketch) of one key and different components that look similar.
-    Members of a key are compared in a task by their sketches, in blocks; only what looks similar leaves it."""
-
-    def of_bucket(ids: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
-        step = max(1, (1 << 18) // len(ids))
+    """Pairs (a, b) of `members` (key, n, id, component, sketch) of one key and different components that look similar; n
+    is the number of the key's members. Each block of a key's members meets each other block, and itself, once."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(group.alias("group"), "id", "component", "sketch", "own", (F.col("own") == F.col("other")).alias("alone"))
+
+    def of_group(ids, component, sketch, own, alone) -> Iterator[np.ndarray]:
+        step = max(1, (1 << 16) // len(ids))
         for first in range(0, len(ids), step):
             rows = slice(first, first + step)
-            close = (estimates(sketch[rows, None], sketch[None, :]) >= LOOK) & (component[rows, None] < component[None, :])
-            i, j = np.nonzero(close)
+            ask = (component[rows, None] < component[None, :]) & ((own[rows, None] != own[None, :]) | alone[rows, None])
+            i, j = np.nonzero(ask)
+            close = estimates(sketch[rows][i], sketch[j]) >= LOOK
+            i, j = i[close], j[close]
             yield np.stack([np.minimum(ids[rows][i], ids[j]), np.maximum(ids[rows][i], ids[j])], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def of_whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = t.column("key").to_numpy()
-            ids, component = t.column("id").to_numpy(), t.column("component").to_numpy()
-            sketch = _sketch_rows(t.column("sketch"))
-            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            for first, last in zip(edges[:-1], edges[1:], strict=True):
-                for found in of_bucket(ids[first:last], component[first:last], sketch[first:last]):
+            group, ids, component, own = (t.column(c).to_numpy() for c in ("group", "id", "component", "own"))
+            alone, sketch = t.column("alone").to_numpy(), _sketch_rows(t.column("sketch"))
+            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            for part in map(slice, edges[:-1], edges[1:]):
+                for found in of_group(ids[part], component[part], sketch[part], own[part], alone[part]):
                     if len(found):
                         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -181,15 +189,15 @@ def across_components(members: DataFrame) -> DataFrame:
                 continue
             t = pa.Table.from_batches([b])
             t = t if rest is None else pa.concat_tables([rest, t])
-            key = t.column("key").to_numpy()
-            cut = int(np.flatnonzero(key == key[-1])[0])
+            group = t.column("group").to_numpy()
+            cut = int(np.flatnonzero(group == group[-1])[0])
             rest = t.slice(cut)
             if cut:
                 yield from of_whole(t.slice(0, cut))
         if rest is not None:
             yield from of_whole(rest)
 
-    dealt = members.select("key", "id", "component", "sketch").repartition(shuffle_partitions(members.sparkSession), "key").sortWithinPartitions("key", "id")
+    dealt = dealt.repartition(shuffle_partitions(members.sparkSession), "group").sortWithinPartitions("group", "id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -214,7 +222,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     label = F.coalesce("component", "id")
     wide = buckets.join(shared.where("n > 2").select("key"), "key").join(found, "id", "left").select("key", "id", label.alias("component"))
     wide = written(wide, "bucket-members")
-    split = wide.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    split = wide.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
     members = wide.join(written(split, "split-buckets"), "key").join(sketches, "id")
     more = written(across_components(members).join(stars, ["a", "b"], "left_anti"), "more-candidates")
     links = links.union(confirmed(more, docs, percent))

@@ -80,7 +80,9 @@ def plain_components(docs):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-def test_near_duplicates(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 3])
+def test_near_duplicates(spark, odd_docs, no_docs, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(3)
     docs = []
     for base in range(12):
