@@ -4,8 +4,7 @@ Every line with a word is normalised (A-Z lower-cased, words joined by one space
 (here: `source`) the distinct documents that have a line are counted; lines in more than the limit are
 boilerplate. A document is rejected when taking these lines out leaves it too little.
 
-Copies and near copies of one document are not many documents: for the count, documents are told apart by
-their longest line, so that a page crawled a thousand times does not turn its own body into boilerplate.
+Documents are told apart by a hash of their whole text, so that exact copies of one document count once.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _ROW = constants(1, 3)[0]
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_line long, line_hashes array<long>, line_words array<long>"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hashes array<long>, line_words array<long>"
 
 
 def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -80,12 +79,8 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     np.cumsum(lowered.hash * power[: len(words.start)], out=total[1:])
     hashes = mix64((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)).view(np.int64)
     sizes = last - first
-    longest = np.zeros(rows, np.int64)
-    best = np.lexsort((np.arange(len(row)), -sizes, row))
-    head = best[np.unique(row[best], return_index=True)[1]] if len(best) else best
-    longest[row[head]] = hashes[head]
     edges = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
-    flat = [pa.array(x, pa.int64()) for x in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat, longest)]
+    flat = [pa.array(x, pa.int64()) for x in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat)]
     return [*flat, pa.ListArray.from_arrays(edges, pa.array(hashes)), pa.ListArray.from_arrays(edges, pa.array(sizes, pa.int64()))]
 
 
@@ -107,9 +102,9 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(m: DataFrame, most: int = MOST_DOCUMENTS, share: float = MOST_SHARE) -> DataFrame:
     """(host, line) of the lines that too many documents have."""
-    apart = m.where("n_words > 0").select("host", "longest_line", F.explode(F.array_distinct("line_hashes")).alias("line")).distinct()
-    documents = apart.select("host", "longest_line").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
-    counts = apart.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    once = m.where("n_words > 0").groupBy("host", "text_key").agg(F.first("line_hashes").alias("line_hashes"))
+    counts = once.select("host", F.explode(F.array_distinct("line_hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    documents = m.where("n_words > 0").select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     return counts.join(documents, "host").where(F.col("n") > share * F.col("n_host")).select("host", "line")
 
 
@@ -122,7 +117,7 @@ def judge(docs: DataFrame, most: int = MOST_DOCUMENTS, share: float = MOST_SHARE
     m = written(measured(docs).withColumn("_row", F.monotonically_increasing_id()), "quality-measures")
     lines = m.select("_row", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x")).select("_row", "host", F.col("x.line_hashes").alias("line"), F.col("x.line_words").alias("words"))
     lost = lines.join(frequent_lines(m, most, share), ["host", "line"]).groupBy("_row").agg(F.sum("words").alias("boilerplate_words"))
-    out = m.drop("line_hashes", "line_words", "longest_line", "host").join(lost, "_row", "left").drop("_row").fillna(0, ["boilerplate_words"])
+    out = m.drop("line_hashes", "line_words", "host").join(lost, "_row", "left").drop("_row").fillna(0, ["boilerplate_words"])
     left = F.col("n_words") - F.col("boilerplate_words")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= least_words) & (left >= least_share * F.col("n_words")))

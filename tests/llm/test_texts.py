@@ -59,6 +59,15 @@ def test_quality_rules(spark, texts, odd_docs, no_docs):
     assert quality_rules.judge(no_docs).count() == 0
 
 
+def test_long_shared_line_is_boilerplate(spark):
+    notice = " ".join(f"notice{k}" for k in range(80))
+    rows = [(i, f"{notice}\nown words of page {i} " + "and more of its own " * 2, "en", "s", 0) for i in range(30)]
+    rows += [(100 + i, notice + "\nthe same page crawled many times over and over again", "en", "t", 0) for i in range(30)]
+    got = quality_rules.judge(spark.createDataFrame(rows, DOC), most=20, share=0.0).collect()
+    assert {r.doc_id: r.boilerplate_words for r in got} == {r[0]: 80 if r[3] == "s" else 0 for r in rows}
+    assert {r.doc_id for r in got if r.kept} == {r[0] for r in rows if r[3] == "t"}
+
+
 def plain_components(docs):
     sets = {}
     for i, text in docs:
