@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import Words, _power, bounded_batches, constants, mix64, raw_text, slices, windows, written
 
-#: A line is boilerplate if over MOST_DOCUMENTS and over MOST_SHARE of its host's documents have it.
+#: A line is boilerplate if over LINE_DOCUMENTS distinct documents of its host have it, however large the host.
+LINE_DOCUMENTS = 20
+#: The limits of op7's SQL, which is left as it was: over so many documents and over this share of the host's.
 MOST_DOCUMENTS = 100
 MOST_SHARE = 0.01
 #: A document is depleted if fewer words, or a smaller share of its words, are left.
@@ -50,12 +52,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     word_chars = _per_row(in_word & ((data & 0xC0) != 0x80), offsets)
     n_symbols = _per_row(_SYMBOL[data], offsets)
 
-    feeds = np.flatnonzero(data == 10)
-    of_feed = np.searchsorted(offsets, feeds, "right") - 1
-    row, start = np.concatenate([np.arange(rows), of_feed]), np.concatenate([offsets[:-1], feeds + 1])
-    row_of_end, end = np.concatenate([of_feed, np.arange(rows)]), np.concatenate([feeds, offsets[1:]])
-    by_start = np.lexsort((start, row))
-    row, start, end = row[by_start], start[by_start], end[np.lexsort((end, row_of_end))]
+    row, start, end = lines_of(data, offsets)
     first, last = np.searchsorted(words.start, start), np.searchsorted(words.start, end)
     has = last > first
     row, start, end, first, last = row[has], start[has], end[has], first[has], last[has]
@@ -100,15 +97,27 @@ def measured(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(run, f"doc_id {kind}, host string, text_key long, {MEASURES}")
 
 
-def frequent_lines(m: DataFrame, most: int = MOST_DOCUMENTS, share: float = MOST_SHARE) -> DataFrame:
-    """(host, line) of the lines that too many documents have."""
+def frequent_lines(m: DataFrame, most: int = LINE_DOCUMENTS, share: float = 0.0) -> DataFrame:
+    """(host, line) of the lines that too many documents have; also over a share of the host's documents, if asked for."""
     once = m.where("n_words > 0").groupBy("host", "text_key").agg(F.first("line_hashes").alias("line_hashes"))
     counts = once.select("host", F.explode(F.array_distinct("line_hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    if not share:
+        return counts.select("host", "line")
     documents = m.where("n_words > 0").select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     return counts.join(documents, "host").where(F.col("n") > share * F.col("n_host")).select("host", "line")
 
 
-def judge(docs: DataFrame, most: int = MOST_DOCUMENTS, share: float = MOST_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of every line, wordless ones too, in their order."""
+    rows, feeds = len(offsets) - 1, np.flatnonzero(data == 10)
+    of_feed = np.searchsorted(offsets, feeds, "right") - 1
+    row, start = np.concatenate([np.arange(rows), of_feed]), np.concatenate([offsets[:-1], feeds + 1])
+    row_of_end, end = np.concatenate([of_feed, np.arange(rows)]), np.concatenate([feeds, offsets[1:]])
+    by_start = np.lexsort((start, row))
+    return row[by_start], start[by_start], end[np.lexsort((end, row_of_end))]
+
+
+def judge(docs: DataFrame, most: int = LINE_DOCUMENTS, share: float = 0.0, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, text_key, the counts, words in boilerplate lines, base_failed and kept, a row for each row of `docs`.
 
     Null or empty text: no words, so base_failed. Null source: a host of its own. Null or repeated doc_id:

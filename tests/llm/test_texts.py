@@ -68,6 +68,16 @@ def test_long_shared_line_is_boilerplate(spark):
     assert {r.doc_id for r in got if r.kept} == {r[0] for r in rows if r[3] == "t"}
 
 
+def test_limit_is_the_same_at_every_size(spark):
+    """A line in 30 documents: of a host of 60, and of one of 4,000."""
+    rows = [(i, f"own words {i} of a page " * 2 + "\nfollow us everywhere", "en", "small", 0) for i in range(30)]
+    rows += [(100 + i, f"other page {i}", "en", "small", 0) for i in range(30)]
+    rows += [(1000 + i, f"some page {i}" + "\nall rights reserved" * (i < 30), "en", "large", 0) for i in range(4000)]
+    rows += [(9000 + i, f"yet another page {i}\nas often as is allowed", "en", "large", 0) for i in range(quality_rules.LINE_DOCUMENTS)]
+    got = quality_rules.judge(spark.createDataFrame(rows, DOC)).where("boilerplate_words > 0").collect()
+    assert {r.doc_id: r.boilerplate_words for r in got} == {i + k: 3 for i in range(30) for k in (0, 1000)}
+
+
 def plain_components(docs):
     sets = {}
     for i, text in docs:
