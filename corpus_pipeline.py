@@ -29,11 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the word rules and are not depleted by their hosts' boilerplate. A verdict follows from
-    text and source, so rejected rows are known by doc_id and a hash of the text."""
-    rejected = quality_rules.judge(docs).where("not kept").select("doc_id", "text_key").distinct()
-    rejected = written(rejected, "rejected-by-rules")
-    return without(docs, rejected.withColumnRenamed("text_key", KEY))
+    """Documents that pass the word rules and are not depleted by their hosts' boilerplate, without its lines."""
+    return quality_rules.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Every line with a word is normalised (A-Z lower-cased, words joined by one space) and hashed. For each host
 (here: `source`) the distinct documents that have a line are counted; lines in more than the limit are
-boilerplate. A document is rejected when taking these lines out leaves it too little.
+boilerplate. A document is rejected when taking these lines out leaves it too little; `cleaned` gives the texts of
+the others without them.
 
 Documents are told apart by a hash of their whole text, so that exact copies of one document count once.
 """
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, _power, bounded_batches, constants, mix64, raw_text, slices, windows, written
@@ -39,6 +40,24 @@ def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of every line, wordless ones too, in their order."""
+    rows, feeds = len(offsets) - 1, np.flatnonzero(data == 10)
+    of_feed = np.searchsorted(offsets, feeds, "right") - 1
+    row, start = np.concatenate([np.arange(rows), of_feed]), np.concatenate([offsets[:-1], feeds + 1])
+    row_of_end, end = np.concatenate([of_feed, np.arange(rows)]), np.concatenate([feeds, offsets[1:]])
+    by_start = np.lexsort((start, row))
+    return row[by_start], start[by_start], end[np.lexsort((end, row_of_end))]
+
+
+def line_hashes(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words from `first` to before `last`."""
+    power, inverse = _power(len(words.start) + 1)
+    total = np.zeros(len(words.start) + 1, np.uint64)
+    np.cumsum(words.hash * power[: len(words.start)], out=total[1:])
+    return mix64((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)).view(np.int64)
+
+
 def measure(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     """Arrays of MEASURES for a slice of texts."""
     rows = len(offsets) - 1
@@ -71,16 +90,18 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     cover[WINDOW:] -= np.bincount(twice, minlength=len(words.start) + 1)[: len(words.start) + 1]
     n_repeat = _per_row(np.cumsum(cover)[: len(words.start)] > 0, words.bounds)
 
-    power, inverse = _power(len(words.start) + 1)
-    total = np.zeros(len(words.start) + 1, np.uint64)
-    np.cumsum(lowered.hash * power[: len(words.start)], out=total[1:])
-    hashes = mix64((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)).view(np.int64)
+    hashes = line_hashes(lowered, first, last)
     sizes = last - first
     edges = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
     flat = [pa.array(x, pa.int64()) for x in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat)]
     return [*flat, pa.ListArray.from_arrays(edges, pa.array(hashes)), pa.ListArray.from_arrays(edges, pa.array(sizes, pa.int64()))]
 
 
+def host_of() -> Column:
+    """The host of a row, never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, host (never null), text_key and MEASURES of every row; the text stays behind."""
     names = [c.split()[0] for c in MEASURES.split(", ")]
@@ -91,8 +112,7 @@ def measured(docs: DataFrame) -> DataFrame:
             keep = ["doc_id", "host", "text_key"]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *values], keep + names)
 
-    host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    base = bounded_batches(docs).select("doc_id", host.alias("host"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    base = bounded_batches(docs).select("doc_id", host_of().alias("host"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     kind = dict(base.dtypes)["doc_id"]
     return base.mapInArrow(run, f"doc_id {kind}, host string, text_key long, {MEASURES}")
 
@@ -107,14 +127,33 @@ def frequent_lines(m: DataFrame, most: int = LINE_DOCUMENTS, share: float = 0.0)
     return counts.join(documents, "host").where(F.col("n") > share * F.col("n_host")).select("host", "line")
 
 
-def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of every line, wordless ones too, in their order."""
-    rows, feeds = len(offsets) - 1, np.flatnonzero(data == 10)
-    of_feed = np.searchsorted(offsets, feeds, "right") - 1
-    row, start = np.concatenate([np.arange(rows), of_feed]), np.concatenate([offsets[:-1], feeds + 1])
-    row_of_end, end = np.concatenate([of_feed, np.arange(rows)]), np.concatenate([feeds, offsets[1:]])
-    by_start = np.lexsort((start, row))
-    return row[by_start], start[by_start], end[np.lexsort((end, row_of_end))]
+def without_lines(texts: pa.Array, gone: list[list[int]]) -> list[str]:
+    """Texts without the lines whose hashes are in `gone`; the others, also those without a word, stay in their order."""
+    data, offsets = raw_text(texts)
+    words = Words(data, offsets)
+    row, start, end = lines_of(data, offsets)
+    first, last = np.searchsorted(words.start, start), np.searchsorted(words.start, end)
+    stays = np.ones(len(row), bool)
+    hashes = line_hashes(words, first, last)
+    bounds = np.searchsorted(row, np.arange(len(offsets)))
+    out = []
+    for k, of_row in enumerate(gone):
+        part = slice(bounds[k], bounds[k + 1])
+        stays[part] = (last[part] == first[part]) | ~np.isin(hashes[part], np.array(of_row, np.int64))
+        at = np.flatnonzero(stays[part]) + bounds[k]
+        out.append(b"\n".join(data[start[i] : end[i]].tobytes() for i in at).decode())
+    return out
+
+
+def _judged(docs: DataFrame, most: int, share: float, least_words: int, least_share: float) -> DataFrame:
+    """What `judge` gives, with host and boilerplate_lines (hashes; null if there are none)."""
+    m = written(measured(docs).withColumn("_row", F.monotonically_increasing_id()), "quality-measures")
+    lines = m.select("_row", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x")).select("_row", "host", F.col("x.line_hashes").alias("line"), F.col("x.line_words").alias("words"))
+    lost = lines.join(frequent_lines(m, most, share), ["host", "line"]).groupBy("_row").agg(F.sum("words").alias("boilerplate_words"), F.collect_set("line").alias("boilerplate_lines"))
+    out = m.drop("line_hashes", "line_words").join(lost, "_row", "left").drop("_row").fillna(0, ["boilerplate_words"])
+    left = F.col("n_words") - F.col("boilerplate_words")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= least_words) & (left >= least_share * F.col("n_words")))
 
 
 def judge(docs: DataFrame, most: int = LINE_DOCUMENTS, share: float = 0.0, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -123,10 +162,32 @@ def judge(docs: DataFrame, most: int = LINE_DOCUMENTS, share: float = 0.0, least
     Null or empty text: no words, so base_failed. Null source: a host of its own. Null or repeated doc_id:
     rows are judged one by one. Repeated rows get the same verdict. Empty table: no rows. Texts of any length
     are taken whole. Columns beside doc_id, text and source are not looked at."""
-    m = written(measured(docs).withColumn("_row", F.monotonically_increasing_id()), "quality-measures")
-    lines = m.select("_row", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x")).select("_row", "host", F.col("x.line_hashes").alias("line"), F.col("x.line_words").alias("words"))
-    lost = lines.join(frequent_lines(m, most, share), ["host", "line"]).groupBy("_row").agg(F.sum("words").alias("boilerplate_words"))
-    out = m.drop("line_hashes", "line_words", "host").join(lost, "_row", "left").drop("_row").fillna(0, ["boilerplate_words"])
-    left = F.col("n_words") - F.col("boilerplate_words")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= least_words) & (left >= least_share * F.col("n_words")))
+    return _judged(docs, most, share, least_words, least_share).drop("host", "boilerplate_lines")
+
+
+def cleaned(docs: DataFrame, most: int = LINE_DOCUMENTS, share: float = 0.0, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, their texts without boilerplate lines; n_chars, if there is one, follows the text.
+
+    All else is as in `docs`. A row's verdict and lines follow from its text and source, so rows are known by doc_id,
+    host and a hash of the text."""
+    touched = _judged(docs, most, share, least_words, least_share).where("not kept or boilerplate_words > 0")
+    touched = touched.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept"), F.col("boilerplate_lines").alias("_lines"))
+    touched = written(touched.dropDuplicates(["_id", "_host", "_key"]), "quality-touched")
+    same = docs["doc_id"].eqNullSafe(touched["_id"]) & (host_of() == touched["_host"]) & (F.xxhash64(docs["text"]) == touched["_key"])
+    left = docs.join(touched, same, "left").where("_kept is null or _kept").select(*docs.columns, "_lines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            which = np.flatnonzero(part.column("_lines").is_valid().to_numpy(zero_copy_only=False))
+            if len(which):
+                some, texts = part.take(pa.array(which)), part.column("text").to_pylist()
+                for i, text in zip(which, without_lines(some.column("text"), some.column("_lines").to_pylist()), strict=True):
+                    texts[i] = text
+                part = part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), pa.array(texts, part.schema.field("text").type))
+            yield part
+
+    out = bounded_batches(left).mapInArrow(run, left.schema)
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out = out.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return out.select(docs.columns)

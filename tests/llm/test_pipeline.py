@@ -40,5 +40,17 @@ def test_repeated_rows_stay_once(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, text), (1, text), (3, "")]
 
 
+def test_rules_take_boilerplate_lines_out(spark):
+    own = lambda i: f" page {i} tells a story of its own with  enough words"
+    note = "Share  this PAGE with your friends"
+    rows = [(i if i else None, f"{note}\n{own(i)}\n\n{note.lower()}\r\nend {i}", "en", "a" if i % 2 else None, 7) for i in range(60)]
+    rows += [(100, f"{own(100)}\n{note}", "en", "elsewhere", 5), (101, note, "en", "a", 3), (102, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(corpus_pipeline.rules(spark, docs, "").collect(), key=lambda r: (r.doc_id or 0, r.text))
+    want = [(i if i else None, f"{own(i)}\n\nend {i}") for i in [0, *range(60)]] + [(100, rows[60][1])]
+    assert [(r.doc_id, r.text) for r in got] == want
+    assert all(r.n_chars == (5 if r.doc_id == 100 else len(r.text)) for r in got)
+
+
 def test_every_operator_has_a_query():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
