@@ -1,7 +1,6 @@
 """MinHash near-duplicate detection with odd sketches.
 
-Documents are sets of distinct runs of five words. Each gets BANDS x ROWS MinHash values, of which bands pick
-candidates, and an odd sketch: the minima of BINS bins of one hash function, folded into a bitmap of parities.
+Documents are sets of distinct runs of five words. Each gets bands of ROWS MinHash values, which pick candidates, and an odd sketch: the minima of BINS bins of one hash function, folded into a bitmap of parities.
 The population count of two sketches' XOR tells how many minima differ, and with it the similarity, closely
 enough to drop nearly all false candidates before full sets are compared.
 
@@ -12,13 +11,15 @@ Every link is confirmed on full sets. No pair of bucket members is formed beyond
    components are compared, and only pairs that look similar go on to the full sets. Pairs within a component
    can't change it. A large bucket is cut in blocks, and each pair of blocks is compared in a group of its own.
 After step 3 each pair of different texts that shares a bucket and looks similar is either confirmed, refuted
-or inside one component, so no link is lost but those that miss all bands (at a similarity of 0.85: fewer
-than one in a million) or that a sketch misjudges by over 0.05 (its standard error is below 0.015).
+or inside one component, so no link is lost but those that miss all bands (`bands_for`: fewer than one in a million
+at the limit) or that a sketch misjudges by over MARGIN standard errors (`look_from`), for sets of any length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,38 @@ from .common import Words, bounded_batches, constants, mix64, raw_text, shuffle_
 SHINGLE = 5
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 85
-BANDS, ROWS = 24, 5
+ROWS = 5
+#: Links at the limit that may share no band.
+MISSED = 1e-6
 BIN_BITS, SKETCH_BITS = 9, 10
-#: Candidates go on from this estimated similarity.
-LOOK = 0.80
+#: Candidates go on unless their estimated similarity is below the limit by over so many standard errors.
+MARGIN = 6
 #: Members of a block of a large bucket.
 BLOCK = 256
-_XOR = constants(BANDS * ROWS, 5)[:, None]
-_TIMES = (constants(BANDS * ROWS, 6) | np.uint64(1))[:, None]
 _BAND = constants(ROWS, 7)[None, :]
 _SECOND = constants(1, 8)[0]
 
 
+def bands_for(percent: int) -> int:
+    """As many bands as let fewer than MISSED of the pairs at the limit share none."""
+    same = min(max(percent, 1) / 100, 0.999) ** ROWS
+    return math.ceil(math.log(MISSED) / math.log1p(-same))
+
+
+def look_from(percent: int) -> float:
+    """The estimated similarity from which candidates go on. The error has two parts: which of the bins' minima are
+    the same, with all bins filled (with fewer it is smaller), and what the parities of the differing ones tell."""
+    s, bins, size = percent / 100, 1 << BIN_BITS, 1 << SKETCH_BITS
+    differ = 2 * (1 - s) * bins
+    of_parities = size / 4 * math.expm1(4 * differ / size) - differ
+    return s - MARGIN * math.sqrt(s * (1 - s) / bins + of_parities / (2 * bins) ** 2)
+
+
+@cache
+def _hashing(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    return constants(bands * ROWS, 5)[:, None], (constants(bands * ROWS, 6) | np.uint64(1))[:, None]
+
+
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """For each text its set: sorted distinct 64-bit hashes; a text of fewer words has one, of them all."""
     words = Words(*raw_text(column))
@@ -54,13 +75,15 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield windows(own, len(own)) if len(own) else own
 
 
-def signature(s: np.ndarray) -> tuple[np.ndarray, bytes]:
+def signature(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, bytes]:
     """Band keys, and the odd sketch followed by which bins are filled."""
-    minima = np.empty(BANDS * ROWS, np.uint64)
-    for first in range(0, BANDS * ROWS, ROWS * 4):
+    n = bands_for(percent)
+    xor, times = _hashing(n)
+    minima = np.empty(n * ROWS, np.uint64)
+    for first in range(0, n * ROWS, ROWS * 4):
         part = slice(first, first + ROWS * 4)
-        minima[part] = ((s ^ _XOR[part]) * _TIMES[part]).min(axis=1)
-    bands = mix64((mix64(minima.reshape(BANDS, ROWS)) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        minima[part] = ((s ^ xor[part]) * times[part]).min(axis=1)
+    bands = mix64((mix64(minima.reshape(n, ROWS)) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(n, dtype=np.uint64))
     bins = (s >> np.uint64(64 - BIN_BITS)).astype(np.int64)
     first = np.concatenate([[True], bins[1:] != bins[:-1]])  # s is sorted, so these are the bins' minima
     parity = np.bincount((mix64(s[first]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) & 1
@@ -86,7 +109,7 @@ def _sketch_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, two sums that tell the set, band keys, sketch; of an empty set, nulls in the last two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +119,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 one.append(s.sum(dtype=np.uint64))
                 two.append(mix64(s ^ _SECOND).sum(dtype=np.uint64))
-                bands, sketch = signature(s) if len(s) else (None, None)
+                bands, sketch = signature(s, percent) if len(s) else (None, None)
                 keys.append(bands if bands is None else bands.view(np.int64))
                 sketches.append(sketch)
             sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
@@ -106,13 +129,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
-def look_similar(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose sketches say a similarity of LOOK or more."""
+def look_similar(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose sketches don't rule a link out."""
+    look = look_from(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keep = estimates(_sketch_rows(b.column("one")), _sketch_rows(b.column("two"))) >= LOOK
+                keep = estimates(_sketch_rows(b.column("one")), _sketch_rows(b.column("two"))) >= look
                 yield b.select(["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("one")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("two")), "b")
@@ -153,9 +177,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across_components(members: DataFrame) -> DataFrame:
+def across_components(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of `members` (key, n, id, component, sketch) of one key and different components that look similar; n
     is the number of the key's members. Each block of a key's members meets each other block, and itself, once."""
+    look = look_from(percent)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -168,7 +193,7 @@ def across_components(members: DataFrame) -> DataFrame:
             rows = slice(first, first + step)
             ask = (component[rows, None] < component[None, :]) & ((own[rows, None] != own[None, :]) | alone[rows, None])
             i, j = np.nonzero(ask)
-            close = estimates(sketch[rows][i], sketch[j]) >= LOOK
+            close = estimates(sketch[rows][i], sketch[j]) >= look
             i, j = i[close], j[close]
             yield np.stack([np.minimum(ids[rows][i], ids[j]), np.maximum(ids[rows][i], ids[j])], axis=1)
 
@@ -207,7 +232,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Null or empty text, or no word: n_shingles 0, linked with nothing. Null doc_id: component_id null, kept.
     Repeated rows of one doc_id are one node with the links of each of its texts; all are kept or none. Texts
     of any length are taken whole. Empty table: no rows. Other columns are not looked at."""
-    sig = written(signatures(docs), "signatures")
+    sig = written(signatures(docs, percent), "signatures")
     real = sig.where("doc_id is not null and n_shingles > 0")
     sets = ["n_shingles", "set_a", "set_b"]
     classes = written(real.groupBy(*sets).agg(F.min("doc_id").alias("id")), "classes")
@@ -216,7 +241,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = written(buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
     stars = written(buckets.join(shared, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
     sketches = nodes.select("id", "sketch")
-    links = written(confirmed(written(look_similar(stars, sketches), "star-candidates"), docs, percent), "star-links")
+    links = written(confirmed(written(look_similar(stars, sketches, percent), "star-candidates"), docs, percent), "star-links")
     found = components(links)
 
     label = F.coalesce("component", "id")
@@ -224,7 +249,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wide = written(wide, "bucket-members")
     split = wide.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
     members = wide.join(written(split, "split-buckets"), "key").join(sketches, "id")
-    more = written(across_components(members).join(stars, ["a", "b"], "left_anti"), "more-candidates")
+    more = written(across_components(members, percent).join(stars, ["a", "b"], "left_anti"), "more-candidates")
     links = links.union(confirmed(more, docs, percent))
     if more.limit(1).count():
         found = components(links)

@@ -133,6 +133,34 @@ def test_sketches_estimate():
         assert max(map(abs, errors)) < 0.06
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_sketches_keep_links_of_long_texts(percent):
+    rng = np.random.default_rng(percent)
+    assert (1 - (percent / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(percent) < 1e-6
+    found = []
+    for n in (700, 5000):
+        both = -(-2 * n * percent // (100 + percent))
+        for _ in range(1000):
+            x = rng.integers(0, 1 << 64, 2 * n - both, dtype=np.uint64)
+            rows = []
+            for s in (np.sort(x[:n]), np.sort(x[n - both :])):
+                bins = (s >> np.uint64(64 - near_dedup.BIN_BITS)).astype(np.int64)
+                head = s[np.concatenate([[True], bins[1:] != bins[:-1]])]
+                rows.append(np.frombuffer(near_dedup.signature(head, 99)[1], np.uint64))  # the sketch is of the bins' minima alone
+            found.append(float(near_dedup.estimates(*rows)))
+    assert min(found) >= near_dedup.look_from(percent) and np.std(found) * 6 < percent / 100 - near_dedup.look_from(percent) + 0.01
+
+
+def test_near_duplicates_at_another_limit(spark):
+    """Pairs of texts of 5,000 runs with 4,445 in common, the least that makes a link at 80 of 100."""
+    docs = []
+    for k in range(24):
+        words = [f"p{k}w{i}" for i in range(5004)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:4449] + [f"q{k}w{i}" for i in range(555)]))]
+    got = {r.doc_id: r.component_id for r in near_dedup.cluster(spark.createDataFrame(docs, "doc_id long, text string"), percent=80).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
 def test_components_of_a_long_path(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300)]
     got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(path, "a long, b long")).collect()}
