@@ -80,7 +80,6 @@ def check_packed(rows, docs, capacity):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = collections.Counter()
     for doc_id, text in docs:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -103,6 +102,7 @@ def check_packed(rows, docs, capacity):
 
 def test_packing(spark, texts, odd_docs, no_docs):
     docs = [(i, t) for i, t in enumerate(texts(400, words=400) + texts(300, seed=1, words=12))] + [(900, "<|endoftext|> x"), (901, None), (902, "")]
+    docs += [(903, " " * 1_000_000), (904, "a" + "\n" * 1_000_000 + "<|endoftext|>\t<|endoftext|>b"), (905, "q" * 100_000)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     used, least = check_packed(packing.pack(frame).collect(), docs, 1024)
     assert used <= least * 1.03 + 2
