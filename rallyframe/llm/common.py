@@ -28,21 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's checkpoint folder.
 
-    Only where the session names none (a single machine, as in tests) is one made."""
+    Where the session names none, one is made if driver and executors are one process; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str, *partition_by: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: what follows survives lost executors without recomputing `df`, and what is
     non-deterministic in `df` (row ids, ties) is fixed once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -115,6 +118,36 @@ def slices(batches, column: str, limit: int = 1 << 19):
             first += n
 
 
+def collected(batches, column: str, limit: int):
+    """Record batches put together until `column` holds `limit` bytes."""
+    held, size = [], 0
+    for part in slices(batches, column, limit):
+        held.append(part)
+        size += pc.sum(pc.fill_null(pc.binary_length(part.column(column)), 0)).as_py() or 0
+        if size >= limit or sum(p.num_rows for p in held) >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def runs_of(batches, column: str):
+    """Tables of all rows with one value of `column`, from batches in which equal values lie together."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        value = b.column(column).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1), b.num_rows]
+        for first, last in zip(edges[:-1], edges[1:], strict=True):
+            if rest and rest[0].column(column)[0].as_py() != value[first]:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            rest.append(b.slice(first, last - first))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and where each begins; null counts as empty."""
     arr = pa.concat_arrays([pc.fill_null(column.cast(pa.large_string()), "")]).cast(pa.large_binary())

@@ -1,44 +1,54 @@
-"""Language-model scoring by a Katz backoff model of word pairs.
-
-Words are lower-cased; each text is its words and one end token. The vocabulary of word pairs is the
-CLASSES - 1 most frequent words and one class for all others (as histories and as outcomes), so what describes
-a history or a class has a fixed size. The model, from the training part only:
-
-    p(w | v) = d(r) r / c(v)           if the pair (v, w) was seen r > 0 times
-             = alpha(v) p(w)           if not: back off, with alpha(v) such that all of p(. | v) sums to one
-    p(w)     = d(c) c / N              if the word was seen c > 0 times; what is left goes to the unseen word
-    p(w | v) = p(others | v) p(w) / p(others)   for a word of the class of others
-
-d are Good-Turing discounts for counts up to GOOD_TURING. The text's start has the end token as history.
-
-Counts are kept in tables partitioned by key: word counts, and for pairs one row a shard with sorted keys and
-counts. Scoring sends each text's pairs, and its words that are not in the vocabulary, to the shards that hold
-their counts, in blocks of packed arrays; shards send back sums by text. Nothing of the corpus's size passes
-through the driver: it sees counts of counts, the CLASSES most frequent words and as many pairs, and a row for
-each history. The most frequent pairs are scored where the text is, so no shard gets the bulk of a hot pair.
+"""Language-model scoring by a Katz backoff model of word triples.
+
+Words are lower-cased; each text is its words and one end token, which is also the history of a text's first word.
+The model, from the training texts only, with d(r) the Good-Turing discounted value of a count r:
+
+    p(w | u v) = d3(r) / c(u v)       if the triple was seen r > 0 times
+               = alpha(u v) p(w | v)  if not
+    p(w | v)   = d2(r) / c(v)         if the pair was seen r > 0 times
+               = alpha(v) p(w)        if not
+    p(w)       = d1(c(w)) / N         if the word was seen; what is left goes to the unseen word
+
+A history that was never seen leaves the word to the next shorter one. alpha(h) is the mass that discounting takes
+from h's continuations over 1 - (their probabilities after the shorter history), so all of p(. | h) sums to one. Counts
+over GOOD_TURING lose as much as a count of GOOD_TURING does (Katz takes nothing from them), so that every history has
+mass to give.
+
+There is no vocabulary: words, pairs and triples are known by 62-bit hashes, all alike. The work goes in blocks of
+texts and in shards of hashes, both of bounded size, whose number follows the size of the input:
+
+1. Each block sends its distinct n-grams with their counts to the shards of their hashes. A shard adds up and writes
+   a table of counts: for each block the totals, in the block's own order of hashes. One block is named each n-gram's owner.
+2. Blocks meet their totals and score all that was seen. For each history that some text may back off from, a
+   block sends what its own n-grams take from and cover of the history's mass, and for each n-gram not seen it asks
+   for the history's weight.
+3. Shards add up the weights and send sums by text back to the blocks.
+
+So a frequent n-gram or history is one entry a block, never a row for each occurrence, and is dealt by a hash; the driver
+sees the counts of counts alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, constants, mix64, raw_text, shuffle_partitions, slices, written
+from .common import Words, bounded_batches, collected, constants, mix64, raw_text, runs_of, shuffle_partitions, slices, written
 
-CLASSES = 1 << 16
-OTHERS = CLASSES - 1
+ORDERS = 3
 GOOD_TURING = 5
 #: The fold held out: crc32 of doc_id as text, modulo 7. Fixed by the contract.
 FOLDS, FOLD = 7, 2
-#: Tokens that a task counts, or scores, at a time.
-CHUNK = 1 << 21
+#: Bytes of text in a block, and for a shard. With both larger, fewer and larger pieces go between them.
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
 END = constants(1, 9)[0]
+_MIX = constants(8, 11)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,7 +59,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def squeeze(a: np.ndarray) -> bytes:
-    """Unsigned values, byte plane by byte plane, compressed."""
+    """Numbers, byte plane by byte plane, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) if len(a) else b""
 
 
@@ -65,27 +75,30 @@ def squeeze_sorted(a: np.ndarray) -> bytes:
     return squeeze(np.diff(a, prepend=a.dtype.type(0)))
 
 
-def expand_sorted(raw: bytes | None, kind: type) -> np.ndarray:
+def expand_sorted(raw: bytes | None, kind: type = np.uint64) -> np.ndarray:
     return np.cumsum(expand(raw, kind), dtype=kind)
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, n = k[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(n, first) if len(first) else n
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of hashes, so that sorted keys are sorted by shard."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def look_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Counts of `wanted` in a table of sorted keys; 0 if not there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, counts[at], 0)
+def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Where the keys of each shard lie among sorted keys."""
+    edges = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(edges)):
+        yield int(s), slice(int(edges[s]), int(edges[s + 1]))
 
 
-# --- the model -----------------------------------------------------------------------------------
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+
+# --- discounts -----------------------------------------------------------------------------------
 
 
 def discounts(of_counts: dict[int, int], k: int = GOOD_TURING) -> np.ndarray:
@@ -102,339 +115,291 @@ def discounts(of_counts: dict[int, int], k: int = GOOD_TURING) -> np.ndarray:
     return out
 
 
-@dataclass
-class Vocabulary:
-    """The most frequent words: sorted hashes with class and count; and what describes all words."""
-
-    hashes: np.ndarray
-    classes: np.ndarray
-    counts: np.ndarray
-    tokens: int
-    types: int
-    factor: np.ndarray
-    unseen: float = 1.0
-
-    def probability(self, count: np.ndarray) -> np.ndarray:
-        """p(w) by the word's count; count 0: the unseen word."""
-        seen = self.factor[np.minimum(count, GOOD_TURING)] * count
-        seen = np.where(count > GOOD_TURING, count, seen) / max(1, self.tokens)
-        return np.where(count > 0, seen, self.unseen)
-
-    def by_class(self) -> np.ndarray:
-        """p of each class; the others get what the vocabulary leaves."""
-        p = np.zeros(CLASSES)
-        p[self.classes] = self.probability(self.counts)
-        p[OTHERS] = max(1 - p[:OTHERS].sum(), 1e-300)
-        return p
-
-    def classify(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and count of each word; of the others the count is -1."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        if not len(self.hashes):
-            return np.full(len(hashes), OTHERS), np.full(len(hashes), -1)
-        known = self.hashes[at] == hashes
-        return np.where(known, self.classes[at], OTHERS), np.where(known, self.counts[at], -1)
-
-
-@dataclass
-class Katz:
-    """What scoring a pair needs beside the pair's count."""
-
-    p: np.ndarray  # by class
-    log_p: np.ndarray
-    factor: np.ndarray
-    log_history: np.ndarray  # log10 c(v)
-    log_alpha: np.ndarray  # log10 of the backoff weight
-    plain: np.ndarray  # histories after which every class was seen: nothing to back off to, so no discount
-
-    def log_pair(self, v: np.ndarray, w: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """log10 p(w | v) for classes; r is the pair's count, and where it is 0 the word's own probability follows."""
-        factor = np.where((r > GOOD_TURING) | self.plain[v], 1.0, self.factor[np.minimum(r, GOOD_TURING)])
-        return np.where(r > 0, np.log10(factor * np.maximum(r, 1)) - self.log_history[v], self.log_alpha[v] + self.log_p[w])
-
-
-def katz(p: np.ndarray, factor: np.ndarray, history: np.ndarray, kept: np.ndarray, covered: np.ndarray) -> Katz:
-    """By history: its count, the discounted counts of pairs seen after it, and p of the words seen after it."""
-    left = np.maximum(1 - covered, 0)
-    plain = (history > 0) & (left < 1e-9)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        alpha = np.where(history > 0, np.where(plain, 1e-300, (1 - kept / np.maximum(history, 1)) / np.where(left > 0, left, 1)), 1.0)
-    return Katz(p, np.log10(p, where=p > 0, out=np.full(len(p), -300.0)), factor, np.log10(np.maximum(history, 1)), np.log10(np.maximum(alpha, 1e-300)), plain)
-
+def loss(factor: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """What discounting takes from counts r."""
+    low = np.minimum(r, GOOD_TURING)
+    return low * (1 - factor[low])
 
-# --- tokens of a slice ---------------------------------------------------------------------------
 
+class Model:
+    """What the driver knows of the training texts: sizes and discounts, from counts of counts by order."""
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with an end token after each text, and each text's number of tokens."""
-    words = Words(*raw_text(column))
-    n = np.diff(words.bounds)
-    out = np.empty(len(words.row) + words.n_rows, np.uint64)
-    out[np.arange(len(words.row)) + words.row] = words.hash
-    out[np.cumsum(n + 1) - 1] = END
-    return out, n + 1
+    def __init__(self, stats: np.ndarray):
+        """By order: numbers of n-grams with count 1 to GOOD_TURING + 1, distinct n-grams, and n-grams in all."""
+        self.factor = [discounts({r + 1: int(n) for r, n in enumerate(of_order[: GOOD_TURING + 1])}) for of_order in stats]
+        self.types, self.tokens = int(stats[0, -2]), int(stats[0, -1])
+        few = stats[0, :GOOD_TURING]
+        lost = few @ loss(self.factor[0], np.arange(1, GOOD_TURING + 1)) + (self.types - few.sum()) * loss(self.factor[0], np.array([GOOD_TURING]))[0]
+        self.unseen = float(lost / self.tokens) if self.tokens else 1.0
 
+    def word(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, (c - loss(self.factor[0], c)) / max(1, self.tokens), self.unseen)
 
-def pairs(classes: np.ndarray, end_class: int) -> np.ndarray:
-    """Keys of (history, outcome): the token before, which at a text's start is an end token."""
-    before = np.concatenate([[end_class], classes[:-1]])
-    return before.astype(np.uint32) << np.uint32(16) | classes.astype(np.uint32)
+    def seen(self, order: int, r: np.ndarray, history: np.ndarray) -> np.ndarray:
+        """p of an n-gram with count r > 0 after a history."""
+        return (r - loss(self.factor[order - 1], r)) / np.maximum(history, 1)
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((mix64(keys) >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
-
+# --- n-grams of a block --------------------------------------------------------------------------
 
-def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of each shard's elements, in their order."""
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        if edges[s + 1] > edges[s]:
-            yield s, order[edges[s] : edges[s + 1]]
 
+class Grams:
+    """All n-grams of a block's texts. The two lowest bits of a key are its order."""
 
-def _chunks(batches: Iterator[pa.RecordBatch], make) -> Iterator[np.ndarray]:
-    held, size = [], 0
-    for part in slices(batches, "text"):
-        held.append(make(part.column("text")))
-        size += len(held[-1])
-        if size >= CHUNK:
-            yield np.concatenate(held)
-            held, size = [], 0
-    if size:
-        yield np.concatenate(held)
+    def __init__(self, texts: pa.Array):
+        words, sizes = [], []
+        for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text"):
+            w = Words(*raw_text(part.column("text")))
+            n = np.diff(w.bounds)
+            token = np.empty(len(w.row) + w.n_rows, np.uint64)
+            token[np.arange(len(w.row)) + w.row] = w.hash
+            token[np.cumsum(n + 1) - 1] = END
+            words.append(token)
+            sizes.append(n + 1)
+        token, self.n = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((words, np.uint64), (sizes, np.int64)))
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+        #: Of a text's first token the history is the end token alone.
+        self.first = np.zeros(len(token), bool)
+        self.first[np.cumsum(self.n) - self.n] = True
+        before = np.roll(token, 1)
+        before[self.first] = END
+        pair = mix64(before * _MIX[0] + token * _MIX[1])
+        triple = mix64(np.roll(pair, 1) * _MIX[2] + token * _MIX[3])
+        self.words, self.pairs, self.triples = (mix64(x) & np.uint64(~3 & (1 << 64) - 1) | np.uint64(k) for k, x in ((1, token), (2, pair), (3, triple)))
+        self.end = mix64(np.array([END])) & np.uint64(~3 & (1 << 64) - 1) | np.uint64(1)
 
+    def keys(self, of: np.ndarray) -> np.ndarray:
+        """Keys of all orders at the places `of` (a mask)."""
+        return np.concatenate([self.words[of], self.pairs[of], self.triples[of & ~self.first]])
 
-# --- training ------------------------------------------------------------------------------------
+    def histories(self, of: np.ndarray) -> np.ndarray:
+        """Keys of the histories at the places `of`."""
+        later = np.flatnonzero(of & ~self.first) - 1
+        return np.concatenate([self.words[later], self.pairs[later], self.end if (of & self.first).any() else self.end[:0]])
 
+    def sent(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The block's distinct keys in order, their counts in training texts, and which are histories in other texts."""
+        of = train[self.row]
+        own, n = np.unique(self.keys(of), return_counts=True)
+        other = ~of
+        if not other.any():
+            return own, n, np.zeros(len(own), np.int64)
+        every = np.union1d(own, self.keys(other))
+        count = np.zeros(len(every), np.int64)
+        count[np.searchsorted(every, own)] = n
+        return every, count, np.isin(every, np.unique(self.histories(other))).astype(np.int64)
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, n): hashes of training tokens and their counts, summed within tasks before the shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, lambda c: tokens(c)[0]):
-            word, n = np.unique(chunk, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+def _pack(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    return training.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _unpack(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()
 
-def vocabulary(words: DataFrame) -> Vocabulary:
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    of_counts = dict(words.where(F.col("n") <= GOOD_TURING + 1).groupBy("n").count().collect())
-    end = int(END.view(np.int64))
-    # At most CLASSES - 1 rows.
-    top = words.orderBy((F.col("word") == end).desc(), F.desc("n"), "word").limit(OTHERS).collect()
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    counts = np.array([r["n"] for r in top], np.int64)
-    order = np.argsort(hashes)
-    v = Vocabulary(hashes[order], order.astype(np.int64), counts[order], int(totals[0]), int(totals[1]), discounts(of_counts))
-    rare = sum(n * r * v.factor[r] for r, n in of_counts.items() if r <= GOOD_TURING)
-    often = v.tokens - sum(n * r for r, n in of_counts.items() if r <= GOOD_TURING)
-    v.unseen = max(1 - (rare + often) / max(1, v.tokens), 1e-12)
-    return v
 
-
-def pair_counts(training: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
-    """(shard, keys, counts): a row for each shard, keys sorted."""
-    end_class = int(v.classify(np.array([END]))[0][0])
+def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, docs): rows of `docs` (doc_id, train, text) put together. Written, so that each pass sees the same blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, lambda c: pairs(v.classify(tokens(c)[0])[0], end_class)):
-            key, n = np.unique(chunk, return_counts=True)
-            rows = [(s, squeeze_sorted(key[at]), squeeze(n[at].astype(np.uint32))) for s, at in _by_shard(shard_of(key, shards), shards)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "keys", "counts"])
+        base = TaskContext.get().partitionId() << 32
+        for k, part in enumerate(collected(batches, "text", block_bytes)):
+            yield _batch([(base + k, _pack(part))], "block long, docs binary")
 
-    def add_up(group: pa.Table) -> pa.Table:
-        key, n = merged([expand_sorted(k, np.uint32) for k in group.column("keys").to_pylist()], [expand(c, np.uint32).astype(np.uint64) for c in group.column("counts").to_pylist()])
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "keys": pa.array([squeeze_sorted(key)], pa.binary()), "counts": pa.array([squeeze(n)], pa.binary())})
+    return written(docs.mapInArrow(run, "block long, docs binary"), "text-blocks", options={"parquet.page.size.row.check.min": "1"})
 
-    schema = "shard int, keys binary, counts binary"
-    return training.select("text").mapInArrow(run, schema).groupBy("shard").applyInArrow(add_up, schema)
 
+# --- counts --------------------------------------------------------------------------------------
 
-def _size_class(n: np.ndarray) -> np.ndarray:
-    """Classes of counts: exact up to GOOD_TURING + 1, then 8 to each doubling."""
-    return np.where(n <= GOOD_TURING + 1, n, 100 + np.floor(8 * np.log2(np.maximum(n, 1))).astype(np.int64))
+SENT = "shard long, block long, keys binary, counts binary"
+COUNTS = "block long, shard long, totals binary, stats array<long>"
 
 
-def _over_shards(table: DataFrame, make, schema: str) -> DataFrame:
-    """`make(keys, counts)` gives columns of rows for each shard of a table of pairs."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def count_ngrams(texts: DataFrame, shards: int) -> DataFrame:
+    """COUNTS, a row for each shard and block: totals in the block's order of keys, in four times the value; bit 1: is a
+    history that may be asked for; bit 0: the block owns the key. And a row of statistics for each shard (block null)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in make(expand_sorted(keys, np.uint32), expand(counts, np.uint64).astype(np.int64))], names)
-
-    return table.select("keys", "counts").mapInArrow(run, schema)
-
-
-def histories(table: DataFrame, v: Vocabulary) -> tuple[Katz, np.ndarray, np.ndarray]:
-    """The model, and the most frequent pairs (at most CLASSES) with their counts."""
-
-    def size_classes(keys, counts):
-        kind, n = np.unique(_size_class(counts), return_counts=True)
-        return kind.astype(np.int64), n.astype(np.int64)
-
-    of_counts = dict(_over_shards(table, size_classes, "kind long, n long").groupBy("kind").agg(F.sum("n")).collect())
-    factor, p = discounts(of_counts), v.by_class()
-
-    def sums(keys, counts):
-        before, after = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(0xFFFF)).astype(np.int64)
-        kept = np.where(counts > GOOD_TURING, counts, factor[np.minimum(counts, GOOD_TURING)] * counts)
-        who, which = np.unique(before, return_inverse=True)
-        return who, *(np.bincount(which, weights=x, minlength=len(who)) for x in (counts, kept, p[after]))
-
-    rows = _over_shards(table, sums, "v long, history double, kept double, covered double").groupBy("v").agg(F.sum("history"), F.sum("kept"), F.sum("covered")).collect()
-    by = np.zeros((3, CLASSES))
-    for r in rows:  # at most CLASSES
-        by[:, r[0]] = r[1:]
-    room, least = CLASSES, None
-    for kind in sorted((k for k in of_counts if k > GOOD_TURING + 1), reverse=True):
-        room -= of_counts[kind]
-        if room < 0:
-            break
-        least = kind
-    frequent = [] if least is None else _over_shards(table, lambda k, n: (k[_size_class(n) >= least].astype(np.int64), n[_size_class(n) >= least]), "key long, n long").collect()
-    frequent = sorted((r[0], r[1]) for r in frequent)
-    return katz(p, factor, *by), np.array([k for k, _ in frequent], np.uint32), np.array([n for _, n in frequent], np.int64)
+            for block, raw in zip(b.column("block").to_pylist(), b.column("docs").to_pylist(), strict=True):
+                part = _unpack(raw)
+                key, n, asked = Grams(part.column("text")).sent(part.column("train").to_numpy(zero_copy_only=False))
+                code = (n << 1 | asked).astype(np.uint64)
+                yield _batch([(s, block, squeeze_sorted(key[at]), squeeze(code[at])) for s, at in _by_shard(key, shards)], SENT)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, "shard"):
+            keys = [expand_sorted(k) for k in t.column("keys").to_pylist()]
+            code = np.concatenate([expand(c, np.uint64) for c in t.column("counts").to_pylist()]).astype(np.int64)
+            key, edges = np.concatenate(keys), np.cumsum([0, *map(len, keys)])
+            order = np.argsort(key, kind="stable")
+            key, code = key[order], code[order]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+            total, asked = np.add.reduceat(code >> 1, start), np.bitwise_or.reduceat(code & 1, start)
+            counted = np.flatnonzero(code > 1)
+            owner = np.zeros(len(key), np.int64)
+            owner[counted[np.flatnonzero(np.diff(group[counted], prepend=-1))]] = 1
+            out = np.empty(len(key), np.uint64)
+            out[order] = (total << 2 | asked << 1)[group] | owner
+            kinds = (key[start] & np.uint64(3)).astype(np.int64)
+            stats = []
+            for k in range(1, ORDERS + 1):
+                n = total[(kinds == k) & (total > 0)]
+                stats += [*np.bincount(np.minimum(n, GOOD_TURING + 2), minlength=GOOD_TURING + 3)[1 : GOOD_TURING + 2].tolist(), len(n), int(n.sum())]
+            shard = t.column("shard")[0].as_py()
+            rows = [(block, shard, squeeze(out[a:b]), None) for block, a, b in zip(t.column("block").to_pylist(), edges[:-1], edges[1:], strict=True)]
+            yield _batch([*rows, (None, shard, None, stats)], COUNTS)
+
+    return written(_dealt(texts.mapInArrow(send, SENT), "shard", "block").mapInArrow(add_up, COUNTS), "ngram-counts")
+
+
+def _dealt(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows of one `key` lie together, in order."""
+    return df.repartition(shuffle_partitions(df.sparkSession), key).sortWithinPartitions(key, *order)
+
+
+def model_of(counts: DataFrame) -> Model:
+    rows = counts.where("block is null").select(F.posexplode("stats").alias("place", "n")).groupBy("place").agg(F.sum("n")).collect()
+    stats = np.zeros(ORDERS * (GOOD_TURING + 3), np.int64)
+    for place, n in rows:  # at most so many
+        stats[place] = n
+    return Model(stats.reshape(ORDERS, -1))
 
 
 # --- scoring -------------------------------------------------------------------------------------
 
-REQUEST = "shard int, kind int, block long, keys binary, counts binary, meta binary"
-#: Kinds of rows that meet at a shard: counts of pairs, of words; requests for pairs, for words; a block's texts.
-PAIRS, WORDS, ASK_PAIRS, ASK_WORDS, TEXTS = range(5)
-ANSWER = "block long, kind int, sums binary"
-
-
-def _request_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    names = [c.split()[0] for c in REQUEST.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-
-def requests(docs: DataFrame, v: Vocabulary, model: Katz, often: tuple[np.ndarray, np.ndarray], shards: int) -> DataFrame:
-    """What each text needs from the shards, in blocks; what the frequent pairs and words give is summed at once."""
-    end_class = int(v.classify(np.array([END]))[0][0])
-
-    def of_block(part: pa.RecordBatch) -> pa.RecordBatch:
-        token, n = tokens(part.column("text"))
-        row = np.repeat(np.arange(len(n)), n)
-        kind, count = v.classify(token)
-        block = part.column("_row")[0].as_py()
-        known = count >= 0
-        sums = np.zeros((3, len(n)))  # score, base, known tokens
-        sums[1] = np.bincount(row[known], weights=np.log10(count[known] + 1.0), minlength=len(n))
-        sums[2] = np.bincount(row[known], minlength=len(n))
-        key = pairs(kind, end_class)
-        found = look_up(*often, key)
-        at = found > 0
-        sums[0] = np.bincount(row[at], weights=model.log_pair(key[at] >> np.uint32(16), key[at] & np.uint32(0xFFFF), found[at]), minlength=len(n))
-        meta = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(n.astype(np.int64)), *(pa.array(s) for s in sums)], ["doc_id", "held_out", "n_tokens", "score", "base", "n_known"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, meta.schema) as stream:
-            stream.write_batch(meta)
-        rows = [(block % shards, TEXTS, block, None, None, sink.getvalue().to_pybytes())]
-        for what, place, keys in ((ASK_PAIRS, np.flatnonzero(~at), key), (ASK_WORDS, np.flatnonzero(~known), token)):
-            wanted, owner = keys[place], row[place]
-            for s, i in _by_shard(shard_of(wanted, shards), shards):
-                rows.append((s, what, block, squeeze(wanted[i]), squeeze(np.bincount(owner[i], minlength=len(n)).astype(np.uint32)), None))
-        return _request_batch(rows)
+#: Kinds of rows on their way to a shard: a part of histories' masses (keys, a: lost, b: covered), a block's questions
+#: (keys, a: rows of the block, b: how often), and a block's scores so far (a).
+PART, ASK, SCORES = range(3)
+MASSES = "shard long, kind int, block long, keys binary, a binary, b binary"
+ANSWERS = "block long, kind int, a binary, b binary"
+
+
+def weigh(masses: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of histories, and log10 of alpha times the history's count."""
+    key = np.concatenate([np.zeros(0, np.uint64), *(m[0] for m in masses)])
+    key, which = np.unique(key, return_inverse=True)
+    lost, covered = (np.bincount(which, weights=np.concatenate([np.zeros(0), *(m[i] for m in masses)]), minlength=len(key)) for i in (1, 2))
+    return key, np.log10(lost) - np.log10(1 - covered)
+
+
+def evaluate(grams: Grams, train: np.ndarray, code: np.ndarray, key: np.ndarray, model: Model):
+    """(score so far, base, known tokens) by row; (history, lost, covered) of what the block owns; (history, row, how often) of questions.
+    Histories are places in `key`."""
+    total, asked, owner = (code >> np.uint64(2)).astype(np.int64), (code & np.uint64(2)) > 0, (code & np.uint64(1)) > 0
+    word, pair = np.searchsorted(key, grams.words), np.searchsorted(key, grams.pairs)
+    later = np.flatnonzero(~grams.first)
+    triple = np.zeros(len(word), np.int64)
+    triple[later] = np.searchsorted(key, grams.triples[later])
+    end = int(np.searchsorted(key, grams.end)[0])
+    of_pair = np.where(grams.first, end, np.roll(word, 1))
+    of_triple = np.roll(pair, 1)
+
+    c1, c2, c3 = total[word], total[pair], np.where(grams.first, 0, total[triple])
+    h1, h2 = total[of_pair], np.where(grams.first, 0, total[of_triple])
+    p1 = model.word(c1)
+    p2 = model.seen(2, c2, h1)
+    by_three, by_two = c3 > 0, (c3 == 0) & (c2 > 0)
+    off_two, off_one = (c3 == 0) & (h2 > 0), (c3 == 0) & (c2 == 0) & (h1 > 0)
+    log = np.log10(np.where(by_three, model.seen(3, np.maximum(c3, 1), h2), np.where(by_two, p2, p1)))
+    log -= np.where(off_two, np.log10(np.maximum(h2, 1)), 0) + np.where(off_one, np.log10(np.maximum(h1, 1)), 0)
+    rows = len(grams.n)
+    known = c1 > 0
+    scores = [np.bincount(grams.row, weights=x, minlength=rows) for x in (log, np.log10(c1 + 1.0), known)]
+
+    place = np.full(len(key), -1)
+    train_at = np.flatnonzero(train[grams.row])[::-1]
+    place[pair[train_at]] = train_at
+    place[triple[train_at[~grams.first[train_at]]]] = train_at[~grams.first[train_at]]
+    kind = (key & np.uint64(3)).astype(np.int64)
+    history, lost, covered = [], [], []
+    for k, before, count, lower in ((2, of_pair, c2, p1), (3, of_triple, c3, p2)):
+        at = place[np.flatnonzero(owner & (kind == k))]
+        at = at[asked[before[at]]]
+        history.append(before[at])
+        lost.append(loss(model.factor[k - 1], count[at]))
+        covered.append(lower[at])
+    own, which = np.unique(np.concatenate(history), return_inverse=True)
+    masses = own, *(np.bincount(which, weights=np.concatenate(x), minlength=len(own)) for x in (lost, covered))
+
+    questions = np.concatenate([of_pair[off_one], of_triple[off_two]]) * rows + np.concatenate([grams.row[off_one], grams.row[off_two]])
+    questions, often = np.unique(questions, return_counts=True)
+    return scores, masses, (questions // max(1, rows), questions % max(1, rows), often)
+
+
+def score_blocks(texts: DataFrame, counts: DataFrame, model: Model, shards: int) -> DataFrame:
+    """MASSES: the blocks' scores of what was seen, and what they add to and ask of histories' weights."""
+    both = texts.select("block", F.lit(-1).cast("long").alias("shard"), "docs").unionByName(counts.where("block is not null").select("block", "shard", F.col("totals").alias("docs")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
-            yield of_block(part)
-
-    base = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("_row"))
-    return base.mapInArrow(run, REQUEST)
-
+        for t in runs_of(batches, "block"):
+            block, raw = t.column("block")[0].as_py(), t.column("docs").to_pylist()
+            part, code = _unpack(raw[0]), np.concatenate([np.zeros(0, np.uint64), *(expand(c, np.uint64) for c in raw[1:])])
+            train = part.column("train").to_numpy(zero_copy_only=False)
+            grams = Grams(part.column("text"))
+            key, _, _ = grams.sent(train)
+            (score, base, known), (own, lost, covered), (of, row, often) = evaluate(grams, train, code, key, model)
+            base -= grams.n * np.log10(model.tokens + model.types + 1.0)
+            columns = {"held_out": ~train, "n_tokens": grams.n, "n_known": known.astype(np.int64), "base_score": base, "score": score}
+            result = pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns.values())], ["doc_id", *columns])
+            rows = [(block % shards, SCORES, block, None, _pack(result), None)]
+            rows += [(s, PART, block, squeeze_sorted(key[own[at]]), squeeze(lost[at]), squeeze(covered[at])) for s, at in _by_shard(key[own], shards)]
+            rows += [(s, ASK, block, squeeze_sorted(key[of[at]]), squeeze(row[at].astype(np.uint32)), squeeze(often[at].astype(np.uint32))) for s, at in _by_shard(key[of], shards)]
+            yield _batch(rows, MASSES)
+
+    return _dealt(both, "block", "shard").mapInArrow(run, MASSES)
+
+
+def back_off(masses: DataFrame) -> DataFrame:
+    """ANSWERS: for each block's questions to a shard the sums by row (a: rows, b: sums), and the blocks' scores."""
 
-def answers(asked: DataFrame, table: DataFrame, words: DataFrame, v: Vocabulary, model: Katz, shards: int) -> DataFrame:
-    """Requests meet the counts at their shard; sums by text go back to the block."""
-    p_others = float(model.p[OTHERS])
-
-    def pack_words(group: pa.Table) -> pa.Table:
-        key, n = merged([group.column("word").to_numpy().view(np.uint64)], [group.column("n").to_numpy()])
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "keys": pa.array([squeeze_sorted(key)], pa.binary()), "counts": pa.array([squeeze(n.astype(np.uint64))], pa.binary())})
-
-    def with_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            word = b.column("word").to_numpy().view(np.uint64)
-            rare = v.classify(word)[1] < 0
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(word[rare], shards)), pa.array(word[rare].view(np.int64)), pa.array(b.column("n").to_numpy()[rare])], ["shard", "word", "n"])
-
-    schema = "shard int, keys binary, counts binary"
-    rare = words.select("word", "n").mapInArrow(with_shard, "shard int, word long, n long").groupBy("shard").applyInArrow(pack_words, schema)
-    nothing = {"block": F.lit(None).cast("long"), "meta": F.lit(None).cast("binary")}
-    columns = [c.split()[0] for c in REQUEST.split(", ")]
-    both = [t.withColumns(nothing | {"kind": F.lit(k)}).select(columns) for t, k in ((table, PAIRS), (rare, WORDS))]
-
-    def meet(group: pa.Table) -> pa.Table:
-        kind, block = group.column("kind").to_pylist(), group.column("block").to_pylist()
-        keys, counts, meta = (group.column(c) for c in ("keys", "counts", "meta"))
-        held = {PAIRS: (np.zeros(0, np.uint32), np.zeros(0, np.int64)), WORDS: (np.zeros(0, np.uint64), np.zeros(0, np.int64))}
-        for i, k in enumerate(kind):
-            if k in held:
-                held[k] = expand_sorted(keys[i].as_py(), np.uint32 if k == PAIRS else np.uint64), expand(counts[i].as_py(), np.uint64).astype(np.int64)
-        out = []
-        for i, k in enumerate(kind):
-            if k == TEXTS:
-                out.append((block[i], TEXTS, meta[i].as_py()))
-            elif k in (ASK_PAIRS, ASK_WORDS):
-                n = expand(counts[i].as_py(), np.uint32)
-                row = np.repeat(np.arange(len(n)), n)
-                some = np.flatnonzero(n)
-                wanted = expand(keys[i].as_py(), np.uint32 if k == ASK_PAIRS else np.uint64)
-                found = look_up(*held[PAIRS if k == ASK_PAIRS else WORDS], wanted)
-                if k == ASK_PAIRS:
-                    values = [model.log_pair(wanted >> np.uint32(16), wanted & np.uint32(0xFFFF), found)]
-                else:
-                    values = [np.log10(v.probability(found) / p_others), np.log10(found + 1.0), (found > 0).astype(float)]
-                sums = np.stack([np.bincount(row, weights=x, minlength=len(n))[some] for x in values])
-                raw = np.uint32(len(some)).tobytes() + some.astype("<u4").tobytes() + sums.tobytes()
-                out.append((block[i], k, zstandard.ZstdCompressor(level=1).compress(raw)))
-        names, types = [c.split()[0] for c in ANSWER.split(", ")], (pa.int64(), pa.int32(), pa.binary())
-        return pa.table(dict(zip(names, [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, types, strict=True)], strict=True)))
-
-    return asked.unionByName(both[0]).unionByName(both[1]).groupBy("shard").applyInArrow(meet, ANSWER)
-
-
-def score(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, "shard"):
+            kind, block = t.column("kind").to_pylist(), t.column("block").to_pylist()
+            keys, a, b = (t.column(c) for c in ("keys", "a", "b"))
+            at = [i for i, k in enumerate(kind) if k == PART]
+            known, weight = weigh([(expand_sorted(keys[i].as_py()), expand(a[i].as_py(), float), expand(b[i].as_py(), float)) for i in at])
+            out = []
+            for i, k in enumerate(kind):
+                if k == SCORES:
+                    out.append((block[i], SCORES, a[i].as_py(), None))
+                elif k == ASK:
+                    rows, which = np.unique(expand(a[i].as_py(), np.uint32), return_inverse=True)
+                    each = expand(b[i].as_py(), np.uint32) * weight[np.searchsorted(known, expand_sorted(keys[i].as_py()))]
+                    out.append((block[i], ASK, squeeze(rows), squeeze(np.bincount(which, weights=each))))
+            yield _batch(out, ANSWERS)
+
+    return _dealt(masses, "shard", "kind", "block").mapInArrow(run, ANSWERS)
+
+
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of `docs`.
 
     Null or empty text: the end token alone. Null doc_id: a training row. Repeated rows: each counts and is
-    scored. Texts of any length are taken whole. Empty table: no rows; if no row trains, every word is the
-    unseen one. Words and pairs are told apart by 64-bit hashes. Other columns are not looked at."""
-    spark = bounded_batches(docs).sparkSession
-    shards = max(8, shuffle_partitions(spark))
-    training = docs.where(~held_out(F.col("doc_id")))
-    words = written(word_counts(training), "word-counts")
-    v = vocabulary(words)
-    table = written(pair_counts(training, v, shards), "pair-counts")
-    model, *often = histories(table, v)
+    scored. Texts of any length are taken whole; one longer than a block is a block of its own. Empty table: no rows; if
+    no row trains, every word is the unseen one. Other columns are not looked at."""
     kind = dict(docs.dtypes)["doc_id"]
-    whole = float(np.log10(v.tokens + v.types + 1.0))
-
-    def gather(group: pa.Table) -> pa.Table:
-        sums = out = None
-        kinds, raws = group.column("kind").to_pylist(), group.column("sums")
-        at = kinds.index(TEXTS)
-        out = pa.ipc.open_stream(raws[at].as_py()).read_all()
-        sums = np.stack([out.column(c).to_numpy() for c in ("score", "base", "n_known")])
-        for i, k in enumerate(kinds):
-            if k == TEXTS:
-                continue
-            raw = zstandard.ZstdDecompressor().decompress(raws[i].as_py())
-            n = int(np.frombuffer(raw, "<u4", 1)[0])
-            some = np.frombuffer(raw, "<u4", n, 4)
-            values = np.frombuffer(raw, float, offset=4 + 4 * n).reshape(-1, n)
-            sums[: len(values), some] += values
-        n_tokens = out.column("n_tokens").to_numpy()
-        return pa.table({"doc_id": out.column("doc_id"), "held_out": out.column("held_out"), "n_tokens": n_tokens, "n_known": np.rint(sums[2]).astype(np.int64), "train_tokens": np.full(len(n_tokens), v.tokens), "base_score": sums[1] - n_tokens * whole, "score": sums[0]})
-
-    asked = requests(docs, v, model, tuple(often), shards)
-    found = answers(asked, table, words, v, model, shards)
-    return found.groupBy("block").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    base = bounded_batches(docs).select("doc_id", (~held_out(F.col("doc_id"))).alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(8, -(-size // shard_bytes))
+    texts = blocks(base, block_bytes)
+    counts = count_ngrams(texts, shards)
+    model = model_of(counts)
+    answers = back_off(score_blocks(texts, counts, model, shards))
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, "block"):
+            kinds, a, b = t.column("kind").to_pylist(), t.column("a"), t.column("b")
+            out = _unpack(a[kinds.index(SCORES)].as_py())
+            total = out.column("score").to_numpy().copy()
+            for i in (i for i, k in enumerate(kinds) if k == ASK):
+                total[expand(a[i].as_py(), np.uint32)] += expand(b[i].as_py(), float)
+            columns = [*(out.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(total), model.tokens)), out.column("base_score"), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return _dealt(answers, "block", "kind").mapInArrow(gather, schema)
