@@ -9,9 +9,9 @@ What makes toxic text toxic is a small part of it. So the toxic dictionary is tr
 documents that recur over many of them and hardly occur in ordinary ones; the rest of their text is like
 anybody's. Letters are written in two bytes, so that a match of few letters still saves something.
 
-Labels are learned from a bounded, fixed sample: PER_LABEL labelled documents of each kind outside the held-out
-fold, those with the smallest hash of doc_id; of these, texts over SAMPLE_CHARS characters are left out whole. All
-documents are scored whole.
+Labels are learned from a bounded, fixed sample of rows: PER_LABEL labelled documents of each kind outside the held-out
+fold, those with the smallest hash of doc_id, whatever their length. Dictionaries are trained on a bounded number of
+windows. All documents are scored whole, every window of theirs by both dictionaries.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Documents of a label to learn from, and how long a text to learn from may be.
+#: Documents of a label to learn from; windows of ordinary text to train on; how often a recurring toxic window is put before the trainer at most.
 PER_LABEL = 1500
-SAMPLE_CHARS = 20_000
+ORDINARY_WINDOWS = 200_000
+REPEATS = 40
 #: The fold held out: crc32 of doc_id as text, modulo 4. Predicted toxic from this score on. Fixed by the contract.
 FOLD = 2
 PREDICT = 0.3
@@ -44,9 +45,7 @@ LEVEL = 19
 SHARE, LEAST, CONTRAST = 0.006, 3, 10.0
 FRAME = "~#window#~ "
 REMEMBERED = 400_000
-#: A window that has no run of so many characters in common with the toxic dictionary has nothing to save, and isn't compressed.
-COMMON_RUN = 4
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\w+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -54,7 +53,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def windows_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
+    """Runs of letters and digits, lower-cased."""
     return _WORD.findall((text or "").lower())
 
 
@@ -84,7 +83,9 @@ class Model:
     def compressor(self, content: bytes) -> zstandard.ZstdCompressor:
         """Content is used as it is, so that nothing but matches makes a difference."""
         parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=64, dict_size=len(content), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
-        return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content + FRAME.encode("utf-16-le"), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
+        dictionary = zstandard.ZstdCompressionDict(content + FRAME.encode("utf-16-le"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        dictionary.precompute_compress(compression_params=parameters)
+        return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
 
 
 class Scorer:
@@ -93,19 +94,14 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.memo = model, {}
         self.toxic, self.ordinary = model.compressor(model.toxic), model.compressor(model.ordinary)
-        known = model.toxic.decode("utf-16-le", "replace"), model.toxic[1:].decode("utf-16-le", "replace")  # a dictionary's header may have an odd length
-        self.runs = {k[i : i + COMMON_RUN] for k in known for i in range(len(k) - COMMON_RUN + 1)}
 
     def saving(self, window: str) -> int:
         found = self.memo.get(window)
         if found is None:
             if len(self.memo) >= REMEMBERED:
                 self.memo.clear()
-            around = f" {window} "
-            found = 0
-            if any(around[i : i + COMMON_RUN] in self.runs for i in range(len(around) - COMMON_RUN + 1)):
-                raw = framed(window)
-                found = len(self.ordinary.compress(raw)) - len(self.toxic.compress(raw))
+            raw = framed(window)
+            found = len(self.ordinary.compress(raw)) - len(self.toxic.compress(raw))
             if len(window) < 64:
                 self.memo[window] = found
         return found
@@ -153,11 +149,11 @@ def train(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
     in_bad, in_good = (Counter(w for text in texts for w in set(text)) for texts in (bad, good))
     chosen = [w for w, n in in_bad.items() if len(w) >= 3 and n >= max(LEAST, SHARE * len(bad)) and n / max(1, len(bad)) >= CONTRAST * (in_good[w] + 0.5) / max(1, len(good))]
     rng = random.Random(0)
-    bad_samples = [f" {w} ".encode("utf-16-le") for w in sorted(chosen) for _ in range(min(in_bad[w], 40))]
+    bad_samples = [f" {w} ".encode("utf-16-le") for w in sorted(chosen) for _ in range(min(in_bad[w], REPEATS))]
     good_samples = [f" {' '.join(text[i : i + 4])} ".encode("utf-16-le") for text in good for i in range(0, len(text), 4)]
     rng.shuffle(bad_samples)
     rng.shuffle(good_samples)
-    model = Model(dictionary(bad_samples, TOXIC_BYTES), dictionary(good_samples[:200_000], ORDINARY_BYTES), np.zeros(0))
+    model = Model(dictionary(bad_samples, TOXIC_BYTES), dictionary(good_samples[:ORDINARY_WINDOWS], ORDINARY_BYTES), np.zeros(0))
     scorer = Scorer(model)
     texts = [windows_of(t) for t in toxic] + [windows_of(t) for t in ordinary]
     x = np.array([scorer.evidence(t) for t in texts]).reshape(len(texts), 2 * len(THRESHOLDS) + 1)
@@ -172,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     n = dict(known.groupBy("toxic").count().collect())
     parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for t in (0, 1)]
-    # At most 2 x per_label ids go out, and as many bounded texts come back.
-    chosen = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    # At most 2 x per_label ids go out, and as many texts come back.
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
     rows = sorted((r["toxic"], r["text"]) for r in chosen.select("toxic", "text").distinct().collect())
     return train([t for y, t in rows if y == 1], [t for y, t in rows if y == 0], n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0)))
 
@@ -181,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
 def judge(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted for each row of `docs` (doc_id, text).
 
-    Null, empty or letterless text: no window, so the score of a text without evidence. Null doc_id: not held
+    Null, empty or wordless text: no window, so the score of a text without evidence. Null doc_id: not held
     out. Repeated rows: scored alike. Texts of any length are scored whole. Empty table: no rows. Nothing but
     the text enters the score; other columns are not looked at."""
     model = fit(bounded_batches(docs), labels, per_label)
