@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, written
 from .url_filters import host_and_path
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A tag: quotes count after an equals sign only, and one that never closes is a character like others. No part backtracks.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))*+)>""")
+_CLASS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_LONG_REFERENCE = re.compile("&#(?:[0-9]{1000,}+|[xX][0-9a-fA-F]{1000,}+);?")
 #: Fixed lists of HTML: elements without content, elements whose content is no markup, elements that break lines.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template xmp iframe".split())
@@ -43,100 +45,175 @@ def step(tag: str, attributes: str) -> tuple[str, bool]:
     return f"{tag}.{classes}" if classes else tag, tag not in NOT_MAIN and not (names and NOT_MAIN_WORD.search(names))
 
 
-def runs(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str, bool]]:
-    """(path, main, in a link, text, block ends before) for each run of text, in page order.
-
-    Unclosed and stray tags are put right as browsers do for paragraphs, items and cells."""
-    stack: list[tuple[str, str, bool, int]] = []  # tag, part of the path, may be main, links around
-    path: tuple[str, ...] = ()
-    at, n, breaks = 0, len(page), True
-    while at <= n:
-        m = _MARKUP.search(page, at)
-        end = m.start() if m else n
-        if end > at:
-            yield path, stack[-1][2] if stack else True, bool(stack and stack[-1][3]), html.unescape(page[at:end]), breaks
-            breaks = False
-        if not m:
-            return
-        at = m.end()
-        closing, tag, attributes = m[1], (m[2] or "").lower(), m[3] or ""
-        if not tag:
-            continue
-        breaks = breaks or tag in BLOCK
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in APART and tag not in APART:
-                    break
-        elif tag in RAW:
-            close = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-            at = close.end() if close else n + 1
-            continue
-        elif tag not in VOID and not attributes.endswith("/"):
-            ended = ENDS_ITSELF.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            if ended:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ended:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in APART:
-                        break
-            part, main = step(tag, attributes)
-            around = stack[-1] if stack else ("", "", True, 0)
-            stack.append((tag, part, main and around[2], around[3] + (tag == "a")))
-        else:
-            continue
-        path = tuple(s[1] for s in stack)
-
-
-def container(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The innermost element of a path that keeps text apart."""
-    for i in range(len(path), 0, -1):
-        if path[i - 1].split(".")[0] in APART:
-            return path[:i]
-    return ()
-
-
-def scored(page: str) -> dict[str, float]:
-    """Containers' scores: characters of main text outside links, all of it for the container that holds it
-    and a half for the one around; text in links counts against them."""
-    out: dict[str, float] = defaultdict(float)
-    for path, main, link, text, _ in runs(page):
-        size = len(text.strip())
-        if main and size:
-            own = container(path)
-            worth = -size if link else size
-            out[">".join(own)] += worth
-            if own:
-                out[">".join(container(own[:-1]))] += worth / 2
-    return out
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers too long for any character become the replacement character."""
+    return html.unescape(_LONG_REFERENCE.sub("\ufffd", text) if "&#" in text else text) if "&" in text else text
+
+
+class Layout:
+    """Runs of text of a page in page order, and the paths they lie at, as a tree: each node is an element's part of
+    a path below its parent's, so that depth costs nothing. Node 0 is the page itself.
+
+    Unclosed and stray tags are put right as browsers do for paragraphs, items and cells. A tag that never ends is
+    text, and so is all after it. The time is proportional to the page's length."""
+
+    def __init__(self, page: str):
+        self.parent, self.part, self.depth, self.length = [0], [""], [0], [0]
+        self.main, self.own, self.around = [True], [0], [0]  # own: the innermost element that keeps text apart; around: the one outside that
+        self.children: dict[tuple[int, str], int] = {}
+        self.runs: list[tuple[int, bool, bool, str, bool]] = []  # node, main, in a link, text, block ends before
+        self._read(page)
+
+    def _child(self, node: int, part: str) -> int:
+        found = self.children.get((node, part))
+        if found is None:
+            found = self.children[node, part] = len(self.parent)
+            self.parent.append(node)
+            self.part.append(part)
+            self.depth.append(self.depth[node] + 1)
+            self.length.append(self.length[node] + len(part) + (node > 0))
+            apart = part.split(".")[0] in APART
+            self.own.append(found if apart else self.own[node])
+            self.around.append(self.own[node] if apart else self.around[node])
+        return found
+
+    def path(self, node: int) -> str:
+        parts = []
+        while node:
+            parts.append(self.part[node])
+            node = self.parent[node]
+        return ">".join(reversed(parts))
+
+    def _read(self, page: str) -> None:
+        stack: list[tuple[str, int, bool, int]] = []  # tag, node, may be main, links around
+        places: dict[str, list[int]] = defaultdict(list)  # of each tag in the stack
+        apart: list[int] = []  # places of elements that keep text apart
+        at, n, breaks = 0, len(page), True
+
+        def close(place: int) -> None:
+            while len(stack) > place:
+                tag = stack.pop()[0]
+                places[tag].pop()
+                if tag in APART:
+                    apart.pop()
+
+        def text(first: int, last: int) -> bool:
+            if last > first:
+                top = stack[-1] if stack else ("", 0, True, 0)
+                self.runs.append((top[1], top[2], top[3] > 0, unescaped(page[first:last]), breaks))
+            return breaks and last <= first
+
+        begin = 0  # of the text not yet given out
+        while True:
+            at = page.find("<", at)
+            follows = page[at + 1 : at + 2] if at >= 0 else ""
+            if at < 0:
+                text(begin, n)
+                return
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                breaks, begin = text(begin, at), end + 3 if end >= 0 else n
+                at = begin
+                continue
+            if follows and follows in "!?":
+                end = page.find(">", at)
+                if end < 0:
+                    text(begin, n)
+                    return
+                breaks, begin = text(begin, at), end + 1
+                at = begin
+                continue
+            if not (follows == "/" or follows.isascii() and follows.isalpha()):
+                at += 1
+                continue
+            m = _TAG.match(page, at)
+            if not m:
+                if follows == "/" and not (page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha()):
+                    at += 1
+                    continue
+                text(begin, n)
+                return
+            breaks, begin = text(begin, at), m.end()
+            at = begin
+            closing, tag, attributes = m[1], m[2].lower(), m[3]
+            breaks = breaks or tag in BLOCK
+            last_apart = apart[-1] if apart else -1
+            if closing:
+                if places[tag] and (tag in APART or places[tag][-1] > last_apart):
+                    close(places[tag][-1])
+            elif tag in RAW:
+                end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*+>", re.I).search(page, at)
+                if not end:
+                    return
+                at = begin = end.end()
+            elif tag not in VOID and not ends_itself(attributes):
+                place = max((places[t][-1] for t in (*ENDS_ITSELF.get(tag, ()), *(("p",) if tag in CLOSES_P else ())) if places[t]), default=-1)
+                if place > last_apart:
+                    close(place)
+                part, main = step(tag, attributes)
+                around = stack[-1] if stack else ("", 0, True, 0)
+                places[tag].append(len(stack))
+                if tag in APART:
+                    apart.append(len(stack))
+                stack.append((tag, self._child(around[1], part), main and around[2], around[3] + (tag == "a")))
+
+    def scored(self) -> dict[int, float]:
+        """Containers' scores: characters of main text outside links, all of it for the container that holds it
+        and a half for the one around; text in links counts against them."""
+        out: dict[int, float] = defaultdict(float)
+        for node, main, link, text, _ in self.runs:
+            size = len(text.strip())
+            if main and size:
+                worth = -size if link else size
+                own = self.own[node]
+                out[own] += worth
+                if own:
+                    out[self.around[node]] += worth / 2
+        return out
+
+    def best(self) -> tuple[str, float]:
+        """The best container's path and score; of equals the shorter path, then the last by name."""
+        found = self.scored()
+        if not found:
+            return "", 0.0
+        most = max(found.values())
+        equal = [node for node, score in found.items() if score == most]
+        shortest = min(self.length[node] for node in equal)
+        return max(self.path(node) for node in equal if self.length[node] == shortest), most
+
+    def text_inside(self, path: str) -> str:
+        """Main text inside elements of the path, blocks joined by one space."""
+        steps = path.split(">") if path else []
+        inside = [0 if steps else -1]  # steps matched so far; -1: all of them, -2: another path
+        for node in range(1, len(self.parent)):
+            k = inside[self.parent[node]]
+            if k >= 0:
+                k = (k + 1 if k + 1 < len(steps) else -1) if self.part[node] == steps[k] else -2
+            inside.append(k)
+        parts = [" " + text if breaks else text for node, main, _, text, breaks in self.runs if main and inside[node] == -1]
+        return " ".join("".join(parts).split())
+
+
+def ends_itself(attributes: str) -> bool:
+    """`/` before the end of the tag, but not as the end of an unquoted value."""
+    if not attributes.endswith("/"):
+        return False
+    last = attributes.rsplit(None, 1)[-1]
+    return "=" not in last or last[-2:-1] in ("'", '"')
 
 
 def best(page: str) -> tuple[str, float]:
-    """The best container's path and score; of equals the shorter path, then the first by name."""
-    found = scored(page)
-    return max(found.items(), key=lambda x: (x[1], -len(x[0]), x[0])) if found else ("", 0.0)
+    return Layout(page).best()
 
 
 def main_text(page: str, chosen: str | None) -> str:
     """Main text inside elements of the path `chosen`; by the page's own best container if there is none."""
-    steps = tuple(chosen.split(">")) if chosen else ()
-
-    def collect(steps: tuple[str, ...]) -> tuple[bool, str]:
-        parts, inside = [], False
-        for path, main, _, text, breaks in runs(page):
-            if path[: len(steps)] == steps and main:
-                inside = True
-                parts.append(" " + text if breaks else text)
-        return inside, " ".join("".join(parts).split())
-
-    inside, text = collect(steps)
-    if not text and steps:
-        own, _ = best(page)
+    layout = Layout(page)
+    text = layout.text_inside(chosen or "")
+    if not text and chosen:
+        own, _ = layout.best()
         if own != chosen:
-            inside, text = collect(tuple(own.split(">")) if own else ())
+            text = layout.text_inside(own)
     return text
 
 
@@ -156,7 +233,8 @@ def votes(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of `pages` (page_id, url, html).
 
-    Null or empty html: empty text. Null url, or one without a host: pages of the empty host. Repeated rows:
+    The pages meet their hosts' paths in one join; a host with very many pages is split by adaptive execution, as the paths
+    are one row a host. Null or empty html: empty text. Null url, or one without a host: pages of the empty host. Repeated rows:
     extracted alike (and each votes). Very long pages are taken whole. Empty table: no rows. Other columns
     are not looked at."""
     chosen = written(votes(bounded_batches(pages)), "host-paths")
