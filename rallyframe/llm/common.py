@@ -119,14 +119,15 @@ def slices(batches, column: str, limit: int = 1 << 19):
 
 
 def collected(batches, column: str, limit: int):
-    """Record batches put together until `column` holds `limit` bytes."""
-    held, size = [], 0
+    """Record batches put together as long as `column` holds at most `limit` bytes; each has at most `limit` rows."""
+    held, size, rows = [], 0, 0
     for part in slices(batches, column, limit):
-        held.append(part)
-        size += pc.sum(pc.fill_null(pc.binary_length(part.column(column)), 0)).as_py() or 0
-        if size >= limit or sum(p.num_rows for p in held) >= limit:
+        more = pc.sum(pc.fill_null(pc.binary_length(part.column(column)), 0)).as_py() or 0
+        if held and (size + more > limit or rows + part.num_rows > limit):
             yield pa.concat_batches(held)
-            held, size = [], 0
+            held, size, rows = [], 0, 0
+        held.append(part)
+        size, rows = size + more, rows + part.num_rows
     if held:
         yield pa.concat_batches(held)
 

@@ -14,7 +14,8 @@ from h's continuations over 1 - (their probabilities after the shorter history),
 over GOOD_TURING lose as much as a count of GOOD_TURING does (Katz takes nothing from them), so that every history has
 mass to give.
 
-There is no vocabulary: words, pairs and triples are known by 62-bit hashes, all alike. The work goes in blocks of
+There is no vocabulary: words, pairs and triples are known by hashes, all alike, of so many bits for the input's size
+that one n-gram in 2 ** SPARE_BITS shares its hash with another (62 bits at most). The work goes in blocks of
 texts and in shards of hashes, both of bounded size, whose number follows the size of the input:
 
 1. Each block sends its distinct n-grams with their counts to the shards of their hashes. A shard adds up and writes
@@ -31,6 +32,7 @@ sees the counts of counts alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,8 @@ GOOD_TURING = 5
 #: The fold held out: crc32 of doc_id as text, modulo 7. Fixed by the contract.
 FOLDS, FOLD = 7, 2
 #: Bytes of text in a block, and for a shard. With both larger, fewer and larger pieces go between them.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
+SPARE_BITS = 24
 END = constants(1, 9)[0]
 _MIX = constants(8, 11)
 
@@ -79,16 +82,28 @@ def expand_sorted(raw: bytes | None, kind: type = np.uint64) -> np.ndarray:
     return np.cumsum(expand(raw, kind), dtype=kind)
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Ranges of hashes, so that sorted keys are sorted by shard."""
-    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+@dataclass(frozen=True)
+class Sizes:
+    """Bits of a hash, and how many shards there are."""
 
+    bits: int
+    shards: int
 
-def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
-    """Where the keys of each shard lie among sorted keys."""
-    edges = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(edges)):
-        yield int(s), slice(int(edges[s]), int(edges[s + 1]))
+    @staticmethod
+    def of(size: int, shard_bytes: int) -> Sizes:
+        """For so many bytes of text, which have fewer n-grams."""
+        return Sizes(min(62, max(size, 1 << 10).bit_length() + SPARE_BITS), max(8, -(-size // shard_bytes)))
+
+    def key(self, h: np.ndarray, order: int) -> np.ndarray:
+        """The hash's highest bits, then two of the order."""
+        return h >> np.uint64(64 - self.bits) << np.uint64(2) | np.uint64(order)
+
+    def by_shard(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Where the keys of each shard lie among sorted keys: a shard has a range of hashes."""
+        shard = ((keys >> np.uint64(self.bits + 2 - 32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
+        edges = np.searchsorted(shard, np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(edges)):
+            yield int(s), slice(int(edges[s]), int(edges[s + 1]))
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -143,20 +158,27 @@ class Model:
 # --- n-grams of a block --------------------------------------------------------------------------
 
 
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and how often each is there."""
+    a = np.sort(a)
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    return a[start], np.diff(np.append(start, len(a)))
+
+
 class Grams:
-    """All n-grams of a block's texts. The two lowest bits of a key are its order."""
+    """All n-grams of a block's texts."""
 
-    def __init__(self, texts: pa.Array):
-        words, sizes = [], []
+    def __init__(self, texts: pa.Array, sizes: Sizes):
+        tokens, lengths = [], []
         for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text"):
             w = Words(*raw_text(part.column("text")))
             n = np.diff(w.bounds)
             token = np.empty(len(w.row) + w.n_rows, np.uint64)
             token[np.arange(len(w.row)) + w.row] = w.hash
             token[np.cumsum(n + 1) - 1] = END
-            words.append(token)
-            sizes.append(n + 1)
-        token, self.n = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((words, np.uint64), (sizes, np.int64)))
+            tokens.append(token)
+            lengths.append(n + 1)
+        token, self.n = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((tokens, np.uint64), (lengths, np.int64)))
         self.row = np.repeat(np.arange(len(self.n)), self.n)
         #: Of a text's first token the history is the end token alone.
         self.first = np.zeros(len(token), bool)
@@ -165,8 +187,8 @@ class Grams:
         before[self.first] = END
         pair = mix64(before * _MIX[0] + token * _MIX[1])
         triple = mix64(np.roll(pair, 1) * _MIX[2] + token * _MIX[3])
-        self.words, self.pairs, self.triples = (mix64(x) & np.uint64(~3 & (1 << 64) - 1) | np.uint64(k) for k, x in ((1, token), (2, pair), (3, triple)))
-        self.end = mix64(np.array([END])) & np.uint64(~3 & (1 << 64) - 1) | np.uint64(1)
+        self.words, self.pairs, self.triples = (sizes.key(x, k) for k, x in ((1, mix64(token)), (2, pair), (3, triple)))
+        self.end = sizes.key(mix64(np.array([END])), 1)
 
     def keys(self, of: np.ndarray) -> np.ndarray:
         """Keys of all orders at the places `of` (a mask)."""
@@ -180,14 +202,22 @@ class Grams:
     def sent(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The block's distinct keys in order, their counts in training texts, and which are histories in other texts."""
         of = train[self.row]
-        own, n = np.unique(self.keys(of), return_counts=True)
-        other = ~of
-        if not other.any():
+        own, n = distinct(self.keys(of))
+        if of.all():
             return own, n, np.zeros(len(own), np.int64)
-        every = np.union1d(own, self.keys(other))
-        count = np.zeros(len(every), np.int64)
+        every, _ = distinct(np.concatenate([own, self.keys(~of)]))
+        count, asked = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
         count[np.searchsorted(every, own)] = n
-        return every, count, np.isin(every, np.unique(self.histories(other))).astype(np.int64)
+        asked[np.searchsorted(every, distinct(self.histories(~of))[0])] = 1
+        return every, count, asked
+
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The block's distinct keys in order, and where each token's word, pair and triple stand (the first's triple: 0)."""
+        key, at = np.unique(self.keys(np.ones(len(self.row), bool)), return_inverse=True)
+        n = len(self.row)
+        triple = np.zeros(n, np.int64)
+        triple[~self.first] = at[2 * n :]
+        return key, at[:n], at[n : 2 * n], triple
 
 
 def _pack(batch: pa.RecordBatch) -> bytes:
@@ -218,7 +248,7 @@ SENT = "shard long, block long, keys binary, counts binary"
 COUNTS = "block long, shard long, totals binary, stats array<long>"
 
 
-def count_ngrams(texts: DataFrame, shards: int) -> DataFrame:
+def count_ngrams(texts: DataFrame, sizes: Sizes) -> DataFrame:
     """COUNTS, a row for each shard and block: totals in the block's order of keys, in four times the value; bit 1: is a
     history that may be asked for; bit 0: the block owns the key. And a row of statistics for each shard (block null)."""
 
@@ -226,9 +256,9 @@ def count_ngrams(texts: DataFrame, shards: int) -> DataFrame:
         for b in batches:
             for block, raw in zip(b.column("block").to_pylist(), b.column("docs").to_pylist(), strict=True):
                 part = _unpack(raw)
-                key, n, asked = Grams(part.column("text")).sent(part.column("train").to_numpy(zero_copy_only=False))
+                key, n, asked = Grams(part.column("text"), sizes).sent(part.column("train").to_numpy(zero_copy_only=False))
                 code = (n << 1 | asked).astype(np.uint64)
-                yield _batch([(s, block, squeeze_sorted(key[at]), squeeze(code[at])) for s, at in _by_shard(key, shards)], SENT)
+                yield _batch([(s, block, squeeze_sorted(key[at]), squeeze(code[at])) for s, at in sizes.by_shard(key)], SENT)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches, "shard"):
@@ -287,14 +317,11 @@ def weigh(masses: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return key, np.log10(lost) - np.log10(1 - covered)
 
 
-def evaluate(grams: Grams, train: np.ndarray, code: np.ndarray, key: np.ndarray, model: Model):
-    """(score so far, base, known tokens) by row; (history, lost, covered) of what the block owns; (history, row, how often) of questions.
+def evaluate(grams: Grams, train: np.ndarray, code: np.ndarray, model: Model):
+    """The block's keys; (score so far, base, known tokens) by row; (history, lost, covered) of what the block owns; (history, row, how often) of questions.
     Histories are places in `key`."""
     total, asked, owner = (code >> np.uint64(2)).astype(np.int64), (code & np.uint64(2)) > 0, (code & np.uint64(1)) > 0
-    word, pair = np.searchsorted(key, grams.words), np.searchsorted(key, grams.pairs)
-    later = np.flatnonzero(~grams.first)
-    triple = np.zeros(len(word), np.int64)
-    triple[later] = np.searchsorted(key, grams.triples[later])
+    key, word, pair, triple = grams.places()
     end = int(np.searchsorted(key, grams.end)[0])
     of_pair = np.where(grams.first, end, np.roll(word, 1))
     of_triple = np.roll(pair, 1)
@@ -328,10 +355,10 @@ def evaluate(grams: Grams, train: np.ndarray, code: np.ndarray, key: np.ndarray,
 
     questions = np.concatenate([of_pair[off_one], of_triple[off_two]]) * rows + np.concatenate([grams.row[off_one], grams.row[off_two]])
     questions, often = np.unique(questions, return_counts=True)
-    return scores, masses, (questions // max(1, rows), questions % max(1, rows), often)
+    return key, scores, masses, (questions // max(1, rows), questions % max(1, rows), often)
 
 
-def score_blocks(texts: DataFrame, counts: DataFrame, model: Model, shards: int) -> DataFrame:
+def score_blocks(texts: DataFrame, counts: DataFrame, model: Model, sizes: Sizes) -> DataFrame:
     """MASSES: the blocks' scores of what was seen, and what they add to and ask of histories' weights."""
     both = texts.select("block", F.lit(-1).cast("long").alias("shard"), "docs").unionByName(counts.where("block is not null").select("block", "shard", F.col("totals").alias("docs")))
 
@@ -340,15 +367,14 @@ def score_blocks(texts: DataFrame, counts: DataFrame, model: Model, shards: int)
             block, raw = t.column("block")[0].as_py(), t.column("docs").to_pylist()
             part, code = _unpack(raw[0]), np.concatenate([np.zeros(0, np.uint64), *(expand(c, np.uint64) for c in raw[1:])])
             train = part.column("train").to_numpy(zero_copy_only=False)
-            grams = Grams(part.column("text"))
-            key, _, _ = grams.sent(train)
-            (score, base, known), (own, lost, covered), (of, row, often) = evaluate(grams, train, code, key, model)
+            grams = Grams(part.column("text"), sizes)
+            key, (score, base, known), (own, lost, covered), (of, row, often) = evaluate(grams, train, code, model)
             base -= grams.n * np.log10(model.tokens + model.types + 1.0)
             columns = {"held_out": ~train, "n_tokens": grams.n, "n_known": known.astype(np.int64), "base_score": base, "score": score}
             result = pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns.values())], ["doc_id", *columns])
-            rows = [(block % shards, SCORES, block, None, _pack(result), None)]
-            rows += [(s, PART, block, squeeze_sorted(key[own[at]]), squeeze(lost[at]), squeeze(covered[at])) for s, at in _by_shard(key[own], shards)]
-            rows += [(s, ASK, block, squeeze_sorted(key[of[at]]), squeeze(row[at].astype(np.uint32)), squeeze(often[at].astype(np.uint32))) for s, at in _by_shard(key[of], shards)]
+            rows = [(block % sizes.shards, SCORES, block, None, _pack(result), None)]
+            rows += [(s, PART, block, squeeze_sorted(key[own[at]]), squeeze(lost[at]), squeeze(covered[at])) for s, at in sizes.by_shard(key[own])]
+            rows += [(s, ASK, block, squeeze_sorted(key[of[at]]), squeeze(row[at].astype(np.uint32)), squeeze(often[at].astype(np.uint32))) for s, at in sizes.by_shard(key[of])]
             yield _batch(rows, MASSES)
 
     return _dealt(both, "block", "shard").mapInArrow(run, MASSES)
@@ -385,11 +411,11 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SH
     kind = dict(docs.dtypes)["doc_id"]
     base = bounded_batches(docs).select("doc_id", (~held_out(F.col("doc_id"))).alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(8, -(-size // shard_bytes))
+    sizes = Sizes.of(size, shard_bytes)
     texts = blocks(base, block_bytes)
-    counts = count_ngrams(texts, shards)
+    counts = count_ngrams(texts, sizes)
     model = model_of(counts)
-    answers = back_off(score_blocks(texts, counts, model, shards))
+    answers = back_off(score_blocks(texts, counts, model, sizes))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
