@@ -83,22 +83,26 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(ascii_lower(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def hosts_above(host: str) -> list[str]:
-    """The host and what is left of it after each dot."""
-    labels = host.split(".")
+def hosts_above(host: str, most: int) -> list[str]:
+    """The host and what is left of it after each dot, of at most so many labels, as no rule's host has more."""
+    labels = host.rsplit(".", most)
+    if len(labels) > most:
+        labels = labels[1:]
     return [".".join(labels[i:]) for i in range(len(labels))]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
     """Add host, path, rule (null if none fits) and verdict to rows with `url`; such columns are replaced.
 
-    Of rules of one length, that with the longer host wins. Null url or one without `://`: host and path
+    Of rules of one length, that with the longer host wins; of rules that differ in the verdict alone, the later verdict by
+    name (so block). Null url or one without `://`: host and path
     empty, so no rule fits and the verdict is `default`. Repeated rows are judged alike; empty table: no rows."""
     content = DigestArray.pack(f"{h}{p}" for _, h, p in rules)
     if len(content) > MOST_BYTES:
         raise ValueError(f"the rules' array has {len(content)} bytes, over {MOST_BYTES}; use judge_dealt with a table of rules")
-    verdicts = {f"{h}{p}".encode(): v for v, h, p in rules}
+    verdicts = {f"{h}{p}".encode(): v for v, h, p in sorted(rules)}
     path_sizes = sorted({len(p) for _, _, p in rules})
+    most_labels = max((h.count(".") + 1 for _, h, _ in rules), default=1)
 
     @F.pandas_udf("struct<rule: string, verdict: string>")
     def look_up(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -106,7 +110,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
         for hosts, paths in parts:
             keys, owner = [], []
             for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-                fits = [h + path[:n] for n in path_sizes if len(path) >= n for h in hosts_above(host)]
+                fits = [h + path[:n] for n in path_sizes if len(path) >= n for h in hosts_above(host, most_labels)]
                 keys += [k.encode() for k in fits]
                 owner += [i] * len(fits)
             rule, best = [None] * len(hosts), [-1] * len(hosts)
@@ -125,16 +129,17 @@ def judge_dealt(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     """`judge` for a table of rules (verdict, host, path) of any size.
 
     Rules and the keys to look up are dealt by hash into shards; each shard sorts its own digest array and probes
-    it. Keys are looked up once however many URLs have them, so a hot host is no hot shard. A key under several
-    verdicts is blocked. The driver sees only which path lengths rules have."""
+    it. Keys are looked up once however many URLs have them, so a hot host is no hot shard. The driver sees only which path
+    lengths and how many labels rules have."""
     shards = 4 * shuffle_partitions(pages.sparkSession)
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
     rules = rules.groupBy(F.concat("host", "path").alias("key"), F.length("host").alias("host_size")).agg(F.max("verdict").alias("verdict"))
     path_sizes = sorted(r[0] for r in rules.select(F.length("key") - F.col("host_size")).distinct().collect())
+    most_labels = rules.agg(F.max(F.size(F.split(F.substring("key", F.lit(1), F.col("host_size")), "[.]")))).first()[0] or 1
 
     @F.pandas_udf("array<struct<key: string, host_size: int>>")
     def keys_of(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([[{"key": h + p[:n], "host_size": len(h)} for n in path_sizes if len(p) >= n for h in hosts_above(host)] for host, p in zip(hosts, paths, strict=True)])
+        return pd.Series([[{"key": h + p[:n], "host_size": len(h)} for n in path_sizes if len(p) >= n for h in hosts_above(host, most_labels)] for host, p in zip(hosts, paths, strict=True)])
 
     def probe(wanted: pa.Table, known: pa.Table) -> pa.Table:
         array = DigestArray.mapped(DigestArray.pack(known.column("key").to_pylist()))

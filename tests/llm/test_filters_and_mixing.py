@@ -21,7 +21,7 @@ def plain_verdict(url):
 
 
 def test_urls_against_plain(spark):
-    urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/7x?q#f", "https://example.com/en/8", "ftp://notexample.net/de/8", "x://b.example.net/de/81/#", "http://org/es/", "http://org?x/es/", "http://x.org/es", "http://example.net/de/9", "HTTP://É.com/en/ü", "http://example.com/en/7" + "y" * 50_000]
+    urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/7x?q#f", "https://example.com/en/8", "ftp://notexample.net/de/8", "x://b.example.net/de/81/#", "http://org/es/", "http://org?x/es/", "http://x.org/es", "http://example.net/de/9", "HTTP://É.com/en/ü", "http://example.com/en/7" + "y" * 50_000, "http://" + "a." * 100_000 + "example.net/de/8", "http://" + "." * 50_000 + "com/en/", "http://.com/en/", "http://com./en/"]
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls + urls[:3])], "page_id long, url string, host string, verdict string")
     got = {(r.page_id): (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages).collect()}
     assert got == {i: plain_verdict(u) for i, u in enumerate(urls + urls[:3])}
