@@ -109,45 +109,71 @@ FIELDS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerp
 
 
 
+class Ranges:
+    """Parts of the order by (id, hash of the text), rising: ranges of ids and, of an id with more than a part's share of
+    the rows, ranges of hashes."""
+
+    def __init__(self, quantiles: list[int]):
+        self.ids, shares = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        #: An id that is several quantiles has as many parts less one to itself.
+        self.own = shares - 1
+        self.before = np.cumsum(self.own) - self.own
+
+    def part(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int64)
+        at = np.searchsorted(self.ids, ids)
+        i = np.minimum(at, len(self.ids) - 1)
+        # Ids between two bounds follow all parts of the bound below; a bound's own parts follow those.
+        out = at + np.where(at < len(self.ids), self.before[i], self.before[-1] + self.own[-1])
+        place = hashes.view(np.uint64) ^ np.uint64(1 << 63)  # in the order of signed numbers
+        share = (place >> np.uint64(32)).astype(np.int64) * (self.own[i] + 1) >> 32
+        return out + np.where((at < len(self.ids)) & (self.ids[i] == ids), share, 0)
+
+
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id and FIELDS: each text, its edited form and the next document in descending order of doc_id.
 
-    The order is dealt by ranges of doc_id into many parts, whose bounds are quantiles (as many as parts, so
-    bounded); each part also gets the first document of the part after it, and the last part the first
-    document of all. So the texts are shuffled once.
+    The order is dealt by `Ranges` into many parts, whose bounds are quantiles (as many as parts, so bounded); each part
+    also gets the first document of the part after it, and the last part the first document of all. So the texts are
+    shuffled once.
 
-    Null text: empty. Null doc_id: last in order. Rows with one doc_id: in order of their texts. Equal texts
-    have equal fingerprints. Empty table: no rows; one row: its own next. Other columns are not looked at."""
+    Null text: empty. Null doc_id: last in order. Rows with one doc_id: in falling order of their texts' hashes, which
+    splits them if they are many; rows alike in text, too, lie beside one another in one part. Equal texts have equal
+    fingerprints. Empty table: no rows; one row: its own next. Other columns are not looked at."""
     spark = bounded_batches(docs).sparkSession
     parts = 8 * shuffle_partitions(spark)
     kind = dict(docs.dtypes)["doc_id"]
-    base = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    bounds = np.unique(np.array(docs.select(F.col("doc_id").cast("long").alias("id")).approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts), np.int64))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("text"))
+    ranges = Ranges(base.select("_id").approxQuantile("_id", [i / parts for i in range(1, parts)], 0.25 / parts))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, ids).astype(np.int64)), b.column("_id")], ["part", "_id"])
+            part = ranges.part(b.column("_id").to_numpy(), b.column("_hash").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(part), b.column("_id"), b.column("_hash")], ["part", "_id", "_hash"])
 
-    first = dict(base.select("_id").mapInArrow(heads, "part long, _id long").groupBy("part").agg(F.max("_id")).collect())
+    most = base.select("_id", "_hash").mapInArrow(heads, "part long, _id long, _hash long").groupBy("part").agg(F.max(F.struct("_id", "_hash")).alias("head"))
+    first = {r["part"]: tuple(r["head"]) for r in most.collect()}  # as many as parts
     filled = sorted(first)
     after = {first[p]: filled[i + 1] for i, p in enumerate(filled[:-1])}  # head of a part -> the part before it in descending order
     wrap = (first[filled[-1]], filled[0]) if filled else None
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("_id").to_numpy()
-            rows, part, own = [np.arange(len(ids))], [np.searchsorted(bounds, ids)], [np.ones(len(ids), bool)]
-            for i in np.flatnonzero(np.isin(ids, [*after, wrap[0]])):
-                for p in ([after[ids[i]]] if ids[i] in after else []) + ([wrap[1]] if ids[i] == wrap[0] else []):
+            ids, hashes = b.column("_id").to_numpy(), b.column("_hash").to_numpy()
+            rows, part, own = [np.arange(len(ids))], [ranges.part(ids, hashes)], [np.ones(len(ids), bool)]
+            for i in np.flatnonzero(np.isin(hashes, [h for _, h in first.values()])):
+                key = int(ids[i]), int(hashes[i])
+                for p in ([after[key]] if key in after else []) + ([wrap[1]] if key == wrap[0] else []):
                     rows.append([i])
                     part.append([p])
                     own.append([False])
             taken = b.take(pa.array(np.concatenate(rows).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).astype(np.int64)), pa.array(np.concatenate(own).astype(bool)), *taken.columns], ["part", "own", *taken.schema.names])
 
-    dealt = base.mapInArrow(deal, f"part long, own boolean, doc_id {kind}, _id long, text string")
-    dealt = dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", F.desc("own"), F.desc("_id"), "text")
+    dealt = base.mapInArrow(deal, f"part long, own boolean, doc_id {kind}, _id long, _hash long, text string")
+    dealt = dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", F.desc("own"), F.desc("_id"), F.desc("_hash"), "text")
     names = ["doc_id", *(f.split()[0] for f in FIELDS.split(", "))]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

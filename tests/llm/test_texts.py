@@ -177,31 +177,105 @@ def plain_lcs(a, b):
     return row[-1]
 
 
-def test_fingerprints(spark, texts, odd_docs, no_docs):
-    rng = random.Random(0)
-    for _ in range(50):
-        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(40))) for _ in range(2))
-        assert fingerprints.common_subsequence(a, b) == plain_lcs(a, b)
-    docs = [(i * 5, t) for i, t in enumerate(texts(60, words=300))] + [(7, None), (11, "short"), (13, "short")]
-    got = {r.doc_id: r for r in fingerprints.compare_neighbours(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
-    order = sorted(docs, reverse=True)
+def plain_fingerprint(text):
+    """Byte by byte: a rolling sum of the last seven bytes' values ends chunks; a chunk's character is of its own hash."""
+    raw, m = text.encode(), (1 << 64) - 1
+    mix = lambda x: int(common.mix64(np.array([x & m], np.uint64))[0])
+    value, lag = [int(x) for x in common._BYTE], [int(x) for x in fingerprints._LAG]
+    block = 3
+    while block * 64 < len(raw):
+        block *= 2
+
+    def triggers():
+        for i in range(len(raw)):
+            yield mix(sum(value[raw[i - k]] * lag[k] for k in range(min(7, i + 1)))) >> 32
+
+    rolling = list(triggers())
+
+    def signature(size):
+        out, chunk = "", b""
+        for byte, r in zip(raw, rolling, strict=True):
+            chunk += bytes([byte])
+            if r % size == size - 1:
+                out, chunk = out + character(chunk), b""
+        return out + (character(chunk) if chunk else "")
+
+    def character(chunk):
+        total, power = 0, 1
+        for byte in chunk:
+            total, power = total + value[byte] * power, power * common._BASE & m
+        return chr(fingerprints.ALPHABET[mix(total + len(chunk)) >> 58])
+
+    while block > 3 and sum(r % block == block - 1 for r in rolling) + 1 < 32:
+        block //= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def plain_likeness(one, other):
+    """Edit distance by the table, without the bit tricks."""
+    if one == other:
+        return 1.0
+    (a, *of_a), (b, *of_b) = one.split(":"), other.split(":")
+    by_size = [{int(size) * (k + 1): s for k, s in enumerate(x)} for size, x in ((a, of_a), (b, of_b))]
+    best = 0.0
+    for size in by_size[0].keys() & by_size[1].keys():
+        x, y = (re.sub(r"(.)\1{3,}", lambda m: m[1] * 3, d[size]) for d in by_size)
+        run = min(7, len(x), len(y), max(2, min(len(x), len(y)) // 4))
+        if x and y and any(x[i : i + run] in y for i in range(len(x) - run + 1)):
+            distance = len(x) + len(y) - 2 * plain_lcs(x, y)
+            best = max(best, 1 - distance / (len(x) + len(y)))
+    return best
+
+
+def check_fingerprints(spark, docs, order):
+    """`order`: the rows as they follow one another."""
+    got = {(r.doc_id, r.edited_sha256): r for r in fingerprints.compare_neighbours(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     near, next_ = [], []
     for (doc_id, text), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
-        text, after, r = text or "", after or "", got[doc_id]
+        text, after = text or "", after or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (fingerprints.fingerprint(text.encode()), fingerprints.fingerprint(edited.encode()))
-        assert r.near_edited == fingerprints.likeness(r.fingerprint, r.edited_fingerprint) and 0 <= r.near_next <= 1
+        r = got[doc_id, hashlib.sha256(edited.encode()).hexdigest()]
+        assert r.n_chars == len(text)
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_fingerprint(text), plain_fingerprint(edited))
+        assert r.near_edited == pytest.approx(plain_likeness(r.fingerprint, r.edited_fingerprint)) and r.near_next == pytest.approx(plain_likeness(r.fingerprint, plain_fingerprint(after)))
         if len(text) > 200:
             near.append(r.near_edited)
             next_.append(r.near_next)
+    return near, next_
+
+
+def test_fingerprints(spark, texts, odd_docs, no_docs):
+    rng = random.Random(0)
+    for _ in range(50):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(40))) for _ in range(2))
+        assert fingerprints.common_subsequence(a, b) == plain_lcs(a, b)
+    docs = [(i * 5, t) for i, t in enumerate(texts(60, words=300))] + [(7, None), (11, "short"), (13, "short"), (17, "z" * 3000), (19, "é" * 500 + "a b " * 200)]
+    near, next_ = check_fingerprints(spark, docs, sorted(docs, reverse=True))
     assert np.mean(near) > 0.35 and np.mean(next_) < 0.05
     assert fingerprints.compare_neighbours(odd_docs).count() == 10 and fingerprints.compare_neighbours(no_docs).count() == 0
     alone = fingerprints.compare_neighbours(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()
     assert alone[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
 
 
+def test_fingerprints_of_hot_ids(spark, texts):
+    """Most rows without an id, and many of one id: these are split, and each row still meets the next one."""
+    some = texts(240, seed=9, words=25)
+    docs = [(i, t) for i, t in enumerate(some[:30])] + [(17, t) for t in some[30:90]] + [(None, t) for t in some[90:]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    hashed = [(r.doc_id, r.h, r.text) for r in frame.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()]
+    order = sorted(hashed, key=lambda r: (-1 if r[0] is None else r[0], r[1]), reverse=True)
+    check_fingerprints(spark, docs, [(i, t) for i, _, t in order])
+    ranges = fingerprints.Ranges([-5, -5, -5, 2, 9, 9, 9, 9])
+    rng = np.random.default_rng(0)
+    ids, hashes = rng.choice([-9, -5, -5, 0, 2, 3, 9, 9, 9, 11], 3000), rng.integers(-(1 << 63), 1 << 63, 3000)
+    by_order = np.lexsort((hashes, ids))
+    part = ranges.part(ids, hashes)[by_order]
+    assert (np.diff(part) >= 0).all() and len(np.unique(part[ids[by_order] == 9])) == 4 and len(np.unique(part)) == 9
+
+
 PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style><script>if (a < b) "</p>"</script></head><body class="home-12"><nav><a href="/x">menu</a></nav>
 <div class="cookie notice">We use cookies</div><header>Site</header><article><h1>A &amp; B</h1><p>One <b>bold</b>face &copy;<br>two<p>Three<ul><li>i<li>j</ul><aside>side</aside>
 <div class="ad">buy</div><form>send <input></form><div class="comments"><p>first!</p></div><table><tr><td>c1<td>c2</table></article><footer>end</footer></body></html>"""
