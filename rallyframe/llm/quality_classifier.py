@@ -121,9 +121,14 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400, rate
     return w, raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
 
 
-def sampled(labels: DataFrame, per_grade: int) -> DataFrame:
-    """At most `per_grade` labelled ids of each grade, the same ones in each run; held-out ids left out."""
-    rated = labels.where("doc_id is not null").select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+def rated(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) to learn from: one label for each id (the lowest grade of several), held-out ids left out."""
+    known = labels.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    return known.where("grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+
+
+def sampled(rated: DataFrame, per_grade: int) -> DataFrame:
+    """At most `per_grade` ids of each grade, the same ones in each run."""
     parts = [rated.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade) for g in range(GRADES)]
     out = parts[0]
     for p in parts[1:]:
@@ -133,7 +138,8 @@ def sampled(labels: DataFrame, per_grade: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds. Without any labelled document: weights 0, thresholds that keep everything."""
-    shares = dict(labels.select(grade(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null").groupBy("grade").count().collect())
+    known = rated(labels)
+    shares = dict(known.groupBy("grade").count().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -141,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> tup
             yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([r.tobytes() for r in x], pa.binary())], ["grade", "x"])
 
     # At most GRADES x per_grade ids, so broadcast; as many vectors of fixed length come back.
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sampled(labels, per_grade)), "doc_id").select("grade", "text")
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sampled(known, per_grade)), "doc_id").select("grade", "text")
     rows = sorted((r["grade"], bytes(r["x"])) for r in chosen.mapInArrow(run, "grade int, x binary").collect())
     if not rows:
         return np.zeros((1 << BITS) + EXTRA, np.float32), np.arange(GRADES - 1) - 10.0
@@ -155,8 +161,8 @@ def judge(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, select
     """All columns of `docs` with expected_grade (0 to 2), tail_probability and kept (such columns are replaced).
 
     Null or empty text: scored by the constant feature alone. Null or repeated doc_id, repeated rows: each row
-    is scored by its text. Labels that are null or without a document are not used; with several for one
-    doc_id, one counts. Empty tables: no rows, or everything kept."""
+    is scored by its text. Labels that are null or without a document are not used; of several for one
+    doc_id the lowest grade counts. Empty tables: no rows, or everything kept."""
     weights, thresholds = train(bounded_batches(docs), labels, per_grade)
     base = docs.drop("expected_grade", "tail_probability", "kept")
 
