@@ -6,8 +6,8 @@ document is emitted once for every integer that its stretch of the sum crosses.
 copies misses its expectation by less than one, and as the order goes by size, so do its words by little.
 
 The prefix sum is never taken over a whole source: documents are dealt by (source, size class, salt)
-into pieces, ranks are taken inside a piece, and only the pieces' counts (at most CLASSES x SALTS for a
-source) are summed across.
+into pieces, ranks are taken inside a piece, and only the pieces' counts (at most classes x salts for a
+source) are summed across. They are counted once and written; a second look at the documents ranks them.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, written
 
 #: Fixed by the contract: weights in order of the sources' names, and the limit to a source's target.
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
-#: Pieces of a source: 4 size classes to each doubling, and salts within a class.
+#: Pieces of a source: 4 size classes to each doubling, and salts within a class: so many hexadecimal digits of an MD5 digest.
 CLASSES_PER_DOUBLING = 4
-SALTS = 16
+SALT_DIGITS = 2
 
 
 def n_words(text: Column) -> Column:
@@ -64,8 +64,8 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Add size, source_size, target, copies and taken (all named so; such columns of `docs` are replaced).
 
     Null text: size 0. Null source: a source of its own, last in order. Empty table: no rows. Null or
-    repeated doc_id: rows are still mixed one by one; rows alike in source, size and doc_id stand beside
-    one another in the order, so which of them gets a copy more is of no account. A source of size 0 has
+    repeated doc_id: rows are still mixed one by one, rows without an id dealt by their texts; rows alike in source,
+    size and doc_id stand beside one another in the order, so which of them gets a copy more is of no account. A source of size 0 has
     target 0 and gives nothing. The offset depends on seed and source alone, so reruns agree."""
     added = ("size", "source_size", "target", "copies", "taken")
     base = docs.drop(*added).withColumn("size", n_words(F.col("text")))
@@ -74,12 +74,13 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
         base.withColumn("_mix_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
         .withColumn("_mix_bits", bits)
         .withColumn("_mix_class", F.col("_mix_bits") * CLASSES_PER_DOUBLING + F.expr("shiftright(size, greatest(_mix_bits - 3, 0)) & 3").cast("int"))
-        .withColumn("_mix_salt", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 1))
+        .withColumn("_mix_salt", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))), 1, SALT_DIGITS))
         .withColumn("_mix_tie", F.xxhash64("text"))
         .drop("_mix_bits")
     )
     piece = ["_mix_source", "_mix_class", "_mix_salt"]
     pieces = base.groupBy(*piece).agg(F.first("source").alias("source"), F.count("*").alias("_n"), F.sum("size").alias("_size"))
+    pieces = written(pieces, "mix-pieces")
     per_source = targets(pieces.groupBy("source").agg(F.sum("_size").alias("source_size")))
     before = Window.partitionBy("_mix_source").orderBy("_mix_class", "_mix_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(*piece, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_mix_before"))

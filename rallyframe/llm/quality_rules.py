@@ -21,9 +21,6 @@ from .common import Words, _power, bounded_batches, constants, mix64, raw_text,
 
 #: A line is boilerplate if over LINE_DOCUMENTS distinct documents of its host have it, however large the host.
 LINE_DOCUMENTS = 20
-#: The limits of op7's SQL, which is left as it was: over so many documents and over this share of the host's.
-MOST_DOCUMENTS = 100
-MOST_SHARE = 0.01
 #: A document is depleted if fewer words, or a smaller share of its words, are left.
 LEAST_WORDS = 10
 LEAST_SHARE = 0.2

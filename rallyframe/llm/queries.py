@@ -81,21 +81,13 @@ ORACLE_SQL = {
     """,
     "op7_quality_rules": rf"""
         WITH lines AS (
-            SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
-            FROM documents
+            SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents
         ), filled AS (
-            SELECT doc_id, source, line, place, array_to_string(regexp_extract_all({_LOWER.format('line')}, '{_WORD}'), ' ') AS normal,
+            SELECT doc_id, source, text, line, array_to_string(regexp_extract_all({_LOWER.format('line')}, '{_WORD}'), ' ') AS normal,
                    len(regexp_extract_all(line, '{_WORD}')) AS words
             FROM lines WHERE len(regexp_extract_all(line, '{_WORD}')) > 0
-        ), longest AS (
-            SELECT doc_id, arg_max(normal, (words, -place)) AS body FROM filled GROUP BY doc_id
-        ), apart AS (
-            SELECT DISTINCT source, body, normal FROM filled JOIN longest USING (doc_id)
-        ), hosts AS (
-            SELECT source, count(DISTINCT body) AS n_host FROM apart GROUP BY source
         ), frequent AS (
-            SELECT a.source, a.normal FROM (SELECT source, normal, count(*) AS n FROM apart GROUP BY source, normal) a
-            JOIN hosts h ON a.source IS NOT DISTINCT FROM h.source WHERE n > {quality_rules.MOST_DOCUMENTS} AND n > {quality_rules.MOST_SHARE} * n_host
+            SELECT source, normal FROM (SELECT source, normal, count(DISTINCT text) AS n FROM filled GROUP BY source, normal) WHERE n > {quality_rules.LINE_DOCUMENTS}
         ), lost AS (
             SELECT doc_id, sum(words) AS lost FROM filled f JOIN frequent q ON f.source IS NOT DISTINCT FROM q.source AND f.normal = q.normal GROUP BY doc_id
         ), doubled AS (
@@ -124,9 +116,9 @@ ORACLE_SQL = {
     """,
     "op9_mixing": rf"""
         WITH sized AS (
-            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size FROM documents
+            SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size FROM documents
         ), pieces AS (
-            SELECT *, substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 1) AS salt,
+            SELECT *, substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 2) AS salt,
                    length(bin(size)) * 4 + ((size >> greatest(length(bin(size)) - 3, 0)) & 3) AS class
             FROM sized
         ), sources AS (
