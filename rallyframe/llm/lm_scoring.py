@@ -41,15 +41,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, collected, constants, mix64, raw_text, runs_of, shuffle_partitions, slices, written
+from .common import bounded_batches, collected, constants, distinct, mix64, runs_of, shuffle_partitions, slices, word_hashes, written
 
 ORDERS = 3
 GOOD_TURING = 5
 #: The fold held out: crc32 of doc_id as text, modulo 7. Fixed by the contract.
 FOLDS, FOLD = 7, 2
 #: Bytes of text in a block, and for a shard. With both larger, fewer and larger pieces go between them.
-BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
-SPARE_BITS = 24
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 4 << 20
+SPARE_BITS = 20
 END = constants(1, 9)[0]
 _MIX = constants(8, 11)
 
@@ -158,24 +158,16 @@ class Model:
 # --- n-grams of a block --------------------------------------------------------------------------
 
 
-def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values, and how often each is there."""
-    a = np.sort(a)
-    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-    return a[start], np.diff(np.append(start, len(a)))
-
-
 class Grams:
     """All n-grams of a block's texts."""
 
     def __init__(self, texts: pa.Array, sizes: Sizes):
         tokens, lengths = [], []
         for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text"):
-            w = Words(*raw_text(part.column("text")))
-            n = np.diff(w.bounds)
-            token = np.empty(len(w.row) + w.n_rows, np.uint64)
-            token[np.arange(len(w.row)) + w.row] = w.hash
-            token[np.cumsum(n + 1) - 1] = END
+            words, bounds = word_hashes(part.column("text"))
+            n = np.diff(bounds)
+            token = np.full(len(words) + len(n), END)
+            token[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = words
             tokens.append(token)
             lengths.append(n + 1)
         token, self.n = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((tokens, np.uint64), (lengths, np.int64)))
@@ -222,7 +214,7 @@ class Grams:
 
 def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as stream:
         stream.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
