@@ -193,6 +193,37 @@ class Words:
         return self.span_hash(self.start, self.end)
 
 
+#: Texts over so many bytes are hashed in parts, cut at white space.
+LONG_TEXT = 4 << 20
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a slice of texts, and where each text's begin. A very long text takes little more memory
+    than itself and its hashes."""
+    data, offsets = raw_text(column)
+    if len(data) <= LONG_TEXT:
+        words = Words(data, offsets)
+        return words.hash, words.bounds
+    out, n = [], np.zeros(len(offsets), np.int64)
+    for row, (first, last) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        while first < last:
+            end = min(first + LONG_TEXT, last)
+            while end < last and not _SPACE[data[end]]:
+                space = np.flatnonzero(_SPACE[data[end : end + 4096]])
+                end = end + int(space[0]) if len(space) else min(end + 4096, last)
+            out.append(Words(data[first:end], np.array([0, end - first])).hash)
+            n[row + 1] += len(out[-1])
+            first = end
+    return np.concatenate([np.zeros(0, np.uint64), *out]), np.cumsum(n)
+
+
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and how often each is there."""
+    a = np.sort(a)
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    return a[start], np.diff(np.append(start, len(a)))
+
+
 _STEP = constants(64, 2)
 
 

@@ -39,9 +39,9 @@ PARAGRAPH = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li",
 
 
 def step(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's part of a path, and whether it may hold main text."""
+    """An element's part of a path (without digits and what divides a path), and whether it may hold main text."""
     names = " ".join(next(filter(None, m), "") for m in _CLASS.findall(attributes)) if attributes else ""
-    classes = ".".join(sorted({re.sub(r"\d+", "", c) for c in names.lower().split()}))
+    classes = ".".join(sorted({re.sub(r"[\d>]+", "", c) for c in names.lower().split()}))
     return f"{tag}.{classes}" if classes else tag, tag not in NOT_MAIN and not (names and NOT_MAIN_WORD.search(names))
 
 

@@ -78,7 +78,7 @@ def test_limit_is_the_same_at_every_size(spark):
     assert {r.doc_id: r.boilerplate_words for r in got} == {i + k: 3 for i in range(30) for k in (0, 1000)}
 
 
-def plain_components(docs):
+def plain_components(docs, percent=85):
     sets = {}
     for i, text in docs:
         w = WORD.findall(lower(text or ""))
@@ -93,7 +93,7 @@ def plain_components(docs):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
@@ -120,6 +120,25 @@ def test_near_duplicates(spark, odd_docs, no_docs, monkeypatch, block):
     assert near_dedup.cluster(no_docs).count() == 0
 
 
+def test_id_with_several_texts(spark):
+    """One id whose texts are near copies of different documents links these; a popular id is the pivot of many."""
+    words = [[f"a{k}w{i}" for i in range(200)] for k in range(3)]
+    docs = [(1, " ".join(words[0])), (1, " ".join(words[1])), (5, " ".join(words[0] + ["more"])), (6, " ".join(words[1][1:])), (7, " ".join(words[2]))]
+    docs += [(10 + i, " ".join([*words[0], f"end{i}"])) for i in range(60)] + [(100 + i, " ".join([f"begin{i}", *words[2]])) for i in range(60)]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.cluster(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(i, 7 if i == 7 or i >= 100 else 1) for i, _ in docs}
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["", "one two  three " * 40, None, "x" * 300, " \n a b", "ÄÖ " + "word" * 50 + " end"])
+    whole, bounds = common.word_hashes(texts)
+    monkeypatch.setattr(common, "LONG_TEXT", 16)
+    parts, again = common.word_hashes(texts)
+    assert (whole == parts).all() and (bounds == again).all() and len(whole) == 126
+
+
 def test_sketches_estimate():
     rng = np.random.default_rng(1)
     for share in (0.75, 0.85, 0.95):
@@ -281,18 +300,53 @@ PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style><script>i
 <div class="ad">buy</div><form>send <input></form><div class="comments"><p>first!</p></div><table><tr><td>c1<td>c2</table></article><footer>end</footer></body></html>"""
 
 
-def test_extraction(spark):
+def test_extraction(spark, no_docs):
     assert html_extraction.main_text(PAGE, "html>body.home->article") == "A & B One boldface © two Three i j c1 c2"
     pages = [(i, f"http://h{i % 3}.example/{i}", PAGE.replace("Three", f"Three {i} &lt;x&gt; " + "words and words " * i)) for i in range(30)]
     pages += [(100, None, None), (101, "nohost", ""), (102, "http://h0.example/", "plain & simple"), (103, "http://h0.example/", "<p>unclosed <div>x" + "<b>deep " * 50)]
-    got = {r.page_id: (r.text, r.n_chars) for r in html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    rows = [(*p, "clash", "clash", "clash") for p in pages]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, path string, host string, text string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extraction.extract(frame).collect()}
     for i in range(30):
         want = " ".join(f"A & B One boldface © two Three {i} <x> {'words and words ' * i} i j c1 c2".split())
         assert got[i] == (want, len(want))
     assert got[100] == got[101] == ("", 0) and got[102][0] == "plain & simple" and got[103][0].startswith("xdeep deep")
+    assert html_extraction.extract(frame.limit(0)).count() == 0
     assert html_.unescape("&copy;") == "©"
 
 
+STORY = "The river rose in the night &amp; nobody slept. <em>Water</em> came to the door, and we carried what we could."
+LAYOUTS = {
+    "table": f"<html><body><table class=frame><tr><td class=menu><a href=/a>home</a> <a href=/b>more</a><td class=body><p>{STORY}<p>Second part of it.</table><div id=footer>imprint</div>",
+    "sections": f"<body><div role=banner>Name</div><main><section class='text s1'><h2>One</h2>{STORY}</section><section class='text s2'>Second part of it.</section></main><section class=comments>me too</section>",
+    "divs": f"<BODY><DIV CLASS=wrap7><DIV ID=nav-top><UL><LI><A HREF=http://x.example/>all</A></UL></DIV><DIV CLASS=post-12>{STORY}<BR/>Second part of it.</DIV><DIV CLASS=related>see also</DIV></DIV>",
+    "broken": f"<div class=\"post><p>lost\"><p title='a > b' data-id=menu>{STORY}</i></span><p class=\"x>Second part of it.</p></div><script>var a = '</p>';</script  ><aside>no</aside>",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(spark, name):
+    pages = [(i, f"http://{name}.example/{i}", LAYOUTS[name].replace("Second", f"Second{i}")) for i in range(5)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    story = "The river rose in the night & nobody slept. Water came to the door, and we carried what we could."
+    head = {"sections": "One "}.get(name, "")
+    assert got == {i: f"{head}{story} Second{i} part of it." for i in range(5)}
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<a "' * 262_144, "<div>" * 100_000 + "x", "<span>" * 100_000 + "</div>" * 100_000 + "y", "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000 + "z", "<" * 1_000_000, "</" * 500_000,
+     "<!--" * 250_000, "&#" + "9" * 100_000 + ";", "<a b='" * 150_000, "<p>" * 100_000 + "q"],
+    ids=lambda p: p[:8],
+)
+def test_malformed_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extraction.main_text(page, "body>div")
+    assert time.process_time() - began < 5
+
+
 def plain_katz(train, texts):
     """The model from its definition, with dictionaries; checks that all of p(. | u v) sums to one."""
     end = object()
@@ -412,6 +466,43 @@ def test_quality_classifier(spark, odd_docs, no_docs):
     assert quality_classifier.judge(odd_docs, labels.limit(0)).where("kept").count() == 10
 
 
+def test_ordinal_fit_is_the_optimum():
+    """The slope of the plain objective, by differences, is nearly nothing where the fit ends, and steep elsewhere."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    latent = x @ np.array([2.0, -1.0, 0.5, 0.0]) + rng.logistic(size=300)
+    y = np.digitize(latent, [-1.0, 1.5])
+    weight = rng.uniform(0.5, 2.0, 300)
+    ridge = 1e-3
+
+    def objective(w, thresholds):
+        total = 0.0
+        for row, grade, k in zip(x, y, weight / weight.sum(), strict=True):
+            at_most = [1 / (1 + math.exp(float(row @ w) - t)) for t in thresholds]
+            total -= k * math.log(([*at_most, 1.0][grade]) - ([0.0, *at_most][grade]))
+        return total + ridge / 2 * float(w @ w)
+
+    def slope(w, thresholds):
+        both, n = np.concatenate([w, thresholds]).astype(float), len(w)
+        step = np.eye(len(both)) * 1e-5
+        return np.array([(objective((both + s)[:n], (both + s)[n:]) - objective((both - s)[:n], (both - s)[n:])) / 2e-5 for s in step])
+
+    w, thresholds = quality_classifier.fit(x, y, weight, steps=3000, rate=0.01, ridge=ridge)
+    assert thresholds[0] < thresholds[1]
+    assert np.abs(slope(w, thresholds)).max() < 3e-3 < np.abs(slope(w * 0, thresholds)).max() / 10
+    grade = sum(1 / (1 + np.exp(t - x @ w)) for t in thresholds)
+    assert np.corrcoef(grade, y)[0, 1] > 0.7
+
+
+def test_held_out_labels_do_not_matter(spark):
+    docs, labels = rated(spark)
+    from pyspark.sql import functions as F
+
+    other = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = (quality_classifier.train(docs, x) for x in (labels.unionByName(labels), other))
+    assert np.allclose(one[0], two[0]) and np.allclose(one[1], two[1])
+
+
 def test_classifier_look_up_equals_matrix():
     import pyarrow as pa
 
@@ -429,3 +520,34 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert len(odd) == 10 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in odd)
     assert toxicity.judge(no_docs, labels).count() == 0
     assert toxicity.judge(odd_docs, labels.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Every window compressed anew with both dictionaries, without memory of earlier ones."""
+    import zstandard
+
+    docs, labels = rated(spark, 120)
+    model = toxicity.fit(docs, labels)
+    cut = [re.findall(r"\w+", t.lower()) for t in ("", "You UTTER nincompoop, and dunderhead 12!", "river stone " * 40, "mooncalf nincompoops")]
+    scorer = toxicity.Scorer(model)
+
+    def size(content, raw):
+        parameters = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=64, dict_size=len(content), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        known = zstandard.ZstdCompressionDict(content + toxicity.FRAME.encode("utf-16-le"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=known, compression_params=parameters).compress(raw))
+
+    for words in cut:
+        saved = [size(model.ordinary, toxicity.framed(w)) - size(model.toxic, toxicity.framed(w)) for w in words]
+        counts = [sum(s >= t for s in saved) for t in toxicity.THRESHOLDS]
+        x = [*(math.log1p(c) for c in counts), *(math.log1p(1000 * c / max(1, len(words))) for c in counts), 1.0]
+        assert scorer.score(" ".join(words)) == pytest.approx(1 / (1 + math.exp(-float(np.dot(x, model.weights)))))
+        assert (scorer.score(" ".join(words)) >= 0.3) == ("nincompoop" in " ".join(words))
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    docs, labels = rated(spark, 150)
+    from pyspark.sql import functions as F
+
+    longer = docs.withColumn("text", F.concat("text", F.repeat(F.lit(" river stone cloud green"), 2000)))
+    judged = toxicity.judge(longer, labels).join(labels, "doc_id").collect()
+    assert np.mean([r.predicted == r.toxic for r in judged if r.held_out]) > 0.9
