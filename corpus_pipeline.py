@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from rallyframe.llm import mixing, near_dedup, packing, quality_classifier, quality_rules
 from rallyframe.llm.common import table, written
 
-
+#: Documents that share so many of 100 runs of five words are near duplicates here; op10 has a limit of its own.
+NEAR = 80
 #: A hash of the text, beside the columns of documents.
 KEY = "_text_key"
 
@@ -24,18 +25,20 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of a good grade is high enough."""
+    """Documents whose probability of a good grade is high enough. Null or empty text is scored as such; an empty table gives no rows."""
     return quality_classifier.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the word rules and are not depleted by their hosts' boilerplate, without its lines."""
+    """Documents that pass the word rules and are not depleted by their hosts' boilerplate, without its lines. Null or empty
+    text fails the rules; null source is a host of its own; an empty table gives no rows."""
     return quality_rules.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest doc_id; of repeated rows the first stays."""
-    gone = written(near_dedup.cluster(docs).where("not kept").select("doc_id").distinct(), "near-duplicates")
+    """One document of each group linked at NEAR of 100: that of the smallest doc_id; of repeated rows the first stays. Documents
+    without a word, and rows without a doc_id, are alike to none and stay. An empty table gives no rows."""
+    gone = written(near_dedup.cluster(docs, NEAR).where("not kept").select("doc_id").distinct(), "near-duplicates")
     keyed = docs.join(gone, "doc_id", "left_anti").withColumn(KEY, F.xxhash64("text"))
     again = keyed.where("doc_id is not null").groupBy("doc_id", KEY).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", KEY)
     again = written(again, "repeated-rows")
@@ -44,12 +47,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in as many copies as the mixture takes."""
+    """Documents in as many copies as the mixture takes. Null source: a source of its own; null text: size 0. Rows without a doc_id
+    are mixed like others; an empty table gives no rows."""
     return mixing.emit(mixing.mix(docs)).select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences. Null or empty text: one piece of one token; an empty table gives no rows."""
     return packing.pack(docs)
 
 
