@@ -192,7 +192,7 @@ def build_camera(image: np.ndarray, world: np.ndarray, width: int, height: int,
         turn = np.diag([-1.0, -1.0, 1.0])
         t = r @ np.array([COURT_WIDTH, COURT_LENGTH, 0.0]) + t
         r = r @ turn
-    return Camera(k, r, t, stable, float(np.abs(error(x)).mean()))
+    return Camera(k, r, t, stable, float(np.linalg.norm(error(x).reshape(-1, 2), axis=1).mean()))
 
 
 def triangulate(pa: np.ndarray, pb: np.ndarray, uva: np.ndarray, uvb: np.ndarray) -> np.ndarray:
@@ -221,19 +221,22 @@ def triangulated(a: Camera, b: Camera, max_reproj_px: float = 40.0, sigma: float
     @F.pandas_udf("struct<x: double, y: double, z: double, std: array<double>, reproj_px: double>")
     def run(ua: pd.Series, va: pd.Series, ub: pd.Series, vb: pd.Series) -> pd.DataFrame:
         uva, uvb = np.c_[ua, va].astype(float), np.c_[ub, vb].astype(float)
-        out = pd.DataFrame({"x": [None] * len(ua), "y": None, "z": None, "std": None, "reproj_px": None}, dtype=object)
+        out = {c: np.full(len(ua), np.nan) for c in ("x", "y", "z", "reproj_px")}
+        spread = np.full(len(ua), None)
         good = np.flatnonzero(np.isfinite(uva).all(1) & np.isfinite(uvb).all(1))
         if len(good):
             uva, uvb = uva[good], uvb[good]
             xyz = triangulate(pa, pb, uva, uvb)
             error = np.maximum(np.linalg.norm(project(pa, xyz) - uva, axis=1), np.linalg.norm(project(pb, xyz) - uvb, axis=1))
             std = triangulation_std(pa, pb, uva, uvb, sigma)
-            for i in np.flatnonzero(error <= max_reproj_px):
-                out.loc[good[i]] = [*xyz[i], list(std[i]), error[i]]
-        return out
+            near = error <= max_reproj_px
+            out["x"][good[near]], out["y"][good[near]], out["z"][good[near]] = xyz[near].T
+            out["reproj_px"][good[near]] = error[near]
+            spread[good[near]] = list(std[near])
+        return pd.DataFrame({"x": out["x"], "y": out["y"], "z": out["z"], "std": spread, "reproj_px": out["reproj_px"]})
 
     def column(ua: Column, va: Column, ub: Column, vb: Column) -> Column:
         s = run(ua, va, ub, vb)
-        return F.when(s["reproj_px"].isNotNull(), s)
+        return F.when(s["std"].isNotNull(), s)
 
     return column

@@ -1,7 +1,7 @@
 """Ordered work on clips: rows of a clip go to one task in frame order.
 
 The unit of state is a clip, and clips run in parallel. A clip's rows are handed over as one pandas frame, sorted
-by frame; per-row code is a small step on a few numbers."""
+by frame; per-row code is a small step on a few numbers. What it gives goes back as Arrow columns."""
 
 from __future__ import annotations
 
@@ -10,32 +10,26 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def per_clip(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.DataFrame], Iterable[tuple[Any, ...]]], schema: str) -> DataFrame:
     """`fold` takes a clip's sorted rows and gives rows of `schema` behind the keys."""
-    key_schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    names = keys + [c.strip().split()[0] for c in _split(schema)]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        key = [pdf[k].iloc[0] for k in keys]
-        out = pd.DataFrame([(*key, *row) for row in fold(pdf)], columns=names)
-        return out.astype(object).where(out.notna(), None) if len(out) else out
-
-    return df.groupBy(*keys).applyInPandas(run, f"{key_schema}, {schema}")
-
-
-def _split(schema: str) -> list[str]:
-    """Columns of a schema string; commas inside brackets belong to their column."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append(schema[start:i])
-            start = i + 1
-    return [*out, schema[start:]]
+    kinds = dict(df.dtypes)
+    full = ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema])
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(full)]
+
+    def run(clip: pa.Table) -> pa.Table:
+        pdf = clip.to_pandas().sort_values(order, kind="stable", ignore_index=True)
+        columns = list(zip(*fold(pdf), strict=True)) or [()] * (len(fields) - len(keys))
+        key = [clip.column(k)[0].as_py() for k in keys]
+        n = len(columns[0])
+        return pa.table({name: pa.array([k] * n, kind) for k, (name, kind) in zip(key, fields, strict=False)} | {name: pa.array(c, kind, from_pandas=True) for c, (name, kind) in zip(columns, fields[len(keys) :], strict=True)})
+
+    return df.groupBy(*keys).applyInArrow(run, full)
 
 
 def stretches(frames: pd.Series) -> list[tuple[int, int, int]]:

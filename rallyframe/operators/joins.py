@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import pandas as pd
@@ -70,21 +71,24 @@ def match_events(predicted: DataFrame, truth: DataFrame, tolerance: int, keys: l
     rows = predicted.select(*keys, "frame", F.lit(True).alias("_pred")).unionByName(truth.select(*keys, "frame", F.lit(False).alias("_pred")))
 
     def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
-        free = sorted(pdf.loc[~pdf["_pred"], "frame"])
-        for f in sorted(pdf.loc[pdf["_pred"], "frame"]):
-            near = [t for t in free if abs(t - f) <= tolerance]
-            if near:
-                t = min(near, key=lambda t: (abs(t - f), t))
-                free.remove(t)
-                yield (int(f), int(t))
-            else:
-                yield (int(f), None)
+        free = sorted(pdf.loc[~pdf["_pred"], "frame"].tolist())
+        for f in sorted(pdf.loc[pdf["_pred"], "frame"].tolist()):
+            k = bisect_left(free, f)
+            near = [i for i in (k - 1, k) if 0 <= i < len(free) and abs(free[i] - f) <= tolerance]
+            yield (f, free.pop(min(near, key=lambda i: (abs(free[i] - f), i))) if near else None)
         for t in free:
-            yield (None, int(t))
+            yield (None, t)
 
     return per_clip(rows, keys, ["frame"], fold, "pred_frame int, true_frame int")
 
 
+def with_places(matches: DataFrame, predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Matches (of `match_events`) with the places and calls of both sides: x_m, y_m and in_court with the prefixes
+    pred_ and true_. An event's frame is its key."""
+    side = lambda rows, name: rows.select(*keys, F.col("frame").alias(f"{name}_frame"), *(F.col(c).alias(f"{name}_{c}") for c in ("x_m", "y_m", "in_court")))
+    return matches.join(side(predicted, "pred"), [*keys, "pred_frame"], "left").join(side(truth, "true"), [*keys, "true_frame"], "left")
+
+
 def band_pairs(a: DataFrame, b: DataFrame, tolerance: int, keys: list[str]) -> DataFrame:
     """All pairs of frames within the tolerance, as an equi-join: frames are cut in bands as wide as the tolerance, and
     each row of `b` looks into its own band and the two beside it."""

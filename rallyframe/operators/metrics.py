@@ -92,10 +92,17 @@ def distance_stats(records: DataFrame, column: str, keys: list[str]) -> DataFram
 
 
 def match_report(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """Recall, precision, f1 and timing of matched events (rows of `match_events`)."""
+    """Recall, precision, f1 and timing of matched events (rows of `match_events`). With places (rows of `with_places`) also
+    how far matched events land from one another, and how often both are called in or out alike."""
     both = F.col("pred_frame").isNotNull() & F.col("true_frame").isNotNull()
     late = F.when(both, F.abs(F.col("pred_frame") - F.col("true_frame")))
-    out = matches.groupBy(*keys).agg(F.count_if(both).alias("tp"), F.count_if(F.col("true_frame").isNull()).alias("fp"), F.count_if(F.col("pred_frame").isNull()).alias("fn"), F.percentile(late, F.lit(0.5)).alias("timing_median"), F.max(late).alias("timing_max"))
+    more = []
+    if "pred_x_m" in matches.columns:
+        dx, dy = F.col("pred_x_m") - F.col("true_x_m"), F.col("pred_y_m") - F.col("true_y_m")
+        off = F.when(both, F.sqrt(dx * dx + dy * dy))
+        alike = F.when(both, (F.col("pred_in_court") == F.col("true_in_court")).cast("int"))
+        more = [F.count(off).alias("n_landing"), rounded(F.percentile(off, F.lit(0.5)), 2).alias("landing_median_m"), rounded(F.max(off), 2).alias("landing_max_m"), F.count(alike).alias("n_in_out"), rounded(100 * F.avg(alike), 1).alias("in_out_agreement_pct")]
+    out = matches.groupBy(*keys).agg(F.count_if(both).alias("tp"), F.count_if(F.col("true_frame").isNull()).alias("fp"), F.count_if(F.col("pred_frame").isNull()).alias("fn"), F.percentile(late, F.lit(0.5)).alias("timing_median"), F.max(late).alias("timing_max"), *more)
     precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return out.withColumns({"precision": rounded(precision, 4), "recall": rounded(recall, 4), "f1": rounded(f1(precision, recall), 4)})
 
@@ -110,6 +117,22 @@ def eval_summary(log: DataFrame, warmup: Column, keys: list[str]) -> DataFrame:
     )
 
 
+EVENT_TYPES = ("floor_bounce", "wall_bounce", "hit")
+
+
+def event_counts(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Events by type."""
+    return events.groupBy(*keys).agg(F.count("*").alias("n_events"), *(F.count_if(F.col("type") == t).alias(f"n_{t}") for t in EVENT_TYPES))
+
+
+def longest_miss(log: DataFrame, warmup: Column, keys: list[str]) -> DataFrame:
+    """The most rows in a row, in order of frames, without a ball; rows of the warm-up neither count nor end a run."""
+    w = Window.partitionBy(*keys).orderBy("frame")
+    hits = F.count_if("found").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = log.where(~warmup).withColumn("_run", hits).where(~F.col("found")).groupBy(*keys, "_run").agg(F.count("*").alias("n"))
+    return log.select(*keys).distinct().join(runs.groupBy(*keys).agg(F.max("n").alias("longest_miss")), keys, "left").withColumn("longest_miss", F.coalesce("longest_miss", F.lit(0)))
+
+
 def height_stats(points: DataFrame, keys: list[str], column: str = "z") -> DataFrame:
     z = F.col(column)
     return points.groupBy(*keys).agg(F.min(z).alias("z_min"), F.percentile(z, F.lit(0.5)).alias("z_median"), F.max(z).alias("z_max"), (100 * F.avg((z < -0.05).cast("int"))).alias("pct_below"), (100 * F.avg((z > 6).cast("int"))).alias("pct_high"))
@@ -134,6 +157,35 @@ def speed_percentiles(speeds: DataFrame, keys: list[str], column: str, levels: t
     return out.select(*keys, *(F.col("_p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(levels)))
 
 
+def audit_summary(audit: DataFrame, keys: list[str], guard: int = 4, slow: tuple[int, ...] = (500, 1000, 2000), apex_slow: float = 600.0, apex_fast: float = 1500.0, reach: int = 8) -> DataFrame:
+    """Counts over rows of `case_audit`. An episode is a run of rows of one kind. Slow play is tracked and measured, under a
+    speed, and away from events; an apex is slow play with fast play up to `reach` rows before and after."""
+    w = Window.partitionBy(*keys).orderBy("frame")
+    near = F.max(F.col("event").isNotNull()).over(w.rangeBetween(-guard, guard))
+    sure = F.col("measured") & F.col("tracking")
+    fastest = lambda a, b: F.coalesce(F.max(F.when(sure, F.col("speed"))).over(w.rowsBetween(a, b)), num(0))
+    rows = audit.withColumn("_play", sure & ~near)
+    flags = {"two_moving": F.col("two_moving"), "danger": F.col("static_while_fast")}
+    flags |= {f"under_{s}": F.col("_play") & (F.col("speed") > 0) & (F.col("speed") < s) for s in slow}
+    flags["apex"] = F.col("_play") & (F.col("speed") > 0) & (F.col("speed") < apex_slow) & (fastest(-reach, -1) >= apex_fast) & (fastest(1, reach) >= apex_fast)
+    rows = rows.withColumns({f"_{n}": f for n, f in flags.items()})
+    rows = rows.withColumns({f"_{n}_begins": F.col(f"_{n}") & ~F.coalesce(F.lag(f"_{n}").over(w), F.lit(False)) for n in flags})
+    levels = F.percentile(F.when(F.col("_play"), F.col("speed")), F.array(*map(num, (0.05, 0.1, 0.25, 0.5))))
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_frames"),
+        F.count_if("measured").alias("n_with_ball"),
+        F.count("event").alias("n_events"),
+        F.sum("n_suppressed").alias("n_suppressed"),
+        F.count_if("_play").alias("n_play"),
+        *(F.count_if(f"_{n}").alias(f"{n}_frames") for n in flags),
+        *(F.count_if(f"_{n}_begins").alias(f"{n}_episodes") for n in flags),
+        levels.alias("_p"),
+    )
+    share = {f"under_{s}_pct": rounded(100 * F.col(f"under_{s}_frames") / F.greatest(F.col("n_play"), F.lit(1)), 2) for s in slow}
+    share["two_moving_pct"] = rounded(100 * F.col("two_moving_frames") / F.greatest(F.col("n_frames"), F.lit(1)), 2)
+    return out.withColumns(share | {f"speed_p{q}": rounded(F.col("_p")[i], 1) for i, q in enumerate((5, 10, 25, 50))}).drop("_p")
+
+
 def source_counts(frames: DataFrame, keys: list[str]) -> DataFrame:
     n = F.count("*")
     return frames.groupBy(*keys).agg(*(F.count_if(F.col("source") == s).alias(f"n_{s.replace('-', '_')}") for s in ("both", "side-1", "side-2", "lost")), rounded(100 * F.count_if(F.col("source") != "lost") / n, 2).alias("pct_connected"))
@@ -147,7 +199,9 @@ def modal_source(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
 
 
 def held_out(items: list[int], share: float = 0.15, seed: int = 0) -> set[int]:
-    """The validation part of an index list by a seeded shuffle; at least one, never all."""
+    """The validation part of an index list by a seeded shuffle; at least one, never all but where there is one only."""
+    if len(items) < 2:
+        return set(items)
     order = list(range(len(items)))
     random.Random(seed).shuffle(order)
     n = min(max(1, int(len(items) * share)), len(items) - 1)

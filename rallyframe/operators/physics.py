@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.cameras import project
 from ..functions.geometry import Matrix
 from ..schemas import GRAVITY, EkfConfig
 from .clips import none, per_clip
@@ -56,41 +55,54 @@ def cusps(points: DataFrame, keys: list[str], prominence: float = 80.0, distance
     return per_clip(points, keys, ["frame"], fold, "frame int")
 
 
+#: Variances (square metres) of a floor contact's place, and of the pull back between floor and ceiling.
+ANCHOR_VARIANCE = np.array([0.05, 0.05, 0.02])
+CLAMP_VARIANCE = 0.05
+_AXES = np.eye(3, 6)
+
+
 class Ekf:
-    """Position and velocity; gravity is known."""
+    """Position and velocity; gravity is known. Measurements have independent noise, so each of their numbers is a
+    correction of its own and nothing is inverted."""
 
     def __init__(self, cfg: EkfConfig, p: np.ndarray, dt: float, at: list[float]):
         self.cfg, self.p = cfg, p
         self.s, self.c = np.array([*at, 0.0, 0.0, 0.0]), np.diag(cfg.p0)
         self.f = np.eye(6)
         self.f[:3, 3:] = dt * np.eye(3)
-        self.dt = dt
+        self.fall = np.array([0.0, 0.0, -0.5 * GRAVITY * dt**2, 0.0, 0.0, -GRAVITY * dt])
         self.q = np.diag([cfg.q_pos, cfg.q_pos, cfg.q_pos_z, cfg.q_vel, cfg.q_vel, cfg.q_vel_z])
 
     def predict(self) -> None:
-        self.s = self.f @ self.s
-        self.s[2] -= 0.5 * GRAVITY * self.dt**2
-        self.s[5] -= GRAVITY * self.dt
+        self.s = self.f @ self.s + self.fall
         self.c = self.f @ self.c @ self.f.T + self.q
 
-    def update(self, h: np.ndarray, innovation: np.ndarray, r: np.ndarray) -> None:
-        gain = self.c @ h.T @ np.linalg.inv(h @ self.c @ h.T + r)
-        self.s = self.s + gain @ innovation
-        self.c = (np.eye(6) - gain @ h) @ self.c
+    def update(self, rows: list[tuple[np.ndarray, float, float]]) -> None:
+        """(direction, innovation at the state before all of them, variance) of each number."""
+        before = self.s
+        for h, innovation, variance in rows:
+            ch = self.c @ h
+            gain = ch / (h @ ch + variance)
+            self.s = self.s + gain * (innovation - h @ (self.s - before))
+            self.c = self.c - gain[:, None] * ch
 
     def see_2d(self, u: float, v: float, confidence: float) -> None:
-        here, eps = project(self.p, self.s[:3]), 1e-3
-        h = np.zeros((2, 6))
-        for i in range(3):
-            h[:, i] = (project(self.p, self.s[:3] + eps * np.eye(3)[i]) - here) / eps
-        if np.isfinite(here).all() and np.isfinite(h).all():
-            self.update(h, np.array([u, v]) - here, np.eye(2) * self.cfg.meas_px**2 / max(confidence, 0.05))
+        x, y, w = self.p[:, :3] @ self.s[:3] + self.p[:, 3]
+        if not w or not np.isfinite([x, y, w]).all():
+            return
+        variance = self.cfg.meas_px**2 / max(confidence, 0.05)
+        slope = np.zeros((2, 6))
+        slope[0, :3], slope[1, :3] = (self.p[0, :3] - x / w * self.p[2, :3]) / w, (self.p[1, :3] - y / w * self.p[2, :3]) / w
+        self.update([(slope[0], u - x / w, variance), (slope[1], v - y / w, variance)])
+
+    def see_place(self, xyz: np.ndarray, variance: np.ndarray) -> None:
+        self.update([(_AXES[i], xyz[i] - self.s[i], variance[i]) for i in range(3)])
 
     def see_3d(self, xyz: np.ndarray, std: np.ndarray) -> None:
-        self.update(np.eye(3, 6), xyz - self.s[:3], np.diag(np.maximum(std, 0.05) ** 2))
+        self.see_place(xyz, np.maximum(std, 0.05) ** 2)
 
     def anchor(self, x: float, y: float) -> None:
-        self.update(np.eye(3, 6), np.array([x, y, 0.0]) - self.s[:3], np.diag([0.05**2] * 3))
+        self.see_place(np.array([x, y, 0.0]), ANCHOR_VARIANCE)
 
     def flip(self) -> None:
         self.s[5] = abs(self.cfg.restitution * self.s[5])
@@ -98,23 +110,22 @@ class Ekf:
     def clamp(self) -> None:
         z = min(max(self.s[2], 0.0), self.cfg.z_max)
         if z != self.s[2]:
-            h = np.zeros((1, 6))
-            h[0, 2] = 1
-            self.update(h, np.array([z - self.s[2]]), np.array([[0.05]]))
+            self.update([(_AXES[2], z - self.s[2], CLAMP_VARIANCE)])
 
 
 def smooth(forward: list[dict], f: np.ndarray, z_max: float) -> list[np.ndarray]:
-    """Backwards over a clip; the chain breaks where the next row is a bounce. z ends within [0, z_max]."""
+    """Backwards over a clip; the chain breaks where the next row is a bounce. z ends within [0, z_max]. The gains of all
+    rows are worked out together."""
     states = [r["post"].copy() for r in forward]
-    for k in range(len(forward) - 2, -1, -1):
-        after = forward[k + 1]
-        if after["break"]:
-            continue
-        try:
-            gain = forward[k]["post_c"] @ f.T @ np.linalg.inv(after["prior_c"])
-        except np.linalg.LinAlgError:
-            continue
-        states[k] = states[k] + gain @ (states[k + 1] - after["prior"])
+    if len(forward) > 1:
+        post, prior = np.stack([r["post_c"] for r in forward[:-1]]), np.stack([r["prior_c"] for r in forward[1:]])
+        sound = np.linalg.matrix_rank(prior) == 6
+        prior[~sound] = np.eye(6)
+        gains = post @ f.T @ np.linalg.inv(prior)
+        for k in range(len(forward) - 2, -1, -1):
+            after = forward[k + 1]
+            if sound[k] and not after["break"]:
+                states[k] = states[k] + gains[k] @ (states[k + 1] - after["prior"])
     for s in states:
         s[2] = min(max(s[2], 0.0), z_max)
     return states

@@ -27,21 +27,36 @@ def cell_cost(dist_m: Column, color: Column, fresh: Column, cfg: IdentityConfig
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of the least total, as many as the shorter side. Rows are few: columns are gone through one by
-    one, with the best way so far to have given columns to each set of rows."""
+    """Pairs (row, column) of the least total, as many as the shorter side. Each row is given a column by the cheapest
+    chain of moves of the rows before it, under prices that keep all reduced costs from falling below 0."""
+    if cost.shape[0] > cost.shape[1]:
+        return sorted((i, j) for j, i in assign(cost.T))
     rows, columns = cost.shape
-    best: dict[int, tuple[float, tuple[tuple[int, int], ...]]] = {0: (0.0, ())}
-    for j, column in enumerate(cost.T.tolist()):
-        new = dict(best)
-        for taken, (total, pairs) in best.items():
-            for i in range(rows):
-                if not taken >> i & 1:
-                    at, more = taken | 1 << i, total + column[i]
-                    if at not in new or more < new[at][0]:
-                        new[at] = (more, (*pairs, (i, j)))
-        best = new
-    full = min(rows, columns)
-    return sorted(min((v for k, v in best.items() if k.bit_count() == full), key=lambda v: v[0])[1])
+    of_row, of_column = np.zeros(rows), np.zeros(columns)  # prices
+    row_of = np.full(columns, -1)
+    for row in range(rows):
+        least, back, done = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
+        at, column, base = row, -1, 0.0
+        while True:
+            way = base + cost[at] - of_row[at] - of_column
+            nearer = ~done & (way < least)
+            least[nearer], back[nearer] = way[nearer], column
+            column = int(np.where(done, np.inf, least).argmin())
+            base, done[column] = least[column], True
+            if row_of[column] < 0:
+                break
+            at = row_of[column]
+        settled = np.flatnonzero(done)
+        of_row[row] += base
+        for j in settled:
+            if row_of[j] >= 0:
+                of_row[row_of[j]] += base - least[j]
+            of_column[j] -= base - least[j]
+        while column >= 0:
+            before = back[column]
+            row_of[column] = row_of[before] if before >= 0 else row
+            column = before
+    return sorted((int(row_of[j]), int(j)) for j in np.flatnonzero(row_of >= 0))
 
 
 @dataclass
@@ -103,24 +118,44 @@ class Identities:
         return out
 
 
+def _with_profiles(detections: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Profiles (keys, player_id, hist, x, y) as rows of frame -1 before the detections."""
+    return detections.select(*keys, "frame", "det_idx", "x", "y", "hist").unionByName(profiles.select(*keys, F.lit(-1).alias("frame"), F.col("player_id").alias("det_idx"), "x", "y", "hist"))
+
+
+def _identified(pdf: pd.DataFrame, cfg: IdentityConfig, state: list[Identities]) -> Iterable[tuple]:
+    """Rows of `identify` for a match; its state is put into `state`."""
+    array = lambda h: None if h is None else np.asarray(h, float)
+    known = pdf[pdf["frame"] == -1]
+    state.append(Identities(cfg, {int(r.det_idx): Profile(array(r.hist), None if none(r.x) is None else (r.x, r.y)) for r in known.itertuples(index=False)}))
+    seen = pdf[pdf["frame"] >= 0]
+    index = seen["det_idx"].tolist()
+    rows = [(none(x), none(y), array(h)) for x, y, h in zip(seen["x"].tolist(), seen["y"].tolist(), seen["hist"].tolist(), strict=True)]
+    for frame, first, last in stretches(seen["frame"]):
+        for j, player, cost, d, color, again in state[0].step(frame, rows[first:last]):
+            yield (frame, index[first + j], player, cost, d, color, again)
+
+
 def identify(detections: DataFrame, profiles: DataFrame, keys: list[str], cfg: IdentityConfig = IdentityConfig()) -> DataFrame:
     """Give detections (keys, frame, det_idx, x, y, hist) to the profiles of their match (keys, player_id, hist, x, y).
 
     A profile without colour and place can't be matched. Places of earlier runs count as stale."""
-    rows = detections.select(*keys, "frame", "det_idx", "x", "y", "hist").unionByName(profiles.select(*keys, F.lit(-1).alias("frame"), F.col("player_id").alias("det_idx"), "x", "y", "hist"))
+    schema = "frame int, det_idx int, player_id int, cost double, pos_dist_m double, color_dist double, reentry boolean"
+    return per_clip(_with_profiles(detections, profiles, keys), keys, ["frame", "det_idx"], lambda pdf: _identified(pdf, cfg, []), schema)
+
+
+def identity_states(detections: DataFrame, profiles: DataFrame, keys: list[str], cfg: IdentityConfig = IdentityConfig()) -> DataFrame:
+    """Profiles of each match after its last frame: (keys, player_id, hist, x, y, last_seen, state), as `identify` leaves them.
+    They can be the profiles of a later run."""
 
     def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
-        array = lambda h: None if h is None else np.asarray(h, float)
-        known = pdf[pdf["frame"] == -1]
-        state = Identities(cfg, {int(r.det_idx): Profile(array(r.hist), None if none(r.x) is None else (r.x, r.y)) for r in known.itertuples(index=False)})
-        seen = pdf[pdf["frame"] >= 0]
-        index = seen["det_idx"].tolist()
-        rows = [(none(x), none(y), array(h)) for x, y, h in zip(seen["x"].tolist(), seen["y"].tolist(), seen["hist"].tolist(), strict=True)]
-        for frame, first, last in stretches(seen["frame"]):
-            for j, player, cost, d, color, again in state.step(frame, rows[first:last]):
-                yield (frame, index[first + j], player, cost, d, color, again)
+        state: list[Identities] = []
+        for _ in _identified(pdf, cfg, state):
+            pass
+        for k, p in sorted(state[0].profiles.items()):
+            yield (k, None if p.hist is None else p.hist.tolist(), *(p.pos or (None, None)), p.last, "missing" if p.missing else "active")
 
-    return per_clip(rows, keys, ["frame", "det_idx"], fold, "frame int, det_idx int, player_id int, cost double, pos_dist_m double, color_dist double, reentry boolean")
+    return per_clip(_with_profiles(detections, profiles, keys), keys, ["frame", "det_idx"], fold, "player_id int, hist array<double>, x double, y double, last_seen int, state string")
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,8 +166,8 @@ def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def track_players(boxes: DataFrame, keys: list[str], high: float = 0.25, low: float = 0.1, lost: int = 30, overlap: float = 0.2) -> DataFrame:
-    """Tracks by the two rounds of ByteTrack: sure boxes are linked first, then unsure ones to what is left, by overlap
-    with where a track is expected (its last box moved on by its velocity). Unlinked sure boxes begin tracks; tracks
+    """Tracks by the two rounds of ByteTrack: sure boxes are linked first, then unsure ones to what is left, by the largest
+    total overlap with where a track is expected (its last box moved on by its velocity). Unlinked sure boxes begin tracks; tracks
     end after `lost` frames. `boxes`: keys, frame, det_idx, x1, y1, x2, y2, conf; frames without boxes just pass."""
 
     def link(tracks: list[dict], found: np.ndarray, frame: int) -> list[tuple[int, int]]:
@@ -140,13 +175,10 @@ def track_players(boxes: DataFrame, keys: list[str], high: float = 0.25, low: fl
             return []
         expected = np.array([t["box"] + t["velocity"] * (frame - t["frame"]) for t in tracks])
         share = _overlaps(expected, found)
-        pairs, rows, columns = [], set(), set()
-        for i, j in sorted(zip(*np.nonzero(share >= overlap), strict=True), key=lambda p: (-share[p], p)):
-            if i not in rows and j not in columns:
-                rows.add(i)
-                columns.add(j)
-                pairs.append((int(i), int(j)))
-        return pairs
+        share[share < overlap] = 0
+        rows, columns = np.flatnonzero(share.any(1)), np.flatnonzero(share.any(0))
+        pairs = assign(-share[np.ix_(rows, columns)]) if len(rows) else []
+        return [(int(rows[i]), int(columns[j])) for i, j in pairs if share[rows[i], columns[j]] > 0]
 
     def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
         tracks: list[dict] = []

@@ -146,7 +146,7 @@ def segment_stats(points: DataFrame, segments: DataFrame, keys: list[str]) -> Da
 def ballistic_arcs(segments: DataFrame, contacts: DataFrame, fps: float, keys: list[str]) -> DataFrame:
     """Points of the arcs between two floor contacts: straight in x and y, a parabola in z under gravity.
 
-    `contacts`: keys, frame, x_m, y_m. Segments without a contact at both ends have no arc."""
+    `contacts`: keys, frame, x_m, y_m. Segments without a contact at both ends have no points; `segment_arcs` names them open."""
     both = segments.where("start_type = 'floor_bounce' and end_type = 'floor_bounce' and end_frame > start_frame")
     at = lambda side: contacts.select(*keys, F.col("frame").alias(f"{side}_frame"), F.col("x_m").alias(f"{side}_x"), F.col("y_m").alias(f"{side}_y"))
     both = both.join(at("start"), [*keys, "start_frame"]).join(at("end"), [*keys, "end_frame"])
@@ -157,6 +157,19 @@ def ballistic_arcs(segments: DataFrame, contacts: DataFrame, fps: float, keys: l
     return rows.select(*keys, "seg_id", "frame", (F.col("start_x") + (F.col("end_x") - F.col("start_x")) * share).alias("x_m"), (F.col("start_y") + (F.col("end_y") - F.col("start_y")) * share).alias("y_m"), z.alias("z_m"), (num(GRAVITY) * total * total / 8).alias("apex_m"))
 
 
+def segment_arcs(segments: DataFrame, contacts: DataFrame, keys: list[str]) -> DataFrame:
+    """Arcs of every segment: one between each two neighbouring floor contacts inside it (`kind` anchored), or one over the
+    whole segment where there are fewer than two (open). `contacts`: keys, frame.
+
+    Gives (keys, seg_id, arc_id, start_frame, end_frame, kind)."""
+    inside = segment_points(contacts.select(*keys, "frame").distinct(), segments.select(*keys, "seg_id", "start_frame", "end_frame"), keys)
+    w = Window.partitionBy(*keys, "seg_id").orderBy("frame")
+    pairs = inside.select(*keys, "seg_id", F.col("frame").alias("start_frame"), F.lead("frame").over(w).alias("end_frame"), (F.row_number().over(w) - 1).alias("arc_id")).where("end_frame is not null")
+    anchored = pairs.select(*keys, "seg_id", "arc_id", "start_frame", "end_frame", F.lit("anchored").alias("kind"))
+    rest = segments.join(pairs.select(*keys, "seg_id").distinct(), [*keys, "seg_id"], "left_anti")
+    return anchored.unionByName(rest.select(*keys, "seg_id", F.lit(0).alias("arc_id"), "start_frame", "end_frame", F.lit("open").alias("kind")))
+
+
 def floor_contacts(points: DataFrame, events: DataFrame, homography: Matrix, keys: list[str]) -> DataFrame:
     """Where floor bounces touch: the event's metres, else the track's point through the homography."""
     x, y = transform_point(homography, F.col("u"), F.col("v"))

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import num, rounded
+from ..functions.geometry import Polygon, in_region, num, rounded
+from .courts import blob_reason
 
 
 def motion_energy(gray: DataFrame, keys: list[str], stride: int = 10) -> DataFrame:
@@ -100,6 +101,21 @@ def detect_in_heatmaps(frames: DataFrame, keys: list[str], net: tuple[int, int],
     return frames.select(*keys, "heatmap").mapInPandas(run, schema)
 
 
+def ball_in_heatmaps(frames: DataFrame, keys: list[str], net: tuple[int, int], full: tuple[int, int], crop: tuple[int, int, int, int] | None = None, region: Polygon = (), margin: float = 0.0, threshold: float = 0.5, least_area: int = 2, most_area: int = 0) -> DataFrame:
+    """One row a frame: found, u, v, confidence and reason (ok, no-ball, out-of-court).
+
+    The surest blob inside the region (dilated by the margin) is the ball; blobs of a crop of the full picture (x0, y0, x1,
+    y1) are mapped back into it. Without one the confidence is the heatmap's peak."""
+    x0, y0, x1, y1 = crop or (0, 0, *full)
+    blobs = detect_in_heatmaps(frames, keys, net, (x1 - x0, y1 - y0), threshold, least_area, most_area).withColumns({"u": F.col("u") + num(x0), "v": F.col("v") + num(y0)})
+    blobs = blobs.withColumn("_in", in_region(region, F.col("u"), F.col("v"), margin))
+    found = blobs.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("_in").alias("_n_in"), F.min_by(F.struct("u", "v", "confidence"), F.when(F.col("_in"), F.col("cand_idx"))).alias("_b"))
+    peaks_ = frames.select(*keys, F.array_max(F.transform("heatmap", F.array_max)).cast("double").alias("_peak"))
+    rows = peaks_.join(found, keys, "left").withColumn("reason", blob_reason(F.col("_peak"), F.coalesce("_n", F.lit(0)), F.coalesce("_n_in", F.lit(0)), threshold))
+    ok = F.col("reason") == "ok"
+    return rows.select(*keys, ok.alias("found"), *(F.when(ok, F.col(f"_b.{c}")).alias(c) for c in "uv"), F.when(ok, F.col("_b.confidence")).otherwise(F.col("_peak")).alias("confidence"), "reason")
+
+
 def heatmap_hits(frames: DataFrame, tolerance: float) -> DataFrame:
     """Whether a heatmap's peak lies within the tolerance of the target (tx, ty), in network pixels."""
     row_max = F.transform("heatmap", lambda r: F.array_max(r))

@@ -198,6 +198,10 @@ class Blob:
     recent: list[tuple[float, float]] = field(default_factory=list)
     box: list[float] = field(default_factory=list)
 
+    @property
+    def life(self) -> int:
+        return self.last - self.first + 1
+
     def seen(self, frame: int, u: float, v: float) -> None:
         self.u, self.v, self.last = u, v, frame
         self.recent = [*self.recent[-4:], (u, v)]
@@ -233,6 +237,7 @@ class Suppressor:
                 moved = math.hypot(u - b.u, v - b.v)
                 b.streak = b.streak + 1 if moved <= c.still_px else 0
                 b.u, b.v, b.last = u, v, frame
+        for b in self.blobs:  # after all candidates are linked
             if b.centre is None and b.streak >= c.min_frames:
                 b.centre = (b.u, b.v)
             elif b.centre is not None and math.hypot(b.u - b.centre[0], b.v - b.centre[1]) >= c.release_px:
@@ -259,38 +264,74 @@ def suppress_parked(candidates: DataFrame, cfg: SuppressConfig = SuppressConfig(
     return per_clip(candidates, keys or ["clip"], ["frame", "cand_idx"], fold, "frame int, cand_idx int, u double, v double, confidence double, kept boolean")
 
 
-AUDIT = "frame int, n_candidates int, n_moving int, any_static boolean, active_speed double, two_moving boolean, static_while_fast boolean"
+AUDIT = "frame int, n_candidates int, n_moving int, n_static int, speed double, measured boolean, tracking boolean, event string, n_suppressed int, two_moving boolean, static_while_fast boolean"
+PARKED = "first_frame int, u double, v double, life int"
+
+
+@dataclass(frozen=True)
+class AuditConfig:
+    moving_px: float = 60.0
+    moving_life: int = 4
+    static_frames: int = 40
+    static_px: float = 28.0
+    fast: float = 400.0
+    far_px: float = 150.0
+
+
+class Tracklets:
+    """Candidates of a clip linked from frame to frame, moving or not."""
+
+    def __init__(self, link: SuppressConfig, cfg: AuditConfig):
+        self.link, self.cfg, self.blobs = link, cfg, []
+
+    def step(self, frame: int, found: list[tuple[float, float, float]]) -> tuple[list[Blob], list[Blob]]:
+        """Of the tracklets seen in this frame those that move, and those that stay."""
+        c = self.cfg
+        self.blobs = [b for b in self.blobs if frame - b.last <= self.link.drop_after]
+        for u, v, _ in found:
+            b = nearest_blob(self.blobs, u, v, self.link.link_px)
+            if b is None:
+                self.blobs.append(b := Blob(u, v, frame, frame))
+            b.seen(frame, u, v)
+        here = [b for b in self.blobs if b.last == frame]
+        moving = [b for b in here if b.life >= c.moving_life and math.hypot(b.recent[-1][0] - b.recent[0][0], b.recent[-1][1] - b.recent[0][1]) >= c.moving_px]
+        static = [b for b in here if b.life >= c.static_frames and max(b.box[2] - b.box[0], b.box[3] - b.box[1]) <= c.static_px]
+        return moving, static
 
 
-def case_audit(candidates: DataFrame, cfg: SuppressConfig = SuppressConfig(), fps: float = 20.0, moving_px: float = 60.0, static_frames: int = 40, static_px: float = 28.0, fast: float = 400.0, far_px: float = 150.0, keys: list[str] | None = None) -> DataFrame:
-    """Per frame: how many tracklets move, whether one stands still, and whether one stands still while the active
-    ball flies fast and far from it."""
+def case_audit(candidates: DataFrame, homography: Matrix | None = None, tracker: TrackerConfig = TrackerConfig(), event: EventConfig = EventConfig(), link: SuppressConfig = SuppressConfig(), cfg: AuditConfig = AuditConfig(), suppress: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Per frame: how many tracklets move or stand still, the tracked ball's speed and event, and whether something stands
+    still while the tracked ball flies fast and far from it. With `suppress` parked blobs are kept from the tracker, but
+    counted."""
 
     def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
-        blobs: list[Blob] = []
-        before: tuple[int, float, float] | None = None
+        tracklets, kalman, events_, parked = Tracklets(link, cfg), Kalman(tracker), Events(event, court_map(homography)), Suppressor(link)
         for frame, found in _frames(pdf):
-            blobs = [b for b in blobs if frame - b.last <= cfg.drop_after]
-            for u, v, _ in found:
-                b = nearest_blob(blobs, u, v, cfg.link_px)
-                if b is None:
-                    blobs.append(b := Blob(u, v, frame, frame))
-                b.seen(frame, u, v)
-            here = [b for b in blobs if b.last == frame]
-            moving = [b for b in here if b.last - b.first + 1 >= 4 and math.hypot(b.recent[-1][0] - b.recent[0][0], b.recent[-1][1] - b.recent[0][1]) >= moving_px]
-            static = [b for b in here if b.last - b.first + 1 >= static_frames and max(b.box[2] - b.box[0], b.box[3] - b.box[1]) <= static_px]
-            active = max(found, key=lambda k: k[2])[:2] if found else None
-            velocity = None
-            if active and before and frame > before[0]:
-                velocity = math.hypot(active[0] - before[1], active[1] - before[2]) * fps / (frame - before[0])
-            if active:
-                before = (frame, *active)
-            apart = bool(velocity is not None and velocity >= fast and any(math.hypot(active[0] - b.u, active[1] - b.v) >= far_px for b in static))
-            yield (frame, len(found), len(moving), bool(static), velocity, len(moving) >= 2, apart)
+            kept = [c for c, keep in zip(found, parked.step(frame, found), strict=True) if keep] if suppress else found
+            status, x, y, vx, vy, _, measured, *_ = kalman.step(kept)
+            speed = math.hypot(vx, vy) if x is not None else 0.0
+            happened = events_.step(frame, x, y, vx, vy, measured)
+            moving, static = tracklets.step(frame, found)
+            apart = x is not None and speed >= cfg.fast and any(math.hypot(x - b.u, y - b.v) >= cfg.far_px for b in static)
+            yield (frame, len(found), len(moving), len(static), speed, measured, status == "tracking", happened and happened[1], len(found) - len(kept), len(moving) >= 2, apart)
 
     return per_clip(candidates, keys or ["clip"], ["frame", "cand_idx"], fold, AUDIT)
 
 
+def parked_balls(candidates: DataFrame, link: SuppressConfig = SuppressConfig(), cfg: AuditConfig = AuditConfig(), keys: list[str] | None = None) -> DataFrame:
+    """Each tracklet that ever stood still: its first frame, where it was when that was first seen, its life when last."""
+
+    def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
+        tracklets, seen = Tracklets(link, cfg), {}
+        for frame, found in _frames(pdf):
+            for b in tracklets.step(frame, found)[1]:
+                first = seen.setdefault(id(b), [b, b.first, b.u, b.v, b.life])
+                first[4] = b.life
+        yield from (tuple(row[1:]) for row in seen.values())
+
+    return per_clip(candidates, keys or ["clip"], ["frame", "cand_idx"], fold, PARKED)
+
+
 def with_spine(candidates: DataFrame, frames: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Every frame of `frames` (keys, frame), with a row of nulls where there is no candidate."""
     keys = keys or ["clip"]

@@ -49,17 +49,14 @@ def homography_project(spark, sf):
     return rows.select("clip", "frame", rounded(F.col("x")).alias("x_m"), rounded(F.col("y")).alias("y_m"), G.in_court(F.col("x"), F.col("y")).alias("inside"))
 
 
-@query(f"""WITH {OBS}, m AS (SELECT clip, frame, {X} AS a, {Y} AS b, {W} - 1.3e0 AS w FROM obs WHERE found),
-    p AS (SELECT *, CASE WHEN w > 1e-6 THEN a / w END AS x, CASE WHEN w > 1e-6 THEN b / w END AS y FROM m)
+@query(f"""WITH {OBS}, m AS (SELECT clip, frame, {X} AS a, {Y} AS b, {projected((*H[:8], H[8] - 1.3))[2]} AS w FROM obs WHERE found),
+    p AS (SELECT *, CASE WHEN w > 1e-6 THEN a * (1 / w) END AS x, CASE WHEN w > 1e-6 THEN b * (1 / w) END AS y FROM m)
     SELECT clip, frame, coalesce(abs(x) < 1e5 AND abs(y) < 1e5, false) AS valid,
            CASE WHEN abs(x) < 1e5 AND abs(y) < 1e5 THEN {r('x', 2)} END AS x_m, CASE WHEN abs(x) < 1e5 AND abs(y) < 1e5 THEN {r('y', 2)} END AS y_m FROM p""")
 def projective_validity(spark, sf):
-    a, b, w = G._rows(H, F.col("u"), F.col("v"))
-    rows = observations(spark, sf).where("found").withColumns({"a": a, "b": b, "w": w - 1.3})
-    x, y, valid = G.transform_valid((1, 0, 0, 0, 1, 0, 0, 0, 1), F.col("a") / F.col("w"), F.col("b") / F.col("w"))
-    ahead = F.col("w") > 1e-6
-    valid = F.coalesce(ahead & valid, F.lit(False))
-    return rows.withColumn("valid", valid).select("clip", "frame", "valid", F.when(F.col("valid"), rounded(x, 2)).alias("x_m"), F.when(F.col("valid"), rounded(y, 2)).alias("y_m"))
+    x, y, valid = G.transform_valid((*H[:8], H[8] - 1.3), F.col("u"), F.col("v"))
+    rows = observations(spark, sf).where("found").withColumn("valid", valid)
+    return rows.select("clip", "frame", "valid", F.when(F.col("valid"), rounded(x, 2)).alias("x_m"), F.when(F.col("valid"), rounded(y, 2)).alias("y_m"))
 
 
 @query(f"""WITH {OBS}, m AS (SELECT clip, frame, CASE WHEN clip % 2 = 0 THEN 'A' ELSE 'B' END AS cam, {X} * (1 / {W}) AS x, {Y} * (1 / {W}) AS y FROM obs WHERE found)
@@ -250,17 +247,20 @@ def event_band_pairs(spark, sf):
     return joins.band_pairs(obs.where("event_type = 'click'").drop("event_type"), obs.where("event_type = 'purchase'"), 3, ["clip"])
 
 
-@query(f"""WITH RECURSIVE {OBS}, pred AS (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY frame) AS k FROM obs WHERE event_type = 'click'),
+MATCHES = """pred AS (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY frame) AS k FROM obs WHERE event_type = 'click'),
     truth AS (SELECT clip, list(frame ORDER BY frame) AS frames FROM obs WHERE event_type = 'purchase' GROUP BY clip),
     clips AS (SELECT clip, coalesce(frames, []) AS free FROM (SELECT DISTINCT clip FROM obs WHERE event_type IN ('click', 'purchase')) LEFT JOIN truth USING (clip)),
     walk AS (
         SELECT clip, 0::BIGINT AS k, free, []::STRUCT(f INTEGER, t INTEGER)[] AS made FROM clips
         UNION ALL
-        SELECT w.clip, p.k, list_filter(w.free, lambda t: t IS DISTINCT FROM n.t), list_append(w.made, {{'f': p.frame, 't': n.t}})
-        FROM walk w JOIN pred p ON p.clip = w.clip AND p.k = w.k + 1, LATERAL (SELECT list_sort(list_transform(list_filter(w.free, lambda t: abs(t - p.frame) <= 3), lambda t: {{'d': abs(t - p.frame), 't': t}}))[1].t AS t) n),
+        SELECT w.clip, p.k, list_filter(w.free, lambda t: t IS DISTINCT FROM n.t), list_append(w.made, {'f': p.frame, 't': n.t})
+        FROM walk w JOIN pred p ON p.clip = w.clip AND p.k = w.k + 1, LATERAL (SELECT list_sort(list_transform(list_filter(w.free, lambda t: abs(t - p.frame) <= 3), lambda t: {'d': abs(t - p.frame), 't': t}))[1].t AS t) n),
     ends AS (SELECT * FROM walk QUALIFY k = max(k) OVER (PARTITION BY clip)),
     rows_ AS (SELECT clip, unnest(made) AS m, NULL::INTEGER AS rest FROM ends UNION ALL SELECT clip, NULL, unnest(free) FROM ends),
-    m AS (SELECT clip, m.f AS f, CASE WHEN m IS NULL THEN rest ELSE m.t END AS t FROM rows_),
+    m AS (SELECT clip, m.f AS f, CASE WHEN m IS NULL THEN rest ELSE m.t END AS t FROM rows_)"""
+
+
+@query(f"""WITH RECURSIVE {OBS}, {MATCHES},
     s AS (SELECT clip, count(*) FILTER (f IS NOT NULL AND t IS NOT NULL) AS tp, count(*) FILTER (t IS NULL) AS fp, count(*) FILTER (f IS NULL) AS fn, median(abs(f - t)) AS timing_median, max(abs(f - t)) AS timing_max FROM m GROUP BY clip),
     q AS (SELECT *, tp / nullif(tp + fp, 0)::DOUBLE AS p, tp / nullif(tp + fn, 0)::DOUBLE AS rc FROM s)
     SELECT clip, tp, fp, fn, timing_median, timing_max, {r('p')} AS "precision", {r('rc')} AS recall, {r('2 * p * rc / nullif(p + rc, 0)')} AS f1 FROM q""")
@@ -270,6 +270,18 @@ def bounce_match_report(spark, sf):
     return metrics.match_report(matches, ["clip"])
 
 
+@query(f"""WITH RECURSIVE {OBS}, {MATCHES},
+    p AS (SELECT clip, frame, u / 384e0 AS x, v / 108e0 AS y, CASE WHEN event_id % 5 <> 0 THEN event_id % 3 > 0 END AS inside FROM obs),
+    j AS (SELECT m.clip, f, t, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, (a.inside = b.inside)::INTEGER AS alike FROM m LEFT JOIN p a ON a.clip = m.clip AND a.frame = m.f LEFT JOIN p b ON b.clip = m.clip AND b.frame = m.t)
+    SELECT clip, count(*) FILTER (f IS NOT NULL AND t IS NOT NULL) AS tp, count(d) AS n_landing, {r('median(d)', 2)} AS landing_median_m, {r('max(d)', 2)} AS landing_max_m, count(alike) AS n_in_out, {r('100 * avg(alike)', 1)} AS in_out_agreement_pct FROM j GROUP BY clip""")
+def bounce_landing_report(spark, sf):
+    e = F.col("event_id")
+    obs = observations(spark, sf).withColumns({"x_m": F.col("u") / 384.0, "y_m": F.col("v") / 108.0, "in_court": F.when(e % 5 != 0, e % 3 > 0)})
+    said, true = obs.where("event_type = 'click'"), obs.where("event_type = 'purchase'")
+    out = metrics.match_report(joins.with_places(joins.match_events(said, true, 3, ["clip"]), said, true, ["clip"]), ["clip"])
+    return out.select("clip", "tp", "n_landing", "landing_median_m", "landing_max_m", "n_in_out", "in_out_agreement_pct")
+
+
 @query(f"""WITH {OBS} SELECT f.clip, f.frame FROM obs f WHERE NOT EXISTS (SELECT 1 FROM obs e WHERE e.clip = f.clip AND e.event_type = 'purchase' AND abs(e.frame - f.frame) <= 4)""")
 def event_guard(spark, sf):
     obs = observations(spark, sf).select("clip", "frame", "event_type")
@@ -326,7 +338,7 @@ def player_tracks(spark, sf):
 
 @query()
 def player_fusion(spark, sf):
-    rows = _numbered(boxes(spark, sf)).withColumns({"match": F.floor(F.col("frame") / 2) % 97, "keypoints": F.array(*[F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))] * 17), "frame": (F.floor(F.col("frame") / 2)).cast("int"), "_side": F.col("frame") % 2})
+    rows = _numbered(boxes(spark, sf)).withColumns({"match": F.floor(F.col("frame") / 2000).cast("long"), "keypoints": F.array(*[F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))] * 17), "frame": (F.floor(F.col("frame") / 2)).cast("int"), "_side": F.col("frame") % 2})
     scale = (0.02, 0.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 1.0)
     a = players.court_positions(rows.where("_side = 0"), "A", scale)
     b = players.court_positions(rows.where("_side = 1"), "B", scale)
@@ -405,11 +417,39 @@ def parked_suppress(spark, sf):
     return tracking.suppress_parked(_candidates(spark, sf).union(parked)).select("clip", "frame", "cand_idx", "kept")
 
 
+def _with_parked(spark, sf):
+    """Candidates, with a blob that hardly moves beside the ball."""
+    parked = observations(spark, sf).select("clip", "frame", F.lit(1).alias("cand_idx"), num(500).alias("u"), (num(500) + F.col("frame") % 2).alias("v"), num(0.01).alias("confidence"))
+    return _candidates(spark, sf).union(parked)
+
+
 @query()
 def case_audit(spark, sf):
-    rows = observations(spark, sf)
-    parked = rows.select("clip", "frame", F.lit(1).alias("cand_idx"), num(500).alias("u"), (num(500) + F.col("frame") % 2).alias("v"), num(0.01).alias("confidence"))
-    return tracking.case_audit(_candidates(spark, sf).union(parked))
+    return tracking.case_audit(_with_parked(spark, sf), H, TRACKER, EVENTS)
+
+
+@query()
+def parked_balls(spark, sf):
+    return tracking.parked_balls(_with_parked(spark, sf))
+
+
+AUDIT = """audit AS (SELECT clip, frame, found AS measured, event_id % 11 > 0 AS tracking, (event_id % 97) * 25e0 AS speed, CASE WHEN event_type = 'purchase' THEN 'hit' END AS event, (event_id % 4 = 0)::INTEGER AS n_suppressed,
+    event_id % 7 < 3 AS two_moving, event_id % 5 < 2 AS apart FROM obs)"""
+
+
+@query(f"""WITH {OBS}, {AUDIT}, n AS (SELECT *, measured AND tracking AS sure, measured AND tracking AND NOT coalesce(bool_or(event IS NOT NULL) OVER (PARTITION BY clip ORDER BY frame RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING), false) AS play FROM audit),
+    a AS (SELECT *, play AND speed > 0 AND speed < 500 AS u5, play AND speed > 0 AND speed < 1000 AS u10, play AND speed > 0 AND speed < 2000 AS u20,
+          play AND speed > 0 AND speed < 600 AND coalesce(max(CASE WHEN sure THEN speed END) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 0) >= 1500 AND coalesce(max(CASE WHEN sure THEN speed END) OVER (w ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING), 0) >= 1500 AS apex FROM n WINDOW w AS (PARTITION BY clip ORDER BY frame)),
+    b AS (SELECT *, two_moving AND NOT coalesce(lag(two_moving) OVER w, false) AS b1, apart AND NOT coalesce(lag(apart) OVER w, false) AS b2, u5 AND NOT coalesce(lag(u5) OVER w, false) AS b5, u10 AND NOT coalesce(lag(u10) OVER w, false) AS b10, u20 AND NOT coalesce(lag(u20) OVER w, false) AS b20, apex AND NOT coalesce(lag(apex) OVER w, false) AS ba FROM a WINDOW w AS (PARTITION BY clip ORDER BY frame))
+    SELECT clip, count(*) AS n_frames, count(*) FILTER (measured) AS n_with_ball, count(event) AS n_events, sum(n_suppressed)::BIGINT AS n_suppressed, count(*) FILTER (play) AS n_play,
+        count(*) FILTER (two_moving) AS two_moving_frames, count(*) FILTER (apart) AS danger_frames, count(*) FILTER (u5) AS under_500_frames, count(*) FILTER (u10) AS under_1000_frames, count(*) FILTER (u20) AS under_2000_frames, count(*) FILTER (apex) AS apex_frames,
+        count(*) FILTER (b1) AS two_moving_episodes, count(*) FILTER (b2) AS danger_episodes, count(*) FILTER (b5) AS under_500_episodes, count(*) FILTER (b10) AS under_1000_episodes, count(*) FILTER (b20) AS under_2000_episodes, count(*) FILTER (ba) AS apex_episodes,
+        {r('100 * count(*) FILTER (u5) / greatest(count(*) FILTER (play), 1)::DOUBLE', 2)} AS under_500_pct, {r('100 * count(*) FILTER (u10) / greatest(count(*) FILTER (play), 1)::DOUBLE', 2)} AS under_1000_pct, {r('100 * count(*) FILTER (u20) / greatest(count(*) FILTER (play), 1)::DOUBLE', 2)} AS under_2000_pct, {r('100 * count(*) FILTER (two_moving) / count(*)::DOUBLE', 2)} AS two_moving_pct,
+        {r('quantile_cont(CASE WHEN play THEN speed END, 0.05)', 1)} AS speed_p5, {r('quantile_cont(CASE WHEN play THEN speed END, 0.1)', 1)} AS speed_p10, {r('quantile_cont(CASE WHEN play THEN speed END, 0.25)', 1)} AS speed_p25, {r('quantile_cont(CASE WHEN play THEN speed END, 0.5)', 1)} AS speed_p50 FROM b GROUP BY clip""")
+def case_audit_summary(spark, sf):
+    e = F.col("event_id")
+    rows = observations(spark, sf).select("clip", "frame", F.col("found").alias("measured"), (e % 11 > 0).alias("tracking"), (e % 97 * 25.0).alias("speed"), F.when(F.col("event_type") == "purchase", "hit").alias("event"), (e % 4 == 0).cast("int").alias("n_suppressed"), (e % 7 < 3).alias("two_moving"), (e % 5 < 2).alias("static_while_fast"))
+    return metrics.audit_summary(rows, ["clip"])
 
 
 # --- windows over clips ----------------------------------------------------------------------------
@@ -507,6 +547,15 @@ def ballistic_arcs(spark, sf):
     return arcs.select("clip", "seg_id", "frame", *(rounded(F.col(c)).alias(c) for c in ("x_m", "y_m", "z_m", "apex_m")))
 
 
+@query(f"""WITH {OBS}, {SEGMENTS}, c AS (SELECT s.clip, seg_id, o.frame FROM seg s JOIN obs o ON o.clip = s.clip AND o.frame BETWEEN start_frame AND end_frame WHERE event_id % 9 = 0),
+    p AS (SELECT clip, seg_id, frame AS start_frame, lead(frame) OVER w AS end_frame, row_number() OVER w - 1 AS arc_id FROM c WINDOW w AS (PARTITION BY clip, seg_id ORDER BY frame)),
+    a AS (SELECT clip, seg_id, arc_id, start_frame, end_frame, 'anchored' AS kind FROM p WHERE end_frame IS NOT NULL)
+    SELECT * FROM a UNION ALL SELECT clip, seg_id, 0, start_frame, end_frame, 'open' FROM seg s WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.clip = s.clip AND a.seg_id = s.seg_id)""")
+def segment_arcs(spark, sf):
+    obs, segments = _flights(spark, sf)
+    return sequences.segment_arcs(segments, obs.where("event_id % 9 = 0").select("clip", "frame"), ["clip"])
+
+
 @query(f"""WITH {OBS}, g AS (SELECT *, sum((u IS NULL)::INTEGER) OVER (PARTITION BY clip ORDER BY frame) AS g FROM obs) SELECT clip, frame, least(row_number() OVER (PARTITION BY clip, g ORDER BY frame), 10)::INTEGER AS length FROM g WHERE u IS NOT NULL""")
 def trail_length(spark, sf):
     return sequences.trail(observations(spark, sf).select("clip", "frame", "u", "v"), ["clip"], 10).select("clip", "frame", F.size("trail").alias("length"))
@@ -595,6 +644,16 @@ def ball_eval_summary(spark, sf):
     return metrics.eval_summary(observations(spark, sf).join(tracked, ["clip", "frame"]), F.col("frame") < 2, ["clip"])
 
 
+@query(f"""WITH {OBS}, e AS (SELECT clip, count(*) AS n_events, count(*) FILTER (event_type = 'purchase') AS n_floor_bounce, count(*) FILTER (event_type = 'click') AS n_wall_bounce, count(*) FILTER (event_type = 'signup') AS n_hit FROM obs WHERE event_type IN ('purchase', 'click', 'signup') GROUP BY clip),
+    g AS (SELECT *, count(*) FILTER (found) OVER (PARTITION BY clip ORDER BY frame) AS g FROM obs WHERE frame >= 2), m AS (SELECT clip, max(n) AS longest_miss FROM (SELECT clip, g, count(*) AS n FROM g WHERE NOT found GROUP BY 1, 2) GROUP BY clip)
+    SELECT c.clip, coalesce(n_events, 0) AS n_events, coalesce(n_floor_bounce, 0) AS n_floor_bounce, coalesce(n_wall_bounce, 0) AS n_wall_bounce, coalesce(n_hit, 0) AS n_hit, coalesce(longest_miss, 0) AS longest_miss FROM (SELECT DISTINCT clip FROM obs) c LEFT JOIN e USING (clip) LEFT JOIN m USING (clip)""")
+def events_and_misses(spark, sf):
+    obs = observations(spark, sf)
+    kind = F.when(F.col("event_type") == "purchase", "floor_bounce").when(F.col("event_type") == "click", "wall_bounce").when(F.col("event_type") == "signup", "hit")
+    counts = metrics.event_counts(obs.select("clip", kind.alias("type")).where("type is not null"), ["clip"])
+    return metrics.longest_miss(obs, F.col("frame") < 2, ["clip"]).join(counts, "clip", "left").fillna(0)
+
+
 @query(f"""WITH {OBS}, z AS (SELECT clip, confidence * 8 - 0.5e0 AS z FROM obs) SELECT clip, {r('min(z)')} AS z_min, {r('median(z)')} AS z_median, {r('max(z)')} AS z_max, {r('100 * avg((z < -0.05)::INTEGER)')} AS pct_below, {r('100 * avg((z > 6)::INTEGER)')} AS pct_high FROM z GROUP BY clip""")
 def height_stats(spark, sf):
     out = metrics.height_stats(observations(spark, sf).select("clip", (F.col("confidence") * 8 - 0.5).alias("z")), ["clip"])
@@ -622,6 +681,12 @@ def source_mode_pick(spark, sf):
     return metrics.modal_source(observations(spark, sf).select("clip", "frame", "event_type"), "event_type", ["clip"])
 
 
+OFFSET_PICK = f"""c AS (SELECT match, lag, CASE WHEN sqrt(aa) * sqrt(bb) > 1e-9 THEN ab / (sqrt(aa) * sqrt(bb)) ELSE 0 END AS corr FROM s WHERE n >= 30),
+    k AS (SELECT *, row_number() OVER (PARTITION BY match ORDER BY corr DESC, lag) AS k FROM c),
+    t AS (SELECT match, max(lag) FILTER (k = 1) AS lag, max(corr) AS c, coalesce(max(corr) FILTER (k = 2), 0) AS d FROM k WHERE k <= 2 GROUP BY match)
+    SELECT match, (lag * 10)::INTEGER AS offset_frames, {r('c')} AS corr, {r('c - d')} AS margin, c < 0.3 OR c - d < 0.05 AS doubtful FROM t"""
+
+
 # --- signals, images, space ------------------------------------------------------------------------
 
 
@@ -634,7 +699,9 @@ def offset_lag_sweep(spark, sf):
     return signals.offset_sweep(side(0), side(1), ["match"], 10, 200).withColumn("corr", rounded(F.col("corr")))
 
 
-@query()
+@query(f"""WITH {OBS}, e AS (SELECT clip // 2 AS match, clip % 2 AS side, frame AS i, confidence AS e FROM obs), z AS (SELECT match, side, i, CASE WHEN stddev_pop(e) OVER w > 1e-9 THEN (e - avg(e) OVER w) / stddev_pop(e) OVER w ELSE e - avg(e) OVER w END AS z FROM e WINDOW w AS (PARTITION BY match, side)),
+    s AS (SELECT a.match, (b.i - a.i)::INTEGER AS lag, count(*) AS n, sum(a.z * b.z) AS ab, sum(a.z * a.z) AS aa, sum(b.z * b.z) AS bb FROM z a JOIN z b ON a.match = b.match AND a.side = 0 AND b.side = 1 AND abs(b.i - a.i) <= 20 GROUP BY 1, 2),
+    {OFFSET_PICK}""")
 def camera_offset(spark, sf):
     obs = observations(spark, sf)
     side = lambda k: obs.where(F.col("clip") % 2 == k).select(F.floor(F.col("clip") / 2).alias("match"), F.col("frame").alias("sample_idx"), F.col("confidence").alias("energy"))
@@ -660,6 +727,12 @@ def heatmap_detect(spark, sf):
     return signals.detect_in_heatmaps(obs, ["clip", "frame"], (32, 18), (3840, 2160))
 
 
+@query()
+def ball_in_heatmap(spark, sf):
+    obs = observations(spark, sf).where("found").select("clip", "frame", G.gaussian_heatmap(32, 18, F.col("u") / 120.0, F.col("v") / 120.0, 1.5).alias("heatmap"))
+    return signals.ball_in_heatmaps(obs, ["clip", "frame"], (32, 18), (3840, 2160), (200, 100, 3640, 2060), ROI, 60.0)
+
+
 def _two_cameras():
     import numpy as np
 
@@ -826,7 +899,7 @@ def named_players(spark, sf):
     from . import jobs
 
     none = F.array(*[F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))] * 17)
-    rows = _numbered(boxes(spark, sf)).withColumns({"match": F.floor(F.col("frame") / 2) % 97, "keypoints": none, "color_hist": F.array(F.col("l_discount") * 10 + 0.1, F.col("l_tax") * 10 + 0.1, F.col("x1") / 400.0), "_side": F.col("frame") % 2, "frame": F.floor(F.col("frame") / 2).cast("int")})
+    rows = _numbered(boxes(spark, sf)).withColumns({"match": F.floor(F.col("frame") / 2000).cast("long"), "keypoints": none, "color_hist": F.array(F.col("l_discount") * 10 + 0.1, F.col("l_tax") * 10 + 0.1, F.col("x1") / 400.0), "_side": F.col("frame") % 2, "frame": F.floor(F.col("frame") / 2).cast("int")})
     scale = (0.02, 0.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 1.0)
     profiles = rows.select("match").distinct().withColumn("player_id", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).select("match", "player_id", F.array(F.col("player_id") / num(4), (5 - F.col("player_id")) / num(4), num(0.5)).alias("hist"), (F.col("player_id") * 2.0).alias("x"), (F.col("player_id") * 4.0).alias("y"))
     return jobs.player_fusion(rows.where("_side = 0"), rows.where("_side = 1"), scale, scale, profiles, 0).select("match", "frame", "cand_idx", "seed", "player_id")

@@ -57,10 +57,10 @@ CAMS = """cam_a AS (SELECT *, clip // 2 AS match FROM obs WHERE clip % 2 = 0), c
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes from line items: frame l_orderkey, det_idx l_linenumber."""
+    """Boxes from line items: frame l_orderkey, det_idx l_linenumber; a clip has 1,000 frames, so clips grow in number, not in length."""
     x1, y1 = F.col("l_quantity") * 8.0, F.col("l_extendedprice") / 500.0
     return read(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 97).alias("clip"),
+        F.floor(F.col("l_orderkey") / 1000).cast("long").alias("clip"),
         F.col("l_orderkey").alias("frame"),
         F.col("l_linenumber").alias("det_idx"),
         x1.alias("x1"),
@@ -76,7 +76,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOXES = """boxes AS (
-    SELECT l_orderkey % 97 AS clip, l_orderkey AS frame, l_linenumber AS det_idx, l_quantity * 8e0 AS x1, l_extendedprice / 500e0 AS y1,
+    SELECT l_orderkey // 1000 AS clip, l_orderkey AS frame, l_linenumber AS det_idx, l_quantity * 8e0 AS x1, l_extendedprice / 500e0 AS y1,
            l_quantity * 8e0 + 60e0 + l_discount * 400e0 AS x2, l_extendedprice / 500e0 + 90e0 + l_tax * 800e0 AS y2,
            0.2e0 + l_discount * 7e0 AS conf, l_partkey, l_suppkey, l_discount, l_tax
     FROM lineitem)"""

@@ -27,6 +27,18 @@ def config(path: str) -> dict:
         return json.load(f)
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A configuration written by `writers.write_config`."""
+    return json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # one small document
+
+
+def read_profiles(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """Identities of an earlier run (keys, player_id, hist, x, y), from `writers.write_profiles`. Their places are of that run,
+    so `players.identify` takes them for stale."""
+    rows = spark.read.schema(f"{keys}, player_id int, hist array<double>, x double, y double").json(path)
+    return rows.where("player_id is not null")
+
+
 def labels_latest(spark: SparkSession, path: str) -> DataFrame:
     """(frame, visible, u, v): for a repeated frame the last row counts; visible without a place is not visible."""
     raw = _csv(spark, path, ["frame", "visible", "u", "v"]).withColumn("_i", F.monotonically_increasing_id())

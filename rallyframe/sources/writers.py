@@ -1,11 +1,16 @@
-"""Sinks: long and wide rows of players, label files, frame logs, trajectories, summaries."""
+"""Sinks: long and wide rows of players, label files, frame logs, trajectories, summaries, identities, configurations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cameras import fit_homography
 from ..functions.geometry import num, rounded, slug
+from ..schemas import COURT_LENGTH, COURT_WIDTH
 
 
 def movement_rows(frames: DataFrame, fps: float, keys: list[str]) -> DataFrame:
@@ -59,3 +64,33 @@ def summary_document(summary: DataFrame) -> DataFrame:
 def output_name(source, kind: str):
     """`<kind>_<slug of the source>.csv` as a column."""
     return F.concat(F.lit(f"{kind}_"), slug(source), F.lit(".csv"))
+
+
+def write_profiles(states: DataFrame, path: str) -> None:
+    """Identities (rows of `players.identity_states`), one JSON line for each profile, as `readers.read_profiles` takes them."""
+    states.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def calibrated(config: dict, image: list[tuple[float, float]], world: list[tuple[float, float]]) -> dict:
+    """A camera's configuration with the homography of landmarks clicked in the image, and the points themselves."""
+    points, metres = np.array(image, float), np.array(world, float)
+    h, error = fit_homography(points, metres)
+    block = {
+        "image_points": points.tolist(),
+        "world_points": metres.tolist(),
+        "H": h.tolist(),
+        "H_inv": np.linalg.inv(h).tolist(),
+        "reprojection_error_m": {k: round(error[k], 4) for k in ("mean", "max")},
+        "court_dimensions_m": {"width": COURT_WIDTH, "length": COURT_LENGTH},
+    }
+    return config | {"homography": block}
+
+
+def synchronised(config: dict, offset: int, method: str = "manual") -> dict:
+    """A camera's configuration with the other camera's offset in frames."""
+    return config | {"sync": config.get("sync", {}) | {"offset_frames": int(offset), "method": method}}
+
+
+def write_config(spark: SparkSession, config: dict, path: str) -> None:
+    """A configuration as one JSON document, as `readers.read_config` takes it."""
+    spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -68,7 +68,8 @@ def test_parked_ball_is_dropped_and_released():
 def test_case_audit_sees_a_still_ball(spark):
     rows = [(1, f, 0, 100.0 + 60 * f, 300.0, 0.9) for f in range(50)] + [(1, f, 1, 500.0, 900.0, 0.2) for f in range(50)]
     got = {r.frame: r for r in tracking.case_audit(candidates(spark, rows)).collect()}
-    assert got[45].any_static and got[45].static_while_fast and got[10].n_moving == 1 and not got[10].any_static
+    assert got[45].n_static == 1 and got[45].static_while_fast and got[10].n_moving == 1 and got[10].n_static == 0
+    assert got[45].tracking and abs(got[45].speed - 60 * 20) < 60
 
 
 def test_cluster_against_loop(spark):
@@ -233,6 +234,7 @@ def test_held_out_split():
     items = list(range(100, 140))
     held = metrics.held_out(items)
     assert len(held) == 6 and held <= set(items) and held == metrics.held_out(items) and metrics.held_out([1, 2]) < {1, 2}
+    assert metrics.held_out([7]) == {7} and metrics.held_out([]) == set()
 
 
 def test_gaps_longer_than_the_limit_stay(spark):
