@@ -119,13 +119,12 @@ def smooth(forward: list[dict], f: np.ndarray, z_max: float) -> list[np.ndarray]
     states = [r["post"].copy() for r in forward]
     if len(forward) > 1:
         post, prior = np.stack([r["post_c"] for r in forward[:-1]]), np.stack([r["prior_c"] for r in forward[1:]])
-        sound = np.linalg.matrix_rank(prior) == 6
-        prior[~sound] = np.eye(6)
+        breaks = np.array([r["break"] for r in forward[1:]])
+        breaks |= ~np.isfinite(prior).all((1, 2)) | (np.linalg.det(prior) == 0)
+        prior[breaks] = np.eye(6)
         gains = post @ f.T @ np.linalg.inv(prior)
-        for k in range(len(forward) - 2, -1, -1):
-            after = forward[k + 1]
-            if sound[k] and not after["break"]:
-                states[k] = states[k] + gains[k] @ (states[k + 1] - after["prior"])
+        for k in np.flatnonzero(~breaks)[::-1]:
+            states[k] = states[k] + gains[k] @ (states[k + 1] - forward[k + 1]["prior"])
     for s in states:
         s[2] = min(max(s[2], 0.0), z_max)
     return states

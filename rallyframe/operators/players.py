@@ -31,32 +31,30 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     chain of moves of the rows before it, under prices that keep all reduced costs from falling below 0."""
     if cost.shape[0] > cost.shape[1]:
         return sorted((i, j) for j, i in assign(cost.T))
-    rows, columns = cost.shape
-    of_row, of_column = np.zeros(rows), np.zeros(columns)  # prices
-    row_of = np.full(columns, -1)
-    for row in range(rows):
-        least, back, done = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
+    costs, n_columns = cost.tolist(), cost.shape[1]
+    of_row, of_column = [0.0] * len(costs), [0.0] * n_columns  # prices
+    row_of = [-1] * n_columns
+    for row in range(len(costs)):
+        least, back, done, open_ = [math.inf] * n_columns, [-1] * n_columns, [], list(range(n_columns))
         at, column, base = row, -1, 0.0
-        while True:
-            way = base + cost[at] - of_row[at] - of_column
-            nearer = ~done & (way < least)
-            least[nearer], back[nearer] = way[nearer], column
-            column = int(np.where(done, np.inf, least).argmin())
-            base, done[column] = least[column], True
-            if row_of[column] < 0:
-                break
-            at = row_of[column]
-        settled = np.flatnonzero(done)
+        while at >= 0:
+            for j in open_:
+                way = base + costs[at][j] - of_row[at] - of_column[j]
+                if way < least[j]:
+                    least[j], back[j] = way, column
+            column = min(open_, key=least.__getitem__)
+            open_.remove(column)
+            done.append(column)
+            base, at = least[column], row_of[column]
         of_row[row] += base
-        for j in settled:
+        for j in done:
             if row_of[j] >= 0:
                 of_row[row_of[j]] += base - least[j]
             of_column[j] -= base - least[j]
         while column >= 0:
-            before = back[column]
-            row_of[column] = row_of[before] if before >= 0 else row
-            column = before
-    return sorted((int(row_of[j]), int(j)) for j in np.flatnonzero(row_of >= 0))
+            row_of[column] = row_of[back[column]] if back[column] >= 0 else row
+            column = back[column]
+    return sorted((i, j) for j, i in enumerate(row_of) if i >= 0)
 
 
 @dataclass
@@ -170,41 +168,43 @@ def track_players(boxes: DataFrame, keys: list[str], high: float = 0.25, low: fl
     total overlap with where a track is expected (its last box moved on by its velocity). Unlinked sure boxes begin tracks; tracks
     end after `lost` frames. `boxes`: keys, frame, det_idx, x1, y1, x2, y2, conf; frames without boxes just pass."""
 
-    def link(tracks: list[dict], found: np.ndarray, frame: int) -> list[tuple[int, int]]:
-        if not tracks or not len(found):
-            return []
-        expected = np.array([t["box"] + t["velocity"] * (frame - t["frame"]) for t in tracks])
+    def link(expected: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of linked tracks and boxes."""
         share = _overlaps(expected, found)
-        share[share < overlap] = 0
-        rows, columns = np.flatnonzero(share.any(1)), np.flatnonzero(share.any(0))
-        pairs = assign(-share[np.ix_(rows, columns)]) if len(rows) else []
-        return [(int(rows[i]), int(columns[j])) for i, j in pairs if share[rows[i], columns[j]] > 0]
+        rows, columns = np.nonzero(share >= overlap)
+        if len(set(rows.tolist())) == len(rows) and len(set(columns.tolist())) == len(columns):
+            return rows, columns
+        some, others = np.unique(rows), np.unique(columns)
+        part = np.where(share < overlap, 0.0, share)[np.ix_(some, others)]
+        pairs = np.array([(i, j) for i, j in assign(-part) if part[i, j] > 0])
+        return some[pairs[:, 0]], others[pairs[:, 1]]
 
     def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
-        tracks: list[dict] = []
-        fresh = 1
+        place, velocity, seen, ids, fresh = np.zeros((0, 4)), np.zeros((0, 4)), np.zeros(0, int), np.zeros(0, int), 1
         boxes_, confs, indices = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float), pdf["det_idx"].to_numpy()
         for frame, first, last in stretches(pdf["frame"]):
-            box, conf, index = boxes_[first:last], confs[first:last], indices[first:last]
-            tracks = [t for t in tracks if frame - t["frame"] <= lost]
+            box, conf = boxes_[first:last], confs[first:last]
+            alive = frame - seen <= lost
+            if not alive.all():
+                place, velocity, seen, ids = place[alive], velocity[alive], seen[alive], ids[alive]
             sure, unsure = np.flatnonzero(conf >= high), np.flatnonzero((conf < high) & (conf >= low))
-            free = list(tracks)
-            given: dict[int, int] = {}
+            given, free = np.zeros(len(box), int), np.arange(len(ids))
             for some in (sure, unsure):
-                pairs = link(free, box[some], frame)
-                for i, j in pairs:
-                    t, k = free[i], some[j]
-                    t["velocity"] = (box[k] - t["box"]) / max(1, frame - t["frame"])
-                    t["box"], t["frame"] = box[k], frame
-                    given[int(k)] = t["id"]
-                free = [t for i, t in enumerate(free) if i not in {i for i, _ in pairs}]
-            for k in sure:
-                if int(k) not in given:
-                    tracks.append({"id": fresh, "box": box[k], "velocity": np.zeros(4), "frame": frame})
-                    given[int(k)] = fresh
-                    fresh += 1
-            for k, track in sorted(given.items()):
-                yield (int(frame), int(index[k]), track)
+                if not len(free) or not len(some):
+                    continue
+                t, k = link(place[free] + velocity[free] * (frame - seen[free])[:, None], box[some])
+                if len(t):
+                    t, k, free = free[t], some[k], np.delete(free, t)
+                    velocity[t] = (box[k] - place[t]) / np.maximum(1, frame - seen[t])[:, None]
+                    place[t], seen[t], given[k] = box[k], frame, ids[t]
+            new = sure[given[sure] == 0]
+            if len(new):
+                given[new] = np.arange(fresh, fresh + len(new))
+                place, velocity = np.concatenate([place, box[new]]), np.concatenate([velocity, np.zeros((len(new), 4))])
+                seen, ids = np.concatenate([seen, np.full(len(new), frame)]), np.concatenate([ids, given[new]])
+                fresh += len(new)
+            for k in np.flatnonzero(given).tolist():
+                yield (frame, int(indices[first + k]), int(given[k]))
 
     return per_clip(boxes, keys, ["frame", "det_idx"], fold, "frame int, det_idx int, track_id int")
 

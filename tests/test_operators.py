@@ -107,6 +107,139 @@ def test_assignment_against_all():
         assert sum(cost[i, j] for i, j in pairs) == pytest.approx(best)
 
 
+def test_links_have_the_largest_total_overlap(spark):
+    """Greedily the second box would take the first track, and the first box none."""
+    boxes = [(1, 0, 0, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 0, 1, 6.0, 0.0, 16.0, 10.0, 0.9), (1, 1, 0, 3.2, 0.0, 13.2, 10.0, 0.9), (1, 1, 1, -3.0, 0.0, 7.0, 10.0, 0.9)]
+    got = {(r.frame, r.det_idx): r.track_id for r in players.track_players(spark.createDataFrame(boxes, "clip long, frame int, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double"), ["clip"]).collect()}
+    assert got == {(0, 0): 1, (0, 1): 2, (1, 0): 2, (1, 1): 1}
+
+
+def test_filter_step_against_matrices():
+    """One prediction and a joint correction by the textbook's matrices, and a floor contact's variances."""
+    a, _ = two()
+    cfg, dt = EkfConfig(), 0.02
+    ekf = physics.Ekf(cfg, a.p, dt, [3.0, 4.0, 1.0])
+    f, s, c = np.eye(6), np.array([3.0, 4.0, 1.0, 0, 0, 0]), np.diag(cfg.p0)
+    f[:3, 3:] = dt * np.eye(3)
+    s = f @ s + np.array([0, 0, -0.5 * 9.81 * dt * dt, 0, 0, -9.81 * dt])
+    c = f @ c @ f.T + np.diag([cfg.q_pos, cfg.q_pos, cfg.q_pos_z, cfg.q_vel, cfg.q_vel, cfg.q_vel_z])
+
+    def correct(s, c, h, y, r):
+        gain = c @ h.T @ np.linalg.inv(h @ c @ h.T + r)
+        return s + gain @ y, (np.eye(6) - gain @ h) @ c
+
+    h = np.zeros((2, 6))
+    for i in range(3):
+        step = np.eye(3)[i] * 1e-5
+        h[:, i] = (a.project((s[:3] + step)[None])[0] - a.project((s[:3] - step)[None])[0]) / 2e-5
+    seen = a.project(s[None, :3])[0] + [7.0, -4.0]
+    s, c = correct(s, c, h, np.array([7.0, -4.0]), np.eye(2) * cfg.meas_px**2 / 0.8)
+    ekf.predict()
+    ekf.see_2d(*seen, 0.8)
+    assert np.allclose(ekf.s, s, atol=1e-6) and np.allclose(ekf.c, c, atol=1e-5)
+    s, c = correct(s, c, np.eye(3, 6), np.array([3.1, 4.2, 0.0]) - s[:3], np.diag([0.05, 0.05, 0.02]))
+    ekf.anchor(3.1, 4.2)
+    assert np.allclose(ekf.s, s, atol=1e-6) and np.allclose(ekf.c, c, atol=1e-5)
+
+
+def test_smoother_against_loop():
+    rng = np.random.default_rng(0)
+    f = np.eye(6)
+    f[:3, 3:] = 0.05 * np.eye(3)
+    sym = lambda: (lambda m: m @ m.T + np.eye(6))(rng.normal(size=(6, 6)))
+    forward = [{"prior": rng.normal(size=6), "post": rng.normal(size=6), "prior_c": sym(), "post_c": sym(), "break": k == 4} for k in range(9)]
+    want = [r["post"].copy() for r in forward]
+    for k in range(7, -1, -1):
+        if not forward[k + 1]["break"]:
+            want[k] = want[k] + forward[k]["post_c"] @ f.T @ np.linalg.inv(forward[k + 1]["prior_c"]) @ (want[k + 1] - forward[k + 1]["prior"])
+    got = physics.smooth(forward, f, 8.0)
+    for g, w in zip(got, want, strict=True):
+        assert np.allclose(g, [*w[:2], min(max(w[2], 0), 8), *w[3:]])
+
+
+def test_parking_is_decided_after_all_links():
+    """Two candidates on one blob: the centre is where the later one left it."""
+    state = tracking.Suppressor(SuppressConfig(min_frames=3, still_px=10.0))
+    for f in range(6):
+        state.step(f, [(500.0, 500.0, 0.9), (504.0, 500.0, 0.8)])
+    assert [b.centre for b in state.blobs] == [(504.0, 500.0)]
+
+
+def plain_audit(rows):
+    """Summary of audit rows (one clip) by loops."""
+    events = {r[0] + k for r in rows if r[4] for k in range(-4, 5)}
+    runs = lambda flags: (sum(flags), sum(f and (i == 0 or not flags[i - 1]) for i, f in enumerate(flags)))
+    play = [r[1] and r[2] and r[0] not in events for r in rows]
+    slow = [p and 0 < r[3] < 600 for p, r in zip(play, rows, strict=True)]
+    fast = lambda part: max((r[3] for r in part if r[1] and r[2]), default=0) >= 1500
+    apex = [s and fast(rows[max(0, i - 8) : i]) and fast(rows[i + 1 : i + 9]) for i, s in enumerate(slow)]
+    return sum(play), runs([p and 0 < r[3] < 500 for p, r in zip(play, rows, strict=True)]), runs(apex)
+
+
+def test_audit_summary(spark):
+    rng = random.Random(8)
+    rows = [(f, rng.random() < 0.9, rng.random() < 0.95, rng.choice([0.0, 300.0, 550.0, 900.0, 1700.0]), "hit" if rng.random() < 0.03 else None) for f in range(300)]
+    df = spark.createDataFrame([(1, *r, 0, False, False) for r in rows], "clip long, frame int, measured boolean, tracking boolean, speed double, event string, n_suppressed int, two_moving boolean, static_while_fast boolean")
+    r = metrics.audit_summary(df, ["clip"]).first()
+    assert (r.n_play, (r.under_500_frames, r.under_500_episodes), (r.apex_frames, r.apex_episodes)) == plain_audit(rows)
+
+
+def test_parked_ball_is_reported_once(spark):
+    rows = [(1, f, 0, 500.0 + f % 2, 900.0, 0.2) for f in range(60)] + [(1, f, 1, 100.0 + 30 * f, 300.0, 0.9) for f in range(60)]
+    got = tracking.parked_balls(candidates(spark, rows)).collect()
+    assert [(r.first_frame, r.u, r.v, r.life) for r in got] == [(0, 501.0, 900.0, 60)]
+    kept = tracking.case_audit(candidates(spark, rows), suppress=True).agg({"n_suppressed": "sum"}).first()[0]
+    assert kept > 10
+
+
+def test_ball_in_a_cropped_heatmap(spark):
+    def heat(*dots):
+        out = np.zeros((18, 32))
+        for x, y, p in dots:
+            out[y : y + 2, x : x + 2] = p
+        return out.tolist()
+
+    frames = [(0, heat((4, 4, 0.7), (20, 9, 0.9))), (1, heat((20, 9, 0.9))), (2, heat()), (3, heat((4, 4, 0.7)))]
+    df = spark.createDataFrame(pd.DataFrame({"clip": [1] * 4, "frame": [f for f, _ in frames], "heatmap": [h for _, h in frames]}), "clip long, frame int, heatmap array<array<double>>")
+    got = {r.frame: r for r in signals.ball_in_heatmaps(df, ["clip", "frame"], (32, 18), (420, 280), (100, 100, 420, 280), [(100, 100), (200, 100), (200, 200), (100, 200)], 5.0).collect()}
+    assert [got[f].reason for f in range(4)] == ["ok", "out-of-court", "no-ball", "ok"] and [got[f].found for f in range(4)] == [True, False, False, True]
+    assert (got[0].u, got[0].v, got[0].confidence) == pytest.approx((145.0, 145.0, 0.7)) and got[1].u is None and got[1].confidence == pytest.approx(0.9)
+
+
+def test_identities_outlive_a_run(spark, tmp_path):
+    from rallyframe.sources import readers, writers
+
+    near, far = [1.0, 0.0], [0.0, 1.0]
+    detections = spark.createDataFrame([(1, f, 0, 2.0 + f, 3.0, near) for f in range(5)], "match long, frame int, det_idx int, x double, y double, hist array<double>")
+    profiles = spark.createDataFrame([(1, 1, near, 2.0, 3.0), (1, 2, far, None, None)], "match long, player_id int, hist array<double>, x double, y double")
+    states = players.identity_states(detections, profiles, ["match"], IdentityConfig(profiles=(1, 2)))
+    assert [(r.player_id, r.x, r.last_seen, r.state) for r in states.orderBy("player_id").collect()] == [(1, 6.0, 4, "active"), (2, None, -1, "missing")]
+    writers.write_profiles(states, str(tmp_path / "ids"))
+    again = readers.read_profiles(spark, str(tmp_path / "ids"), "match long")
+    assert {(r.player_id, tuple(r.hist), r.x) for r in again.collect()} == {(1, (1.0, 0.0), 6.0), (2, (0.0, 1.0), None)}
+    assert {r.player_id for r in players.identify(detections, again, ["match"]).collect()} == {1}
+
+
+def test_configuration_round_trip(spark, tmp_path):
+    from rallyframe.sources import readers, writers
+
+    image, world = [(100.0, 900.0), (900.0, 900.0), (300.0, 300.0), (700.0, 300.0)], [(0.0, 0.0), (10.0, 0.0), (0.0, 20.0), (10.0, 20.0)]
+    config = writers.synchronised(writers.calibrated({"source": "a.mp4", "sync": {"note": "x"}}, image, world), 37)
+    writers.write_config(spark, config, str(tmp_path / "c"))
+    got = readers.read_config(spark, str(tmp_path / "c"))
+    assert got == config and got["sync"] == {"note": "x", "offset_frames": 37, "method": "manual"}
+    h = np.array(got["homography"]["H"])
+    mapped = np.c_[image, np.ones(4)] @ h.T
+    assert np.allclose(mapped[:, :2] / mapped[:, 2:], world) and np.allclose(h @ np.array(got["homography"]["H_inv"]), np.eye(3), atol=1e-9)
+
+
+def test_segments_without_two_contacts_are_open(spark):
+    segments = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 10, 200)], "clip long, seg_id int, start_frame int, end_frame int")
+    contacts = spark.createDataFrame([(1, 10), (1, 70), (1, 150), (1, 300)], "clip long, frame int")
+    got = {(r.seg_id, r.arc_id, r.start_frame, r.end_frame, r.kind) for r in sequences.segment_arcs(segments, contacts, ["clip"]).collect()}
+    assert got == {(0, 0, 0, 10, "open"), (1, 0, 10, 70, "anchored"), (1, 1, 70, 150, "anchored")}
+
+
 def test_identity_reentry_and_threshold():
     hists = {k: np.eye(4)[k - 1] + 0.01 for k in (1, 2, 3, 4)}
     state = players.Identities(IdentityConfig(), {k: players.Profile(h) for k, h in hists.items()})
