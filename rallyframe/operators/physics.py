@@ -25,14 +25,15 @@ def peaks(values: np.ndarray, prominence: float, distance: int) -> np.ndarray:
         if values[i] > values[i - 1] and j < n - 1 and values[j + 1] < values[i]:
             found.append((i + j) // 2)
         i = j + 1
-    keep = {p: True for p in found}
-    for p in sorted(found, key=lambda p: (values[p], p), reverse=True):
-        if keep[p]:
-            for q in found:
-                if q != p and abs(q - p) < distance:
-                    keep[q] = False
+    keep = [True] * len(found)
+    for i in sorted(range(len(found)), key=lambda i: (values[found[i]], i), reverse=True):
+        if keep[i]:
+            for step in (-1, 1):
+                k = i + step
+                while 0 <= k < len(found) and abs(found[k] - found[i]) < distance:
+                    keep[k], k = False, k + step
     out = []
-    for p in (q for q in found if keep[q]):
+    for p in (q for q, stays in zip(found, keep, strict=True) if stays):
         bases = []
         for step in (-1, 1):
             low, k = values[p], p + step
