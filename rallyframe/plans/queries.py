@@ -6,14 +6,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.geometry import num, rounded
 from ..operators import courts, joins, metrics, physics, players, sequences, signals, tracking
 from ..schemas import EventConfig, MiningConfig, TrackerConfig
-from ..sources import writers
+from ..sources import readers, writers
+from ..sources.scratch import new_path
 from .views import BOXES, CAMERA_A, CAMS, FPS, OBS, OFFSET, ROI, H, boxes, cameras, observations, projected, r, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -802,6 +803,89 @@ def label_lines(spark, sf):
     return place.select("frame.clip", "frame.frame", "visible", "u")
 
 
+# --- files: written from the tables and read again -------------------------------------------------------
+
+
+def _csv_of(spark, rows: DataFrame, name: str) -> str:
+    path = new_path(spark, name)
+    rows.write.option("header", True).csv(path)
+    return path
+
+
+def _one_of(words: list[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, words)), (F.col("event_id") % len(words) + 1).cast("int"))
+
+
+@query("""SELECT event_id::INTEGER AS frame, (event_id % 5 IN (0, 1, 3))::INTEGER AS visible, CASE WHEN event_id % 7 <> 0 THEN value END AS u, (event_id % 100)::DOUBLE AS v FROM events WHERE event_id % 4 = 0 OR event_id % 17 <> 0""")
+def label_file(spark, sf):
+    e = F.col("event_id")
+    frame = F.when(e % 4 == 0, F.concat(e.cast("string"), F.lit(".0"))).when(e % 17 == 0, "x").otherwise(e.cast("string"))
+    rows = read(spark, sf, "events").select(frame.alias("frame"), _one_of(["1", "true", "0", "1.0", "no"]).alias("visible"), F.when(e % 7 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("u"), (e % 100).cast("string").alias("v"))
+    return readers.labels_all(spark, _csv_of(spark, rows, "labels"))
+
+
+@query("""SELECT event_id::INTEGER AS frame, CASE WHEN event_id % 4 IN (0, 1) AND event_id % 7 <> 0 THEN 1 ELSE 0 END AS visible, CASE WHEN event_id % 4 IN (0, 1) AND event_id % 7 <> 0 THEN value END AS u, CASE WHEN event_id % 4 IN (0, 1) AND event_id % 7 <> 0 THEN (event_id % 100)::DOUBLE END AS v FROM events""")
+def label_file_latest(spark, sf):
+    """Rows without a place, or with a visible of 0, are not visible."""
+    e = F.col("event_id")
+    rows = read(spark, sf, "events").select(e.alias("frame"), _one_of(["1", "1", "0", "0"]).alias("visible"), F.when(e % 7 != 0, F.col("value")).alias("u"), (e % 100).alias("v"))
+    return readers.labels_latest(spark, _csv_of(spark, rows, "labels"))
+
+
+@query("""SELECT event_id::INTEGER AS frame, CASE WHEN event_id % 3 <> 0 THEN event_type END AS type, value AS u, CASE WHEN event_id % 5 <> 0 THEN event_id / 8e0 END AS x_m, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true END AS in_court FROM events WHERE event_id % 13 <> 0""")
+def event_file(spark, sf):
+    e = F.col("event_id")
+    rows = read(spark, sf, "events").select(F.when(e % 13 != 0, e.cast("string")).otherwise("?").alias("frame"), F.when(e % 3 == 0, "").otherwise(F.col("event_type")).alias("type"), F.col("value").alias("u"), F.when(e % 5 != 0, (e / 8.0).cast("string")).otherwise("-").alias("x_m"), _one_of(["Yes", "out", "maybe", "1", ""]).alias("in_court"))
+    return readers.event_rows(spark, _csv_of(spark, rows, "events")).select("frame", "type", "u", "x_m", "in_court")
+
+
+@query("""SELECT event_id::INTEGER AS frame, CASE WHEN event_id % 6 = 0 THEN 'tri_gap' ELSE 'miss' END AS reason, (event_id % 3)::INTEGER AS priority, CASE WHEN event_id % 2 = 0 THEN value END AS hint_u FROM events WHERE event_id % 10 <> 3""")
+def hard_frame_file(spark, sf):
+    e = F.col("event_id")
+    frame = F.when(e % 10 != 3, e.cast("string")).otherwise("1.5")
+    rows = read(spark, sf, "events").select(frame.alias("frame"), F.when(e % 6 == 0, "tri_gap").otherwise("miss").alias("reason"), (e % 3).alias("priority"), F.when(e % 2 == 0, F.col("value")).alias("hint_u"))
+    return readers.hard_frames(spark, _csv_of(spark, rows, "hard")).select("frame", "reason", "priority", "hint_u")
+
+
+def _log_file(spark, sf) -> DataFrame:
+    """A frame log with truncated and blank lines and NUL bytes."""
+    e = F.col("event_id")
+    track = F.when(e % 4 != 0, F.struct(F.col("value").alias("x"), (e % 50).cast("double").alias("y"), (e % 3 > 0).alias("measured"), F.lit("tracking").alias("status")))
+    event = F.when(e % 5 == 0, F.struct(e.cast("int").alias("frame"), F.when(e % 2 == 0, "floor_bounce").otherwise("hit").alias("type"), F.col("value").alias("u")))
+    space = F.when(e % 6 == 0, F.struct(*(num(k).alias(c) for k, c in enumerate("xyz")), F.when(e % 12 == 0, F.array(num(0.1), num(0.2), num(0.4))).alias("std")))
+    line = F.to_json(F.struct(e.cast("int").alias("frame"), (e % 4 != 0).alias("found"), (e % 10 / num(10)).alias("confidence"), track.alias("track"), event.alias("event"), space.alias("ball3d")))
+    line = F.when(e % 11 == 0, F.substring(line, 1, 17)).when(e % 13 == 0, F.concat(F.lit("\u0000"), line)).when(e % 17 == 0, " ").otherwise(line)
+    path = new_path(spark, "frame-log")
+    read(spark, sf, "events").select(line.alias("value")).write.text(path)
+    return readers.frame_log(spark, path)
+
+
+_LOGGED = "event_id % 11 <> 0 AND (event_id % 13 = 0 OR event_id % 17 <> 0)"
+
+
+@query(f"""SELECT event_id::INTEGER AS frame, value AS u, (event_id % 50)::DOUBLE AS v, event_id % 3 > 0 AS measured, event_id % 10 / 10e0 AS confidence, 'tracking' AS status FROM events WHERE event_id % 4 <> 0 AND {_LOGGED}""")
+def track_log_file(spark, sf):
+    return readers.track_points(_log_file(spark, sf))[0]
+
+
+@query(f"""SELECT event_id::INTEGER AS frame, CASE WHEN event_id % 2 = 0 THEN 'floor_bounce' ELSE 'hit' END AS type, value AS u FROM events WHERE event_id % 5 = 0 AND {_LOGGED}""")
+def event_log_file(spark, sf):
+    return readers.track_points(_log_file(spark, sf))[1].select("frame", "type", "u")
+
+
+@query(f"""SELECT event_id::INTEGER AS frame, 0e0 AS x, 2e0 AS z, CASE WHEN event_id % 12 = 0 THEN 0.4e0 ELSE 0.3e0 END AS std_z FROM events WHERE event_id % 6 = 0 AND {_LOGGED}""")
+def fusion_log_file(spark, sf):
+    return readers.triangulated_points(_log_file(spark, sf)).select("frame", "x", "z", F.col("std")[2].alias("std_z"))
+
+
+@query(f"""WITH {BOXES} SELECT frame, l_suppkey % 6 AS player_id, x1 + 0 AS x0, y1 + 16 AS y16, conf AS c5 FROM boxes WHERE l_suppkey % 6 BETWEEN 1 AND 4""")
+def keypoint_file(spark, sf):
+    points = F.array(*(F.struct((F.col("x1") + i).alias("x"), (F.col("y1") + i).alias("y"), F.col("conf").alias("c")) for i in range(17)))
+    wide = writers.keypoint_columns(boxes(spark, sf).select("frame", (F.col("l_suppkey") % 6).alias("player_id"), points.alias("keypoints")))
+    rows = readers.wide_keypoints(spark, _csv_of(spark, wide, "keypoints"))
+    return rows.select(F.col("frame").cast("long").alias("frame"), F.col("player_id").cast("long").alias("player_id"), F.col("keypoints")[0]["x"].alias("x0"), F.col("keypoints")[16]["y"].alias("y16"), F.col("keypoints")[5]["c"].alias("c5"))
+
+
 # --- small relations and whole jobs -----------------------------------------------------------------------
 
 
@@ -835,7 +919,10 @@ def distinct_ids(spark, sf):
     return courts.distinct_ids(boxes(spark, sf).where("conf > 0.8").select("clip", F.col("l_suppkey").alias("player_id")), ["clip"]).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
-@query()
+IN_REGION = f"""{INSIDE}, cut AS (SELECT o.clip, o.frame, CASE WHEN inside OR dist <= 200 THEN o.u END AS u, CASE WHEN inside OR dist <= 200 THEN o.v END AS v, o.confidence FROM obs o LEFT JOIN hits h ON h.clip = o.clip AND h.frame = o.frame), {KALMAN.replace('FROM obs', 'FROM cut').replace('JOIN obs', 'JOIN cut')}"""
+
+
+@query(f"""WITH RECURSIVE {OBS}, {IN_REGION}, {EVENT_WALK} SELECT c.clip, c.frame, c.u IS NOT NULL AS found, k.status, e.type FROM cut c JOIN kal k ON k.clip = c.clip AND k.frame = c.frame LEFT JOIN ev e ON e.clip = c.clip AND e.frame = c.frame AND e.type IS NOT NULL""")
 def ball_evaluation(spark, sf):
     from . import jobs
 

@@ -2,10 +2,11 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from rallyframe.operators.tracking import track, tracked_events
+from rallyframe.operators.players import identify
+from rallyframe.operators.tracking import suppress_parked, track, tracked_events
 from rallyframe.plans.views import H, observations
 from rallyframe.sources import readers, scorers, writers
-from rallyframe.streaming.ball import detections_by_window, track_stream
+from rallyframe.streaming.ball import detections_by_window, identify_stream, suppress_stream, track_stream
 
 
 def test_labels(spark, tmp_path):
@@ -85,6 +86,34 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert sorted((r.clip, r.frame, r.event_type) for r in streamed.where("event_type is not null").collect()) == sorted((r.clip, r.frame, r.type) for r in events.collect())
 
 
+def streamed(spark, tmp_path, rows, name, make):
+    """All rows of a stream that is read file by file, in three stretches of frames."""
+    for part in range(3):
+        rows.where((F.col("frame") >= part * 20) & (F.col("frame") < (part + 1) * 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    query.stop()
+    return spark.table(name)
+
+
+def test_parked_blobs_on_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(c, f, i, *p) for c in (1, 2) for f in range(60) for i, p in enumerate([(500.0 + (f % 2), 400.0, 0.9), (100.0 + 40.0 * f, 300.0, 0.8)])], "clip long, frame int, cand_idx int, u double, v double, confidence double")
+    got = streamed(spark, tmp_path, rows, "parked", lambda s: suppress_stream(s, idle_ms=None))
+    want = suppress_parked(rows)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and want.where("not kept").count() > 20
+
+
+def test_identities_on_a_stream(spark, tmp_path):
+    hists = {1: [1.0, 0.0], 2: [0.0, 1.0]}
+    rows = spark.createDataFrame([(7, f, i, float(i + 1), f / 10, hists[(i + f // 25) % 2 + 1]) for f in range(60) for i in range(2) if i == 0 or not 30 <= f < 45], "match long, frame int, det_idx int, x double, y double, hist array<double>")
+    known = [(1, hists[1], None, None), (2, hists[2], None, None)]
+    got = streamed(spark, tmp_path, rows, "players", lambda s: identify_stream(s, {7: known}, idle_ms=None))
+    profiles = spark.createDataFrame([(7, *k) for k in known], "match long, player_id int, hist array<double>, x double, y double")
+    want = identify(rows, profiles, ["match"])
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and want.where("reentry").count() > 0
+
+
 def test_windows_drop_late_rows(spark, tmp_path):
     def batch(name, *seconds):
         spark.createDataFrame([("a", s) for s in seconds], "clip string, s long").select("clip", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
