@@ -6,13 +6,17 @@ enough to drop nearly all false candidates before full sets are compared.
 
 Every link is confirmed on full sets. No pair of bucket members is formed beyond need:
 1. Texts with equal sets are one class from the start.
-2. In each bucket the smallest id is paired with every other member; links found so give components.
+2. In each bucket the smallest id is paired with every other member; links found so give components. The members of
+   a popular pivot are dealt over many tasks; each gets the pivot's sketch, or set, once.
 3. Only buckets that still hold several components are looked at again: sketches of members of different
    components are compared, and only pairs that look similar go on to the full sets. Pairs within a component
-   can't change it. A large bucket is cut in blocks, and each pair of blocks is compared in a group of its own.
+   can't change it. Members outside a bucket's largest component meet one another and those of the largest, in blocks:
+   pairs of blocks are groups of their own, so rows grow as the members times the others' blocks, and no task gets a
+   bucket whole. The comparisons themselves are as many as there are pairs across components.
 After step 3 each pair of different texts that shares a bucket and looks similar is either confirmed, refuted
 or inside one component, so no link is lost but those that miss all bands (`bands_for`: fewer than one in a million
-at the limit) or that a sketch misjudges by over MARGIN standard errors (`look_from`), for sets of any length.
+at the limit) or that a sketch misjudges by over MARGIN standard errors (`look_from`; one in three million), for sets
+of any length. The errors are of the pair at hand, so that few pairs below the limit go on to the full sets.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, constants, mix64, raw_text, shuffle_partitions, slices, windows, written
+from .common import bounded_batches, constants, distinct, mix64, runs_of, shuffle_partitions, slices, windows, word_hashes, written
 
 SHINGLE = 5
 #: Link if 100 * intersection >= PERCENT * union.
@@ -34,11 +38,11 @@ PERCENT = 85
 ROWS = 5
 #: Links at the limit that may share no band.
 MISSED = 1e-6
-BIN_BITS, SKETCH_BITS = 9, 10
+BIN_BITS, SKETCH_BITS = 10, 11
 #: Candidates go on unless their estimated similarity is below the limit by over so many standard errors.
-MARGIN = 6
+MARGIN = 5
 #: Members of a block of a large bucket.
-BLOCK = 256
+BLOCK = 2048
 _BAND = constants(ROWS, 7)[None, :]
 _SECOND = constants(1, 8)[0]
 
@@ -49,15 +53,6 @@ def bands_for(percent: int) -> int:
     return math.ceil(math.log(MISSED) / math.log1p(-same))
 
 
-def look_from(percent: int) -> float:
-    """The estimated similarity from which candidates go on. The error has two parts: which of the bins' minima are
-    the same, with all bins filled (with fewer it is smaller), and what the parities of the differing ones tell."""
-    s, bins, size = percent / 100, 1 << BIN_BITS, 1 << SKETCH_BITS
-    differ = 2 * (1 - s) * bins
-    of_parities = size / 4 * math.expm1(4 * differ / size) - differ
-    return s - MARGIN * math.sqrt(s * (1 - s) / bins + of_parities / (2 * bins) ** 2)
-
-
 @cache
 def _hashing(bands: int) -> tuple[np.ndarray, np.ndarray]:
     return constants(bands * ROWS, 5)[:, None], (constants(bands * ROWS, 6) | np.uint64(1))[:, None]
@@ -65,18 +60,27 @@ def _hashing(bands: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """For each text its set: sorted distinct 64-bit hashes; a text of fewer words has one, of them all."""
-    words = Words(*raw_text(column))
-    h = words.hash
-    for first, last in zip(words.bounds[:-1], words.bounds[1:], strict=True):
-        own = h[first:last]
+    words, bounds = word_hashes(column)
+    for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+        own = words[first:last]
         if len(own) >= SHINGLE:
-            yield np.unique(windows(own, SHINGLE))
+            yield distinct(windows(own, SHINGLE))[0]
         else:
             yield windows(own, len(own)) if len(own) else own
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """The odd sketch of a sorted set, then which bins are filled, then the set's size."""
+    bins = (s >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+    first = np.concatenate([[True], bins[1:] != bins[:-1]])  # s is sorted, so these are the bins' minima
+    parity = np.bincount((mix64(s[first]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) & 1
+    filled = np.zeros(1 << BIN_BITS, np.uint8)
+    filled[bins[first]] = 1
+    return np.packbits(parity.astype(np.uint8)).tobytes() + np.packbits(filled).tobytes() + np.uint64(len(s)).tobytes()
+
+
 def signature(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, bytes]:
-    """Band keys, and the odd sketch followed by which bins are filled."""
+    """Band keys and sketch of a sorted set."""
     n = bands_for(percent)
     xor, times = _hashing(n)
     minima = np.empty(n * ROWS, np.uint64)
@@ -84,28 +88,43 @@ def signature(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, bytes]
         part = slice(first, first + ROWS * 4)
         minima[part] = ((s ^ xor[part]) * times[part]).min(axis=1)
     bands = mix64((mix64(minima.reshape(n, ROWS)) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(n, dtype=np.uint64))
-    bins = (s >> np.uint64(64 - BIN_BITS)).astype(np.int64)
-    first = np.concatenate([[True], bins[1:] != bins[:-1]])  # s is sorted, so these are the bins' minima
-    parity = np.bincount((mix64(s[first]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) & 1
-    filled = np.zeros(1 << BIN_BITS, np.uint8)
-    filled[bins[first]] = 1
-    return bands, np.packbits(parity.astype(np.uint8)).tobytes() + np.packbits(filled).tobytes()
+    return bands, sketch_of(s)
+
+
+def _filled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins that either has, and bins of both together."""
+    cut = slice((1 << SKETCH_BITS) // 64, -1)
+    count = lambda x: np.bitwise_count(x[..., cut]).sum(axis=-1, dtype=np.int64)
+    return np.maximum(count(a | b), 1), count(a) + count(b)
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarities from rows of sketches (64-bit words); broadcasts."""
-    cut = (1 << SKETCH_BITS) // 64
-    size = float(1 << SKETCH_BITS)
-    differ = np.bitwise_count(a[..., :cut] ^ b[..., :cut]).sum(axis=-1, dtype=np.int64)
-    share = np.minimum(2 * differ / size, 1 - 1e-9)
+    cut, size = (1 << SKETCH_BITS) // 64, float(1 << SKETCH_BITS)
+    share = np.minimum(2 * np.bitwise_count(a[..., :cut] ^ b[..., :cut]).sum(axis=-1, dtype=np.int64) / size, 1 - 1e-9)
     differ = -size / 2 * np.log1p(-share)
-    either = np.bitwise_count(a[..., cut:] | b[..., cut:]).sum(axis=-1, dtype=np.int64)
-    both = np.bitwise_count(a[..., cut:]).sum(axis=-1, dtype=np.int64) + np.bitwise_count(b[..., cut:]).sum(axis=-1, dtype=np.int64)
-    return (both - differ) / 2 / np.maximum(either, 1)
+    either, both = _filled(a, b)
+    return (both - differ) / 2 / either
+
+
+def look_from(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The estimated similarities from which rows of sketches may be of a link. The error has two parts: the bins' minima
+    are a random part of both sets together (of small sets nearly all, which leaves little error), and parities tell
+    roughly how many of them differ."""
+    s, size = percent / 100, 1 << SKETCH_BITS
+    either, _ = _filled(a, b)
+    union = (a[..., -1] + b[..., -1]).astype(float) / (1 + s)  # at the limit
+    differ = 2 * (1 - s) * either
+    of_parities = (size / 4 * np.expm1(4 * differ / size) - differ) / (2 * either) ** 2
+    return s - MARGIN * np.sqrt(s * (1 - s) / either * np.clip(1 - either / union, 0, 1) + of_parities)
+
+
+def look_alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return estimates(a, b) >= look_from(a, b, percent)
 
 
 def _sketch_rows(column: pa.Array) -> np.ndarray:
-    width = ((1 << SKETCH_BITS) + (1 << BIN_BITS)) // 64
+    width = ((1 << SKETCH_BITS) + (1 << BIN_BITS)) // 64 + 1
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
 
 
@@ -129,18 +148,42 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return base.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
+def passing(pairs: DataFrame, values: DataFrame, close) -> DataFrame:
+    """Those of `pairs` (a, b), once each, for which `close(value of a, values of several b)` holds; `values` has (id, value).
+
+    The pairs of one `a` are dealt into groups by `b`, as many as tasks can take; in each group the value of `a` comes first
+    and those of its `b` stream past it."""
+    dealt = pairs.withColumn("group", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(4 * shuffle_partitions(pairs.sparkSession)))))
+    head = dealt.select("group", "a").distinct().join(values.withColumnRenamed("id", "a"), "a").select("group", "a", F.lit(None).cast("long").alias("b"), "value")
+    rest = dealt.join(values.withColumnRenamed("id", "b"), "b").select("group", "a", "b", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of = [], None  # an id may stand for several texts, so there may be several values of `a`
+        for batch in batches:
+            group, a, b, value = (batch.column(c) for c in ("group", "a", "b", "value"))
+            heads = np.flatnonzero(b.is_null().to_numpy(zero_copy_only=False))
+            keep = np.zeros(batch.num_rows, bool)
+            for first, last in zip([0, *heads + 1], [*heads, batch.num_rows], strict=True):
+                if last > first:
+                    keep[first:last] = np.any([close(one, value.slice(first, last - first)) for one in own], axis=0)
+                if last < batch.num_rows:
+                    key = group[last].as_py(), a[last].as_py()
+                    own, of = (own if key == of else []) + [value.slice(last, 1)], key
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
+
+    both = head.union(rest).repartition(shuffle_partitions(pairs.sparkSession), "group").sortWithinPartitions("group", "a", F.col("b").asc_nulls_first())
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def look_similar(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Those of `pairs` (a, b) whose sketches don't rule a link out."""
-    look = look_from(percent)
+    return passing(pairs, sketches.withColumnRenamed("sketch", "value"), lambda one, others: look_alike(_sketch_rows(one), _sketch_rows(others), percent))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                keep = estimates(_sketch_rows(b.column("one")), _sketch_rows(b.column("two"))) >= look
-                yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("one")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("two")), "b")
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long").distinct()
+def linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """By the sizes of two sets' intersection and union."""
+    common = len(one) + len(other) - len(distinct(np.concatenate([one, other]))[0])
+    return 100 * common >= percent * (len(one) + len(other) - common)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -148,16 +191,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            sets = [s.view(np.int64) for s in shingle_sets(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+            sets = [s.tobytes() for s in shingle_sets(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "value"])
+
+    def close(one: pa.Array, others: pa.Array) -> list[bool]:
+        own = np.frombuffer(one[0].as_py(), np.uint64)
+        return [linked(own, np.frombuffer(x.as_py(), np.uint64), percent) for x in others]
 
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    sets = written(texts.mapInArrow(run, "id long, set array<long>").where(F.size("set") > 0), "candidate-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("two")), "b")
-    common = F.size(F.array_intersect("one", "two"))
-    both = both.select("a", "b", common.alias("common"), (F.size("one") + F.size("two") - common).alias("union"))
-    return both.where(100 * F.col("common") >= percent * F.col("union")).select("a", "b").distinct()
+    sets = written(texts.mapInArrow(run, "id long, value binary").where(F.length("value") > 0), "candidate-sets")
+    return passing(pairs, sets, close)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,14 +222,22 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def across_components(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of `members` (key, n, id, component, sketch) of one key and different components that look similar; n
-    is the number of the key's members. Each block of a key's members meets each other block, and itself, once."""
-    look = look_from(percent)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(group.alias("group"), "id", "component", "sketch", "own", (F.col("own") == F.col("other")).alias("alone"))
+    """Pairs (a, b) of `members` (key, major, n_major, n_minor, id, component, sketch) of one key and different components
+    that look similar. `major` is the component with most of the key's members."""
+    is_major = F.col("component") == F.col("major")
+    blocks = [F.ceil(F.col(n) / BLOCK).cast("int") for n in ("n_minor", "n_major")]
+    own = F.pmod(F.xxhash64("id"), F.when(is_major, blocks[1]).otherwise(blocks[0])).cast("int")
+
+    def meetings(with_: Column, kind: int, side: Column, alone) -> Column:
+        """Groups (kind, a, b): two blocks of others; a block of others and one of the largest component."""
+        first, second = (F.least, F.greatest) if kind == 0 else ((lambda x, y: x), (lambda x, y: y))
+        return F.transform(F.sequence(F.lit(0), with_ - 1), lambda k: F.struct(F.lit(kind).alias("kind"), first(F.col("own"), k).alias("a"), second(F.col("own"), k).alias("b"), side.alias("side"), alone(k).alias("alone")))
+
+    never = lambda k: F.lit(False)
+    of_minor = F.concat(meetings(blocks[0], 0, F.col("own"), lambda k: k == F.col("own")), meetings(blocks[1], 1, F.lit(0), never))
+    of_major = F.transform(F.sequence(F.lit(0), blocks[0] - 1), lambda k: F.struct(F.lit(1).alias("kind"), k.alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
+    dealt = members.withColumn("own", own).withColumn("m", F.explode(F.when(is_major, of_major).otherwise(of_minor)))
+    dealt = dealt.select(F.xxhash64("key", "m.kind", "m.a", "m.b").alias("group"), "id", "component", "sketch", F.col("m.side").alias("own"), F.col("m.alone").alias("alone"))
 
     def of_group(ids, component, sketch, own, alone) -> Iterator[np.ndarray]:
         step = max(1, (1 << 16) // len(ids))
@@ -193,34 +245,16 @@ def across_components(members: DataFrame, percent: int) -> DataFrame:
             rows = slice(first, first + step)
             ask = (component[rows, None] < component[None, :]) & ((own[rows, None] != own[None, :]) | alone[rows, None])
             i, j = np.nonzero(ask)
-            close = estimates(sketch[rows][i], sketch[j]) >= look
+            close = look_alike(sketch[rows][i], sketch[j], percent)
             i, j = i[close], j[close]
             yield np.stack([np.minimum(ids[rows][i], ids[j]), np.maximum(ids[rows][i], ids[j])], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def of_whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            group, ids, component, own = (t.column(c).to_numpy() for c in ("group", "id", "component", "own"))
-            alone, sketch = t.column("alone").to_numpy(), _sketch_rows(t.column("sketch"))
-            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-            for part in map(slice, edges[:-1], edges[1:]):
-                for found in of_group(ids[part], component[part], sketch[part], own[part], alone[part]):
-                    if len(found):
-                        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            group = t.column("group").to_numpy()
-            cut = int(np.flatnonzero(group == group[-1])[0])
-            rest = t.slice(cut)
-            if cut:
-                yield from of_whole(t.slice(0, cut))
-        if rest is not None:
-            yield from of_whole(rest)
+        for t in runs_of(batches, "group"):
+            ids, component, own = (t.column(c).to_numpy() for c in ("id", "component", "own"))
+            for found in of_group(ids, component, _sketch_rows(t.column("sketch")), own, t.column("alone").to_numpy()):
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     dealt = dealt.repartition(shuffle_partitions(members.sparkSession), "group").sortWithinPartitions("group", "id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -247,7 +281,9 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     label = F.coalesce("component", "id")
     wide = buckets.join(shared.where("n > 2").select("key"), "key").join(found, "id", "left").select("key", "id", label.alias("component"))
     wide = written(wide, "bucket-members")
-    split = wide.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
+    sizes = wide.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    sizes = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("n_major"), (F.sum("n") - F.max("n")).alias("n_minor"))
+    split = sizes.where("n_minor > 0")
     members = wide.join(written(split, "split-buckets"), "key").join(sketches, "id")
     more = written(across_components(members, percent).join(stars, ["a", "b"], "left_anti"), "more-candidates")
     links = links.union(confirmed(more, docs, percent))

@@ -153,21 +153,18 @@ def test_sketches_estimate():
 
 
 @pytest.mark.parametrize("percent", [85, 80])
-def test_sketches_keep_links_of_long_texts(percent):
+def test_sketches_keep_links_of_any_length(percent):
+    """At the limit the estimate's distance from where candidates begin is MARGIN times its spread, for each size of set."""
     rng = np.random.default_rng(percent)
     assert (1 - (percent / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(percent) < 1e-6
-    found = []
-    for n in (700, 5000):
-        both = -(-2 * n * percent // (100 + percent))
-        for _ in range(1000):
+    for n in (30, 150, 700, 5000):
+        both, found, look = -(-2 * n * percent // (100 + percent)), [], []
+        for _ in range(800):
             x = rng.integers(0, 1 << 64, 2 * n - both, dtype=np.uint64)
-            rows = []
-            for s in (np.sort(x[:n]), np.sort(x[n - both :])):
-                bins = (s >> np.uint64(64 - near_dedup.BIN_BITS)).astype(np.int64)
-                head = s[np.concatenate([[True], bins[1:] != bins[:-1]])]
-                rows.append(np.frombuffer(near_dedup.signature(head, 99)[1], np.uint64))  # the sketch is of the bins' minima alone
+            rows = [np.frombuffer(near_dedup.sketch_of(np.sort(part)), np.uint64) for part in (x[:n], x[n - both :])]
             found.append(float(near_dedup.estimates(*rows)))
-    assert min(found) >= near_dedup.look_from(percent) and np.std(found) * 6 < percent / 100 - near_dedup.look_from(percent) + 0.01
+            look.append(float(near_dedup.look_from(*rows, percent)))
+        assert (np.array(found) > look).all() and np.std(found) * near_dedup.MARGIN < (percent / 100 - np.mean(look)) * 1.25
 
 
 def test_near_duplicates_at_another_limit(spark):
