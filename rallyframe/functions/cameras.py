@@ -202,15 +202,21 @@ def triangulate(pa: np.ndarray, pb: np.ndarray, uva: np.ndarray, uvb: np.ndarray
     return x[:, :3] / x[:, 3:]
 
 
-def triangulation_std(pa: np.ndarray, pb: np.ndarray, uva: np.ndarray, uvb: np.ndarray, sigma: float = 2.0) -> np.ndarray:
-    """Standard deviations from pixel noise, by forward differences of one sigma."""
+def triangulation_covariance(pa: np.ndarray, pb: np.ndarray, uva: np.ndarray, uvb: np.ndarray, sigma: float = 2.0) -> np.ndarray:
+    """Covariances (3x3) of points from pixel noise, by forward differences of one sigma."""
     base = triangulate(pa, pb, uva, uvb)
-    total = np.zeros_like(base)
+    moves = []
     for which in range(4):
         a, b = uva.copy(), uvb.copy()
         (a if which < 2 else b)[:, which % 2] += sigma
-        total += (triangulate(pa, pb, a, b) - base) ** 2
-    return np.sqrt(total)
+        moves.append(triangulate(pa, pb, a, b) - base)
+    j = np.stack(moves, axis=2)
+    return j @ j.transpose(0, 2, 1)
+
+
+def triangulation_std(pa: np.ndarray, pb: np.ndarray, uva: np.ndarray, uvb: np.ndarray, sigma: float = 2.0) -> np.ndarray:
+    """Standard deviations of points from pixel noise."""
+    return np.sqrt(np.diagonal(triangulation_covariance(pa, pb, uva, uvb, sigma), axis1=1, axis2=2))
 
 
 def triangulated(a: Camera, b: Camera, max_reproj_px: float = 40.0, sigma: float = 2.0) -> Callable[[Column, Column, Column, Column], Column]:

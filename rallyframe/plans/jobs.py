@@ -108,10 +108,12 @@ def dual_bounces(events_a: DataFrame, events_b: DataFrame, offset: int) -> DataF
     return a.unionByName(b).where(owns(F.col("cam"), F.col("y")))
 
 
-def detector_precision(detections: DataFrame, labels: DataFrame, keys: list[str], tolerance: float = 30.0, held: set[int] | None = None) -> DataFrame:
-    """A threshold sweep on labelled frames, all of them or those of a held-out set of bounded size."""
+def detector_precision(detections: DataFrame, labels: DataFrame, keys: list[str], tolerance: float = 30.0, held: DataFrame | set[int] | None = None) -> DataFrame:
+    """A threshold sweep on labelled frames: all of them, those of a table (keys, frame), or those of a small set of frames."""
     rows = labels.select(*keys, "frame", "visible", F.col("u").alias("lu"), F.col("v").alias("lv")).join(detections, [*keys, "frame"])
-    if held is not None:
+    if isinstance(held, DataFrame):
+        rows = rows.join(held.select(*keys, "frame").distinct(), [*keys, "frame"], "left_semi")
+    elif held is not None:
         rows = rows.where(F.col("frame").isin(sorted(held)))
     d = F.sqrt((F.col("u") - F.col("lu")) * (F.col("u") - F.col("lu")) + (F.col("v") - F.col("lv")) * (F.col("v") - F.col("lv")))
     return metrics.threshold_sweep(rows.withColumn("dist", d), tolerance, keys)

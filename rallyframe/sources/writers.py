@@ -45,6 +45,12 @@ def write_csv(rows: DataFrame, path: str, columns: list[str], order: list[str])
     rows.select(columns).orderBy(*order).write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
+def write_locations(placed: DataFrame, path: str, order: list[str]) -> None:
+    """Places of a dual view (rows of `sequences.placement`) as CSV, blank where the ball is lost."""
+    metres = [rounded(F.col(c), 3).alias(c) for c in ("court_x_m", "court_y_m", "court_z_m")]
+    write_csv(placed.select(*order, "source", *metres), path, [*order, "source", "court_x_m", "court_y_m", "court_z_m"], order)
+
+
 def write_log(log: DataFrame, path: str) -> None:
     """JSON lines; fields without a value are left out."""
     log.write.mode("overwrite").json(path)

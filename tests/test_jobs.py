@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rallyframe.functions.geometry import floor_point, min_max, project
-from rallyframe.operators import courts, metrics
+from rallyframe.operators import courts, metrics, sequences
 from rallyframe.plans import jobs
 from rallyframe.plans.queries import _two_cameras
 from rallyframe.sources import readers, writers
@@ -75,6 +75,30 @@ def test_detector_precision_prefers_the_best_threshold(spark):
     best = jobs.detector_precision(found, labels, ["clip"]).where("best").first()
     assert best.threshold == 0.6 and best.precision == 1.0 and best.recall == 0.6
     assert jobs.detector_precision(found, labels, ["clip"], held=set(range(6))).where("best").first().recall == 1.0
+    held = spark.createDataFrame([(1, f) for f in (0, 1, 2, 2)], "clip long, frame int")
+    assert jobs.detector_precision(found, labels, ["clip"], held=held).where("best").first().tp == 3
+
+
+def test_locations_file(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, 1.23456, 2.0, 3.0), (1, 1, None, None, None)], "match long, frame int, x3 double, y3 double, z3 double")
+    none = F.lit(None).cast("double")
+    placed = sequences.placement(rows.withColumns({c: none for c in ("xa", "ya", "xb", "yb")}))
+    writers.write_locations(placed, str(tmp_path / "l"), ["match", "frame"])
+    got = spark.read.option("header", True).csv(str(tmp_path / "l")).orderBy("frame").collect()
+    assert [tuple(r) for r in got] == [("1", "0", "both", "1.235", "2.0", "3.0"), ("1", "1", "lost", None, None, None)]
+
+
+def test_covariance_of_a_point():
+    """Against the formula: the Jacobian's pseudo-inverse times the noise."""
+    from rallyframe.functions.cameras import triangulation_covariance, triangulation_std
+
+    a, b = _two_cameras()
+    x = np.array([[4.0, 9.0, 1.5]])
+    slope = np.concatenate([np.stack([(c.project(x + 1e-5 * np.eye(3)[i]) - c.project(x - 1e-5 * np.eye(3)[i]))[0] / 2e-5 for i in range(3)], axis=1) for c in (a, b)])
+    want = np.linalg.pinv(slope) @ np.linalg.pinv(slope).T * 4.0
+    got = triangulation_covariance(a.p, b.p, a.project(x), b.project(x))[0]
+    assert np.allclose(got, got.T) and np.allclose(np.sqrt(np.diag(got)), triangulation_std(a.p, b.p, a.project(x), b.project(x))[0])
+    assert np.allclose(np.diag(got), np.diag(want), rtol=0.2)
 
 
 def test_summaries(spark):
