@@ -434,7 +434,7 @@ def parked_balls(spark, sf):
     return tracking.parked_balls(_with_parked(spark, sf))
 
 
-AUDIT = """audit AS (SELECT clip, frame, found AS measured, event_id % 11 > 0 AS tracking, (event_id % 97) * 25e0 AS speed, CASE WHEN event_type = 'purchase' THEN 'hit' END AS event, (event_id % 4 = 0)::INTEGER AS n_suppressed,
+AUDIT = """audit AS (SELECT clip, frame, found AS measured, event_id % 11 > 0 AS tracking, (event_id % 97) * 26.37e0 AS speed, CASE WHEN event_type = 'purchase' THEN 'hit' END AS event, (event_id % 4 = 0)::INTEGER AS n_suppressed,
     event_id % 7 < 3 AS two_moving, event_id % 5 < 2 AS apart FROM obs)"""
 
 
@@ -449,7 +449,7 @@ AUDIT = """audit AS (SELECT clip, frame, found AS measured, event_id % 11 > 0 AS
         {r('quantile_cont(CASE WHEN play THEN speed END, 0.05)', 1)} AS speed_p5, {r('quantile_cont(CASE WHEN play THEN speed END, 0.1)', 1)} AS speed_p10, {r('quantile_cont(CASE WHEN play THEN speed END, 0.25)', 1)} AS speed_p25, {r('quantile_cont(CASE WHEN play THEN speed END, 0.5)', 1)} AS speed_p50 FROM b GROUP BY clip""")
 def case_audit_summary(spark, sf):
     e = F.col("event_id")
-    rows = observations(spark, sf).select("clip", "frame", F.col("found").alias("measured"), (e % 11 > 0).alias("tracking"), (e % 97 * 25.0).alias("speed"), F.when(F.col("event_type") == "purchase", "hit").alias("event"), (e % 4 == 0).cast("int").alias("n_suppressed"), (e % 7 < 3).alias("two_moving"), (e % 5 < 2).alias("static_while_fast"))
+    rows = observations(spark, sf).select("clip", "frame", F.col("found").alias("measured"), (e % 11 > 0).alias("tracking"), (e % 97 * 26.37).alias("speed"), F.when(F.col("event_type") == "purchase", "hit").alias("event"), (e % 4 == 0).cast("int").alias("n_suppressed"), (e % 7 < 3).alias("two_moving"), (e % 5 < 2).alias("static_while_fast"))
     return metrics.audit_summary(rows, ["clip"])
 
 
