@@ -382,6 +382,37 @@ def kalman_track(spark, sf):
     return out.select("clip", "frame", "status", *(rounded(F.col(c), 2).alias(c) for c in ("x", "y", "vx", "vy", "std")), "coast")
 
 
+KALMAN_GATED = """kal AS (
+    SELECT clip, frame, u, v, confidence, CASE WHEN u IS NULL THEN 'lost' ELSE 'tracking' END AS status, u AS x, v AS y, 0e0 AS vx, 0e0 AS vy,
+           25e0 AS p11, 0e0 AS p12, 1e6 AS p22, 0 AS coast, u IS NOT NULL AS measured, (u IS NOT NULL)::INTEGER AS updates, false AS gated FROM obs WHERE frame = 0
+    UNION ALL
+    SELECT clip, frame, u, v, confidence, status,
+           CASE status WHEN 'tracking' THEN CASE WHEN x IS NULL THEN u ELSE qx + k1 * (u - qx) END WHEN 'coasting' THEN qx END,
+           CASE status WHEN 'tracking' THEN CASE WHEN x IS NULL THEN v ELSE qy + k1 * (v - qy) END WHEN 'coasting' THEN qy END,
+           CASE WHEN status = 'lost' OR x IS NULL THEN 0e0 WHEN status = 'tracking' THEN vx + k2 * (u - qx) ELSE vx END,
+           CASE WHEN status = 'lost' OR x IS NULL THEN 0e0 WHEN status = 'tracking' THEN vy + k2 * (v - qy) ELSE vy END,
+           CASE WHEN status = 'lost' OR x IS NULL THEN 25e0 WHEN status = 'tracking' THEN (1 - k1) * q11 ELSE q11 END,
+           CASE WHEN status = 'lost' OR x IS NULL THEN 0e0 WHEN status = 'tracking' THEN (1 - k1) * q12 ELSE q12 END,
+           CASE WHEN status = 'lost' OR x IS NULL THEN 1e6 WHEN status = 'tracking' THEN q22 - k2 * q12 ELSE q22 END,
+           CASE WHEN status = 'coasting' THEN coast + 1 ELSE 0 END, status = 'tracking', CASE status WHEN 'tracking' THEN CASE WHEN x IS NULL THEN 1 ELSE updates + 1 END WHEN 'coasting' THEN updates ELSE 0 END, gated
+    FROM (
+        SELECT *, q11 / (q11 + 25e0 * 0.7e0 / greatest(confidence, 0.05e0)) AS k1, q12 / (q11 + 25e0 * 0.7e0 / greatest(confidence, 0.05e0)) AS k2,
+               CASE WHEN u IS NOT NULL AND NOT gated THEN 'tracking' WHEN x IS NULL OR coast + 1 > 15 THEN 'lost' ELSE 'coasting' END AS status
+        FROM (SELECT *, coalesce(updates >= 3 AND ((u - qx) * (u - qx) + (v - qy) * (v - qy)) / (q11 + 25e0 * 0.7e0 / greatest(confidence, 0.05e0)) > 9.21e0, false) AS gated
+        FROM (
+            SELECT o.clip, o.frame, o.u, o.v, o.confidence, k.x, k.updates, k.coast, k.vx, k.vy, k.x + 0.05e0 * k.vx AS qx, k.y + 0.05e0 * k.vy AS qy,
+                   k.p11 + 2 * 0.05e0 * k.p12 + 0.05e0 * 0.05e0 * k.p22 + 50000e0 * (0.05e0 * 0.05e0 * 0.05e0 * 0.05e0) / 4 AS q11,
+                   k.p12 + 0.05e0 * k.p22 + 50000e0 * (0.05e0 * 0.05e0 * 0.05e0) / 2 AS q12, k.p22 + 50000e0 * (0.05e0 * 0.05e0) AS q22
+            FROM kal k JOIN obs o ON o.clip = k.clip AND o.frame = k.frame + 1))))"""
+
+
+@query(f"""WITH RECURSIVE {OBS}, {KALMAN_GATED} SELECT clip, frame, status, gated, {r('x', 2)} AS x, {r('y', 2)} AS y, coast FROM kal""")
+def kalman_gated(spark, sf):
+    """With the gate on: far-off detections are passed over, and the track coasts."""
+    out = tracking.track(_candidates(spark, sf), TrackerConfig(dt=1 / FPS, gate=9.21))
+    return out.select("clip", "frame", "status", "gated", rounded(F.col("x"), 2).alias("x"), rounded(F.col("y"), 2).alias("y"), "coast")
+
+
 EVENT_WALK = f"""seen AS (SELECT *, {X.replace('u', 'x').replace('v', 'y')} * (1 / {W.replace('u', 'x').replace('v', 'y')}) AS x_m, {Y.replace('u', 'x').replace('v', 'y')} * (1 / {W.replace('u', 'x').replace('v', 'y')}) AS y_m FROM kal),
     ev AS (
         SELECT clip, frame, measured AS was, vx, vy, CASE WHEN measured THEN sign(vx) ELSE 0 END AS sx, CASE WHEN measured THEN sign(vy) ELSE 0 END AS sy,
