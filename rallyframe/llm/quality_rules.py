@@ -171,7 +171,8 @@ def cleaned(docs: DataFrame, most: int = LINE_DOCUMENTS, share: float = 0.0, lea
     touched = touched.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept"), F.col("boilerplate_lines").alias("_lines"))
     touched = written(touched.dropDuplicates(["_id", "_host", "_key"]), "quality-touched")
     same = docs["doc_id"].eqNullSafe(touched["_id"]) & (host_of() == touched["_host"]) & (F.xxhash64(docs["text"]) == touched["_key"])
-    left = docs.join(touched, same, "left").where("_kept is null or _kept").select(*docs.columns, "_lines")
+    # Merged at every size: the touched rows grow with the input, so they are never sent to all tasks.
+    left = docs.join(touched.hint("merge"), same, "left").where("_kept is null or _kept").select(*docs.columns, "_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
