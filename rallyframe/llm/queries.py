@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extraction, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filters
+from . import conversation_repair, fingerprints, html_extraction, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filters
 from .common import table
 
 
@@ -51,10 +51,28 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_lm_scoring, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_document_fingerprints, op7_quality_rules, op8_quality_classifier, op9_mixing, op10_minhash_near_dedup)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_lm_scoring, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_document_fingerprints, op7_quality_rules, op8_quality_classifier, op9_mixing, op10_minhash_near_dedup, op13_conversation_repair)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_INK = r"[^\x20\x09-\x0D]"
+
+
+def _ways() -> str:
+    """Rows of op13's SQL: place in the form, place after insertions, insertions and edit, the edit, price and lines of the insertions."""
+    goes, rows = {"start": "user", "system": "user", "user": "assistant", "assistant": "user"}, []
+    for place in goes:
+        reached, before, lines = place, "", []
+        for _ in range(3):
+            rows += [f"('{place}', '{reached}', '{before}{edit}', '{edit}', {2 * len(before)}, [{', '.join(lines)}]::VARCHAR[])" for edit in "KRD"]
+            reached, before = goes[reached], before + "I"
+            lines = [*lines, f"'{reached}:'"]
+    return ", ".join(rows)
+
 
 ORACLE_SQL = {
     "op1_url_filters": rf"""
@@ -161,4 +179,55 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
         FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
     """,
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+            FROM conversations
+        ), dealt AS (
+            SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT),
+                          lambda crc, b: list_reduce(range(8), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, b)), 4294967295::BIGINT), 4294967295) % 20 AS hit
+            FROM keyed
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+                   CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM dealt WHERE hit <> 0
+        ), faults AS (
+            SELECT *, left(role, 1) AS initial, row_number() OVER ordered AS n,
+                   CASE WHEN NOT regexp_matches(text, '{_INK}') THEN 'blank' WHEN row_number() OVER same > 1 THEN 'duplicate'
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault
+            FROM damaged
+            WINDOW ordered AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy), same AS (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy)
+        ), pairs AS (
+            SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM faults
+        ), counted AS (
+            SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM pairs GROUP BY conv_id
+        ), ways(place, reached, word, edit, price, lines) AS (VALUES
+            {_ways()}
+        ), search AS (
+            SELECT conv_id, 0::BIGINT AS n, 'start' AS place, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT * FROM (
+                SELECT s.conv_id, s.n + 1,
+                       CASE WHEN edit = 'D' THEN reached WHEN edit = 'K' AND initial = 's' THEN 'system' WHEN reached = 'user' THEN 'assistant' ELSE 'user' END AS next,
+                       s.cost + price + CASE edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS total,
+                       s.audit || word AS said,
+                       list_concat(s.lines, w.lines, CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE WHEN reached = 'user' THEN 'assistant:' ELSE 'user:' END || text] END)
+                FROM search s JOIN faults f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.n = s.n + 1 JOIN ways w USING (place)
+                WHERE edit = 'D' OR (coalesce(fault, '') NOT IN ('blank', 'duplicate')
+                      AND (edit = 'R' OR (reached = 'user' AND initial = 'a') OR (reached <> 'user' AND initial = 'u') OR (reached = 'start' AND initial = 's')))
+                QUALIFY row_number() OVER (PARTITION BY s.conv_id, next ORDER BY total, said) = 1)
+        ), ended AS (
+            SELECT s.conv_id, cost + price AS cost, audit || replace(word, 'D', '') AS audit, list_concat(s.lines, w.lines) AS lines
+            FROM search s JOIN ways w USING (place) LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM s.conv_id
+            WHERE s.n = coalesce(rows, 0) AND edit = 'D' AND reached IN ('start', 'assistant')
+            QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY s.cost + price, s.audit || replace(word, 'D', '')) = 1
+        )
+        SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+        FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+    """,
 }
