@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, fingerprints, html_extraction, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filters
+from . import conversation_repair, fingerprints, html_extraction, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filters, warc, whitening
 from .common import table
 
 
@@ -51,11 +51,19 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_lm_scoring, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_document_fingerprints, op7_quality_rules, op8_quality_classifier, op9_mixing, op10_minhash_near_dedup, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_lm_scoring, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_document_fingerprints, op7_quality_rules, op8_quality_classifier, op9_mixing, op10_minhash_near_dedup, op11_embedding_whitening, op12_warc, op13_conversation_repair)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -179,6 +187,16 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
         FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
     """,
+    "op12_warc": """
+        WITH sized AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), firsts AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM sized
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM firsts
+    """,
     "op13_conversation_repair": rf"""
         WITH RECURSIVE keyed AS (
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
