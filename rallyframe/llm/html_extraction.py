@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, written
 from .url_filters import host_and_path
 
-#: A tag: quotes count after an equals sign only, and one that never closes is a character like others. No part backtracks.
+#: A tag: quotes count after an equals sign only, and one that never closes is a character like others; the tag ends at the next `>`. No part backtracks.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))*+)>""")
 _CLASS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LONG_REFERENCE = re.compile("&#(?:[0-9]{1000,}+|[xX][0-9a-fA-F]{1000,}+);?")
@@ -54,8 +54,8 @@ class Layout:
     """Runs of text of a page in page order, and the paths they lie at, as a tree: each node is an element's part of
     a path below its parent's, so that depth costs nothing. Node 0 is the page itself.
 
-    Unclosed and stray tags are put right as browsers do for paragraphs, items and cells. A tag that never ends is
-    text, and so is all after it. The time is proportional to the page's length."""
+    Unclosed and stray tags are put right as browsers do for paragraphs, items and cells. A tag or an element of raw text that
+    never ends is dropped, and so is all after it. The time is proportional to the page's length."""
 
     def __init__(self, page: str):
         self.parent, self.part, self.depth, self.length = [0], [""], [0], [0]
@@ -118,7 +118,7 @@ class Layout:
             if follows and follows in "!?":
                 end = page.find(">", at)
                 if end < 0:
-                    text(begin, n)
+                    text(begin, at)
                     return
                 breaks, begin = text(begin, at), end + 1
                 at = begin
@@ -131,7 +131,7 @@ class Layout:
                 if follows == "/" and not (page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha()):
                     at += 1
                     continue
-                text(begin, n)
+                text(begin, at)
                 return
             breaks, begin = text(begin, at), m.end()
             at = begin
@@ -142,10 +142,11 @@ class Layout:
                 if places[tag] and (tag in APART or places[tag][-1] > last_apart):
                     close(places[tag][-1])
             elif tag in RAW:
-                end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*+>", re.I).search(page, at)
-                if not end:
+                found = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
+                end = page.find(">", found.end()) if found else -1
+                if end < 0:
                     return
-                at = begin = end.end()
+                at = begin = end + 1
             elif tag not in VOID and not ends_itself(attributes):
                 place = max((places[t][-1] for t in (*ENDS_ITSELF.get(tag, ()), *(("p",) if tag in CLOSES_P else ())) if places[t]), default=-1)
                 if place > last_apart:

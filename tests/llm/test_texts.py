@@ -333,7 +333,7 @@ def test_layouts(spark, name):
 @pytest.mark.parametrize(
     "page",
     ['<a "' * 262_144, "<div>" * 100_000 + "x", "<span>" * 100_000 + "</div>" * 100_000 + "y", "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000 + "z", "<" * 1_000_000, "</" * 500_000,
-     "<!--" * 250_000, "&#" + "9" * 100_000 + ";", "<a b='" * 150_000, "<p>" * 100_000 + "q"],
+     "<script>" + "</script " * 200_000, "<style>" + "</style\t" * 200_000 + "<p>x", "<!--" * 250_000, "&#" + "9" * 100_000 + ";", "<a b='" * 150_000, "<p>" * 100_000 + "q"],
     ids=lambda p: p[:8],
 )
 def test_malformed_pages_take_linear_time(page):
@@ -344,6 +344,25 @@ def test_malformed_pages_take_linear_time(page):
     assert time.process_time() - began < 5
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<div><p>First part.<p>second <b class="x', "First part. second"), ("<p>kept</p><!doctype", "kept"), ("<p>kept</p></p class=x", "kept"), ("<p>a < b and 1 <2</p>", "a < b and 1 <2"),
+    ("<p>kept</p><script>var a", "kept"), ("<p>one<script>x</script ><p>two", "one two"), ("<p>kept <!-- gone", "kept"), ("<p>5 <", "5 <"),
+])
+def test_unfinished_markup_is_no_text(page, text):
+    layout = html_extraction.Layout(page)
+    assert layout.text_inside("") == text
+
+
+def test_votes_decide_against_a_page_of_its_own_mind(spark):
+    """A page with a box that is longer than its article is read by its host's path."""
+    own = "<div class=box>" + "<p>A long aside of this page alone, with many words. </p>" * 5 + "</div>"
+    page = lambda i: f"<body>{own if i == 0 else ''}<article class=post><p>Story number{i} is short but told in the usual place.</p></article></body>"
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(4)], "page_id long, url string, html string")
+    assert html_extraction.best(page(0))[0] != html_extraction.best(page(1))[0]
+    got = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+    assert got == {i: f"Story number{i} is short but told in the usual place." for i in range(4)}
+
+
 def plain_katz(train, texts):
     """The model from its definition, with dictionaries; checks that all of p(. | u v) sums to one."""
     end = object()
