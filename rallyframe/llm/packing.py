@@ -41,7 +41,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict[str, object] = {}
 #: The regex engine of the fast encoder keeps a stack as deep as a run of white space; texts with longer runs go to the other.
 LONGEST_SPACE = 20_000
-_LONG_SPACE = re.compile(rf"\s{{{LONGEST_SPACE},}}")
+#: Looked for from the beginning of a run only, so the time is proportional to the text.
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONGEST_SPACE},}}")
 
 
 def vocabulary() -> str:
