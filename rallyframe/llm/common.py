@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,19 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def set_aside(df: DataFrame, own: Callable[[str], bool]) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with other names for the columns whose lower-case names an operator takes for its own, and the way back."""
+    taken, away = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        name = c
+        while own(name.lower()) or (name != c and name.lower() in taken):
+            name = f"kept_{name}"
+        if name != c:
+            away[c] = name
+            taken.add(name.lower())
+    return df.withColumnsRenamed(away), {v: k for k, v in away.items()}
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

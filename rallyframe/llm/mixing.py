@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, set_aside, written
 
 #: Fixed by the contract: weights in order of the sources' names, and the limit to a source's target.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -68,7 +68,8 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     size and doc_id stand beside one another in the order, so which of them gets a copy more is of no account. A source of size 0 has
     target 0 and gives nothing. The offset depends on seed and source alone, so reruns agree."""
     added = ("size", "source_size", "target", "copies", "taken")
-    base = docs.drop(*added).withColumn("size", n_words(F.col("text")))
+    docs, back = set_aside(docs.drop(*added), lambda c: c.startswith("_mix_") or c in ("_n", "_size"))
+    base = docs.withColumn("size", n_words(F.col("text")))
     bits = F.length(F.bin("size"))
     base = (
         base.withColumn("_mix_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
@@ -98,9 +99,11 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
         .withColumn("copies", copies.cast("long"))
         .withColumn("taken", F.col("size") * F.col("copies"))
         .drop(*piece, "_mix_tie", "_mix_before", "_mix_rank", "_mix_rate", "_mix_offset")
+        .withColumnsRenamed(back)
     )
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """One row for each copy."""
-    return mixed.where("copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_mix_copy")
+    mixed, back = set_aside(mixed, "_mix_copy".__eq__)
+    return mixed.where("copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_mix_copy").withColumnsRenamed(back)

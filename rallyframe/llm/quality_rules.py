@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _power, bounded_batches, constants, mix64, raw_text, slices, windows, written
+from .common import Words, _power, bounded_batches, constants, mix64, raw_text, set_aside, slices, windows, written
 
 #: A line is boilerplate if over LINE_DOCUMENTS distinct documents of its host have it, however large the host.
 LINE_DOCUMENTS = 20
@@ -165,8 +165,11 @@ def judge(docs: DataFrame, most: int = LINE_DOCUMENTS, share: float = 0.0, least
 def cleaned(docs: DataFrame, most: int = LINE_DOCUMENTS, share: float = 0.0, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """The rows of `docs` that `judge` keeps, their texts without boilerplate lines; n_chars, if there is one, follows the text.
 
-    All else is as in `docs`. A row's verdict and lines follow from its text and source, so rows are known by doc_id,
+    All else is as in `docs`, whatever its columns are called. Null or empty text is rejected, null source a host of its own; repeated rows
+    are all kept or all rejected; texts of any length; an empty table gives no rows. A row's verdict and lines follow from its text and source, so rows are known by doc_id,
     host and a hash of the text."""
+    names = docs.columns
+    docs, back = set_aside(docs, {"_id", "_host", "_key", "_kept", "_lines"}.__contains__)
     touched = _judged(docs, most, share, least_words, least_share).where("not kept or boilerplate_words > 0")
     touched = touched.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept"), F.col("boilerplate_lines").alias("_lines"))
     touched = written(touched.dropDuplicates(["_id", "_host", "_key"]), "quality-touched")
@@ -188,4 +191,4 @@ def cleaned(docs: DataFrame, most: int = LINE_DOCUMENTS, share: float = 0.0, lea
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(docs.columns)
+    return out.select(docs.columns).withColumnsRenamed(back).select(names)

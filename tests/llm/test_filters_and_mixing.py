@@ -1,8 +1,10 @@
 import collections
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from rallyframe.llm import mixing, packing, url_filters
 
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
@@ -111,6 +113,25 @@ def test_packing(spark, texts, odd_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("text", [("x" + " " * 5_000) * 200, ("y" + "\n" * 19_999) * 50, " " * 19_999 + "a" + "\t" * 20_000])
+def test_white_space_takes_linear_time(text):
+    encode = packing.encoder(packing.vocabulary())
+    began = time.process_time()
+    packing._LONG_SPACE.search(text)
+    assert time.process_time() - began < 0.2
+    assert encode(text[:60_000]) == encode.plain.encode(text[:60_000], add_special_tokens=False).ids
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 7), f"s{i % 3}") for i in range(50)], "doc_id long, text string, source string")
+    clash = ("_mix_source", "_mix_class", "_mix_copy", "_n", "_SIZE", "kept__mix_source")
+    odd = docs.withColumns({c: F.lit("clash") for c in clash})
+    plain = {tuple(r) for r in mixing.mix(docs).select("doc_id", "taken").collect()}
+    got = mixing.mix(odd)
+    assert {tuple(r) for r in got.select("doc_id", "taken").collect()} == plain
+    assert all(r[c] == "clash" for r in mixing.emit(got).collect() for c in clash) and mixing.emit(got).count() == mixing.emit(mixing.mix(docs)).count()
+
+
 def test_plan_fills_slots():
     rng = np.random.default_rng(0)
     counts = np.bincount(rng.integers(1, 1024, 5000), minlength=1025)

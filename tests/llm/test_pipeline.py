@@ -5,6 +5,7 @@ import math
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from rallyframe.llm import quality_classifier, quality_rules
 from rallyframe.llm.common import raw_text, table, written
 from rallyframe.llm.queries import QUERIES
@@ -131,3 +132,17 @@ def test_rules_take_boilerplate_lines_out(spark):
 
 def test_every_operator_has_a_query():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    shared = "\n".join(f"a line number {i} that all of them have" for i in range(2))
+    rows = [(i, shared + f"\nthen w{i} " + " ".join(f"x{i * 31 + j}" for j in range(30 + i)), "en", "s", 1) for i in range(30)] + [(30, None, None, None, None)]
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ("_lines", "_KEPT", "_id", "_host", "_key", "_text_key", "_mix_source", "_n", "kept__lines")
+    odd = docs.withColumns({c: F.lit("clash") for c in clash})
+    for stage in (corpus_pipeline.rules, corpus_pipeline.near_duplicates, corpus_pipeline.mixture):
+        plain, got = stage(spark, docs, ""), stage(spark, odd, "")
+        assert got.columns == odd.columns
+        assert sorted(map(str, got.select(docs.columns).collect())) == sorted(map(str, plain.collect()))
+        assert all(r[c] == "clash" for r in got.collect() for c in clash)
+    assert "a line number" not in corpus_pipeline.rules(spark, docs, "").first().text
