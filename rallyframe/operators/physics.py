@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -131,6 +132,130 @@ def smooth(forward: list[dict], f: np.ndarray, z_max: float) -> list[np.ndarray]
     return states
 
 
+FLIGHT_ROW = "frame int, measured boolean, u double, v double, confidence double, track_x double, track_y double, x3 double, y3 double, z3 double, std3 array<double>, event_type string, event_x double, event_y double"
+
+
+class FlightRow(NamedTuple):
+    """A frame of the log, with null for what is missing."""
+
+    frame: int
+    measured: bool | None
+    u: float | None
+    v: float | None
+    confidence: float | None
+    track_x: float | None
+    track_y: float | None
+    x3: float | None
+    y3: float | None
+    z3: float | None
+    std3: list[float] | None
+    event_type: str | None
+    event_x: float | None
+    event_y: float | None
+
+
+class Flight:
+    """The filter on its way through a clip."""
+
+    def __init__(self, cfg: EkfConfig, camera: np.ndarray, fps: float, to_court: Callable[[float, float], tuple[float, float]]):
+        self.cfg, self.camera, self.fps, self.to_court = cfg, camera, fps, to_court
+        self.ekf: Ekf | None = None
+        self.last = -1
+
+    def saved(self) -> tuple[list[float] | None, list[float] | None, int]:
+        return (None, None, self.last) if self.ekf is None else (self.ekf.s.tolist(), self.ekf.c.ravel().tolist(), self.last)
+
+    def restore(self, s: Iterable[float] | None, c: Iterable[float] | None, last: int) -> None:
+        self.last, self.ekf = last, None
+        if s is not None:
+            self.ekf = Ekf(self.cfg, self.camera, 1 / self.fps, [0.0] * 3)
+            self.ekf.s, self.ekf.c = np.array(s, float), np.array(c, float).reshape(6, 6)
+
+    def step(self, r: FlightRow, low: bool) -> list[dict]:
+        """States of the frames up to the row's; `low`: the image track is lowest there."""
+        measured, has_3d = bool(r.measured) and r.u is not None, r.x3 is not None
+        if self.ekf is None:
+            if not (has_3d or measured):
+                return []
+            self.ekf = Ekf(self.cfg, self.camera, 1 / self.fps, [r.x3, r.y3, r.z3] if has_3d else [*self.to_court(r.u, r.v), 0.0])
+            self.last = r.frame
+            return [self._state(r.frame, self.ekf.s.copy(), self.ekf.c.copy(), False)]
+        out, ekf = [], self.ekf
+        for frame in range(self.last + 1, r.frame + 1):
+            ekf.predict()
+            prior, prior_c, broke = ekf.s.copy(), ekf.c.copy(), False
+            if frame == r.frame:
+                if measured:
+                    ekf.see_2d(r.u, r.v, r.confidence or 0.05)
+                if has_3d:
+                    ekf.see_3d(np.array([r.x3, r.y3, r.z3]), np.array(r.std3 if r.std3 is not None else [0.3] * 3, float))
+                if r.event_type == "floor_bounce":
+                    if r.event_x is not None:
+                        ekf.anchor(r.event_x, r.event_y)
+                    ekf.flip()
+                    broke = True
+                elif low and ekf.s[2] < self.cfg.bounce_z:
+                    if r.track_x is not None:
+                        ekf.anchor(*self.to_court(r.track_x, r.track_y))
+                    ekf.flip()
+                    broke = True
+            ekf.clamp()
+            out.append(self._state(frame, prior, prior_c, broke))
+        self.last = r.frame
+        return out
+
+    def _state(self, frame: int, prior: np.ndarray, prior_c: np.ndarray, broke: bool) -> dict:
+        return {"frame": frame, "prior": prior, "prior_c": prior_c, "post": self.ekf.s.copy(), "post_c": self.ekf.c.copy(), "break": broke}
+
+
+def lowest(frames: list[int], v: list[float]) -> set[int]:
+    """Frames where the image track is lowest for a while."""
+    return {frames[i] for i in peaks(np.array(v, float), 80.0, 5)} if len(v) > 2 else set()
+
+
+class FixedLag:
+    """Filter and smoother over a window of the last frames. A frame's place is given out once `lag` more frames are known; the window is
+    worked through when it holds twice as many, so that each row is filtered twice. Low points are looked for among the window's
+    rows and those measured before it, as far back as four lags.
+
+    With a lag as long as the clip all is worked through at the end, as in `trajectory`."""
+
+    def __init__(self, flight: Flight, lag: int):
+        self.flight, self.lag = flight, lag
+        self.rows: list[FlightRow] = []
+        self.seen: list[tuple[int, float]] = []  # measured rows before the window
+
+    def push(self, row: FlightRow) -> list[tuple[int, float, float, float]]:
+        self.rows.append(row)
+        return self._run(row.frame - self.lag) if row.frame - self.rows[0].frame >= 2 * self.lag else []
+
+    def finish(self) -> list[tuple[int, float, float, float]]:
+        return self._run(None)
+
+    def _run(self, upto: int | None) -> list[tuple[int, float, float, float]]:
+        marks = [(r.frame, r.v) for r in self.rows if r.measured and r.v is not None]
+        low = lowest(*map(list, zip(*(self.seen + marks), strict=True))) if self.seen or marks else set()
+        forward = [state for r in self.rows for state in self.flight.step(r, r.frame in low)]
+        smoothed = smooth(forward, self.flight.ekf.f, self.flight.cfg.z_max) if forward else []
+        given = [k for k, state in enumerate(forward) if upto is None or state["frame"] <= upto]
+        if upto is not None:
+            self.rows = [r for r in self.rows if r.frame > upto]
+            self.seen = [m for m in self.seen + marks if upto - 4 * self.lag < m[0] <= upto]
+            if given:
+                last = forward[given[-1]]
+                self.flight.restore(last["post"], last["post_c"].ravel(), last["frame"])
+            elif forward:
+                self.flight.restore(None, None, -1)
+        else:
+            self.rows = []
+        return [(forward[k]["frame"], *map(float, smoothed[k][:3])) for k in given]
+
+
+def flight_rows(pdf: pd.DataFrame) -> list[FlightRow]:
+    columns = [pdf[name].tolist() for name in FlightRow._fields]
+    return [FlightRow(int(r[0]), *(x if isinstance(x, (list, np.ndarray)) else none(x) for x in r[1:])) for r in zip(*columns, strict=True)]
+
+
 def trajectory(log: DataFrame, camera: np.ndarray, homography: Matrix, fps: float, keys: list[str], cfg: EkfConfig = EkfConfig()) -> DataFrame:
     """(keys, frame, x, y, z) of each clip by filter and smoother.
 
@@ -139,48 +264,25 @@ def trajectory(log: DataFrame, camera: np.ndarray, homography: Matrix, fps: floa
     to_court = court_map(homography)
 
     def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
-        v = pdf["v"].to_numpy(float)
-        some = np.flatnonzero(~np.isnan(v) & pdf["measured"].fillna(False).to_numpy(bool))
-        low = set(pdf["frame"].to_numpy()[some[peaks(v[some], 80.0, 5)]]) if len(some) > 2 else set()
-        ekf, forward, frames, last = None, [], [], None
-        for r in pdf.itertuples(index=False):
-            measured = bool(r.measured) and none(r.u) is not None
-            has_3d = none(r.x3) is not None
-            if ekf is None:
-                if has_3d:
-                    ekf = Ekf(cfg, camera, 1 / fps, [r.x3, r.y3, r.z3])
-                elif measured:
-                    ekf = Ekf(cfg, camera, 1 / fps, [*to_court(r.u, r.v), 0.0])
-                else:
-                    continue
-                forward.append({"prior": ekf.s.copy(), "prior_c": ekf.c.copy(), "post": ekf.s.copy(), "post_c": ekf.c.copy(), "break": False})
-                frames.append(int(r.frame))
-                last = int(r.frame)
-                continue
-            for missing in range(last + 1, int(r.frame) + 1):
-                ekf.predict()
-                prior, prior_c, broke = ekf.s.copy(), ekf.c.copy(), False
-                if missing == int(r.frame):
-                    if measured:
-                        ekf.see_2d(r.u, r.v, none(r.confidence) or 0.05)
-                    if has_3d:
-                        ekf.see_3d(np.array([r.x3, r.y3, r.z3]), np.array(r.std3 if r.std3 is not None else [0.3] * 3, float))
-                    if r.event_type == "floor_bounce":
-                        if none(r.event_x) is not None:
-                            ekf.anchor(r.event_x, r.event_y)
-                        ekf.flip()
-                        broke = True
-                    elif int(r.frame) in low and ekf.s[2] < cfg.bounce_z:
-                        if none(r.track_x) is not None:
-                            ekf.anchor(*to_court(r.track_x, r.track_y))
-                        ekf.flip()
-                        broke = True
-                ekf.clamp()
-                forward.append({"prior": prior, "prior_c": prior_c, "post": ekf.s.copy(), "post_c": ekf.c.copy(), "break": broke})
-                frames.append(missing)
-            last = int(r.frame)
-        if ekf is not None:
-            for frame, s in zip(frames, smooth(forward, ekf.f, cfg.z_max), strict=True):
-                yield (frame, float(s[0]), float(s[1]), float(s[2]))
+        rows, flight = flight_rows(pdf), Flight(cfg, camera, fps, to_court)
+        marks = [(r.frame, r.v) for r in rows if r.measured and r.v is not None]
+        low = lowest(*map(list, zip(*marks, strict=True))) if marks else set()
+        forward = [state for r in rows for state in flight.step(r, r.frame in low)]
+        if forward:
+            for state, s in zip(forward, smooth(forward, flight.ekf.f, cfg.z_max), strict=True):
+                yield (state["frame"], float(s[0]), float(s[1]), float(s[2]))
+
+    return per_clip(log, keys, ["frame"], fold, "frame int, x double, y double, z double")
+
+
+def fixed_lag(log: DataFrame, camera: np.ndarray, homography: Matrix, fps: float, keys: list[str], lag: int, cfg: EkfConfig = EkfConfig()) -> DataFrame:
+    """`trajectory` with a smoother that looks `lag` to 2 * `lag` frames ahead only: what a stream gives."""
+    to_court = court_map(homography)
+
+    def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
+        window = FixedLag(Flight(cfg, camera, fps, to_court), lag)
+        for r in flight_rows(pdf):
+            yield from window.push(r)
+        yield from window.finish()
 
     return per_clip(log, keys, ["frame"], fold, "frame int, x double, y double, z double")

@@ -1,4 +1,4 @@
-"""Folds over clips on a stream, with the same steps as the batch form: the ball's track and events, parked blobs, identities.
+"""Folds over clips on a stream, with the same steps as the batch form: the ball's track and events, parked blobs.
 
 State per key: the fold's numbers. Rows of a micro-batch are sorted by frame; frames at or before the last one that a key
 has taken come too late and are dropped, as state can't be unrolled."""
@@ -9,16 +9,14 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Matrix
-from ..operators.clips import none, stretches
-from ..operators.players import Identities, Profile
+from ..operators.clips import stretches
 from ..operators.tracking import TRACK, Blob, Events, Kalman, Suppressor, court_map
-from ..schemas import EventConfig, IdentityConfig, SuppressConfig, TrackerConfig
+from ..schemas import EventConfig, SuppressConfig, TrackerConfig
 
 
 def stateful(rows: DataFrame, key: str, order: str, schema: str, begin: Callable[[Any], Any], load: Callable[[Any, Any], None], dump: Callable[[Any], Any], step: Callable[[Any, int, pd.DataFrame], Iterable[tuple]], idle_ms: int | None) -> DataFrame:
@@ -90,28 +88,6 @@ def suppress_stream(candidates: DataFrame, cfg: SuppressConfig = SuppressConfig(
     return stateful(candidates, "clip", "cand_idx", "cand_idx int, u double, v double, confidence double, kept boolean", lambda _: Suppressor(cfg), load, lambda own: [vars(b) for b in own.blobs], step, idle_ms)
 
 
-def identify_stream(detections: DataFrame, profiles: dict[Any, list[tuple[int, list[float] | None, float | None, float | None]]], cfg: IdentityConfig = IdentityConfig(), idle_ms: int | None = 600_000) -> DataFrame:
-    """`players.identify` on a stream of match, frame, det_idx, x, y, hist. `profiles`: by match the few enrolled players
-    (player_id, hist, x, y)."""
-    array = lambda h: None if h is None else np.asarray(h, float)
-
-    def begin(match: Any) -> Identities:
-        return Identities(cfg, {i: Profile(array(h), None if x is None else (x, y)) for i, h, x, y in profiles.get(match, [])})
-
-    def load(own: Identities, saved: dict) -> None:
-        own.profiles = {int(i): Profile(array(p["hist"]), p["pos"] and tuple(p["pos"]), p["last"], p["missing"]) for i, p in saved.items()}
-
-    def dump(own: Identities) -> dict:
-        return {i: vars(p) | {"hist": None if p.hist is None else p.hist.tolist()} for i, p in own.profiles.items()}
-
-    def step(own: Identities, frame: int, pdf: pd.DataFrame) -> Iterable[tuple]:
-        rows = [(none(x), none(y), array(h)) for x, y, h in zip(pdf["x"].tolist(), pdf["y"].tolist(), pdf["hist"].tolist(), strict=True)]
-        index = pdf["det_idx"].tolist()
-        return [(int(index[j]), *rest) for j, *rest in own.step(frame, rows)]
-
-    return stateful(detections, "match", "det_idx", "det_idx int, player_id int, cost double, pos_dist_m double, color_dist double, reentry boolean", begin, load, dump, step, idle_ms)
-
-
 def detections_by_window(candidates: DataFrame, late: str = "10 seconds", window: str = "1 minute") -> DataFrame:
     """Candidates and clips by window of event time; rows later than the watermark are dropped. `ts` must be a timestamp."""
     return candidates.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w")).agg(F.count("*").alias("n"), F.approx_count_distinct("clip").alias("clips")).select("w.start", "w.end", "n", "clips")

@@ -2,11 +2,10 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from rallyframe.operators.players import identify
 from rallyframe.operators.tracking import suppress_parked, track, tracked_events
 from rallyframe.plans.views import H, observations
 from rallyframe.sources import readers, scorers, writers
-from rallyframe.streaming.ball import detections_by_window, identify_stream, suppress_stream, track_stream
+from rallyframe.streaming.ball import detections_by_window, suppress_stream, track_stream
 
 
 def test_labels(spark, tmp_path):
@@ -104,16 +103,6 @@ def test_parked_blobs_on_a_stream(spark, tmp_path):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and want.where("not kept").count() > 20
 
 
-def test_identities_on_a_stream(spark, tmp_path):
-    hists = {1: [1.0, 0.0], 2: [0.0, 1.0]}
-    rows = spark.createDataFrame([(7, f, i, float(i + 1), f / 10, hists[(i + f // 25) % 2 + 1]) for f in range(60) for i in range(2) if i == 0 or not 30 <= f < 45], "match long, frame int, det_idx int, x double, y double, hist array<double>")
-    known = [(1, hists[1], None, None), (2, hists[2], None, None)]
-    got = streamed(spark, tmp_path, rows, "players", lambda s: identify_stream(s, {7: known}, idle_ms=None))
-    profiles = spark.createDataFrame([(7, *k) for k in known], "match long, player_id int, hist array<double>, x double, y double")
-    want = identify(rows, profiles, ["match"])
-    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and want.where("reentry").count() > 0
-
-
 def test_windows_drop_late_rows(spark, tmp_path):
     def batch(name, *seconds):
         spark.createDataFrame([("a", s) for s in seconds], "clip string, s long").select("clip", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
