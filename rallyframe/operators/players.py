@@ -1,4 +1,4 @@
-"""Players: tracks by box overlap, identities by position and colour, fusion of two cameras."""
+"""Players: identities by position and colour, fusion of two cameras."""
 
 from __future__ import annotations
 
@@ -156,59 +156,6 @@ def identity_states(detections: DataFrame, profiles: DataFrame, keys: list[str],
     return per_clip(_with_profiles(detections, profiles, keys), keys, ["frame", "det_idx"], fold, "player_id int, hist array<double>, x double, y double, last_seen int, state string")
 
 
-def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    w = np.maximum(0, np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]))
-    h = np.maximum(0, np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]))
-    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    return w * h / (area(a)[:, None] + area(b)[None, :] - w * h + 1e-9)
-
-
-def track_players(boxes: DataFrame, keys: list[str], high: float = 0.25, low: float = 0.1, lost: int = 30, overlap: float = 0.2) -> DataFrame:
-    """Tracks by the two rounds of ByteTrack: sure boxes are linked first, then unsure ones to what is left, by the largest
-    total overlap with where a track is expected (its last box moved on by its velocity). Unlinked sure boxes begin tracks; tracks
-    end after `lost` frames. `boxes`: keys, frame, det_idx, x1, y1, x2, y2, conf; frames without boxes just pass."""
-
-    def link(expected: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of linked tracks and boxes."""
-        share = _overlaps(expected, found)
-        rows, columns = np.nonzero(share >= overlap)
-        if len(set(rows.tolist())) == len(rows) and len(set(columns.tolist())) == len(columns):
-            return rows, columns
-        some, others = np.unique(rows), np.unique(columns)
-        part = np.where(share < overlap, 0.0, share)[np.ix_(some, others)]
-        pairs = np.array([(i, j) for i, j in assign(-part) if part[i, j] > 0])
-        return some[pairs[:, 0]], others[pairs[:, 1]]
-
-    def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
-        place, velocity, seen, ids, fresh = np.zeros((0, 4)), np.zeros((0, 4)), np.zeros(0, int), np.zeros(0, int), 1
-        boxes_, confs, indices = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float), pdf["det_idx"].to_numpy()
-        for frame, first, last in stretches(pdf["frame"]):
-            box, conf = boxes_[first:last], confs[first:last]
-            alive = frame - seen <= lost
-            if not alive.all():
-                place, velocity, seen, ids = place[alive], velocity[alive], seen[alive], ids[alive]
-            sure, unsure = np.flatnonzero(conf >= high), np.flatnonzero((conf < high) & (conf >= low))
-            given, free = np.zeros(len(box), int), np.arange(len(ids))
-            for some in (sure, unsure):
-                if not len(free) or not len(some):
-                    continue
-                t, k = link(place[free] + velocity[free] * (frame - seen[free])[:, None], box[some])
-                if len(t):
-                    t, k, free = free[t], some[k], np.delete(free, t)
-                    velocity[t] = (box[k] - place[t]) / np.maximum(1, frame - seen[t])[:, None]
-                    place[t], seen[t], given[k] = box[k], frame, ids[t]
-            new = sure[given[sure] == 0]
-            if len(new):
-                given[new] = np.arange(fresh, fresh + len(new))
-                place, velocity = np.concatenate([place, box[new]]), np.concatenate([velocity, np.zeros((len(new), 4))])
-                seen, ids = np.concatenate([seen, np.full(len(new), frame)]), np.concatenate([ids, given[new]])
-                fresh += len(new)
-            for k in np.flatnonzero(given).tolist():
-                yield (frame, int(indices[first + k]), int(given[k]))
-
-    return per_clip(boxes, keys, ["frame", "det_idx"], fold, "frame int, det_idx int, track_id int")
-
-
 def court_positions(detections: DataFrame, cam: str, homography: Matrix, polygon: Polygon = (), least_conf: float = 0.5, bounds_m: float = 2.0) -> DataFrame:
     """Where players stand: region, foot point, metres in the global frame, and whether on the court (within bounds)."""
     centre = box_center(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))

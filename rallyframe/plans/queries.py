@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.geometry import num, rounded
-from ..operators import courts, joins, metrics, physics, players, sequences, signals, tracking
+from ..operators import bytetrack, courts, joins, metrics, physics, players, sequences, signals, tracking
 from ..schemas import EventConfig, MiningConfig, TrackerConfig
 from ..sources import readers, writers
 from ..sources.scratch import new_path
@@ -334,7 +334,7 @@ def _numbered(rows):
 @query()
 def player_tracks(spark, sf):
     rows = _numbered(boxes(spark, sf)).withColumn("frame", F.col("frame").cast("int"))
-    return players.track_players(rows, ["clip"])
+    return bytetrack.track_players(rows, ["clip"])
 
 
 @query()

@@ -107,13 +107,6 @@ def test_assignment_against_all():
         assert sum(cost[i, j] for i, j in pairs) == pytest.approx(best)
 
 
-def test_links_have_the_largest_total_overlap(spark):
-    """Greedily the second box would take the first track, and the first box none."""
-    boxes = [(1, 0, 0, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 0, 1, 6.0, 0.0, 16.0, 10.0, 0.9), (1, 1, 0, 3.2, 0.0, 13.2, 10.0, 0.9), (1, 1, 1, -3.0, 0.0, 7.0, 10.0, 0.9)]
-    got = {(r.frame, r.det_idx): r.track_id for r in players.track_players(spark.createDataFrame(boxes, "clip long, frame int, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double"), ["clip"]).collect()}
-    assert got == {(0, 0): 1, (0, 1): 2, (1, 0): 2, (1, 1): 1}
-
-
 def test_filter_step_against_matrices():
     """One prediction and a joint correction by the textbook's matrices, and a floor contact's variances."""
     a, _ = two()
@@ -252,13 +245,6 @@ def test_identity_reentry_and_threshold():
     assert empty.step(0, [(1.0, 1.0, hists[1])]) == []
 
 
-def test_players_keep_their_track(spark):
-    rows = [(1, f, i, 100.0 * i + 4 * f, 50.0, 100.0 * i + 4 * f + 60, 200.0, 0.9 if f % 4 else 0.15) for f in range(20) if not 8 <= f <= 10 for i in range(3)]
-    frame = spark.createDataFrame(rows, "clip long, frame int, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double")
-    got = players.track_players(frame, ["clip"]).toPandas()
-    assert got[got.frame > 0].groupby("det_idx").track_id.nunique().tolist() == [1, 1, 1]
-
-
 def test_geometry_against_numbers(spark):
     square = [(0, 0), (10, 0), (10, 10), (0, 10)]
     rows = [(0.0, 5.0), (5.0, 5.0), (10.0, 10.0), (10.1, 5.0), (-3.0, -4.0), (None, 1.0)]
