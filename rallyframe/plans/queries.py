@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.geometry import num, rounded
-from ..operators import bytetrack, courts, joins, metrics, physics, players, sequences, signals, tracking
+from ..operators import bytetrack, courts, joins, long_clips, metrics, physics, players, sequences, signals, tracking
 from ..schemas import EventConfig, MiningConfig, TrackerConfig
 from ..sources import readers, writers
 from ..sources.scratch import new_path
@@ -382,6 +382,13 @@ def kalman_track(spark, sf):
     return out.select("clip", "frame", "status", *(rounded(F.col(c), 2).alias(c) for c in ("x", "y", "vx", "vy", "std")), "coast")
 
 
+@query(f"""WITH RECURSIVE {OBS}, {KALMAN} SELECT clip, frame, status, {r('x', 1)} AS x, {r('y', 1)} AS y, {r('vx', 1)} AS vx, {r('vy', 1)} AS vy, coast FROM kal""")
+def kalman_track_long(spark, sf):
+    """The same track with clips cut in chunks."""
+    out = long_clips.track_long(_candidates(spark, sf), TRACKER, chunk=32)
+    return out.select("clip", "frame", "status", *(rounded(F.col(c), 1).alias(c) for c in ("x", "y", "vx", "vy")), "coast")
+
+
 KALMAN_GATED = """kal AS (
     SELECT clip, frame, u, v, confidence, CASE WHEN u IS NULL THEN 'lost' ELSE 'tracking' END AS status, u AS x, v AS y, 0e0 AS vx, 0e0 AS vy,
            25e0 AS p11, 0e0 AS p12, 1e6 AS p22, 0 AS coast, u IS NOT NULL AS measured, (u IS NOT NULL)::INTEGER AS updates, false AS gated FROM obs WHERE frame = 0
