@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Polygon, in_region, num, rounded
+from .clips import per_clip
 from .courts import blob_reason
 
 
@@ -29,17 +29,50 @@ def zscore(signal: DataFrame, keys: list[str], column: str = "energy") -> DataFr
     return signal.withColumn("z", F.when(std > 1e-9, (F.col(column) - mean) / std).otherwise(F.col(column) - mean))
 
 
-def offset_sweep(a: DataFrame, b: DataFrame, keys: list[str], stride: int = 10, max_lag: int = 600, least: int = 30) -> DataFrame:
+def _stretch(samples: pd.DataFrame, first: int, n: int) -> np.ndarray:
+    """By sample: how many rows, their sum and their sum of squares; a sample that isn't there has none."""
+    out = np.zeros((3, n))
+    at, z = samples["sample_idx"].to_numpy() - first, samples["z"].to_numpy(float)
+    for row, values in enumerate((np.ones(len(z)), z, z * z)):
+        np.add.at(out[row], at, values)
+    return out
+
+
+def sliding_sums(a: np.ndarray, b: np.ndarray, lags: int) -> np.ndarray:
+    """Four sums at each lag from -lags to lags: pairs, products, squares of a, squares of b. `a`: samples of a stretch, `b`: those from
+    `lags` before it to `lags` after. By one transform of each row, so the time doesn't follow the number of lags."""
+    size = 1 << (b.shape[1] + a.shape[1]).bit_length()
+    fa, fb = np.conj(np.fft.rfft(a, size)), np.fft.rfft(b, size)
+    sums = np.fft.irfft(np.stack([fa[0] * fb[0], fa[1] * fb[1], fa[2] * fb[0], fa[0] * fb[2]]), size)[:, : 2 * lags + 1]
+    sums[0] = np.rint(sums[0])
+    return sums
+
+
+def offset_sweep(a: DataFrame, b: DataFrame, keys: list[str], stride: int = 10, max_lag: int = 600, least: int = 30, chunk: int = 4096) -> DataFrame:
     """Likeness of two signals at each lag: (keys, lag, n, corr), for lags with enough overlap.
 
-    `a`, `b`: keys, sample_idx, energy. A sample meets only the samples within the largest lag: lags fan out the
-    shorter key, and the join is on equal keys."""
+    `a`, `b`: keys, sample_idx, energy. Signals are cut in chunks; a chunk of the first meets the same stretch of the second and
+    as many samples around it as the largest lag has, so a sample is sent to its chunk and, near an end, to the next.
+    Sums of chunks add up by lag. Samples may be missing or repeated."""
     lags = max_lag // stride
-    left = zscore(a, keys).select(*keys, "sample_idx", F.col("z").alias("za"), F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"))
-    right = zscore(b, keys).select(*keys, F.col("sample_idx").alias("_j"), F.col("z").alias("zb"))
-    pairs = left.withColumn("_j", F.col("sample_idx") + F.col("lag")).join(right, [*keys, "_j"])
-    sums = pairs.groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.sum(F.col("za") * F.col("zb")).alias("ab"), F.sum(F.col("za") * F.col("za")).alias("aa"), F.sum(F.col("zb") * F.col("zb")).alias("bb"))
-    norm = F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))
+    chunk = max(chunk, lags, 1)
+    place = F.floor(F.col("sample_idx") / chunk).cast("long")
+    inside = F.pmod(F.col("sample_idx"), F.lit(chunk))
+    around = F.concat(F.array(place), F.when(inside < lags, F.array(place - 1)).otherwise(F.array().cast("array<long>")), F.when(inside >= chunk - lags, F.array(place + 1)).otherwise(F.array().cast("array<long>")))
+    left = zscore(a, keys).select(*keys, place.alias("chunk"), F.lit(True).alias("first"), F.col("sample_idx").cast("long").alias("sample_idx"), "z")
+    right = zscore(b, keys).select(*keys, F.explode(around).alias("chunk"), F.lit(False).alias("first"), F.col("sample_idx").cast("long").alias("sample_idx"), "z")
+
+    def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
+        begin = int(pdf["chunk"].iloc[0]) * chunk
+        mine, other = pdf[pdf["first"]], pdf[~pdf["first"]]
+        if len(mine) and len(other):
+            n, ab, aa, bb = sliding_sums(_stretch(mine, begin, chunk), _stretch(other, begin - lags, chunk + 2 * lags), lags)
+            for k in np.flatnonzero(n > 0).tolist():
+                yield (k - lags, int(n[k]), float(ab[k]), float(aa[k]), float(bb[k]))
+
+    parts = per_clip(left.unionByName(right), [*keys, "chunk"], ["sample_idx"], fold, "lag int, n long, ab double, aa double, bb double")
+    sums = parts.groupBy(*keys, "lag").agg(*(F.sum(c).alias(c) for c in ("n", "ab", "aa", "bb")))
+    norm = F.sqrt(F.greatest("aa", num(0))) * F.sqrt(F.greatest("bb", num(0)))
     return sums.where(F.col("n") >= least).select(*keys, "lag", "n", F.when(norm > 1e-9, F.col("ab") / norm).otherwise(num(0)).alias("corr"))
 
 
@@ -51,27 +84,56 @@ def best_offset(sweep: DataFrame, keys: list[str], stride: int = 10) -> DataFram
     return top.select(*keys, (F.col("_lag") * stride).cast("int").alias("offset_frames"), rounded(F.col("_c")).alias("corr"), rounded(margin).alias("margin"), ((F.col("_c") < 0.3) | (margin < 0.05)).alias("doubtful"))
 
 
+def labels_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Places (y, x) of a mask's pixels in reading order, the 8-connected blob of each, and how many blobs there are, numbered in reading
+    order of their first pixels.
+
+    First the runs of pixels in each row; then the runs of neighbouring rows that touch, found by binary search, are given
+    their least number, again and again until none changes."""
+    h, w = mask.shape
+    flat = np.zeros((h, w + 2), np.int8)
+    flat[:, 1:-1] = mask
+    edge = np.diff(flat.ravel(), prepend=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # of runs, in rows of w + 2
+    up = w + 2
+    low, high = np.searchsorted(end, start - up, "left"), np.searchsorted(start, end - up, "right")
+    many = np.maximum(high - low, 0)
+    below = np.repeat(np.arange(len(start)), many)
+    above = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+    root = np.arange(len(start))
+    while True:
+        a, b = root[below], root[above]
+        apart = a != b
+        if not apart.any():
+            break
+        below, above, a, b = below[apart], above[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    _, blob = np.unique(root, return_inverse=True)
+    length = end - start
+    cells = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+    return cells // up, cells % up - 1, np.repeat(blob, length), int(blob.max()) + 1 if len(blob) else 0
+
+
 def components(mask: np.ndarray) -> list[np.ndarray]:
     """Places (y, x) of each 8-connected blob of a mask, in reading order of their first pixels."""
-    parent: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def root(p):
-        while parent[p] != p:
-            parent[p] = parent[parent[p]]
-            p = parent[p]
-        return p
-
-    for y, x in zip(*np.nonzero(mask), strict=True):
-        p = (int(y), int(x))
-        parent[p] = p
-        for q in ((p[0], p[1] - 1), (p[0] - 1, p[1] - 1), (p[0] - 1, p[1]), (p[0] - 1, p[1] + 1)):
-            if q in parent:
-                a, b = sorted((root(p), root(q)))
-                parent[b] = a
-    blobs = defaultdict(list)
-    for p in parent:
-        blobs[root(p)].append(p)
-    return [np.array(blobs[k]) for k in sorted(blobs)]
+    y, x, blob, n = labels_of(mask)
+    order = np.argsort(blob, kind="stable")
+    return np.split(np.stack([y, x], 1)[order], np.cumsum(np.bincount(blob, minlength=n))[:-1]) if n else []
+
+
+def blob_candidates(heat: np.ndarray, threshold: float, least_area: int, most_area: int) -> list[tuple[float, float, float, int]]:
+    """(x, y, peak, area) of a heatmap's blobs, surest first: centres weighted by the heatmap."""
+    y, x, blob, n = labels_of(heat >= threshold)
+    weight = heat[y, x]
+    area, total = np.bincount(blob, minlength=n), np.bincount(blob, weights=weight, minlength=n)
+    peak = np.full(n, -np.inf)
+    np.maximum.at(peak, blob, weight)
+    cx, cy = (np.bincount(blob, weights=weight * v, minlength=n) / np.where(total > 0, total, 1) for v in (x, y))
+    keep = (area >= least_area) & (total > 0) & ((area <= most_area) if most_area else True)
+    order = [k for k in np.argsort(-peak, kind="stable") if keep[k]]
+    return [(float(cx[k]), float(cy[k]), float(peak[k]), int(area[k])) for k in order]
 
 
 def detect_in_heatmaps(frames: DataFrame, keys: list[str], net: tuple[int, int], full: tuple[int, int], threshold: float = 0.5, least_area: int = 2, most_area: int = 0) -> DataFrame:
@@ -86,15 +148,7 @@ def detect_in_heatmaps(frames: DataFrame, keys: list[str], net: tuple[int, int],
             out = []
             for row in pdf.itertuples(index=False):
                 heat = np.stack([np.asarray(r, float) for r in row[-1]])
-                found = []
-                for blob in components(heat >= threshold):
-                    weight = heat[blob[:, 0], blob[:, 1]]
-                    if len(blob) < least_area or (most_area and len(blob) > most_area) or weight.sum() <= 0:
-                        continue
-                    y, x = (blob * weight[:, None]).sum(0) / weight.sum()
-                    found.append((x * sx, y * sy, float(weight.max()), len(blob)))
-                found.sort(key=lambda c: -c[2])
-                out += [(*row[:-1], i, *c) for i, c in enumerate(found)]
+                out += [(*row[:-1], i, x * sx, y * sy, peak, area) for i, (x, y, peak, area) in enumerate(blob_candidates(heat, threshold, least_area, most_area))]
             yield pd.DataFrame(out, columns=[*keys, "cand_idx", "u", "v", "confidence", "area"])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", cand_idx int, u double, v double, confidence double, area int"
