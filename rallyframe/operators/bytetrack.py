@@ -36,17 +36,16 @@ class ByteConfig:
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Intersection over union of all boxes of two lists."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-    both = np.maximum(w, 0) * np.maximum(h, 0)
-    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    return both / np.maximum(area(a)[:, None] + area(b)[None, :] - both, 1e-9)
+    side = np.maximum(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0)
+    both = side[:, :, 0] * side[:, :, 1]
+    (wa, ha), (wb, hb) = (a[:, 2:] - a[:, :2]).T, (b[:, 2:] - b[:, :2]).T
+    return both / np.maximum((wa * ha)[:, None] + wb * hb - both, 1e-9)
 
 
 def matched(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the pairs with the largest total gain; only pairs that gain something."""
     rows, columns = np.nonzero(gain > 0)
-    if len(rows) < 2 or (np.bincount(rows).max() == 1 and np.bincount(columns).max() == 1):
+    if len(set(rows.tolist())) == len(rows) == len(set(columns.tolist())):
         return rows, columns
     some, others = np.unique(rows), np.unique(columns)
     part = np.maximum(gain[np.ix_(some, others)], 0.0)
@@ -55,117 +54,142 @@ def matched(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def as_measured(boxes: np.ndarray) -> np.ndarray:
-    h = boxes[:, 3] - boxes[:, 1]
-    return np.stack([(boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2, (boxes[:, 2] - boxes[:, 0]) / np.maximum(h, 1e-9), h], 1)
+    out = np.empty((len(boxes), 4))
+    out[:, :2], out[:, 2:] = (boxes[:, :2] + boxes[:, 2:]) / 2, boxes[:, 2:] - boxes[:, :2]
+    out[:, 2] /= np.maximum(out[:, 3], 1e-9)
+    return out
+
+
+PLACE, SPEED, P11, P12, P22 = range(5)
+ID, SEEN, BEGAN, STREAK, TRACKED, CONFIRMED = range(6)
 
 
 class ByteTrack:
-    """The tracks of a clip. `step` takes a frame's boxes (x1, y1, x2, y2) and their confidence and gives the track of each, 0 for none."""
+    """The tracks of a clip. `step` takes a frame's boxes (x1, y1, x2, y2) and their confidence and gives the track of each, 0 for none.
 
-    COLUMNS = ("place", "speed", "p11", "p12", "p22", "id", "seen", "began", "streak", "tracked", "confirmed")
+    A clip has a few tracks at a time, so what counts is the number of calls: their filters are one array, their marks another,
+    and a frame's overlaps are worked out once."""
 
     def __init__(self, cfg: ByteConfig):
         self.cfg, self.frame, self.ids = cfg, None, 0
-        four, zero = np.zeros((0, 4)), np.zeros(0, int)
-        self.place = self.speed = self.p11 = self.p12 = self.p22 = four
-        self.id = self.seen = self.began = self.streak = zero
-        self.tracked = self.confirmed = np.zeros(0, bool)
+        self.filters, self.marks = np.zeros((0, 5, 4)), np.zeros((0, 6), np.int64)
+        height = np.array([1.0, 1.0, 0.0, 1.0])
+        self.by_place, self.by_speed = cfg.position * height, cfg.velocity * height
 
-    def _noise(self, height: np.ndarray, weight: float, aspect: float, times: float = 1.0) -> np.ndarray:
-        out = np.repeat((times * weight * height)[:, None], 4, 1)
-        out[:, 2] = aspect
-        return out**2
+    #: Standard deviations of the aspect, which don't follow the height: of its steps, of its speed's, of its measurements.
+    STEP, SPEED_STEP, MEASURED = (np.array([0.0, 0.0, x, 0.0]) for x in (1e-2, 1e-5, 1e-1))
 
     def _keep(self, which: np.ndarray) -> None:
-        for c in self.COLUMNS:
-            setattr(self, c, getattr(self, c)[which])
+        if not which.all():
+            self.filters, self.marks = self.filters[which], self.marks[which]
 
     def _predict(self) -> None:
-        c, h = self.cfg, self.place[:, 3]
-        self.speed = np.where(self.tracked[:, None] | (np.arange(4) < 3), self.speed, 0.0)
-        self.place = self.place + self.speed
-        self.p11 = self.p11 + 2 * self.p12 + self.p22 + self._noise(h, c.position, 1e-2)
-        self.p12 = self.p12 + self.p22
-        self.p22 = self.p22 + self._noise(h, c.velocity, 1e-5)
+        z = self.filters
+        h = z[:, PLACE, 3:]
+        step, speed_step = (h * self.by_place + self.STEP) ** 2, (h * self.by_speed + self.SPEED_STEP) ** 2
+        z[self.marks[:, TRACKED] == 0, SPEED, 3] = 0.0
+        z[:, PLACE] += z[:, SPEED]
+        z[:, P11] += 2 * z[:, P12] + z[:, P22] + step
+        z[:, P12] += z[:, P22]
+        z[:, P22] += speed_step
 
     def _update(self, tracks: np.ndarray, measured: np.ndarray) -> None:
-        s = self.p11[tracks] + self._noise(self.place[tracks, 3], self.cfg.position, 1e-1)
-        k1, k2, off = self.p11[tracks] / s, self.p12[tracks] / s, measured - self.place[tracks]
-        self.place[tracks] += k1 * off
-        self.speed[tracks] += k2 * off
-        self.p22[tracks] -= k2 * self.p12[tracks]
-        self.p12[tracks] *= 1 - k1
-        self.p11[tracks] *= 1 - k1
-        self.streak[tracks] = np.where(self.tracked[tracks], self.streak[tracks] + 1, 1)
-        self.seen[tracks], self.tracked[tracks] = self.frame, True
+        z, m = self.filters[tracks], self.marks[tracks]
+        noise = (z[:, PLACE, 3:] * self.by_place + self.MEASURED) ** 2
+        gain = z[:, P11:P22] / (z[:, P11] + noise)[:, None]
+        off = measured - z[:, PLACE]
+        z[:, PLACE:P11] += gain * off[:, None]
+        z[:, P22] -= gain[:, 1] * z[:, P12]
+        z[:, P11:P22] *= 1 - gain[:, :1]
+        self.filters[tracks] = z
+        m[:, STREAK] = m[:, STREAK] * m[:, TRACKED] + 1
+        m[:, SEEN], m[:, TRACKED] = self.frame, 1
+        self.marks[tracks] = m
 
     def _begin(self, measured: np.ndarray, confirmed: bool) -> None:
-        c, n, h = self.cfg, len(measured), measured[:, 3]
-        new = {"place": measured, "speed": np.zeros((n, 4)), "p11": self._noise(h, c.position, 1e-2, 2), "p12": np.zeros((n, 4)), "p22": self._noise(h, c.velocity, 1e-5, 10)}
-        new |= {"id": np.zeros(n, int), "seen": np.full(n, self.frame), "began": np.full(n, self.frame), "streak": np.ones(n, int), "tracked": np.ones(n, bool), "confirmed": np.full(n, confirmed)}
-        for name in self.COLUMNS:
-            setattr(self, name, np.concatenate([getattr(self, name), new[name]]))
-
-    def boxes(self) -> np.ndarray:
-        x, y, a, h = self.place.T
-        w = a * h
-        return np.stack([x - w / 2, y - h / 2, x + w / 2, y + h / 2], 1)
+        new, h = np.zeros((len(measured), 5, 4)), measured[:, 3:]
+        new[:, PLACE] = measured
+        new[:, P11], new[:, P22] = (2 * h * self.by_place + self.STEP) ** 2, (10 * h * self.by_speed + self.SPEED_STEP) ** 2
+        marks = np.tile(np.array([0, self.frame, self.frame, 1, 1, int(confirmed)]), (len(measured), 1))
+        self.filters, self.marks = np.concatenate([self.filters, new]), np.concatenate([self.marks, marks])
+
+    def boxes(self, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        place = self.filters[which, PLACE]
+        out = np.empty((len(place), 4))
+        half = place[:, 2:] / 2
+        half[:, 0] *= place[:, 3]
+        out[:, :2], out[:, 2:] = place[:, :2] - half, place[:, :2] + half
+        return out
 
     def step(self, frame: int, boxes: np.ndarray, conf: np.ndarray) -> np.ndarray:
         c, first = self.cfg, self.frame is None
         passed = 1 if first else frame - self.frame
         self.frame = frame
-        if passed > 1:  # frames without boxes: all are lost, the unconfirmed go
-            self._keep(self.confirmed & (frame - self.seen <= c.lost + 1))
-        for k in range(passed if len(self.id) else 0):
-            self._predict()
-            if k < passed - 1:
-                self.tracked[:] = False
-        self._keep(frame - self.seen <= c.lost)
-        measured, place_of = as_measured(boxes), np.full(len(boxes), -1)
+        if len(self.marks):
+            if passed > 1:  # frames without boxes: all are lost, the unconfirmed go
+                self._keep((self.marks[:, CONFIRMED] == 1) & (frame - self.marks[:, SEEN] <= c.lost))
+                passed = min(passed, c.lost + 1)
+            for k in range(passed):
+                self._predict()
+                if k < passed - 1:
+                    self.marks[:, TRACKED] = 0
+            self._keep(frame - self.marks[:, SEEN] <= c.lost)
+        measured, given = as_measured(boxes), np.full(len(boxes), -1)
         sure, unsure = np.flatnonzero(conf >= c.high), np.flatnonzero((conf >= c.low) & (conf < c.high))
-        here, was_tracked = self.boxes(), self.tracked.copy()
-
-        def link(tracks: np.ndarray, some: np.ndarray, limit: float, fused: bool) -> tuple[np.ndarray, np.ndarray]:
-            """Tracks and boxes that are left over."""
-            if not len(tracks) or not len(some):
-                return tracks, some
-            share = overlaps(here[tracks], boxes[some])
-            i, j = matched(limit - (1 - share * conf[some] if fused else 1 - share))
-            if len(i):
-                self._update(tracks[i], measured[some[j]])
-                place_of[some[j]] = tracks[i]
-            return np.delete(tracks, i), np.delete(some, j)
-
-        left, sure = link(np.flatnonzero(self.confirmed), sure, c.first, True)
-        left, _ = link(left[was_tracked[left]], unsure, c.second, False)
-        self.tracked[left] = False
-        gone, sure = link(np.flatnonzero(~self.confirmed), sure, c.unconfirmed, True)
-        self.confirmed |= self.streak >= c.confirm
-        stays = np.ones(len(self.id), bool)
-        stays[gone] = False
-        begin = sure[conf[sure] >= c.begin]
+        if len(self.marks):
+            share = overlaps(self.boxes(), boxes)
+            fused = share * conf
+
+            def link(tracks: np.ndarray, some: np.ndarray, likeness: np.ndarray, limit: float) -> np.ndarray:
+                """Tracks that are left over."""
+                if len(tracks) and len(some):
+                    i, j = matched(likeness[tracks[:, None], some] - (1 - limit))
+                    if len(i):
+                        given[some[j]] = tracks[i]
+                        self._update(tracks[i], measured[some[j]])
+                        return tracks[self.marks[tracks, SEEN] != frame]
+                return tracks
+
+            known = np.flatnonzero(self.marks[:, CONFIRMED])
+            left = link(known, sure, fused, c.first)
+            left = link(left[self.marks[left, TRACKED] == 1], unsure, share, c.second)
+            self.marks[left, TRACKED] = 0
+            if len(known) < len(self.marks):
+                gone = link(np.flatnonzero(self.marks[:, CONFIRMED] == 0), sure[given[sure] < 0], fused, c.unconfirmed)
+                self.marks[self.marks[:, STREAK] >= c.confirm, CONFIRMED] = 1
+                stays = np.ones(len(self.marks), bool)
+                stays[gone] = False
+            else:
+                stays = np.ones(len(self.marks), bool)
+        else:
+            stays = np.ones(0, bool)
+        begin = sure[(given[sure] < 0) & (conf[sure] >= c.begin)]
         if len(begin):
-            place_of[begin] = len(self.id) + np.arange(len(begin))
+            given[begin] = len(self.marks) + np.arange(len(begin))
             self._begin(measured[begin], first or c.confirm <= 1)
             stays = np.concatenate([stays, np.ones(len(begin), bool)])
         stays &= ~self._doubles()
-        new = np.flatnonzero(self.confirmed & (self.id == 0) & stays)
-        self.id[new] = self.ids + 1 + np.arange(len(new))
-        self.ids += len(new)
-        out = np.where((place_of >= 0) & stays[place_of] & self.confirmed[place_of], self.id[place_of], 0) if len(self.id) else np.zeros(len(boxes), int)
+        new = np.flatnonzero((self.marks[:, CONFIRMED] == 1) & (self.marks[:, ID] == 0) & stays)
+        if len(new):
+            self.marks[new, ID] = self.ids + 1 + np.arange(len(new))
+            self.ids += len(new)
+        out = np.zeros(len(boxes), int)
+        found = np.flatnonzero(given >= 0)
+        out[found] = np.where(stays[given[found]], self.marks[given[found], ID], 0)
         self._keep(stays)
         return out
 
     def _doubles(self) -> np.ndarray:
         """Of a tracked and a lost track in one place the younger."""
-        out = np.zeros(len(self.id), bool)
-        now, lost = np.flatnonzero(self.tracked & self.confirmed), np.flatnonzero(~self.tracked & self.confirmed)
-        if len(now) and len(lost):
-            here = self.boxes()
-            i, j = np.nonzero(1 - overlaps(here[now], here[lost]) < self.cfg.duplicate)
-            older = (self.seen - self.began)[now[i]] > (self.seen - self.began)[lost[j]]
-            out[np.where(older, lost[j], now[i])] = True
+        out = np.zeros(len(self.marks), bool)
+        here, there = self.marks[:, CONFIRMED] == 1, self.marks[:, TRACKED] == 1
+        lost = np.flatnonzero(here & ~there)
+        if len(lost):
+            now = np.flatnonzero(here & there)
+            i, j = np.nonzero(overlaps(self.boxes(now), self.boxes(lost)) > 1 - self.cfg.duplicate)
+            if len(i):
+                life = self.marks[:, SEEN] - self.marks[:, BEGAN]
+                out[np.where(life[now[i]] > life[lost[j]], lost[j], now[i])] = True
         return out
 
 

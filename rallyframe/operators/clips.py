@@ -32,6 +32,44 @@ def per_clip(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[p
     return df.groupBy(*keys).applyInArrow(run, full)
 
 
+def many_clips(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.DataFrame, np.ndarray], Iterable[tuple[np.ndarray, pd.DataFrame]]], schema: str, rows: int = 100_000) -> DataFrame:
+    """Several whole clips at a time, so that `fold` can step them together. It takes their sorted rows and each row's clip (0, 1, ...),
+    and gives tables of `schema` with the clip of each row. A longer clip comes alone."""
+    kinds = dict(df.dtypes)
+    full = ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema])
+    fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(full)])
+
+    def worked(table: pa.Table) -> Iterable[pa.RecordBatch]:
+        pdf = table.to_pandas()
+        clip = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        first = np.flatnonzero(np.diff(clip, prepend=-1))
+        for which, out in fold(pdf, clip):
+            if len(out):
+                own = [table.column(k).take(pa.array(first[which])) for k in keys]
+                values = [pa.array(out[f.name], f.type, from_pandas=True) for f in list(fields)[len(keys) :]]
+                yield from pa.Table.from_arrays([*own, *values], schema=fields).to_batches()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < rows:
+                continue
+            table = pa.Table.from_batches(held)
+            ids = table.select(keys).to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1]))  # the last clip may go on
+            if cut:
+                yield from worked(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            n = table.num_rows - cut
+        if n:
+            yield from worked(pa.Table.from_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)
+
+
 def stretches(frames: pd.Series) -> list[tuple[int, int, int]]:
     """(frame, first, past the last) of each run of equal values of a sorted column."""
     values = frames.to_numpy()

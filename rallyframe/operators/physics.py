@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.geometry import Matrix
 from ..schemas import GRAVITY, EkfConfig
-from .clips import none, per_clip
+from .clips import many_clips, none, per_clip
 from .tracking import court_map
 
 
@@ -256,23 +256,167 @@ def flight_rows(pdf: pd.DataFrame) -> list[FlightRow]:
     return [FlightRow(int(r[0]), *(x if isinstance(x, (list, np.ndarray)) else none(x) for x in r[1:])) for r in zip(*columns, strict=True)]
 
 
-def trajectory(log: DataFrame, camera: np.ndarray, homography: Matrix, fps: float, keys: list[str], cfg: EkfConfig = EkfConfig()) -> DataFrame:
-    """(keys, frame, x, y, z) of each clip by filter and smoother.
+class Flights:
+    """Many clips' filters and smoothers, stepped together: `Flight` on arrays of clips. Each clip has a row of cells, one for each frame
+    from its first with a place to its last; cells without a row are predicted through."""
+
+    def __init__(self, cfg: EkfConfig, camera: np.ndarray, homography: Matrix, fps: float):
+        self.cfg, self.p, self.h = cfg, camera, np.array(homography, float).reshape(3, 3)
+        self.f = np.eye(6)
+        self.f[:3, 3:] = np.eye(3) / fps
+        dt = 1 / fps
+        self.fall = np.array([0.0, 0.0, -0.5 * GRAVITY * dt**2, 0.0, 0.0, -GRAVITY * dt])
+        self.q = np.diag([cfg.q_pos, cfg.q_pos, cfg.q_pos_z, cfg.q_vel, cfg.q_vel, cfg.q_vel_z])
+
+    def on_floor(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Metres (n, 3) of pixels; the origin of the plane where a pixel has no place on it."""
+        x, y, w = self.h @ np.stack([u, v, np.ones(len(u))])
+        scale = np.where(w != 0, 1 / np.where(w != 0, w, 1), 0.0)
+        return np.stack([x * scale, y * scale, np.zeros(len(u))], 1)
+
+    def _update(self, at: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Of the clips `at`: (directions, innovations at the states before all of them, variances) of each number."""
+        s, c = self.s[at], self.c[at]
+        before = s
+        for h, innovation, variance in rows:
+            ch = np.einsum("nij,nj->ni", c, h)
+            gain = ch / (np.einsum("ni,ni->n", h, ch) + variance)[:, None]
+            s = s + gain * (innovation - np.einsum("ni,ni->n", h, s - before))[:, None]
+            c = c - gain[:, :, None] * ch[:, None, :]
+        self.s[at], self.c[at] = s, c
+
+    def _see_place(self, at: np.ndarray, xyz: np.ndarray, variance: np.ndarray) -> None:
+        s = self.s[at]
+        self._update(at, [(np.broadcast_to(_AXES[i], (len(at), 6)), xyz[:, i] - s[:, i], variance[:, i]) for i in range(3)])
+
+    def _see_2d(self, at: np.ndarray, u: np.ndarray, v: np.ndarray, confidence: np.ndarray) -> None:
+        x, y, w = self.p[:, :3] @ self.s[at, :3].T + self.p[:, 3:]
+        good = (w != 0) & np.isfinite(x) & np.isfinite(y) & np.isfinite(w)
+        at, u, v, x, y, w, confidence = (a[good] for a in (at, u, v, x, y, w, confidence))
+        variance = self.cfg.meas_px**2 / np.maximum(confidence, 0.05)
+        slope = np.zeros((2, len(at), 6))
+        slope[0, :, :3] = (self.p[0, :3] - (x / w)[:, None] * self.p[2, :3]) / w[:, None]
+        slope[1, :, :3] = (self.p[1, :3] - (y / w)[:, None] * self.p[2, :3]) / w[:, None]
+        self._update(at, [(slope[0], u - x / w, variance), (slope[1], v - y / w, variance)])
+
+    def run(self, length: np.ndarray, cells: dict[str, np.ndarray]) -> np.ndarray:
+        """Smoothed places (clips, frames, 3). `cells`: arrays (clips, frames) of what is seen; the first cell of each has a place."""
+        n, most = cells["u"].shape
+        has_3d, measured = ~np.isnan(cells["x3"]), cells["measured"]
+        self.s, self.c = np.zeros((n, 6)), np.broadcast_to(np.diag(self.cfg.p0), (n, 6, 6)).copy()
+        place = np.stack([cells[k] for k in ("x3", "y3", "z3")], 2)
+        self.s[:, :3] = np.where(has_3d[:, 0, None], place[:, 0], self.on_floor(cells["u"][:, 0], cells["v"][:, 0]))
+        prior, prior_c, post, post_c = (np.zeros((n, most, *shape)) for shape in ((6,), (6, 6), (6,), (6, 6)))
+        broke = np.zeros((n, most), bool)
+        for t in range(most):
+            on = length > t
+            if t:
+                self.s = np.where(on[:, None], self.s @ self.f.T + self.fall, self.s)
+                self.c = np.where(on[:, None, None], self.f @ self.c @ self.f.T + self.q, self.c)
+            prior[:, t], prior_c[:, t] = self.s, self.c
+            if t:
+                cell = lambda name, at, t=t: cells[name][at, t]
+                at = np.flatnonzero(on & measured[:, t])
+                if len(at):
+                    self._see_2d(at, cell("u", at), cell("v", at), cell("confidence", at))
+                at = np.flatnonzero(on & has_3d[:, t])
+                if len(at):
+                    self._see_place(at, place[at, t], np.maximum(cells["std3"][at, t], 0.05) ** 2)
+                bounce = on & cells["bounce"][:, t]
+                low = on & ~bounce & cells["low"][:, t] & (self.s[:, 2] < self.cfg.bounce_z)
+                at = np.flatnonzero(bounce & ~np.isnan(cells["event_x"][:, t]))
+                if len(at):
+                    self._see_place(at, np.stack([cell("event_x", at), cell("event_y", at), np.zeros(len(at))], 1), np.broadcast_to(ANCHOR_VARIANCE, (len(at), 3)))
+                at = np.flatnonzero(low & ~np.isnan(cells["track_x"][:, t]))
+                if len(at):
+                    self._see_place(at, self.on_floor(cell("track_x", at), cell("track_y", at)), np.broadcast_to(ANCHOR_VARIANCE, (len(at), 3)))
+                broke[:, t] = bounce | low
+                self.s[broke[:, t], 5] = np.abs(self.cfg.restitution * self.s[broke[:, t], 5])
+                z = np.clip(self.s[:, 2], 0.0, self.cfg.z_max)
+                at = np.flatnonzero(on & (z != self.s[:, 2]))
+                if len(at):
+                    self._update(at, [(np.broadcast_to(_AXES[2], (len(at), 6)), z[at] - self.s[at, 2], np.full(len(at), CLAMP_VARIANCE))])
+            post[:, t], post_c[:, t] = self.s, self.c
+        if most > 1:
+            later = prior_c[:, 1:]
+            chained = (length[:, None] > np.arange(1, most)) & ~broke[:, 1:] & np.isfinite(later).all((2, 3))
+            later = np.where(chained[:, :, None, None], later, np.eye(6))
+            chained &= np.linalg.det(later) != 0
+            later = np.where(chained[:, :, None, None], later, np.eye(6))
+            gains = post_c[:, :-1] @ self.f.T @ np.linalg.inv(later)
+            for t in range(most - 2, -1, -1):
+                moved = post[:, t] + np.einsum("nij,nj->ni", gains[:, t], post[:, t + 1] - prior[:, t + 1])
+                post[:, t] = np.where(chained[:, t, None], moved, post[:, t])
+        post[:, :, 2] = np.clip(post[:, :, 2], 0.0, self.cfg.z_max)
+        return post[:, :, :3]
+
+
+#: Cells of clips that are stepped together at most (a cell takes about 700 bytes).
+CELLS = 100_000
+
+
+def in_cells(pdf: pd.DataFrame, clip: np.ndarray, most: int = CELLS) -> Iterable[tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """Clips of about one length at a time: their numbers, first frames, lengths, and the cells for `Flights.run`."""
+    number = lambda name: pd.to_numeric(pdf[name]).to_numpy(float)
+    frame = pdf["frame"].to_numpy(np.int64)
+    u, x3, confidence = number("u"), number("x3"), number("confidence")
+    measured = pdf["measured"].fillna(False).to_numpy(bool) & ~np.isnan(u)
+    begun = np.flatnonzero(measured | ~np.isnan(x3))
+    some, first = np.unique(clip[begun], return_index=True)
+    if not len(some):
+        return
+    start = np.full(clip.max() + 1, np.iinfo(np.int64).max)
+    start[some] = frame[begun[first]]
+    place = frame - start[clip]
+    length = np.zeros(len(start), np.int64)
+    np.maximum.at(length, clip[place >= 0], place[place >= 0] + 1)
+    std = np.full((len(pdf), 3), 0.3)
+    for k in np.flatnonzero(~np.isnan(x3) & pdf["std3"].notna().to_numpy()).tolist():
+        std[k] = pdf["std3"].iat[k]
+    low = np.zeros(len(pdf), bool)
+    v = number("v")
+    seen = np.flatnonzero(measured & ~np.isnan(v))
+    for part in np.split(seen, np.flatnonzero(np.diff(clip[seen])) + 1) if len(seen) else []:
+        if len(part) > 2:
+            low[part[peaks(v[part], 80.0, 5)]] = True
+    values = {name: number(name) for name in ("v", "y3", "z3", "track_x", "track_y", "event_x", "event_y")} | {"u": u, "x3": x3}
+    values["confidence"] = np.where(np.isnan(confidence) | (confidence == 0), 0.05, confidence)
+    flags = {"measured": measured, "low": low, "bounce": (pdf["event_type"] == "floor_bounce").to_numpy()}
+    order = some[np.argsort(length[some], kind="stable")]
+    begin = 0
+    while begin < len(order):
+        end = begin + 1
+        while end < len(order) and length[order[end]] * (end + 1 - begin) <= most:
+            end += 1
+        which = np.sort(order[begin:end])
+        at = np.full(len(start), -1)
+        at[which] = np.arange(len(which))
+        rows = np.flatnonzero((at[clip] >= 0) & (place >= 0))
+        shape = (len(which), int(length[which].max()))
+        cells: dict[str, np.ndarray] = {}
+        for name, column in (values | flags).items():
+            cells[name] = np.full(shape, False if column.dtype == bool else np.nan)
+            cells[name][at[clip[rows]], place[rows]] = column[rows]
+        cells["std3"] = np.full((*shape, 3), 0.3)
+        cells["std3"][at[clip[rows]], place[rows]] = std[rows]
+        yield which, start[which], length[which], cells
+        begin = end
+
+
+def trajectory(log: DataFrame, camera: np.ndarray, homography: Matrix, fps: float, keys: list[str], cfg: EkfConfig = EkfConfig(), most_cells: int = CELLS) -> DataFrame:
+    """(keys, frame, x, y, z) of each clip by filter and smoother; a task steps its clips together.
 
     `log`: keys, frame, measured, u, v, confidence, track_x, track_y, x3, y3, z3, std3 (array, null where nothing is
-    triangulated), event_type, event_x, event_y. Missing frames are filled in by prediction."""
-    to_court = court_map(homography)
+    triangulated), event_type, event_x, event_y; a row a frame. Missing frames are filled in by prediction."""
 
-    def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
-        rows, flight = flight_rows(pdf), Flight(cfg, camera, fps, to_court)
-        marks = [(r.frame, r.v) for r in rows if r.measured and r.v is not None]
-        low = lowest(*map(list, zip(*marks, strict=True))) if marks else set()
-        forward = [state for r in rows for state in flight.step(r, r.frame in low)]
-        if forward:
-            for state, s in zip(forward, smooth(forward, flight.ekf.f, cfg.z_max), strict=True):
-                yield (state["frame"], float(s[0]), float(s[1]), float(s[2]))
+    def fold(pdf: pd.DataFrame, clip: np.ndarray) -> Iterable[tuple[np.ndarray, pd.DataFrame]]:
+        for which, start, length, cells in in_cells(pdf, clip, most_cells):
+            path = Flights(cfg, camera, homography, fps).run(length, cells)
+            row, t = np.nonzero(np.arange(path.shape[1]) < length[:, None])
+            out = path[row, t]
+            yield which[row], pd.DataFrame({"frame": (start[row] + t).astype(np.int32), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
 
-    return per_clip(log, keys, ["frame"], fold, "frame int, x double, y double, z double")
+    return many_clips(log.select(*keys, *FlightRow._fields), keys, ["frame"], fold, "frame int, x double, y double, z double", most_cells)
 
 
 def fixed_lag(log: DataFrame, camera: np.ndarray, homography: Matrix, fps: float, keys: list[str], lag: int, cfg: EkfConfig = EkfConfig()) -> DataFrame:

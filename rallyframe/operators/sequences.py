@@ -143,10 +143,11 @@ def segment_stats(points: DataFrame, segments: DataFrame, keys: list[str]) -> Da
     return out.withColumns({"n_frames": n_frames, "floor_anchors": anchors, "fittable": F.col("n_measured") >= 3, "is_long": n_frames > 60})
 
 
-def ballistic_arcs(segments: DataFrame, contacts: DataFrame, fps: float, keys: list[str]) -> DataFrame:
+def ballistic_arcs(segments: DataFrame, contacts: DataFrame, fps: float, keys: list[str], *also: str) -> DataFrame:
     """Points of the arcs between two floor contacts: straight in x and y, a parabola in z under gravity.
 
-    `contacts`: keys, frame, x_m, y_m. Segments without a contact at both ends have no points; `segment_arcs` names them open."""
+    `contacts`: keys, frame, x_m, y_m. Segments without a contact at both ends have no points; `segment_arcs` names them open.
+    `also`: further columns of the segments to be kept."""
     both = segments.where("start_type = 'floor_bounce' and end_type = 'floor_bounce' and end_frame > start_frame")
     at = lambda side: contacts.select(*keys, F.col("frame").alias(f"{side}_frame"), F.col("x_m").alias(f"{side}_x"), F.col("y_m").alias(f"{side}_y"))
     both = both.join(at("start"), [*keys, "start_frame"]).join(at("end"), [*keys, "end_frame"])
@@ -154,7 +155,7 @@ def ballistic_arcs(segments: DataFrame, contacts: DataFrame, fps: float, keys: l
     total, tau = (F.col("end_frame") - F.col("start_frame")) / num(fps), (F.col("frame") - F.col("start_frame")) / num(fps)
     share = tau / total
     z = F.greatest(num(0), 0.5 * GRAVITY * total * tau - 0.5 * GRAVITY * tau * tau)
-    return rows.select(*keys, "seg_id", "frame", (F.col("start_x") + (F.col("end_x") - F.col("start_x")) * share).alias("x_m"), (F.col("start_y") + (F.col("end_y") - F.col("start_y")) * share).alias("y_m"), z.alias("z_m"), (num(GRAVITY) * total * total / 8).alias("apex_m"))
+    return rows.select(*keys, "seg_id", *also, "frame", (F.col("start_x") + (F.col("end_x") - F.col("start_x")) * share).alias("x_m"), (F.col("start_y") + (F.col("end_y") - F.col("start_y")) * share).alias("y_m"), z.alias("z_m"), (num(GRAVITY) * total * total / 8).alias("apex_m"))
 
 
 def segment_arcs(segments: DataFrame, contacts: DataFrame, keys: list[str]) -> DataFrame:

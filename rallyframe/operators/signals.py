@@ -29,13 +29,9 @@ def zscore(signal: DataFrame, keys: list[str], column: str = "energy") -> DataFr
     return signal.withColumn("z", F.when(std > 1e-9, (F.col(column) - mean) / std).otherwise(F.col(column) - mean))
 
 
-def _stretch(samples: pd.DataFrame, first: int, n: int) -> np.ndarray:
+def _stretch(at: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
     """By sample: how many rows, their sum and their sum of squares; a sample that isn't there has none."""
-    out = np.zeros((3, n))
-    at, z = samples["sample_idx"].to_numpy() - first, samples["z"].to_numpy(float)
-    for row, values in enumerate((np.ones(len(z)), z, z * z)):
-        np.add.at(out[row], at, values)
-    return out
+    return np.stack([np.bincount(at, minlength=n), np.bincount(at, weights=z, minlength=n), np.bincount(at, weights=z * z, minlength=n)]).astype(float)
 
 
 def sliding_sums(a: np.ndarray, b: np.ndarray, lags: int) -> np.ndarray:
@@ -63,10 +59,11 @@ def offset_sweep(a: DataFrame, b: DataFrame, keys: list[str], stride: int = 10,
     right = zscore(b, keys).select(*keys, F.explode(around).alias("chunk"), F.lit(False).alias("first"), F.col("sample_idx").cast("long").alias("sample_idx"), "z")
 
     def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
-        begin = int(pdf["chunk"].iloc[0]) * chunk
-        mine, other = pdf[pdf["first"]], pdf[~pdf["first"]]
-        if len(mine) and len(other):
-            n, ab, aa, bb = sliding_sums(_stretch(mine, begin, chunk), _stretch(other, begin - lags, chunk + 2 * lags), lags)
+        first, at, z = pdf["first"].to_numpy(bool), pdf["sample_idx"].to_numpy(), pdf["z"].to_numpy(float)
+        if first.any():
+            begin, end = at[first].min(), at[first].max() + 1
+            near = ~first & (at >= begin - lags) & (at < end + lags)
+            n, ab, aa, bb = sliding_sums(_stretch(at[first] - begin, z[first], end - begin), _stretch(at[near] - begin + lags, z[near], end - begin + 2 * lags), lags)
             for k in np.flatnonzero(n > 0).tolist():
                 yield (k - lags, int(n[k]), float(ab[k]), float(aa[k]), float(bb[k]))
 

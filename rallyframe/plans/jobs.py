@@ -5,13 +5,16 @@ All of a job's stages are keyed by clip or match, so the rows of a match meet in
 from __future__ import annotations
 
 import random
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cameras import Camera, triangulated
-from ..functions.geometry import Matrix, Polygon, in_region, num, project, rounded, to_global, transform_point
-from ..operators import joins, metrics, physics, players, sequences, tracking
+from ..functions.geometry import Matrix, Polygon, box_center, foot_point, in_court, in_polygon, in_region, num, project, rounded, to_global, transform_point
+from ..operators import bytetrack, courts, joins, metrics, physics, players, sequences, tracking
+from ..operators.clips import per_clip
 from ..operators.courts import owns
 from ..schemas import EkfConfig, EventConfig, IdentityConfig, MiningConfig, TrackerConfig
 
@@ -69,25 +72,101 @@ def ball_3d(log_a: DataFrame, log_b: DataFrame, events_a: DataFrame, a: Camera,
     return sequences.provenance(path, log.select("match", "frame", "measured", "meas_u", "meas_v", F.col("x").alias("track_x"), F.col("y").alias("track_y"), F.col("ball3d").isNotNull().alias("has_3d"), F.col("e.type").alias("event")), fps, ["match"])
 
 
+def seeded_hold_out(points: DataFrame, keys: list[str], share: float = 0.3, seed: int = 0) -> DataFrame:
+    """(keys, frame) of a seeded sample of each clip's frames: `share` of them, at least one; none of a clip with under six."""
+
+    def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
+        frames = sorted(set(pdf["frame"].tolist()))
+        if len(frames) >= 6:
+            for k in draw_held_out(len(frames), share, seed):
+                yield (int(frames[k]),)
+
+    return per_clip(points.select(*keys, "frame"), keys, ["frame"], fold, "frame int")
+
+
 def height_validation(state: DataFrame, camera: Camera, homography: Matrix, fps: float, keys: list[str], share: float = 0.3, seed: int = 0) -> DataFrame:
-    """How well heights come back where triangulated points are withheld: absolute errors' median, mean and p90.
+    """How well heights come back where triangulated points are withheld: absolute errors' median, mean and p90, over all clips.
 
-    Which points are withheld is drawn from (seed, key, frame) by a hash, so it needs no list on the driver."""
-    drawn = F.pmod(F.xxhash64(F.lit(seed), *keys, "frame"), F.lit(1000)) < int(share * 1000)
-    held = state.where(F.col("z3").isNotNull() & drawn).select(*keys, "frame", F.col("z3").alias("true_z"))
-    hidden = state.withColumns({c: F.when(~drawn, F.col(c)) for c in ("x3", "y3", "z3", "std3")})
+    Which points are withheld is drawn in each clip with the seed (`seeded_hold_out`)."""
+    held = seeded_hold_out(state.where("z3 is not null"), keys, share, seed).withColumn("_held", F.lit(True))
+    drawn = state.join(held, [*keys, "frame"], "left")
+    hidden = drawn.withColumns({c: F.when(F.col("_held").isNull(), F.col(c)) for c in ("x3", "y3", "z3", "std3")}).drop("_held")
     path = physics.trajectory(hidden, camera.p, homography, fps, keys)
-    error = held.join(path, [*keys, "frame"]).withColumn("_e", F.abs(F.col("z") - F.col("true_z")))
+    true = drawn.where("_held").select(*keys, "frame", F.col("z3").alias("true_z"))
+    error = true.join(path, [*keys, "frame"]).withColumn("_e", F.abs(F.col("z") - F.col("true_z")))
     return error.agg(F.count("*").alias("n"), F.percentile("_e", F.lit(0.5)).alias("median"), F.avg("_e").alias("mean"), F.percentile("_e", F.lit(0.9)).alias("p90"))
 
 
-def arc_report(arcs: DataFrame, observed: DataFrame, camera: Camera, keys: list[str]) -> DataFrame:
-    """Each arc against what was seen: median pixel error and a verdict. `observed`: keys, frame, measured, u, v."""
-    u, v = project(tuple(camera.p.ravel()), F.col("x_m"), F.col("y_m"), F.col("z_m"))
-    seen = arcs.join(observed.where("measured"), [*keys, "frame"], "left").withColumns({"pu": u, "pv": v})
+def arcs_from_log(log: DataFrame, homography: Matrix, fps: float, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Arcs of the ball from one camera's frame log (keys, frame, measured, u, v, event_type, x_m, y_m): flights between events, arcs
+    between the floor contacts of a flight, and the points of those arcs.
+
+    Gives arcs (keys, seg_id, arc_id, start_frame, end_frame, kind) and points (keys, seg_id, arc_id, frame, x_m, y_m, z_m,
+    apex_m); open arcs have no points."""
+    events = log.where("event_type is not null").select(*keys, "frame", F.col("event_type").alias("type"), "x_m", "y_m")
+    segments = sequences.flight_segments(log.select(*keys, "frame"), events, keys)
+    contacts = sequences.floor_contacts(log, events, homography, keys)
+    arcs = sequences.segment_arcs(segments, contacts, keys)
+    bounce = F.lit("floor_bounce")
+    points = sequences.ballistic_arcs(arcs.where("kind = 'anchored'").withColumns({"start_type": bounce, "end_type": bounce}), contacts, fps, keys, "arc_id")
+    return arcs, points
+
+
+def arc_report(arcs: DataFrame, points: DataFrame, observed: DataFrame, p: Matrix, keys: list[str]) -> DataFrame:
+    """Each arc of `arcs_from_log` against what was seen: apex, median pixel error under the camera `p` (3x4, row by row), verdict (open,
+    high, mismatch, ok). `observed`: keys, frame, measured, u, v."""
+    u, v = project(p, F.col("x_m"), F.col("y_m"), F.col("z_m"))
+    seen = points.join(observed.where("measured").select(*keys, "frame", "u", "v"), [*keys, "frame"], "left").withColumns({"pu": u, "pv": v})
     d = F.sqrt((F.col("pu") - F.col("u")) * (F.col("pu") - F.col("u")) + (F.col("pv") - F.col("v")) * (F.col("pv") - F.col("v")))
-    out = seen.withColumn("_d", d).groupBy(*keys, "seg_id").agg(F.max("apex_m").alias("apex_m"), F.percentile("_d", F.lit(0.5)).alias("median_px"))
-    return out.withColumn("verdict", metrics.arc_verdict(F.col("apex_m"), F.col("median_px")))
+    out = seen.withColumn("_d", d).groupBy(*keys, "seg_id", "arc_id").agg(F.max("apex_m").alias("apex_m"), F.percentile("_d", F.lit(0.5)).alias("median_px"))
+    return arcs.join(out, [*keys, "seg_id", "arc_id"], "left").withColumn("verdict", metrics.arc_verdict(F.col("apex_m"), F.col("median_px")))
+
+
+def tiled_detection(boxes: DataFrame, keys: list[str], tile: tuple[int, int], overlap: float = 0.2, threshold: float = 0.6) -> DataFrame:
+    """Boxes found in overlapping tiles (keys, row, col, det_idx, x1, y1, x2, y2, conf) as boxes of the whole frame: moved to their place,
+    those that several tiles found kept once, numbered again by confidence as det_idx."""
+    moved = courts.tile_to_frame(boxes, *tile, overlap)
+    w = Window.partitionBy(*keys).orderBy("row", "col", "det_idx", "x1", "y1", "conf")
+    numbered = moved.withColumn("det_idx", (F.row_number().over(w) - 1).cast("int")).select(*keys, "det_idx", "x1", "y1", "x2", "y2", "conf")
+    kept = joins.non_maximum_suppression(numbered, keys, threshold)
+    order = Window.partitionBy(*keys).orderBy(F.desc("conf"), F.desc("det_idx"))
+    return kept.withColumn("det_idx", (F.row_number().over(order) - 1).cast("int"))
+
+
+def single_camera_players(detections: DataFrame, frames: DataFrame, keys: list[str], homography: Matrix, roi: Polygon = (), cfg: bytetrack.ByteConfig = bytetrack.ByteConfig(), least_conf: float = 0.5, inside_m: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """One camera's players: boxes (keys, frame, det_idx, x1, y1, x2, y2, conf, keypoints) inside the region, their tracks, and where they
+    stand; and for each clip of `frames` (keys, frame: all that were processed) the summary of the run.
+
+    Rows: keys, frame, track_id, conf, the box, foot_u, foot_v, foot_source, x_m, y_m, inside. Only boxes on a track are rows."""
+    centre = box_center(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
+    kept = detections.where(in_polygon(roi, *centre))
+    tracks = bytetrack.track_players(kept.select(*keys, "frame", "det_idx", "x1", "y1", "x2", "y2", "conf"), keys, cfg)
+    fu, fv, source = foot_point(F.col("keypoints"), F.col("x1"), F.col("x2"), F.col("y2"), least_conf)
+    rows = kept.join(tracks, [*keys, "frame", "det_idx"]).withColumns({"foot_u": fu, "foot_v": fv, "foot_source": source})
+    x, y = transform_point(homography, F.col("foot_u"), F.col("foot_v"))
+    rows = rows.withColumns({"x_m": x, "y_m": y}).withColumn("inside", in_court(F.col("x_m"), F.col("y_m"), inside_m))
+    rows = rows.select(*keys, "frame", "track_id", "conf", "x1", "y1", "x2", "y2", "foot_u", "foot_v", "foot_source", "x_m", "y_m", "inside")
+    height = F.col("y2") - F.col("y1")
+    seen = rows.groupBy(*keys).agg(F.count("*").alias("_n"), rounded(F.avg("conf")).alias("mean_confidence"), rounded(F.min(height), 1).alias("height_min"), rounded(F.percentile(height, F.lit(0.5)), 1).alias("height_median"), rounded(F.max(height), 1).alias("height_max"))
+    raw = detections.groupBy(*keys).agg(F.count("*").alias("_raw")).join(kept.groupBy(*keys).agg(F.count("*").alias("_kept")), keys, "left")
+    churn = metrics.id_churn(rows, frames, keys)
+    n = frames.select(*keys, "frame").distinct().groupBy(*keys).agg(F.count("*").alias("frames_processed"))
+    whole = lambda c: F.coalesce(c, F.lit(0))
+    removed = whole("_raw") - whole("_kept")
+    summary = n.join(raw, keys, "left").join(seen, keys, "left").join(churn, keys, "left").select(
+        *keys,
+        "frames_processed",
+        whole("_raw").alias("detections_raw_total"),
+        whole("_kept").alias("detections_after_roi_total"),
+        removed.alias("detections_removed_by_roi"),
+        rounded(num(100) * removed / F.greatest(F.lit(1), whole("_raw")), 2).alias("roi_removed_pct"),
+        F.coalesce("mean_confidence", num(0)).alias("mean_confidence"),
+        whole("n_tracks").alias("unique_track_ids"),
+        whole("churn").alias("id_churn_proxy"),
+        rounded(whole("_n") / F.col("frames_processed"), 2).alias("avg_tracks_per_frame"),
+        *(F.coalesce(c, num(0)).alias(c) for c in ("height_min", "height_median", "height_max")),
+    )
+    return rows, summary
 
 
 def dual_view(fused: DataFrame, homography_a: Matrix, homography_b: Matrix) -> DataFrame:
@@ -139,5 +218,5 @@ def player_fusion(detections_a: DataFrame, detections_b: DataFrame, homography_a
 
 
 def draw_held_out(n: int, share: float, seed: int) -> list[int]:
-    """A seeded sample of 0..n-1, for small lists."""
-    return sorted(random.Random(seed).sample(range(n), int(n * share)))
+    """A seeded sample of 0..n-1: `share` of them, at least one."""
+    return sorted(random.Random(seed).sample(range(n), max(1, int(n * share))))

@@ -130,19 +130,42 @@ def box_iou_pairs(spark, sf):
     return a.join(b, "frame").where("a_idx < b_idx").withColumn("iou", share).where("iou > 0").select("frame", "a_idx", "b_idx", rounded(F.col("iou")).alias("iou"))
 
 
-@query(f"""WITH RECURSIVE {BOXES}, ordered AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, det_idx DESC, x1 DESC, y1 DESC, x2 DESC, y2 DESC) AS k FROM boxes),
+def _suppressed(source: str) -> str:
+    """Each frame's boxes by falling confidence, and the list of those kept so far, one by one; `kept`: the list after the last."""
+    return f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, det_idx DESC, x1 DESC, y1 DESC, x2 DESC, y2 DESC) AS k FROM {source}),
     walk AS (
         SELECT frame, k, [{{'i': det_idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM ordered WHERE k = 1
         UNION ALL
         SELECT o.frame, o.k, CASE WHEN len(list_filter(kept, lambda p: greatest(0, least(p.x2, o.x2) - greatest(p.x1, o.x1)) * greatest(0, least(p.y2, o.y2) - greatest(p.y1, o.y1))
                  / ((p.x2 - p.x1) * (p.y2 - p.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(0, least(p.x2, o.x2) - greatest(p.x1, o.x1)) * greatest(0, least(p.y2, o.y2) - greatest(p.y1, o.y1)) + 1e-9) >= 0.3e0)) > 0
                THEN kept ELSE list_append(kept, {{'i': o.det_idx, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) END
-        FROM walk w JOIN ordered o ON o.frame = w.frame AND o.k = w.k + 1)
-    SELECT frame, unnest(list_transform(kept, lambda p: p.i)) AS det_idx FROM walk w WHERE k = (SELECT max(k) FROM ordered o WHERE o.frame = w.frame)""")
+        FROM walk w JOIN ordered o ON o.frame = w.frame AND o.k = w.k + 1),
+    kept AS (SELECT frame, kept FROM walk w WHERE k = (SELECT max(k) FROM ordered o WHERE o.frame = w.frame))"""
+
+
+@query(f"WITH RECURSIVE {BOXES}, {_suppressed('boxes')} SELECT frame, unnest(list_transform(kept, lambda p: p.i)) AS det_idx FROM kept")
 def nms_keep(spark, sf):
     return joins.non_maximum_suppression(boxes(spark, sf), ["frame"], 0.3).select("frame", "det_idx")
 
 
+#: Boxes of two by two tiles of 400 x 300, which overlap by a fifth: odd det_idx lie in the lower row, the latter two of four in the right column.
+_TILED = """whole AS (SELECT frame, (row_number() OVER (PARTITION BY frame ORDER BY det_idx % 2, det_idx % 4 // 2, det_idx, x1 % 400, y1 % 300, conf) - 1)::INTEGER AS det_idx, x1 % 400 + (det_idx % 4 // 2) * 320e0 AS x1, y1 % 300 + (det_idx % 2) * 240e0 AS y1,
+    x1 % 400 + (x2 - x1) + (det_idx % 4 // 2) * 320e0 AS x2, y1 % 300 + (y2 - y1) + (det_idx % 2) * 240e0 AS y2, conf FROM boxes)"""
+
+
+@query(f"""WITH RECURSIVE {BOXES}, {_TILED}, {_suppressed('whole')}, numbered AS (SELECT frame, unnest(kept) AS p, generate_subscripts(kept, 1) - 1 AS k FROM kept)
+    SELECT frame, k::INTEGER AS det_idx, {r('p.x1')} AS x1, {r('p.y1')} AS y1, {r('p.x2')} AS x2, {r('p.y2')} AS y2 FROM numbered""")
+def tiled_detection(spark, sf):
+    """Boxes of overlapping tiles, moved to the frame and merged."""
+    from . import jobs
+
+    i = F.col("det_idx")
+    x, y = F.col("x1") % num(400), F.col("y1") % num(300)
+    tiles = boxes(spark, sf).withColumns({"row": i % 2, "col": F.floor(i % 4 / 2), "x2": x + (F.col("x2") - F.col("x1")), "y2": y + (F.col("y2") - F.col("y1")), "x1": x, "y1": y})
+    out = jobs.tiled_detection(tiles, ["frame"], (400, 300), 0.2, 0.3)
+    return out.select("frame", "det_idx", *(rounded(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
 @query(f"""WITH {OBS}, s AS (SELECT *, lag(u) OVER w AS pu, lag(v) OVER w AS pv, lag(frame) OVER w AS pf FROM obs WHERE found WINDOW w AS (PARTITION BY clip ORDER BY frame))
     SELECT clip, frame, {r('sqrt((u - pu) * (u - pu) + (v - pv) * (v - pv)) / ((frame - pf) / 20e0) * 3.6e0', 2)} AS speed FROM s""")
 def consecutive_speed(spark, sf):
@@ -337,6 +360,16 @@ def player_tracks(spark, sf):
     return bytetrack.track_players(rows, ["clip"])
 
 
+@query()
+def single_camera_players(spark, sf):
+    """The single-camera run: region, tracks, places on the court, and each clip's summary."""
+    from . import jobs
+
+    rows = _numbered(boxes(spark, sf)).withColumns({"keypoints": F.array(*[F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))] * 17), "frame": F.col("frame").cast("int")})
+    roi = [(50, 50), (430, 40), (420, 260), (60, 250)]
+    return jobs.single_camera_players(rows, rows.select("clip", "frame"), ["clip"], (0.02, 0.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 1.0), roi)[1]
+
+
 @query()
 def player_fusion(spark, sf):
     rows = _numbered(boxes(spark, sf)).withColumns({"match": F.floor(F.col("frame") / 2000).cast("long"), "keypoints": F.array(*[F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))] * 17), "frame": (F.floor(F.col("frame") / 2)).cast("int"), "_side": F.col("frame") % 2})
@@ -595,6 +628,50 @@ def segment_arcs(spark, sf):
     return sequences.segment_arcs(segments, obs.where("event_id % 9 = 0").select("clip", "frame"), ["clip"])
 
 
+def _arcs(spark, sf):
+    from . import jobs
+
+    obs = observations(spark, sf)
+    kind = F.when(F.col("event_type") == "purchase", "floor_bounce").when(F.col("event_type") == "signup", "hit")
+    none = F.lit(None).cast("double")
+    log = obs.select("clip", "frame", F.col("found").alias("measured"), "u", "v", kind.alias("event_type"), none.alias("x_m"), none.alias("y_m"))
+    return (log, *jobs.arcs_from_log(log, H, FPS, ["clip"]))
+
+
+ARCS = f"""c AS (SELECT clip, frame, {X} * (1 / {W}) AS x, {Y} * (1 / {W}) AS y FROM obs WHERE event_type = 'purchase'),
+    a AS (SELECT s.clip, seg_id, start_frame, end_frame, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS "by", unnest(range(start_frame, end_frame + 1))::INTEGER AS frame
+          FROM seg s JOIN c p ON p.clip = s.clip AND p.frame = start_frame JOIN c q ON q.clip = s.clip AND q.frame = end_frame),
+    t AS (SELECT *, (end_frame - start_frame) / 20e0 AS total, (frame - start_frame) / 20e0 AS tau FROM a),
+    points AS (SELECT clip, seg_id, start_frame, end_frame, frame, ax + (bx - ax) * (tau / total) AS x, ay + ("by" - ay) * (tau / total) AS y,
+                      greatest(0, 0.5e0 * 9.81e0 * total * tau - 0.5e0 * 9.81e0 * tau * tau) AS z, 9.81e0 * total * total / 8 AS apex FROM t)"""
+
+
+@query(f"""WITH {OBS}, {SEGMENTS}, {ARCS} SELECT clip, frame, {r('x')} AS x_m, {r('y')} AS y_m, {r('z')} AS z_m, seg_id AS arc FROM points
+    QUALIFY row_number() OVER (PARTITION BY clip, frame ORDER BY seg_id DESC) = 1""")
+def arc_trajectory(spark, sf):
+    """From a frame log to the trajectory file's rows."""
+    _, _, points = _arcs(spark, sf)
+    return writers.last_arc_points(points, ["clip"])
+
+
+_PU, _PV, _PW = (f"({CAMERA_A[4 * i]!r}::DOUBLE * x + {CAMERA_A[4 * i + 1]!r}::DOUBLE * y + {CAMERA_A[4 * i + 2]!r}::DOUBLE * z + {CAMERA_A[4 * i + 3]!r}::DOUBLE)" for i in range(3))
+
+
+@query(f"""WITH {OBS}, {SEGMENTS}, {ARCS},
+    d AS (SELECT p.*, sqrt(({_PU} / {_PW} - u) * ({_PU} / {_PW} - u) + ({_PV} / {_PW} - v) * ({_PV} / {_PW} - v)) AS d FROM points p LEFT JOIN obs o ON o.clip = p.clip AND o.frame = p.frame AND found),
+    m AS (SELECT clip, seg_id, max(apex) AS apex, median(d) AS d FROM d GROUP BY clip, seg_id)
+    SELECT s.clip, s.seg_id, s.start_frame, s.end_frame, CASE WHEN m.seg_id IS NULL THEN 'open' ELSE 'anchored' END AS kind, {r('apex')} AS apex_m, {r('d', 1)} AS median_px,
+           CASE WHEN apex IS NULL THEN 'open' WHEN apex > 8 THEN 'high' WHEN d > 50 THEN 'mismatch' ELSE 'ok' END AS verdict
+    FROM seg s LEFT JOIN m ON m.clip = s.clip AND m.seg_id = s.seg_id""")
+def arc_report(spark, sf):
+    """Each arc of the log with its verdict."""
+    from . import jobs
+
+    log, arcs, points = _arcs(spark, sf)
+    out = jobs.arc_report(arcs, points, log, CAMERA_A, ["clip"])
+    return out.select("clip", "seg_id", "start_frame", "end_frame", "kind", rounded(F.col("apex_m")).alias("apex_m"), rounded(F.col("median_px"), 1).alias("median_px"), "verdict")
+
+
 @query(f"""WITH {OBS}, g AS (SELECT *, sum((u IS NULL)::INTEGER) OVER (PARTITION BY clip ORDER BY frame) AS g FROM obs) SELECT clip, frame, least(row_number() OVER (PARTITION BY clip, g ORDER BY frame), 10)::INTEGER AS length FROM g WHERE u IS NOT NULL""")
 def trail_length(spark, sf):
     return sequences.trail(observations(spark, sf).select("clip", "frame", "u", "v"), ["clip"], 10).select("clip", "frame", F.size("trail").alias("length"))
@@ -671,6 +748,20 @@ def threshold_sweep(spark, sf):
     return metrics.threshold_sweep(_records(spark, sf), 30.0, ["clip"])
 
 
+@query(f"""WITH {OBS}, rec AS (SELECT clip, (event_id % 3 <> 0)::INTEGER AS visible, found, confidence, CASE WHEN found AND event_id % 3 <> 0 THEN sqrt((u - (u + event_id % 41)) * (u - (u + event_id % 41)) + (v - (v + event_id % 29)) * (v - (v + event_id % 29))) END AS dist FROM obs WHERE frame % 4 = 1),
+    h AS (SELECT *, found AND confidence >= threshold AS h FROM rec, (VALUES (0.5e0), (0.55e0), (0.6e0), (0.65e0), (0.7e0), (0.75e0), (0.8e0)) t(threshold)),
+    s AS (SELECT clip, threshold, {SCORES} FROM h GROUP BY clip, threshold), q AS (SELECT *, {RATES} FROM s) SELECT *, row_number() OVER (PARTITION BY clip ORDER BY f1 DESC NULLS LAST, threshold) = 1 AS best FROM q""")
+def held_out_precision(spark, sf):
+    """The detector on labels that were held out of training: labels, detections and the held frames as tables."""
+    from . import jobs
+
+    obs, e = observations(spark, sf), F.col("event_id")
+    seen = e % 3 != 0
+    labels = obs.select("clip", "frame", seen.cast("int").alias("visible"), F.when(seen, F.col("u") + e % 41).alias("u"), F.when(seen, F.col("v") + e % 29).alias("v"))
+    held = obs.where("frame % 4 = 1").select("clip", "frame")
+    return jobs.detector_precision(obs.select("clip", "frame", "found", "confidence", "u", "v"), labels, ["clip"], 30.0, held)
+
+
 @query(f"""WITH {OBS}, {RECORDS} SELECT clip, {r('avg(dist)', 1)} AS mean, {r('median(dist)', 1)} AS median, {r('list_sort(list(dist) FILTER (dist IS NOT NULL))[least(count(dist), floor(0.9e0 * count(dist))::BIGINT + 1)]', 1)} AS p90 FROM rec GROUP BY clip""")
 def localisation_stats(spark, sf):
     return metrics.distance_stats(_records(spark, sf), "dist", ["clip"])
@@ -862,14 +953,40 @@ def label_file(spark, sf):
     return readers.labels_all(spark, _csv_of(spark, rows, "labels"))
 
 
-@query("""SELECT event_id::INTEGER AS frame, CASE WHEN event_id % 4 IN (0, 1) AND event_id % 7 <> 0 THEN 1 ELSE 0 END AS visible, CASE WHEN event_id % 4 IN (0, 1) AND event_id % 7 <> 0 THEN value END AS u, CASE WHEN event_id % 4 IN (0, 1) AND event_id % 7 <> 0 THEN (event_id % 100)::DOUBLE END AS v FROM events""")
+@query("""WITH last AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 3 ORDER BY event_id DESC) = 1), seen AS (SELECT *, event_id % 4 IN (0, 1) AND event_id % 7 <> 0 AS there FROM last)
+    SELECT (event_id // 3)::INTEGER AS frame, there::INTEGER AS visible, CASE WHEN there THEN value END AS u, CASE WHEN there THEN (event_id % 100)::DOUBLE END AS v FROM seen""")
 def label_file_latest(spark, sf):
-    """Rows without a place, or with a visible of 0, are not visible."""
+    """A frame is in the file up to three times, and its last row counts; rows without a place, or with a visible of 0, are not visible."""
     e = F.col("event_id")
-    rows = read(spark, sf, "events").select(e.alias("frame"), _one_of(["1", "1", "0", "0"]).alias("visible"), F.when(e % 7 != 0, F.col("value")).alias("u"), (e % 100).alias("v"))
+    rows = read(spark, sf, "events").repartitionByRange(1, "event_id").sortWithinPartitions("event_id")
+    rows = rows.select(F.floor(e / 3).alias("frame"), _one_of(["1", "1", "0", "0"]).alias("visible"), F.when(e % 7 != 0, F.col("value")).alias("u"), (e % 100).alias("v"))
     return readers.labels_latest(spark, _csv_of(spark, rows, "labels"))
 
 
+@query("""SELECT event_id::INTEGER AS frame, CASE WHEN event_id % 7 <> 0 THEN value END AS u, (event_id % 100)::DOUBLE AS v FROM events WHERE event_id % 5 IN (0, 1, 3) AND (event_id % 4 = 0 OR event_id % 17 <> 0)""")
+def visible_places(spark, sf):
+    """The places that a label file names visible."""
+    return readers.visible_positions(label_file(spark, sf))
+
+
+@query("""SELECT DISTINCT (event_id % 997)::INTEGER AS frame FROM events WHERE event_id % 6 <> 5""")
+def frame_list_file(spark, sf):
+    """Frames of a file with repeated ones and rows without a whole number."""
+    e = F.col("event_id")
+    rows = read(spark, sf, "events").select(F.when(e % 6 != 5, (e % 997).cast("string")).when(e % 12 == 5, "none").otherwise("7.5").alias("frame"), F.lit("miss").alias("reason"))
+    return readers.frame_list(spark, _csv_of(spark, rows, "frames"))
+
+
+@query(f"""WITH {OBS}, c AS (SELECT clip, CASE WHEN clip % 7 = 0 THEN 0e0 ELSE 20e0 + clip % 3 END AS fps FROM obs GROUP BY clip),
+    n AS (SELECT clip, count(*) AS n_labels, count(*) FILTER (found) AS n_visible FROM obs WHERE clip % 4 <> 1 GROUP BY clip) SELECT clip, fps, n_labels, n_visible FROM c JOIN n USING (clip) WHERE fps > 0""")
+def clip_list(spark, sf):
+    """Clips that can be read and have labels."""
+    obs = observations(spark, sf)
+    clips = obs.select("clip").distinct().withColumn("fps", F.when(F.col("clip") % 7 == 0, num(0)).otherwise(num(20) + F.col("clip") % 3))
+    labels = obs.where("clip % 4 <> 1").select("clip", F.col("found").cast("int").alias("visible"))
+    return readers.clip_inventory(clips, labels).select("clip", "fps", "n_labels", "n_visible")
+
+
 @query("""SELECT event_id::INTEGER AS frame, CASE WHEN event_id % 3 <> 0 THEN event_type END AS type, value AS u, CASE WHEN event_id % 5 <> 0 THEN event_id / 8e0 END AS x_m, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true END AS in_court FROM events WHERE event_id % 13 <> 0""")
 def event_file(spark, sf):
     e = F.col("event_id")
@@ -885,7 +1002,7 @@ def hard_frame_file(spark, sf):
     return readers.hard_frames(spark, _csv_of(spark, rows, "hard")).select("frame", "reason", "priority", "hint_u")
 
 
-def _log_file(spark, sf) -> DataFrame:
+def _log_path(spark, sf) -> str:
     """A frame log with truncated and blank lines and NUL bytes."""
     e = F.col("event_id")
     track = F.when(e % 4 != 0, F.struct(F.col("value").alias("x"), (e % 50).cast("double").alias("y"), (e % 3 > 0).alias("measured"), F.lit("tracking").alias("status")))
@@ -895,7 +1012,11 @@ def _log_file(spark, sf) -> DataFrame:
     line = F.when(e % 11 == 0, F.substring(line, 1, 17)).when(e % 13 == 0, F.concat(F.lit("\u0000"), line)).when(e % 17 == 0, " ").otherwise(line)
     path = new_path(spark, "frame-log")
     read(spark, sf, "events").select(line.alias("value")).write.text(path)
-    return readers.frame_log(spark, path)
+    return path
+
+
+def _log_file(spark, sf) -> DataFrame:
+    return readers.frame_log(spark, _log_path(spark, sf))
 
 
 _LOGGED = "event_id % 11 <> 0 AND (event_id % 13 = 0 OR event_id % 17 <> 0)"
@@ -911,6 +1032,12 @@ def event_log_file(spark, sf):
     return readers.track_points(_log_file(spark, sf))[1].select("frame", "type", "u")
 
 
+@query(f"""SELECT event_id::INTEGER AS frame, value AS u FROM events WHERE event_id % 10 = 0 AND {_LOGGED}""")
+def predicted_bounce_file(spark, sf):
+    """Floor bounces of a log with lines that can't be parsed."""
+    return readers.predicted_bounces(spark, _log_path(spark, sf)).select("frame", "u")
+
+
 @query(f"""SELECT event_id::INTEGER AS frame, 0e0 AS x, 2e0 AS z, CASE WHEN event_id % 12 = 0 THEN 0.4e0 ELSE 0.3e0 END AS std_z FROM events WHERE event_id % 6 = 0 AND {_LOGGED}""")
 def fusion_log_file(spark, sf):
     return readers.triangulated_points(_log_file(spark, sf)).select("frame", "x", "z", F.col("std")[2].alias("std_z"))

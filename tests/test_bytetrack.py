@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from rallyframe.operators.bytetrack import ByteConfig, ByteTrack, as_measured, matched, overlaps, track_players
+from rallyframe.operators.bytetrack import ID, PLACE, TRACKED, ByteConfig, ByteTrack, as_measured, matched, overlaps, track_players
 
 BOX = "clip long, frame int, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double"
 
@@ -35,7 +35,8 @@ def test_filter_against_matrices():
             gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
             x, p = x + gain @ (z - h @ x), (np.eye(8) - gain @ h) @ p
         assert tracks.step(frame, np.array([[z[0] - z[2] * z[3] / 2, z[1] - z[3] / 2, z[0] + z[2] * z[3] / 2, z[1] + z[3] / 2]]), np.array([0.9])).tolist() == [1]
-        assert np.allclose(np.r_[tracks.place[0], tracks.speed[0]], x) and np.allclose(tracks.p11[0], np.diag(p)[:4]) and np.allclose(tracks.p12[0], np.diag(p[:4, 4:]), atol=1e-12) and np.allclose(tracks.p22[0], np.diag(p)[4:])
+        place, speed, p11, p12, p22 = tracks.filters[0]
+        assert np.allclose(np.r_[place, speed], x) and np.allclose(p11, np.diag(p)[:4]) and np.allclose(p12, np.diag(p[:4, 4:]), atol=1e-12) and np.allclose(p22, np.diag(p)[4:])
 
 
 def test_a_player_behind_another_keeps_the_id():
@@ -75,9 +76,8 @@ def test_of_two_tracks_in_one_place_the_older_stays():
         tracks.step(f, np.array([box(100.0)]), np.array([0.9]))
     tracks.step(6, np.zeros((0, 4)), np.zeros(0))
     tracks.step(7, np.array([box(160.0)]), np.array([0.9]))
-    assert tracks.id.tolist() == [1, 2] and tracks.tracked.tolist() == [False, True]
-    tracks.place[1] = tracks.place[0]
-    tracks.speed[:] = 0
+    assert tracks.marks[:, ID].tolist() == [1, 2] and tracks.marks[:, TRACKED].tolist() == [0, 1]
+    tracks.filters[1, PLACE] = tracks.filters[0, PLACE]
     assert tracks._doubles().tolist() == [False, True]
 
 

@@ -113,3 +113,37 @@ def test_summaries(spark):
     assert [(r.clip, r.n_labels, r.n_visible) for r in readers.clip_inventory(clips, labels).collect()] == [("a", 2, 1)]
     arcs = spark.createDataFrame([(1, 5, 1.0, 1.0, 1.0, 0), (1, 5, 2.0, 2.0, 2.0, 1)], "clip long, frame int, x_m double, y_m double, z_m double, seg_id int")
     assert writers.last_arc_points(arcs, ["clip"]).first().x_m == 2.0
+
+
+def test_single_camera_run_in_figures(spark, sf):
+    """The summary counted by hand from the rows and the boxes."""
+    rng = np.random.default_rng(2)
+    point = [{"x": 0.0, "y": 0.0, "c": 0.0}] * 15 + [{"x": 10.0, "y": 20.0, "c": 0.9}] * 2
+    rows = [(c, f, i, 100.0 * i + 3 * f, 50.0, 100.0 * i + 3 * f + 40, 170.0 + c, float(rng.choice([0.2, 0.6, 0.9])), point if f % 2 else point[:15] * 2) for c in (1, 2) for f in range(30) if f % 9 != 4 for i in range(4)]
+    schema = "clip long, frame int, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double, keypoints array<struct<x: double, y: double, c: double>>"
+    boxes = spark.createDataFrame(rows, schema)
+    frames = spark.createDataFrame([(c, f) for c in (1, 2, 3) for f in range(30)], "clip long, frame int")
+    roi = [(0, 0), (310, 0), (310, 400), (0, 400)]
+    seen, summary = jobs.single_camera_players(boxes, frames, ["clip"], (0.02, 0, 0, 0, 0.05, 0, 0, 0, 1), roi)
+    seen, summary = seen.collect(), {r.clip: r.asDict() for r in summary.collect()}
+    for c in (1, 2):
+        mine = [r for r in seen if r.clip == c]
+        inside = [r for r in rows if r[0] == c and 0 <= (r[3] + r[5]) / 2 <= 310]
+        first = {}
+        for r in sorted(mine, key=lambda r: r.frame):
+            first.setdefault(r.track_id, r.frame)
+        want = {"clip": c, "frames_processed": 30, "detections_raw_total": sum(r[0] == c for r in rows), "detections_after_roi_total": len(inside), "detections_removed_by_roi": sum(r[0] == c for r in rows) - len(inside)}
+        want |= {"unique_track_ids": len(first), "id_churn_proxy": sum(f > 0 for f in first.values()), "avg_tracks_per_frame": round(len(mine) / 30, 2), "mean_confidence": round(sum(r.conf for r in mine) / len(mine), 4), "height_min": 120.0 + c, "height_median": 120.0 + c, "height_max": 120.0 + c}
+        assert all(summary[c][k] == pytest.approx(v, abs=0.011) for k, v in want.items())
+        assert all(r.x_m == pytest.approx(0.02 * r.foot_u) and r.y_m == pytest.approx(0.05 * r.foot_v) and r.inside == (0 <= r.x_m <= 10 and 0 <= r.y_m <= 20) for r in mine)
+    assert summary[3] == {"clip": 3, "frames_processed": 30} | {k: 0 for k in summary[3] if k not in ("clip", "frames_processed")}
+
+
+def test_seeded_hold_out(spark):
+    import random
+
+    points = spark.createDataFrame([(c, 3 * f) for c, n in ((1, 20), (2, 6), (3, 5)) for f in range(n)] + [(1, 0)], "clip long, frame int")
+    got = {}
+    for r in jobs.seeded_hold_out(points, ["clip"], 0.3, 7).collect():
+        got.setdefault(r.clip, set()).add(r.frame)
+    assert got == {c: {3 * k for k in random.Random(7).sample(range(n), max(1, int(0.3 * n)))} for c, n in ((1, 20), (2, 6))}
