@@ -370,6 +370,52 @@ def single_camera_players(spark, sf):
     return jobs.single_camera_players(rows, rows.select("clip", "frame"), ["clip"], (0.02, 0.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 1.0), roi)[1]
 
 
+_PLACES = f"""k AS (SELECT *, l_discount * 10e0 >= 0.5e0 AS has_l, l_tax * 10e0 >= 0.5e0 AS has_r FROM boxes WHERE (x1 + x2) / 2 BETWEEN 40 AND 430 AND (y1 + y2) / 2 BETWEEN 40 AND 260),
+    foot AS (SELECT *, CASE WHEN has_l AND has_r THEN (x1 + x2 - 2e0) / 2 WHEN has_l THEN x1 + 10e0 WHEN has_r THEN x2 - 12e0 ELSE (x1 + x2) / 2 END AS fu, CASE WHEN has_l AND has_r THEN (y2 + y2 - 14e0) / 2 WHEN has_l THEN y2 - 5e0 WHEN has_r THEN y2 - 9e0 ELSE y2 END AS fv,
+             CASE WHEN has_l AND has_r THEN 'ankles' WHEN has_l OR has_r THEN 'ankle' ELSE 'bbox' END AS foot_source FROM k),
+    place AS (SELECT *, 10e0 - 0.03e0 * fu AS gx, 20e0 - 0.05e0 * fv AS gy FROM foot)"""
+
+
+def _placed(spark, sf, rows: Callable[[DataFrame], DataFrame] = lambda df: df):
+    nothing = F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))
+    left = F.struct((F.col("x1") + 10.0).alias("x"), (F.col("y2") - 5.0).alias("y"), (F.col("l_discount") * 10.0).alias("c"))
+    right = F.struct((F.col("x2") - 12.0).alias("x"), (F.col("y2") - 9.0).alias("y"), (F.col("l_tax") * 10.0).alias("c"))
+    found = rows(boxes(spark, sf)).withColumn("keypoints", F.array(*[nothing] * 15, left, right))
+    scale = (0.03, 0.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 1.0)
+    out = players.court_positions(found, "B", scale, [(40, 40), (430, 40), (430, 260), (40, 260)], bounds_m=1.0)
+    return out.select("frame", "det_idx", "foot_source", rounded(F.col("x"), 3).alias("x"), rounded(F.col("y"), 3).alias("y"), "inside")
+
+
+@query(f"""WITH {BOXES}, {_PLACES} SELECT frame, det_idx, foot_source, {r('gx', 3)} AS x, {r('gy', 3)} AS y, gx BETWEEN 0 AND 10 AND gy BETWEEN 0 AND 20 AS inside FROM place WHERE gx BETWEEN -1 AND 11 AND gy BETWEEN -1 AND 21""")
+def player_places(spark, sf):
+    """Players of camera B on the court, in the global frame, those far outside left out."""
+    return _placed(spark, sf)
+
+
+@query(f"""WITH {BOXES}, {_PLACES} SELECT frame, det_idx, foot_source, {r('gx', 3)} AS x, {r('gy', 3)} AS y, gx BETWEEN 0 AND 10 AND gy BETWEEN 0 AND 20 AS inside FROM place WHERE gx BETWEEN -1 AND 11 AND gy BETWEEN -1 AND 21
+    AND frame = (SELECT min(l_orderkey) FROM lineitem WHERE l_linenumber >= 3 AND l_quantity < 40)""")
+def places_at_frame(spark, sf):
+    """The same for one frame, looked up in the scan."""
+    one = read(spark, sf, "lineitem").where("l_linenumber >= 3 and l_quantity < 40").agg(F.min("l_orderkey").alias("frame"))
+    return _placed(spark, sf, lambda df: df.join(F.broadcast(one), "frame", "left_semi"))
+
+
+@query(f"WITH {OBS} SELECT clip, frame, found, u FROM obs WHERE frame BETWEEN 20 AND 44")
+def frame_subset(spark, sf):
+    """A scan from a start frame on, over so many frames."""
+    return courts.frame_range(observations(spark, sf), 20, 25).select("clip", "frame", "found", "u")
+
+
+@query(f"""WITH {BOXES} SELECT frame, {r('min(least(x1, CASE WHEN conf >= 0.3e0 THEN x1 - 7 END, CASE WHEN l_tax >= 0.04e0 THEN x2 + 3 END))')} AS x_min, {r('min(least(y1, CASE WHEN conf >= 0.3e0 THEN y1 + 4 END, CASE WHEN l_tax >= 0.04e0 THEN y2 + 11 END))')} AS y_min,
+    {r('max(greatest(x2, CASE WHEN conf >= 0.3e0 THEN x1 - 7 END, CASE WHEN l_tax >= 0.04e0 THEN x2 + 3 END))')} AS x_max, {r('max(greatest(y2, CASE WHEN conf >= 0.3e0 THEN y1 + 4 END, CASE WHEN l_tax >= 0.04e0 THEN y2 + 11 END))')} AS y_max FROM boxes GROUP BY frame""")
+def keypoint_bounds(spark, sf):
+    """The frame's box around sure keypoints and boxes."""
+    point = lambda x, y, c: F.struct(x.alias("x"), y.alias("y"), c.alias("c"))
+    keypoints = F.array(point(F.col("x1") - 7.0, F.col("y1") + 4.0, F.col("conf")), point(F.col("x2") + 3.0, F.col("y2") + 11.0, F.col("l_tax") * 7.5))
+    out = readers.keypoint_bounds(boxes(spark, sf).withColumn("keypoints", keypoints), ["frame"])
+    return out.select("frame", *(rounded(F.col(c)).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")))
+
+
 @query()
 def player_fusion(spark, sf):
     rows = _numbered(boxes(spark, sf)).withColumns({"match": F.floor(F.col("frame") / 2000).cast("long"), "keypoints": F.array(*[F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))] * 17), "frame": (F.floor(F.col("frame") / 2)).cast("int"), "_side": F.col("frame") % 2})
@@ -851,16 +897,67 @@ def weighted_centroid(spark, sf):
     return metrics.weighted_centroid(rows, ["frame"]).select("frame", rounded(F.col("u"), 3).alias("u"), rounded(F.col("v"), 3).alias("v"), "area")
 
 
-@query()
+def _heatmaps(spark, sf):
+    return observations(spark, sf).where("found").select("clip", "frame", G.gaussian_heatmap(32, 18, F.col("u") / 120.0, F.col("v") / 120.0, 1.5).alias("heatmap"))
+
+
+#: Heatmaps as pixels; the sure ones of a frame are one blob.
+_PIXELS = """px AS (SELECT clip, frame, x, y, exp(-((x - u / 120) * (x - u / 120) + (y - v / 120) * (y - v / 120)) / 4.5e0) AS h FROM obs, range(32) a(x), range(18) b(y) WHERE found),
+    blob AS (SELECT clip, frame, sum(x * h) / sum(h) AS cx, sum(y * h) / sum(h) AS cy, max(h) AS confidence, count(*)::INTEGER AS area FROM px WHERE h >= 0.5e0 GROUP BY clip, frame HAVING count(*) >= 2)"""
+
+
+@query(f"""WITH {OBS}, {_PIXELS} SELECT clip, frame, 0 AS cand_idx, {r('cx * (3840 / 32)', 2)} AS u, {r('cy * (2160 / 18)', 2)} AS v, {r('confidence')} AS confidence, area FROM blob""")
 def heatmap_detect(spark, sf):
-    obs = observations(spark, sf).where("found").select("clip", "frame", G.gaussian_heatmap(32, 18, F.col("u") / 120.0, F.col("v") / 120.0, 1.5).alias("heatmap"))
-    return signals.detect_in_heatmaps(obs, ["clip", "frame"], (32, 18), (3840, 2160))
+    out = signals.detect_in_heatmaps(_heatmaps(spark, sf), ["clip", "frame"], (32, 18), (3840, 2160))
+    return out.select("clip", "frame", "cand_idx", rounded(F.col("u"), 2).alias("u"), rounded(F.col("v"), 2).alias("v"), rounded(F.col("confidence")).alias("confidence"), "area")
 
 
-@query()
+@query(f"""WITH {OBS}, {_PIXELS}, blobs AS (SELECT clip, frame, cx * (3440e0 / 32) + 200 AS u, cy * (1960e0 / 18) + 100 AS v, confidence FROM blob),
+    {INSIDE.replace('FROM obs, edges WHERE found', 'FROM blobs, edges')}, peak AS (SELECT clip, frame, max(h) AS peak FROM px GROUP BY clip, frame),
+    told AS (SELECT p.clip, p.frame, CASE WHEN peak < 0.5e0 OR b.u IS NULL THEN 'no-ball' WHEN NOT (inside OR dist <= 60) THEN 'out-of-court' ELSE 'ok' END AS reason, b.u, b.v, b.confidence, peak
+             FROM peak p LEFT JOIN blobs b ON b.clip = p.clip AND b.frame = p.frame LEFT JOIN hits h ON h.clip = p.clip AND h.frame = p.frame)
+    SELECT clip, frame, reason = 'ok' AS found, CASE WHEN reason = 'ok' THEN {r('u', 2)} END AS u, CASE WHEN reason = 'ok' THEN {r('v', 2)} END AS v, {r("CASE WHEN reason = 'ok' THEN confidence ELSE peak END")} AS confidence, reason FROM told""")
 def ball_in_heatmap(spark, sf):
-    obs = observations(spark, sf).where("found").select("clip", "frame", G.gaussian_heatmap(32, 18, F.col("u") / 120.0, F.col("v") / 120.0, 1.5).alias("heatmap"))
-    return signals.ball_in_heatmaps(obs, ["clip", "frame"], (32, 18), (3840, 2160), (200, 100, 3640, 2060), ROI, 60.0)
+    out = signals.ball_in_heatmaps(_heatmaps(spark, sf), ["clip", "frame"], (32, 18), (3840, 2160), (200, 100, 3640, 2060), ROI, 60.0)
+    return out.select("clip", "frame", "found", rounded(F.col("u"), 2).alias("u"), rounded(F.col("v"), 2).alias("v"), rounded(F.col("confidence")).alias("confidence"), "reason")
+
+
+@query(f"""WITH {OBS}, {_PIXELS} SELECT clip, frame, {r('sum(h)')} AS total, {r('max(h) FILTER (x = 16 AND y = 9)')} AS centre, {r('max(h) FILTER (x = 31 AND y = 0)')} AS corner FROM px GROUP BY clip, frame
+    UNION ALL SELECT clip, frame, 0, 0, 0 FROM obs WHERE NOT found""")
+def heatmap_target(spark, sf):
+    """Training targets: a Gaussian around the ball, all zero where there is none."""
+    heat = G.gaussian_heatmap(32, 18, F.col("u") / 120.0, F.col("v") / 120.0, 1.5)
+    rows = observations(spark, sf).select("clip", "frame", heat.alias("h"))
+    total = F.aggregate(F.flatten("h"), num(0), lambda t, x: t + x)
+    return rows.select("clip", "frame", rounded(total).alias("total"), rounded(F.col("h")[9][16]).alias("centre"), rounded(F.col("h")[0][31]).alias("corner"))
+
+
+@query(f"""WITH {OBS}, {_PIXELS}, top AS (SELECT clip, frame, x, y FROM px QUALIFY row_number() OVER (PARTITION BY clip, frame ORDER BY h DESC, y, x) = 1)
+    SELECT o.clip, o.frame, sqrt((x - (u / 120 + event_id % 5)) * (x - (u / 120 + event_id % 5)) + (y - v / 120) * (y - v / 120)) <= 2 AS hit FROM obs o JOIN top t ON t.clip = o.clip AND t.frame = o.frame""")
+def heatmap_hits(spark, sf):
+    """Whether a heatmap's peak is near its target."""
+    obs = observations(spark, sf).where("found").select("clip", "frame", (F.col("u") / 120.0 + F.col("event_id") % 5).alias("tx"), (F.col("v") / 120.0).alias("ty"))
+    return signals.heatmap_hits(_heatmaps(spark, sf).join(obs, ["clip", "frame"]), 2.0).select("clip", "frame", "hit")
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, {r('(e[3] - list_min(e)) / (list_max(e) - list_min(e))')} AS third, {r('list_sum(list_transform(e, lambda x: (x - list_min(e)) / (list_max(e) - list_min(e))))', 2)} AS total FROM e""")
+def histogram_scaled(spark, sf):
+    """Colour histograms scaled to 0..1."""
+    h = read(spark, sf, "embeddings").select("vec_id", G.min_max(F.col("embedding").cast("array<double>")).alias("h"))
+    return h.select("vec_id", rounded(F.col("h")[2]).alias("third"), rounded(F.aggregate("h", num(0), lambda t, x: t + x), 2).alias("total"))
+
+
+_A, _B, _C, _D = (f"({CAMERA_A[i]!r}::DOUBLE - {c} * {CAMERA_A[j]!r}::DOUBLE)" for i, c, j in ((0, "u", 8), (1, "u", 9), (4, "v", 8), (5, "v", 9)))
+_E, _F = (f"({c} * {CAMERA_A[11]!r}::DOUBLE - {CAMERA_A[i]!r}::DOUBLE)" for c, i in (("u", 3), ("v", 7)))
+
+
+@query(f"""WITH {OBS}, f AS (SELECT clip, frame, ({_E} * {_D} - {_B} * {_F}) / ({_A} * {_D} - {_B} * {_C}) AS x, ({_A} * {_F} - {_E} * {_C}) / ({_A} * {_D} - {_B} * {_C}) AS y FROM obs WHERE found AND abs({_A} * {_D} - {_B} * {_C}) > 1e-12)
+    SELECT o.clip, o.frame, event_id % 40 >= 6 AS yellow, CASE WHEN w > 0 THEN {r('x', 3)} END AS x_m, CASE WHEN w > 0 THEN {r('y', 3)} END AS y_m FROM obs o LEFT JOIN (SELECT *, {CAMERA_A[8]!r}::DOUBLE * x + {CAMERA_A[9]!r}::DOUBLE * y + {CAMERA_A[11]!r}::DOUBLE AS w FROM f) g ON g.clip = o.clip AND g.frame = o.frame WHERE found""")
+def floor_places(spark, sf):
+    """Where a pixel's ray meets the floor; and whether a patch is yellow enough for a ball."""
+    x, y = G.floor_point(CAMERA_A, F.col("u"), F.col("v"))
+    obs = observations(spark, sf).where("found")
+    return obs.select("clip", "frame", courts.yellow_enough((F.col("event_id") % 40) / num(100)).alias("yellow"), rounded(x, 3).alias("x_m"), rounded(y, 3).alias("y_m"))
 
 
 def _two_cameras():
@@ -969,6 +1066,35 @@ def visible_places(spark, sf):
     return readers.visible_positions(label_file(spark, sf))
 
 
+@query(f"""WITH {OBS} SELECT frame + clip * 1000 AS frame, found, {r('u')} AS u, event_type = 'purchase' AS bounced FROM obs""")
+def log_file(spark, sf):
+    """A frame log written as JSON lines, with what is missing left out, and read back."""
+    path = new_path(spark, "log")
+    frame = (F.col("frame") + F.col("clip") * 1000).cast("int")
+    event = F.when(F.col("event_type") == "purchase", F.struct(frame.alias("frame"), F.lit("floor_bounce").alias("type"), "u", "v"))
+    writers.write_log(observations(spark, sf).select(frame.alias("frame"), "found", "u", "v", "confidence", event.alias("event")), path)
+    back = readers.frame_log(spark, path).where("corrupt is null")
+    return back.select(F.col("frame").cast("long").alias("frame"), "found", rounded(F.col("u")).alias("u"), F.col("event").isNotNull().alias("bounced"))
+
+
+@query(f"""WITH {OBS}, {SEGMENTS}, {ARCS}, last AS (SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY clip, frame ORDER BY seg_id DESC) = 1)
+    SELECT clip, frame, {r('x')} AS x_m, CASE WHEN frame % 3 <> 0 THEN {r('z')} END AS z_m FROM last""")
+def trajectory_file(spark, sf):
+    """A trajectory written with fixed columns, blank where there is no height, and read back."""
+    path = new_path(spark, "trajectory")
+    rows = writers.last_arc_points(_arcs(spark, sf)[2], ["clip"]).withColumn("z_m", F.when(F.col("frame") % 3 != 0, F.col("z_m")))
+    writers.write_csv(rows, path, ["clip", "frame", "x_m", "z_m"], ["clip", "frame"])
+    return spark.read.option("header", True).schema("clip long, frame int, x_m double, z_m double").csv(path)
+
+
+@query(f"""WITH {OBS} SELECT clip, count(*) AS n, {r('avg(u)', 2)} AS mean_u, 'events_Customer_' || clip || '.csv' AS file FROM obs GROUP BY clip""")
+def summary_file(spark, sf):
+    """A summary of each clip as one JSON document, read back; and the name of its file."""
+    rows = observations(spark, sf).groupBy("clip").agg(F.count("*").alias("n"), rounded(F.avg("u"), 2).alias("mean_u"))
+    named = rows.withColumn("file", writers.output_name(F.concat(F.lit("/video/Customer#"), F.col("clip").cast("string"), F.lit(".mp4")), "events"))
+    return writers.summary_document(named).select(F.from_json("document", "clip long, n long, mean_u double, file string").alias("d")).select("d.*")
+
+
 @query("""SELECT DISTINCT (event_id % 997)::INTEGER AS frame FROM events WHERE event_id % 6 <> 5""")
 def frame_list_file(spark, sf):
     """Frames of a file with repeated ones and rows without a whole number."""
