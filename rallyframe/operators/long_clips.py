@@ -4,7 +4,10 @@ Without a gate and with one measurement a frame the filter is linear, so what a
 is itself a small affine map with Gaussian noise, and such maps compose (filtering elements of the associative scan of
 Särkkä and García-Fernández). Clips are cut in chunks of frames. Each chunk is composed to one element in a task of its own; along
 a clip the elements, one row a chunk, give the state at each chunk's begin; then each chunk is filtered from there. A
-track that is lost for too long begins anew, so a chunk also tells what it comes to by itself."""
+track that is lost for too long begins anew, so a chunk also tells what it comes to by itself.
+
+Smoothing goes the other way with the same cut: what a chunk does to the smoothed state after it is an affine map of four
+numbers, those of all chunks give the smoothed state at each chunk's end, and each chunk is smoothed from there."""
 
 from __future__ import annotations
 
@@ -105,10 +108,8 @@ def after(state: list[float] | None, coast: int, row: tuple, cfg: TrackerConfig)
     return own, own_coast
 
 
-def track_long(candidates: DataFrame, cfg: TrackerConfig = TrackerConfig(), keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
-    """`tracking.track` without gate, each frame's surest candidate taken, for clips of any length: a task sees a chunk of frames, or
-    one row for each chunk of a clip. A frame without candidates is a row with null u, as there."""
-    keys, cfg = keys or ["clip"], linear(cfg)
+def _begun(candidates: DataFrame, cfg: TrackerConfig, keys: list[str], chunk: int) -> DataFrame:
+    """Candidates with their chunk and the filter's state before it (start, start_coast)."""
     rows = candidates.withColumn("chunk", F.floor(F.col("frame") / chunk).cast("long"))
     sums = per_clip(rows, [*keys, "chunk"], ["frame", "cand_idx"], lambda pdf: [summary(pdf, cfg)], SUMMARY)
 
@@ -119,12 +120,113 @@ def track_long(candidates: DataFrame, cfg: TrackerConfig = TrackerConfig(), keys
             state, coast = after(state, coast, (*row[:5], None if row[5] is None else list(row[5]), row[6]), cfg)
 
     starts = per_clip(sums, keys, ["chunk"], along, "chunk long, start array<double>, start_coast int")
+    return rows.join(starts, [*keys, "chunk"])
+
+
+def _filter_of(pdf: pd.DataFrame, cfg: TrackerConfig) -> Kalman:
+    kalman, start = Kalman(cfg), pdf["start"].iloc[0]
+    if start is not None:
+        kalman.state, kalman.coast = list(start), int(pdf["start_coast"].iloc[0])
+    return kalman
+
+
+def track_long(candidates: DataFrame, cfg: TrackerConfig = TrackerConfig(), keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """`tracking.track` without gate, each frame's surest candidate taken, for clips of any length: a task sees a chunk of frames, or
+    one row for each chunk of a clip. A frame without candidates is a row with null u, as there."""
+    keys, cfg = keys or ["clip"], linear(cfg)
 
     def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
-        kalman = Kalman(cfg)
-        if pdf["start"].iloc[0] is not None:
-            kalman.state, kalman.coast = list(pdf["start"].iloc[0]), int(pdf["start_coast"].iloc[0])
+        kalman = _filter_of(pdf, cfg)
         for frame, found in _frames(pdf):
             yield (frame, *kalman.step(found))
 
-    return per_clip(rows.join(starts, [*keys, "chunk"]), [*keys, "chunk"], ["frame", "cand_idx"], fold, TRACK).drop("chunk")
+    return per_clip(_begun(candidates, cfg, keys, chunk), [*keys, "chunk"], ["frame", "cand_idx"], fold, TRACK).drop("chunk")
+
+
+def back_gain(state: list[float], cfg: TrackerConfig) -> np.ndarray:
+    """How much of the correction of the next frame's state comes back to this one's (2 x 2, for either axis)."""
+    *_, p11, p12, p22 = state
+    dt, q = cfg.dt, cfg.q
+    p, f = np.array([[p11, p12], [p12, p22]]), np.array([[1.0, dt], [0.0, 1.0]])
+    ahead = f @ p @ f.T + np.array([[q * dt**4 / 4, q * dt**3 / 2], [q * dt**3 / 2, q * dt**2]])
+    return p @ f.T @ np.linalg.inv(ahead)
+
+
+class Backwards:
+    """Filtered states of a chunk's frames, and the maps from the smoothed state of the frame after each to its own."""
+
+    def __init__(self, pdf: pd.DataFrame, cfg: TrackerConfig):
+        kalman = _filter_of(pdf, cfg)
+        was = kalman.state
+        self.frames: list[int] = []
+        self.maps: list[tuple[np.ndarray, np.ndarray] | None] = []  # None: no track
+        self.alone: list[np.ndarray | None] = []
+        self.chained: list[bool] = []  # to the frame before
+        for frame, found in _frames(pdf):
+            kalman.step(found)
+            self.chained.append(was is not None and kalman.state is not None)
+            was = kalman.state
+            self.frames.append(frame)
+            m = None if was is None else np.array([was[:2], was[2:4]])
+            e = None if was is None else back_gain(was, cfg)
+            self.alone.append(m)
+            self.maps.append(None if was is None else (e, m - e @ np.array([[1.0, cfg.dt], [0.0, 1.0]]) @ m))
+
+    def smoothed(self, after_: np.ndarray | None) -> list[np.ndarray | None]:
+        """Smoothed states (2 x 2: place and speed by axis), from the smoothed state of the frame after the chunk (None: it isn't chained)."""
+        out: list[np.ndarray | None] = [None] * len(self.maps)
+        for k in range(len(self.maps) - 1, -1, -1):
+            if self.maps[k] is not None:
+                e, g = self.maps[k]
+                out[k] = self.alone[k] if after_ is None else e @ after_ + g
+            after_ = out[k] if k and self.chained[k] else None
+        return out
+
+    def whole(self) -> tuple[bool, bool, np.ndarray, np.ndarray]:
+        """Whether a smoothed state after the chunk reaches its first frame; whether the first frame goes on with the track before; the
+        first frame's smoothed state as map of the state after: (E, g)."""
+        through = all(x is not None for x in self.maps) and all(self.chained[1:])
+        if through:
+            e, g = np.eye(2), np.zeros((2, 2))
+            for own_e, own_g in reversed(self.maps):
+                e, g = own_e @ e, own_e @ g + own_g
+            return True, self.chained[0], e, g
+        return False, self.chained[0], np.zeros((2, 2)), np.zeros((2, 2))
+
+
+MAPS = "through boolean, goes_on boolean, e array<double>, g array<double>, first array<double>"
+
+
+def smooth_long(candidates: DataFrame, cfg: TrackerConfig = TrackerConfig(), keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(keys, frame, x, y, vx, vy): the track of `track_long` smoothed backwards, for frames with a track. A track that is lost and begun
+    anew is smoothed apart."""
+    keys, cfg = keys or ["clip"], linear(cfg)
+    begun = _begun(candidates, cfg, keys, chunk)
+
+    def told(pdf: pd.DataFrame) -> Iterable[tuple]:
+        part = Backwards(pdf, cfg)
+        through, goes_on, e, g = part.whole()
+        first = part.smoothed(None)[0]
+        yield (through, goes_on, e.ravel().tolist(), g.ravel().tolist(), None if first is None else first.ravel().tolist())
+
+    def along(pdf: pd.DataFrame) -> Iterable[tuple]:
+        """From the last chunk to the first: the smoothed state of the frame after each, if its last frame is chained to it."""
+        later: np.ndarray | None = None
+        square = lambda x: np.array(x, float).reshape(2, 2)
+        for r in reversed(list(pdf.itertuples(index=False))):
+            yield (r.chunk, None if later is None else later.ravel().tolist())
+            if r.through and later is not None:
+                own = square(r.e) @ later + square(r.g)
+            else:
+                own = None if r.first is None else square(r.first)
+            later = own if r.goes_on else None
+
+    ends = per_clip(per_clip(begun, [*keys, "chunk"], ["frame", "cand_idx"], told, MAPS), keys, ["chunk"], along, "chunk long, later array<double>")
+
+    def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
+        later, part = pdf["later"].iloc[0], Backwards(pdf, cfg)
+        for frame, s in zip(part.frames, part.smoothed(None if later is None else np.array(later, float).reshape(2, 2)), strict=True):
+            if s is not None:
+                yield (frame, float(s[0, 0]), float(s[0, 1]), float(s[1, 0]), float(s[1, 1]))
+
+    return per_clip(begun.join(ends, [*keys, "chunk"]), [*keys, "chunk"], ["frame", "cand_idx"], fold, "frame int, x double, y double, vx double, vy double").drop("chunk")

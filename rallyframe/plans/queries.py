@@ -468,6 +468,27 @@ def kalman_track_long(spark, sf):
     return out.select("clip", "frame", "status", *(rounded(F.col(c), 1).alias(c) for c in ("x", "y", "vx", "vy")), "coast")
 
 
+#: Backwards over the filter's rows: a frame's state moves by its gain (e11 .. e22) times the correction of the next one's.
+_SMOOTH = """gains AS (
+        SELECT *, (w1 * q22 - p12 * q12) / d AS e11, (p12 * q11 - w1 * q12) / d AS e12, (w2 * q22 - p22 * q12) / d AS e21, (p22 * q11 - w2 * q12) / d AS e22
+        FROM (SELECT *, q11 * q22 - q12 * q12 AS d FROM (
+            SELECT *, p11 + 2 * 0.05e0 * p12 + 0.05e0 * 0.05e0 * p22 + 50000e0 * (0.05e0 * 0.05e0 * 0.05e0 * 0.05e0) / 4 AS q11, p12 + 0.05e0 * p22 + 50000e0 * (0.05e0 * 0.05e0 * 0.05e0) / 2 AS q12, p22 + 50000e0 * (0.05e0 * 0.05e0) AS q22,
+                   p11 + 0.05e0 * p12 AS w1, p12 + 0.05e0 * p22 AS w2 FROM kal))),
+    back AS (
+        SELECT clip, frame, x AS sx, y AS sy, vx AS svx, vy AS svy FROM gains g WHERE frame = (SELECT max(frame) FROM kal k WHERE k.clip = g.clip)
+        UNION ALL
+        SELECT g.clip, g.frame, CASE WHEN g.x IS NULL OR b.sx IS NULL THEN g.x ELSE g.x + e11 * (b.sx - g.x - 0.05e0 * g.vx) + e12 * (b.svx - g.vx) END, CASE WHEN g.x IS NULL OR b.sx IS NULL THEN g.y ELSE g.y + e11 * (b.sy - g.y - 0.05e0 * g.vy) + e12 * (b.svy - g.vy) END,
+               CASE WHEN g.x IS NULL OR b.sx IS NULL THEN g.vx ELSE g.vx + e21 * (b.sx - g.x - 0.05e0 * g.vx) + e22 * (b.svx - g.vx) END, CASE WHEN g.x IS NULL OR b.sx IS NULL THEN g.vy ELSE g.vy + e21 * (b.sy - g.y - 0.05e0 * g.vy) + e22 * (b.svy - g.vy) END
+        FROM back b JOIN gains g ON g.clip = b.clip AND g.frame = b.frame - 1)"""
+
+
+@query(f"""WITH RECURSIVE {OBS}, {KALMAN}, {_SMOOTH} SELECT clip, frame, {r('sx', 1)} AS x, {r('sy', 1)} AS y, {r('svx', 1)} AS vx, {r('svy', 1)} AS vy FROM back WHERE sx IS NOT NULL""")
+def kalman_smoothed(spark, sf):
+    """The track smoothed backwards, with clips cut in chunks."""
+    out = long_clips.smooth_long(_candidates(spark, sf), TRACKER, chunk=32)
+    return out.select("clip", "frame", *(rounded(F.col(c), 1).alias(c) for c in ("x", "y", "vx", "vy")))
+
+
 KALMAN_GATED = """kal AS (
     SELECT clip, frame, u, v, confidence, CASE WHEN u IS NULL THEN 'lost' ELSE 'tracking' END AS status, u AS x, v AS y, 0e0 AS vx, 0e0 AS vy,
            25e0 AS p11, 0e0 AS p12, 1e6 AS p22, 0 AS coast, u IS NOT NULL AS measured, (u IS NOT NULL)::INTEGER AS updates, false AS gated FROM obs WHERE frame = 0

@@ -73,3 +73,36 @@ def test_elements_compose_in_any_order():
 
 def test_no_rows(spark):
     assert long_clips.track_long(spark.createDataFrame([], CANDIDATE)).count() == 0
+
+
+def plain_smoothed(rows, cfg):
+    """By matrices over a whole clip: filter, then smoother, each stretch of a track by itself."""
+    dt, q = cfg.dt, cfg.q
+    f = np.kron(np.eye(2), [[1, dt], [0, 1]])
+    noise = np.kron(np.eye(2), [[q * dt**4 / 4, q * dt**3 / 2], [q * dt**3 / 2, q * dt**2]])
+    out = {}
+    for clip in {r[0] for r in rows}:
+        kalman, states = Kalman(cfg), []
+        for frame in sorted({r[1] for r in rows if r[0] == clip}):
+            kalman.step([r[3:] for r in rows if r[0] == clip and r[1] == frame and r[3] is not None])
+            states.append((frame, kalman.state))
+        later = None
+        for frame, s in reversed(states):
+            if s is None:
+                later = None
+                continue
+            x, y, vx, vy, p11, p12, p22 = s
+            m, p = np.array([x, vx, y, vy]), np.kron(np.eye(2), [[p11, p12], [p12, p22]])
+            if later is not None:
+                m = m + p @ f.T @ np.linalg.inv(f @ p @ f.T + noise) @ (later - f @ m)
+            out[clip, frame] = later = m
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 9, 50, 10_000])
+def test_chunks_give_the_smoothed_track(spark, chunk):
+    rows, cfg = flights(4, 160, clips=3), TrackerConfig()
+    got = {(r.clip, r.frame): (r.x, r.vx, r.y, r.vy) for r in long_clips.smooth_long(spark.createDataFrame(rows, CANDIDATE), cfg, chunk=chunk).collect()}
+    want = plain_smoothed(rows, long_clips.linear(cfg))
+    assert got.keys() == want.keys() and len(got) > 200
+    assert all(np.allclose(got[k], want[k], rtol=1e-7, atol=1e-5) for k in want)
