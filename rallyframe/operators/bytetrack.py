@@ -2,7 +2,7 @@
 new tracks confirmed by a second sighting, lost ones kept for a while, duplicates removed.
 
 A box is centre, aspect (width over height) and height; each of the four has a velocity. All noise is per number, so a
-filter is four of two numbers each, and those of a clip's tracks are stepped together as arrays."""
+filter is four of two numbers each, and those of all tracks of a task's clips are stepped together as arrays."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .clips import per_clip, stretches
+from .clips import many_clips
 from .players import assign
 
 
@@ -35,22 +35,18 @@ class ByteConfig:
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Intersection over union of all boxes of two lists."""
-    side = np.maximum(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0)
-    both = side[:, :, 0] * side[:, :, 1]
-    (wa, ha), (wb, hb) = (a[:, 2:] - a[:, :2]).T, (b[:, 2:] - b[:, :2]).T
-    return both / np.maximum((wa * ha)[:, None] + wb * hb - both, 1e-9)
+    """Intersection over union of boxes, pair by pair."""
+    side = np.maximum(np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2]), 0)
+    both = side[:, 0] * side[:, 1]
+    wa, wb = a[:, 2:] - a[:, :2], b[:, 2:] - b[:, :2]
+    return both / np.maximum(wa[:, 0] * wa[:, 1] + wb[:, 0] * wb[:, 1] - both, 1e-9)
 
 
-def matched(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the pairs with the largest total gain; only pairs that gain something."""
-    rows, columns = np.nonzero(gain > 0)
-    if len(set(rows.tolist())) == len(rows) == len(set(columns.tolist())):
-        return rows, columns
-    some, others = np.unique(rows), np.unique(columns)
-    part = np.maximum(gain[np.ix_(some, others)], 0.0)
-    pairs = np.array([(i, j) for i, j in assign(-part) if part[i, j] > 0])
-    return some[pairs[:, 0]], others[pairs[:, 1]]
+def pairs_within(a: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (place in `a`, place) of things whose clips `a` tells with those that lie at first[clip] to first[clip] + n[clip]."""
+    many = n[a]
+    i = np.repeat(np.arange(len(a)), many)
+    return i, first[a][i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
 
 
 def as_measured(boxes: np.ndarray) -> np.ndarray:
@@ -61,37 +57,40 @@ def as_measured(boxes: np.ndarray) -> np.ndarray:
 
 
 PLACE, SPEED, P11, P12, P22 = range(5)
-ID, SEEN, BEGAN, STREAK, TRACKED, CONFIRMED = range(6)
+ID, SEEN, BEGAN, STREAK, TRACKED, CONFIRMED, CLIP = range(7)
 
 
-class ByteTrack:
-    """The tracks of a clip. `step` takes a frame's boxes (x1, y1, x2, y2) and their confidence and gives the track of each, 0 for none.
+class ByteTracks:
+    """The tracks of several clips, stepped together. `step` takes a frame of each clip that has one left: its boxes (x1, y1, x2, y2) and
+    their confidence, and gives the track of each box, 0 for none.
 
-    A clip has a few tracks at a time, so what counts is the number of calls: their filters are one array, their marks another,
-    and a frame's overlaps are worked out once."""
-
-    def __init__(self, cfg: ByteConfig):
-        self.cfg, self.frame, self.ids = cfg, None, 0
-        self.filters, self.marks = np.zeros((0, 5, 4)), np.zeros((0, 6), np.int64)
-        height = np.array([1.0, 1.0, 0.0, 1.0])
-        self.by_place, self.by_speed = cfg.position * height, cfg.velocity * height
+    All tracks' filters are one array, their marks another; pairs of tracks and boxes are formed within clips."""
 
     #: Standard deviations of the aspect, which don't follow the height: of its steps, of its speed's, of its measurements.
     STEP, SPEED_STEP, MEASURED = (np.array([0.0, 0.0, x, 0.0]) for x in (1e-2, 1e-5, 1e-1))
 
+    def __init__(self, cfg: ByteConfig, clips: int):
+        self.cfg, self.clips = cfg, clips
+        self.frame, self.begun, self.ids = np.zeros(clips, np.int64), np.zeros(clips, bool), np.zeros(clips, np.int64)
+        self.filters, self.marks = np.zeros((0, 5, 4)), np.zeros((0, 7), np.int64)
+        height = np.array([1.0, 1.0, 0.0, 1.0])
+        self.by_place, self.by_speed = cfg.position * height, cfg.velocity * height
+
     def _keep(self, which: np.ndarray) -> None:
         if not which.all():
             self.filters, self.marks = self.filters[which], self.marks[which]
 
-    def _predict(self) -> None:
-        z = self.filters
+    def _predict(self, which: np.ndarray) -> None:
+        z = self.filters if which.all() else self.filters[which]
         h = z[:, PLACE, 3:]
         step, speed_step = (h * self.by_place + self.STEP) ** 2, (h * self.by_speed + self.SPEED_STEP) ** 2
-        z[self.marks[:, TRACKED] == 0, SPEED, 3] = 0.0
+        z[self.marks[which, TRACKED] == 0, SPEED, 3] = 0.0
         z[:, PLACE] += z[:, SPEED]
         z[:, P11] += 2 * z[:, P12] + z[:, P22] + step
         z[:, P12] += z[:, P22]
         z[:, P22] += speed_step
+        if z is not self.filters:
+            self.filters[which] = z
 
     def _update(self, tracks: np.ndarray, measured: np.ndarray) -> None:
         z, m = self.filters[tracks], self.marks[tracks]
@@ -103,76 +102,96 @@ class ByteTrack:
         z[:, P11:P22] *= 1 - gain[:, :1]
         self.filters[tracks] = z
         m[:, STREAK] = m[:, STREAK] * m[:, TRACKED] + 1
-        m[:, SEEN], m[:, TRACKED] = self.frame, 1
+        m[:, SEEN], m[:, TRACKED] = self.frame[m[:, CLIP]], 1
         self.marks[tracks] = m
 
-    def _begin(self, measured: np.ndarray, confirmed: bool) -> None:
+    def _begin(self, measured: np.ndarray, clip: np.ndarray, confirmed: np.ndarray) -> None:
         new, h = np.zeros((len(measured), 5, 4)), measured[:, 3:]
         new[:, PLACE] = measured
         new[:, P11], new[:, P22] = (2 * h * self.by_place + self.STEP) ** 2, (10 * h * self.by_speed + self.SPEED_STEP) ** 2
-        marks = np.tile(np.array([0, self.frame, self.frame, 1, 1, int(confirmed)]), (len(measured), 1))
+        now, one = self.frame[clip], np.ones(len(clip), np.int64)
+        marks = np.stack([0 * one, now, now, one, one, confirmed.astype(np.int64), clip], 1)
         self.filters, self.marks = np.concatenate([self.filters, new]), np.concatenate([self.marks, marks])
 
-    def boxes(self, which: np.ndarray | slice = slice(None)) -> np.ndarray:
-        place = self.filters[which, PLACE]
+    def boxes(self) -> np.ndarray:
+        place = self.filters[:, PLACE]
         out = np.empty((len(place), 4))
         half = place[:, 2:] / 2
         half[:, 0] *= place[:, 3]
         out[:, :2], out[:, 2:] = place[:, :2] - half, place[:, :2] + half
         return out
 
-    def step(self, frame: int, boxes: np.ndarray, conf: np.ndarray) -> np.ndarray:
-        c, first = self.cfg, self.frame is None
-        passed = 1 if first else frame - self.frame
-        self.frame = frame
-        if len(self.marks):
-            if passed > 1:  # frames without boxes: all are lost, the unconfirmed go
-                self._keep((self.marks[:, CONFIRMED] == 1) & (frame - self.marks[:, SEEN] <= c.lost))
-                passed = min(passed, c.lost + 1)
-            for k in range(passed):
-                self._predict()
-                if k < passed - 1:
-                    self.marks[:, TRACKED] = 0
-            self._keep(frame - self.marks[:, SEEN] <= c.lost)
+    def _advance(self, clips: np.ndarray, frame: np.ndarray) -> None:
+        c, passed = self.cfg, np.zeros(self.clips, np.int64)
+        passed[clips] = np.where(self.begun[clips], frame - self.frame[clips], 1)
+        self.frame[clips] = frame
+        if not len(self.marks):
+            return
+        clip = self.marks[:, CLIP]
+        gap = passed[clip]  # 0: the clip is over
+        if gap.max() == gap.min() == 1:
+            self._predict(gap > 0)
+        else:  # through frames without boxes: all are lost there, the unconfirmed go
+            self._keep((gap > 0) & ((gap == 1) | ((self.marks[:, CONFIRMED] == 1) & (self.frame[clip] - self.marks[:, SEEN] <= c.lost))))
+            gap = passed[self.marks[:, CLIP]]
+            for k in range(int(gap.max(initial=0))):
+                self._predict(gap > k)
+                self.marks[gap > k + 1, TRACKED] = 0
+        self._keep(self.frame[self.marks[:, CLIP]] - self.marks[:, SEEN] <= c.lost)
+
+    def step(self, clips: np.ndarray, frame: np.ndarray, box_clip: np.ndarray, boxes: np.ndarray, conf: np.ndarray) -> np.ndarray:
+        """`box_clip`: the clip of each box; boxes of a clip lie together."""
+        c, first_frame = self.cfg, ~self.begun
+        self._advance(clips, frame)
+        self.begun[clips] = True
         measured, given = as_measured(boxes), np.full(len(boxes), -1)
-        sure, unsure = np.flatnonzero(conf >= c.high), np.flatnonzero((conf >= c.low) & (conf < c.high))
-        if len(self.marks):
-            share = overlaps(self.boxes(), boxes)
-            fused = share * conf
-
-            def link(tracks: np.ndarray, some: np.ndarray, likeness: np.ndarray, limit: float) -> np.ndarray:
-                """Tracks that are left over."""
-                if len(tracks) and len(some):
-                    i, j = matched(likeness[tracks[:, None], some] - (1 - limit))
-                    if len(i):
-                        given[some[j]] = tracks[i]
-                        self._update(tracks[i], measured[some[j]])
-                        return tracks[self.marks[tracks, SEEN] != frame]
-                return tracks
-
-            known = np.flatnonzero(self.marks[:, CONFIRMED])
-            left = link(known, sure, fused, c.first)
-            left = link(left[self.marks[left, TRACKED] == 1], unsure, share, c.second)
-            self.marks[left, TRACKED] = 0
-            if len(known) < len(self.marks):
-                gone = link(np.flatnonzero(self.marks[:, CONFIRMED] == 0), sure[given[sure] < 0], fused, c.unconfirmed)
-                self.marks[self.marks[:, STREAK] >= c.confirm, CONFIRMED] = 1
-                stays = np.ones(len(self.marks), bool)
-                stays[gone] = False
-            else:
-                stays = np.ones(len(self.marks), bool)
+        sure, unsure = conf >= c.high, (conf >= c.low) & (conf < c.high)
+        stays = np.ones(len(self.marks), bool)
+        if len(self.marks) and len(boxes):
+            n = np.bincount(box_clip, minlength=self.clips)
+            first = np.zeros(self.clips, np.int64)
+            first[box_clip[::-1]] = np.arange(len(boxes))[::-1]
+            track, box = pairs_within(self.marks[:, CLIP], first, n)
+            share = overlaps(self.boxes()[track], boxes[box])
         else:
-            stays = np.ones(0, bool)
-        begin = sure[(given[sure] < 0) & (conf[sure] >= c.begin)]
+            track = box = np.zeros(0, np.int64)
+            share = np.zeros(0)
+        fused = share * conf[box]
+
+        def link(of: np.ndarray, some: np.ndarray, likeness: np.ndarray, limit: float) -> None:
+            gain = likeness - (1 - limit)
+            at = np.flatnonzero((gain > 0) & of[track] & some[box])
+            if not len(at):
+                return
+            i, j = track[at], box[at]
+            alone = (np.bincount(i, minlength=len(of))[i] == 1) & (np.bincount(j, minlength=len(some))[j] == 1)
+            if not alone.all():
+                alone[disputed(i, j, gain[at], self.marks[i, CLIP], np.flatnonzero(~alone))] = True
+                i, j = i[alone], j[alone]
+            given[j] = i
+            self._update(i, measured[j])
+
+        known, was = self.marks[:, CONFIRMED] == 1, self.marks[:, TRACKED] == 1
+        now = self.frame[self.marks[:, CLIP]]
+        link(known, sure, fused, c.first)
+        link(known & was & (self.marks[:, SEEN] != now), unsure, share, c.second)
+        self.marks[known & (self.marks[:, SEEN] != now), TRACKED] = 0
+        if not known.all():
+            link(~known, sure & (given < 0), fused, c.unconfirmed)
+            stays = known | (self.marks[:, SEEN] == now)
+            self.marks[self.marks[:, STREAK] >= c.confirm, CONFIRMED] = 1
+        begin = np.flatnonzero(sure & (given < 0) & (conf >= c.begin))
         if len(begin):
             given[begin] = len(self.marks) + np.arange(len(begin))
-            self._begin(measured[begin], first or c.confirm <= 1)
+            self._begin(measured[begin], box_clip[begin], first_frame[box_clip[begin]] | (c.confirm <= 1))
             stays = np.concatenate([stays, np.ones(len(begin), bool)])
         stays &= ~self._doubles()
         new = np.flatnonzero((self.marks[:, CONFIRMED] == 1) & (self.marks[:, ID] == 0) & stays)
         if len(new):
-            self.marks[new, ID] = self.ids + 1 + np.arange(len(new))
-            self.ids += len(new)
+            new = new[np.argsort(self.marks[new, CLIP], kind="stable")]
+            of = self.marks[new, CLIP]
+            self.marks[new, ID] = self.ids[of] + 1 + np.arange(len(new)) - np.searchsorted(of, of)
+            self.ids += np.bincount(of, minlength=self.clips)
         out = np.zeros(len(boxes), int)
         found = np.flatnonzero(given >= 0)
         out[found] = np.where(stays[given[found]], self.marks[given[found], ID], 0)
@@ -183,27 +202,60 @@ class ByteTrack:
         """Of a tracked and a lost track in one place the younger."""
         out = np.zeros(len(self.marks), bool)
         here, there = self.marks[:, CONFIRMED] == 1, self.marks[:, TRACKED] == 1
-        lost = np.flatnonzero(here & ~there)
-        if len(lost):
-            now = np.flatnonzero(here & there)
-            i, j = np.nonzero(overlaps(self.boxes(now), self.boxes(lost)) > 1 - self.cfg.duplicate)
-            if len(i):
+        lost, now = np.flatnonzero(here & ~there), np.flatnonzero(here & there)
+        if len(lost) and len(now):
+            now = now[np.argsort(self.marks[now, CLIP], kind="stable")]
+            of = self.marks[now, CLIP]
+            n = np.bincount(of, minlength=self.clips)
+            i, j = pairs_within(self.marks[lost, CLIP], np.cumsum(n) - n, n)
+            boxes = self.boxes()
+            near = overlaps(boxes[lost[i]], boxes[now[j]]) > 1 - self.cfg.duplicate
+            if near.any():
+                i, j = lost[i[near]], now[j[near]]
                 life = self.marks[:, SEEN] - self.marks[:, BEGAN]
-                out[np.where(life[now[i]] > life[lost[j]], lost[j], now[i])] = True
+                out[np.where(life[j] > life[i], i, j)] = True
         return out
 
 
+def disputed(i: np.ndarray, j: np.ndarray, gain: np.ndarray, clip: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Of the pairs `which`, those that together gain most in each clip."""
+    which = which[np.argsort(clip[which], kind="stable")]
+    chosen: list[int] = []
+    for part in np.split(which, np.flatnonzero(np.diff(clip[which])) + 1):
+        pairs = {(t, k): p for t, k, p in zip(i[part].tolist(), j[part].tolist(), part.tolist(), strict=True)}
+        tracks, boxes = list(dict.fromkeys(t for t, _ in pairs)), list(dict.fromkeys(k for _, k in pairs))
+        cost = np.array([[-gain[pairs[t, k]] if (t, k) in pairs else 0.0 for k in boxes] for t in tracks])
+        chosen += [pairs[tracks[a], boxes[b]] for a, b in assign(cost) if (tracks[a], boxes[b]) in pairs]
+    return np.array(chosen, np.int64)
+
+
+class ByteTrack(ByteTracks):
+    """The tracks of one clip."""
+
+    def __init__(self, cfg: ByteConfig):
+        super().__init__(cfg, 1)
+
+    def step(self, frame: int, boxes: np.ndarray, conf: np.ndarray) -> np.ndarray:
+        return super().step(np.zeros(1, int), np.array([frame]), np.zeros(len(boxes), int), boxes, conf)
+
+
 def track_players(boxes: DataFrame, keys: list[str], cfg: ByteConfig = ByteConfig()) -> DataFrame:
     """(keys, frame, det_idx, track_id) of the boxes on confirmed tracks. `boxes`: keys, frame, det_idx, x1, y1, x2, y2, conf; frames
     without boxes just pass. Tracks are numbered from 1 in each clip, in the order in which they are confirmed; those that
     begin in a clip's first frame are confirmed at once."""
 
-    def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
-        tracks = ByteTrack(cfg)
-        place, conf, index = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float), pdf["det_idx"].to_numpy()
-        for frame, a, b in stretches(pdf["frame"]):
-            found = tracks.step(frame, place[a:b], conf[a:b])
-            for k in np.flatnonzero(found).tolist():
-                yield (frame, int(index[a + k]), int(found[k]))
-
-    return per_clip(boxes, keys, ["frame", "det_idx"], fold, "frame int, det_idx int, track_id int")
+    def fold(pdf: pd.DataFrame, clip: np.ndarray) -> Iterable[tuple[np.ndarray, pd.DataFrame]]:
+        place, conf, index, frame = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float), pdf["det_idx"].to_numpy(), pdf["frame"].to_numpy(np.int64)
+        begins = np.flatnonzero((np.diff(clip, prepend=-1) != 0) | (np.diff(frame, prepend=0) != 0))  # of frames of clips
+        ends, of = np.append(begins[1:], len(pdf)), clip[begins]
+        turn = np.arange(len(begins)) - np.searchsorted(of, of)  # a frame's number in its clip
+        order = np.argsort(turn, kind="stable")
+        tracks, found = ByteTracks(cfg, int(clip[-1]) + 1), np.zeros(len(pdf), np.int64)
+        for part in np.split(order, np.flatnonzero(np.diff(turn[order])) + 1):
+            many = ends[part] - begins[part]
+            rows = np.repeat(begins[part] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            found[rows] = tracks.step(of[part], frame[begins[part]], clip[rows], place[rows], conf[rows])
+        on = np.flatnonzero(found)
+        yield clip[on], pd.DataFrame({"frame": frame[on].astype(np.int32), "det_idx": index[on].astype(np.int32), "track_id": found[on].astype(np.int32)})
+
+    return many_clips(boxes.select(*keys, "frame", "det_idx", "x1", "y1", "x2", "y2", "conf"), keys, ["frame", "det_idx"], fold, "frame int, det_idx int, track_id int", 400_000)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Polygon, in_region, num, rounded
-from .clips import per_clip
+from .clips import many_clips
 from .courts import blob_reason
 
 
@@ -58,16 +58,24 @@ def offset_sweep(a: DataFrame, b: DataFrame, keys: list[str], stride: int = 10,
     left = zscore(a, keys).select(*keys, place.alias("chunk"), F.lit(True).alias("first"), F.col("sample_idx").cast("long").alias("sample_idx"), "z")
     right = zscore(b, keys).select(*keys, F.explode(around).alias("chunk"), F.lit(False).alias("first"), F.col("sample_idx").cast("long").alias("sample_idx"), "z")
 
-    def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
+    def fold(pdf: pd.DataFrame, part: np.ndarray) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
         first, at, z = pdf["first"].to_numpy(bool), pdf["sample_idx"].to_numpy(), pdf["z"].to_numpy(float)
-        if first.any():
-            begin, end = at[first].min(), at[first].max() + 1
-            near = ~first & (at >= begin - lags) & (at < end + lags)
-            n, ab, aa, bb = sliding_sums(_stretch(at[first] - begin, z[first], end - begin), _stretch(at[near] - begin + lags, z[near], end - begin + 2 * lags), lags)
-            for k in np.flatnonzero(n > 0).tolist():
-                yield (k - lags, int(n[k]), float(ab[k]), float(aa[k]), float(bb[k]))
-
-    parts = per_clip(left.unionByName(right), [*keys, "chunk"], ["sample_idx"], fold, "lag int, n long, ab double, aa double, bb double")
+        edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        which, out = [], []
+        for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            mine, i = first[lo:hi], at[lo:hi]
+            if mine.any():
+                begin, end = i[mine].min(), i[mine].max() + 1
+                near = ~mine & (i >= begin - lags) & (i < end + lags)
+                sums = sliding_sums(_stretch(i[mine] - begin, z[lo:hi][mine], end - begin), _stretch(i[near] - begin + lags, z[lo:hi][near], end - begin + 2 * lags), lags)
+                some = np.flatnonzero(sums[0] > 0)
+                which.append(np.full(len(some), k))
+                out.append(np.vstack([some - lags, sums[:, some]]))
+        if out:
+            lag, n, *rest = np.concatenate(out, 1)
+            yield np.concatenate(which), pd.DataFrame({"lag": lag.astype(np.int32), "n": n.astype(np.int64)} | dict(zip(("ab", "aa", "bb"), rest, strict=True)))
+
+    parts = many_clips(left.unionByName(right), [*keys, "chunk"], ["sample_idx"], fold, "lag int, n long, ab double, aa double, bb double")
     sums = parts.groupBy(*keys, "lag").agg(*(F.sum(c).alias(c) for c in ("n", "ab", "aa", "bb")))
     norm = F.sqrt(F.greatest("aa", num(0))) * F.sqrt(F.greatest("bb", num(0)))
     return sums.where(F.col("n") >= least).select(*keys, "lag", "n", F.when(norm > 1e-9, F.col("ab") / norm).otherwise(num(0)).alias("corr"))

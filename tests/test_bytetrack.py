@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from rallyframe.operators.bytetrack import ID, PLACE, TRACKED, ByteConfig, ByteTrack, as_measured, matched, overlaps, track_players
+from rallyframe.operators.bytetrack import ID, PLACE, TRACKED, ByteConfig, ByteTrack, as_measured, disputed, overlaps, track_players
 
 BOX = "clip long, frame int, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double"
 
@@ -85,9 +85,9 @@ def test_links_have_the_largest_total_gain():
     """Greedily the second box would take the first track, and the first box none."""
     frames = [[([0.0, 0.0, 10.0, 10.0], 0.9), ([6.0, 0.0, 16.0, 10.0], 0.9)], [([3.2, 0.0, 13.2, 10.0], 0.9), ([-3.0, 0.0, 7.0, 10.0], 0.9)]]
     assert run(frames) == [[1, 2], [2, 1]]
-    gain = np.array([[0.5, 0.4, -1.0], [0.45, 0.0, -0.2]])
-    assert [x.tolist() for x in matched(gain)] == [[0, 1], [1, 0]]
-    assert overlaps(np.array([[0, 0, 2, 2.0]]), np.array([[1, 1, 3, 3.0], [5, 5, 6, 6]])).tolist() == [[pytest.approx(1 / 7), 0.0]]
+    i, j, gain = np.array([0, 0, 1, 5]), np.array([0, 1, 0, 7]), np.array([0.5, 0.4, 0.45, 0.1])
+    assert sorted(disputed(i, j, gain, np.zeros(4, int), np.arange(3)).tolist()) == [1, 2]
+    assert overlaps(np.array([[0, 0, 2, 2.0]] * 2), np.array([[1, 1, 3, 3.0], [5, 5, 6, 6]])).tolist() == [pytest.approx(1 / 7), 0.0]
 
 
 def test_clips_of_a_table(spark):
@@ -95,3 +95,18 @@ def test_clips_of_a_table(spark):
     got = track_players(spark.createDataFrame(rows[::-1], BOX), ["clip"]).toPandas()
     assert got[got.frame > 2].groupby(["clip", "det_idx"]).track_id.agg(["nunique", "size"]).values.tolist() == [[1, 34]] * 6
     assert track_players(spark.createDataFrame([], BOX), ["clip"]).count() == 0
+
+
+def test_clips_stepped_together_are_as_alone(spark):
+    """Clips of several lengths with gaps and crowded frames, in one task, against one clip at a time."""
+    rng, rows, want = np.random.default_rng(5), [], set()
+    for c in range(12):
+        tracks, frame = ByteTrack(ByteConfig()), 0
+        for _ in range(int(rng.integers(1, 120))):
+            frame += int(rng.choice([1, 1, 1, 1, 2, 7, 40]))
+            found = [([*(p := rng.uniform(0, 300, 2)), p[0] + 60 + rng.uniform(0, 40), p[1] + 90 + rng.uniform(0, 60)], float(rng.choice([0.05, 0.2, 0.3, 0.6, 0.9]))) for _ in range(int(rng.integers(1, 9)))]
+            ids = tracks.step(frame, np.array([b for b, _ in found]), np.array([k for _, k in found]))
+            rows += [(c, frame, i, *map(float, b), k) for i, (b, k) in enumerate(found)]
+            want |= {(c, frame, i, int(t)) for i, t in enumerate(ids) if t}
+    got = {tuple(r) for r in track_players(spark.createDataFrame(rows, BOX).repartition(3), ["clip"]).collect()}
+    assert got == want and max(t for *_, t in want) > 3
