@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from rallyframe.llm import warc
@@ -48,8 +49,7 @@ def test_query_on_the_whole_table(spark, sf):
     assert got(QUERIES["op12_warc"](spark, sf)) == sorted(plain(rows), key=str)
 
 
-def test_index_is_in_order_over_all_archives(spark, monkeypatch):
-    monkeypatch.setattr(warc, "BLOCK", 7)
+def test_index_is_in_order_over_all_archives(spark):
     rng = random.Random(4)
     rows = [(i, f"http://{rng.choice(['a', 'b', 'hot', 'hot', 'hot'])}.example/{rng.randrange(3)}", f"page {rng.randrange(200)} " * 20) for i in range(900)]
     pages = spark.createDataFrame(rows, SCHEMA).repartition(7)
@@ -108,6 +108,23 @@ def test_merge_of_runs(ways, fewest):
     assert list(warc.merge(blocks, fewest)) == sorted(rows, key=warc.sort_key)
 
 
+def test_runs_are_cut_in_blocks(monkeypatch):
+    """At 7 rows, at the ranges' first keys, and where a run ends."""
+    monkeypatch.setattr(warc, "BLOCK", 7)
+    rng = random.Random(3)
+    row = lambda key, page, i: (key, "t", page, *["x"] * 4, None, "f", i, 1)
+    runs = [sorted((row(f"k{rng.randrange(30):02}", rng.choice([None, "1", "2"]), i) for i in range(80)), key=warc.sort_key) for _ in range(3)]
+    rows = [r for run in runs for r in run]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], warc.NAMES)
+    cuts = [("k05", "t", "1"), ("k11", "t", ""), ("k11", "t", "2"), ("k29", "u", "")]
+    got = list(warc.blocks_of([batch.slice(0, 50), batch.slice(50)], cuts))
+    assert [r for _, block in got for r in block] == rows
+    for place, block in got:
+        assert 0 < len(block) <= 7 and block == sorted(block, key=warc.sort_key)
+        assert all(sum((r[0], r[1], r[2] or "") >= c for c in cuts) == place for r in block)
+    assert {place for place, _ in got} == {0, 1, 2, 3}
+
+
 def test_no_pages(spark):
     empty = warc.archive(spark.createDataFrame([], SCHEMA))
     assert empty.count() == 0 and dict(empty.dtypes)["refers_to"] == "bigint"
