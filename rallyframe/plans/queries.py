@@ -416,7 +416,17 @@ def keypoint_bounds(spark, sf):
     return out.select("frame", *(rounded(F.col(c)).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, num AS (SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY det_idx, l_partkey, x1, y1) AS i, x1, y1, x2, y2 FROM boxes),
+    place AS (SELECT frame // 2000 AS match, frame // 2 AS f, frame % 2 AS side, i + frame % 2 * 1000 AS cand, y2 - y1 AS bh, CASE WHEN frame % 2 = 0 THEN 0.02e0 * ((x1 + x2) / 2) ELSE 10e0 - 0.02e0 * ((x1 + x2) / 2) END AS x, CASE WHEN frame % 2 = 0 THEN 0.05e0 * y2 ELSE 20e0 - 0.05e0 * y2 END AS y FROM num),
+    seen AS (SELECT * FROM place WHERE x BETWEEN -2 AND 12 AND y BETWEEN -2 AND 22),
+    paired AS (SELECT *, row_number() OVER (PARTITION BY match, f ORDER BY cand) AS k FROM seen s WHERE EXISTS (SELECT 1 FROM seen o WHERE o.match = s.match AND o.f = s.f AND o.side <> s.side)),
+    walk AS (
+        SELECT match, f, k, [{{'seed': cand, 'i': cand, 'x': x, 'y': y, 'bh': bh}}] AS list FROM paired WHERE k = 1
+        UNION ALL
+        SELECT p.match, p.f, p.k, list_append(list, {{'seed': coalesce(list_filter(list, lambda s: s.seed = s.i AND (s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y) <= 2.25e0)[1].i, p.cand), 'i': p.cand, 'x': p.x, 'y': p.y, 'bh': p.bh}})
+        FROM walk w JOIN paired p ON p.match = w.match AND p.f = w.f AND p.k = w.k + 1),
+    flat AS (SELECT match, f, unnest(list) AS s FROM walk w WHERE k = (SELECT max(k) FROM paired b WHERE b.match = w.match AND b.f = w.f))
+    SELECT match, f AS frame, s.i AS cand_idx, s.seed AS seed, CASE WHEN s.i < 1000 THEN 'A' ELSE 'B' END AS cam, row_number() OVER (PARTITION BY match, f, s.seed ORDER BY s.bh DESC, s.i) = 1 AS is_rep, {r('s.x')} AS x, {r('s.y')} AS y FROM flat""")
 def player_fusion(spark, sf):
     rows = _numbered(boxes(spark, sf)).withColumns({"match": F.floor(F.col("frame") / 2000).cast("long"), "keypoints": F.array(*[F.struct(num(0).alias("x"), num(0).alias("y"), num(0).alias("c"))] * 17), "frame": (F.floor(F.col("frame") / 2)).cast("int"), "_side": F.col("frame") % 2})
     scale = (0.02, 0.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 1.0)
@@ -1021,7 +1031,18 @@ def ekf_rts_trajectory(spark, sf):
     return physics.trajectory(log, a.p, H, FPS, ["clip"]).select("clip", "frame", *(rounded(F.col(c), 3).alias(c) for c in "xyz"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBS}, s AS (SELECT clip, frame, v, row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS n FROM obs WHERE v IS NOT NULL),
+    runs AS (SELECT *, n - row_number() OVER (PARTITION BY clip, v ORDER BY n) AS run FROM s), flat AS (SELECT clip, v, min(n) AS a, max(n) AS b FROM runs GROUP BY clip, v, run),
+    top AS (SELECT clip, v, (a + b) // 2 AS p FROM (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS later FROM flat WINDOW w AS (PARTITION BY clip ORDER BY a)) WHERE v > before AND v > later),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY v DESC, p DESC) AS k FROM top),
+    walk AS (
+        SELECT clip, k, [p] AS kept FROM ranked WHERE k = 1
+        UNION ALL
+        SELECT t.clip, t.k, CASE WHEN len(list_filter(kept, lambda q: abs(q - t.p) < 5)) > 0 THEN kept ELSE list_append(kept, t.p) END FROM walk w JOIN ranked t ON t.clip = w.clip AND t.k = w.k + 1),
+    peak AS (SELECT k.clip, p, v, frame FROM (SELECT clip, unnest(kept) AS p FROM walk w WHERE k = (SELECT max(k) FROM ranked t WHERE t.clip = w.clip)) k JOIN s ON s.clip = k.clip AND s.n = k.p),
+    edge AS (SELECT q.clip, q.p, coalesce(max(s.n) FILTER (s.n < q.p AND s.v > q.v), -1) AS lo, coalesce(min(s.n) FILTER (s.n > q.p AND s.v > q.v), 1000000000) AS hi FROM peak q JOIN s ON s.clip = q.clip GROUP BY q.clip, q.p),
+    base AS (SELECT q.clip, q.frame, q.v, min(s.v) FILTER (s.n > lo AND s.n <= q.p) AS l, min(s.v) FILTER (s.n >= q.p AND s.n < hi) AS r FROM peak q JOIN edge e ON e.clip = q.clip AND e.p = q.p JOIN s ON s.clip = q.clip GROUP BY q.clip, q.frame, q.v)
+    SELECT clip, frame FROM base WHERE v - greatest(l, r) >= 80""")
 def track_cusps(spark, sf):
     return physics.cusps(observations(spark, sf).select("clip", "frame", "v"), ["clip"])
 
