@@ -258,10 +258,9 @@ def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Conversation, list
         yield now, list(now.close()), True
 
 
-def _stream(turns: DataFrame, schema: str, make) -> DataFrame:
+def _stream(turns: DataFrame, present: str | None, schema: str, make) -> DataFrame:
     kinds = dict(turns.dtypes)
-    if "present" not in kinds:
-        turns = turns.withColumn("present", F.lit(True))
+    turns = turns.select("conv_id", "turn", "role", "text", (F.col(present) if present else F.lit(True)).alias("present"))
     full = f"conv_id {kinds['conv_id']}, {schema.format(turn=kinds['turn'])}"
     names, fields = zip(*((f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(full)), strict=True)
 
@@ -284,21 +283,21 @@ def _stream(turns: DataFrame, schema: str, make) -> DataFrame:
     return bounded_batches(sorted_rows(turns)).mapInArrow(run, full)
 
 
-def repair(turns: DataFrame) -> DataFrame:
+def repair(turns: DataFrame, present: str | None = None) -> DataFrame:
     """One row for each conversation of `turns` (conv_id, turn, role, text; further columns are not looked at): conv_id and REPORT.
 
-    With a boolean column `present`, rows where it is not true only stand for their conversation. Null role or text counts as one
+    `present`: a boolean column, if there is one; rows where it is not true only stand for their conversation. Null role or text counts as one
     space; a null turn comes before all others and in no gap; rows without conv_id are one conversation. Turns of one number
     are ordered by a digest of role and text, so reruns agree; of equal rows the first is none's duplicate. A role is known by
     its first letter; one without letters fits nowhere. Texts of any length; an empty table gives no rows; a conversation
     without rows has zeros, an empty audit and the digest of an empty text. Gaps beyond the longs stop at their end."""
-    return _stream(turns, REPORT, lambda c, _, over: [(c.key, *c.report())] if over else [])
+    return _stream(turns, present, REPORT, lambda c, _, over: [(c.key, *c.report())] if over else [])
 
 
-def repaired_turns(turns: DataFrame) -> DataFrame:
+def repaired_turns(turns: DataFrame, present: str | None = None) -> DataFrame:
     """The turns of the repaired conversations: conv_id, place (from 0), edit (K kept, R role changed, I inserted), turn (null where
     inserted), role, text. Cases as in `repair`; a conversation that is deleted altogether gives no rows."""
-    return _stream(turns, TURNS, lambda c, repaired, _: [(c.key, *row) for row in repaired])
+    return _stream(turns, present, TURNS, lambda c, repaired, _: [(c.key, *row) for row in repaired])
 
 
 def damage(turns: DataFrame) -> DataFrame:

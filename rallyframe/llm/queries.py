@@ -60,7 +60,7 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")), "present")
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_lm_scoring, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_document_fingerprints, op7_quality_rules, op8_quality_classifier, op9_mixing, op10_minhash_near_dedup, op11_embedding_whitening, op12_warc, op13_conversation_repair)}

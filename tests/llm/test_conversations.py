@@ -93,8 +93,8 @@ def got(df):
 
 def test_repair_is_the_cheapest(spark):
     rows = made_up_turns(250, 1)
-    turns = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("part", "initial", "fault", "tie", "present_", "copies", "copy")})
-    assert got(conversation_repair.repair(conversation_repair.damage(turns))) == expected(plain_damage(rows))
+    turns = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("part", "initial", "fault", "tie", "present", "copies", "copy")})
+    assert got(conversation_repair.repair(conversation_repair.damage(turns), "present")) == expected(plain_damage(rows))
     undamaged = [(c, t, " " if r is None else r, " " if x is None else x, True) for c, t, r, x in rows]
     assert got(conversation_repair.repair(turns)) == expected(undamaged)
 
@@ -154,11 +154,11 @@ def test_no_rows_and_very_long_texts(spark):
     assert conversation_repair.repair(empty).count() == 0 and conversation_repair.repaired_turns(empty).count() == 0
     long = "x " * 1_500_000
     rows = [(5, 1, "user", long + ".", True), (5, 2, "assistant", long, True), (6, 1, "user", "gone.", False)]
-    assert got(conversation_repair.repair(spark.createDataFrame(rows, SCHEMA + ", present boolean"))) == expected(rows)
+    assert got(conversation_repair.repair(spark.createDataFrame(rows, SCHEMA + ", present boolean"), "present")) == expected(rows)
 
 
 @pytest.mark.parametrize("n", [1, 2])
 def test_repeated_rows_and_ties(spark, n):
     rows = [(1, 4, "user", "A.", True)] * n + [(1, 4, "assistant", "B.", True)] * n
-    a, b = (got(conversation_repair.repair(spark.createDataFrame(r, SCHEMA + ", present boolean"))) for r in (rows, rows[::-1]))
+    a, b = (got(conversation_repair.repair(spark.createDataFrame(r, SCHEMA + ", present boolean"), "present")) for r in (rows, rows[::-1]))
     assert a == b and a[1][2] == 2 * (n - 1)
