@@ -129,7 +129,7 @@ def whole_numbers(rows: DataFrame, vector: str) -> tuple[DataFrame, int]:
 def fit(rows: DataFrame, vector: str = "embedding", components: int = 4) -> Whitening:
     """The whitening of the distinct vectors of `rows`. Components that no vector varies along (eigenvalues that rounding can't
     tell from 0) are left out, so one vector, or none, gives no component."""
-    counted, dimensions = whole_numbers(rows.select(vector), vector)
+    counted, dimensions = whole_numbers(rows.select(F.col(vector).alias("vector")), "vector")
     if not dimensions:
         return Whitening()
     once = written(counted.select("x").distinct(), "whitening-vectors")
@@ -164,8 +164,9 @@ def apply(rows: DataFrame, model: Whitening, keep: list[str], vector: str = "emb
 
     Null vectors and those with entries that are null, infinite or no number are left out; an empty vector counts as all 0, and
     so do entries that a vector lacks. Repeated rows and ids stay rows of their own. An empty table gives no rows."""
-    prepared, _ = whole_numbers(rows.select(*keep, vector), vector)
-    kinds = dict(prepared.dtypes)
+    kinds = dict(rows.dtypes)
+    named = [f"kept_{k}" for k in range(len(keep))]  # whatever the kept columns are called
+    prepared, _ = whole_numbers(rows.select(*(F.col(c).alias(n) for c, n in zip(keep, named, strict=True)), F.col(vector).alias("vector")), "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,11 +176,11 @@ def apply(rows: DataFrame, model: Whitening, keep: list[str], vector: str = "emb
             deviation = [int(d) if d <= LONGEST else None for d in (y * y).sum(1)]
             w = model.whitened(y)
             ends = pa.array(np.arange(len(w) + 1, dtype=np.int32) * w.shape[1])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(deviation, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(w.ravel()))], [*keep, "deviation", "whitened"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in named), pa.array(deviation, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(w.ravel()))], [*keep, "deviation", "whitened"])
 
     if not model.n:
-        return prepared.where(F.lit(False)).select(*keep, F.lit(None).cast("long").alias("deviation"), F.array().cast("array<double>").alias("whitened"))
-    return bounded_batches(prepared).select(*keep, "x").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "deviation long, whitened array<double>"]))
+        return rows.where(F.lit(False)).select(*keep, F.lit(None).cast("long").alias("deviation"), F.array().cast("array<double>").alias("whitened"))
+    return bounded_batches(prepared).select(*named, "x").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "deviation long, whitened array<double>"]))
 
 
 def whiten(rows: DataFrame, components: int = 4) -> DataFrame:

@@ -81,6 +81,14 @@ def test_sums_stay_exact_for_large_entries(spark, scale):
     assert got == {i: d if d < 1 << 63 else None for i, d, _ in deviations}
 
 
+def test_kept_columns_may_have_any_name(spark):
+    rows = [(i, [float(i), float(i * i % 7)], f"k{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "kept_0 long, x array<double>, vector string")
+    model = whitening.fit(df, "x")
+    got = {r.kept_0: (r.vector, r.x, len(r.whitened)) for r in whitening.apply(df, model, ["vector", "x", "kept_0"], "x").collect()}
+    assert got == {i: (k, v, 2) for i, v, k in rows}
+
+
 def test_squares_of_any_size():
     rng = np.random.default_rng(3)
     for bits in (3, 20, 30, 45, 60):
