@@ -10,13 +10,15 @@ Every link is confirmed on full sets. No pair of bucket members is formed beyond
    a popular pivot are dealt over many tasks; each gets the pivot's sketch, or set, once.
 3. Only buckets that still hold several components are looked at again: sketches of members of different
    components are compared, and only pairs that look similar go on to the full sets. Pairs within a component
-   can't change it. Members outside a bucket's largest component meet one another and those of the largest, in blocks:
-   pairs of blocks are groups of their own, so rows grow as the members times the others' blocks, and no task gets a
-   bucket whole. The comparisons themselves are as many as there are pairs across components.
-After step 3 each pair of different texts that shares a bucket and looks similar is either confirmed, refuted
-or inside one component, so no link is lost but those that miss all bands (`bands_for`: fewer than one in a million
-at the limit) or that a sketch misjudges by over MARGIN standard errors (`look_from`; one in three million), for sets
-of any length. The errors are of the pair at hand, so that few pairs below the limit go on to the full sets.
+   can't change it. Up to BLOCK members outside a bucket's largest component meet one another and those of the largest
+   there, in blocks, so comparisons grow as the members do.
+4. Members of buckets with more outsiders than that go through the same steps again with bands of more rows (LEVELS), which
+   part unlike texts and hold each link again. Buckets of the longest bands are compared across components, however large:
+   only texts just below the limit fill them.
+After that each pair of different texts that shares a bucket and looks similar is either confirmed, refuted
+or inside one component, so no link is lost but those that miss all bands of a level (`bands_for`: fewer than one in a
+million at the limit) or that a sketch misjudges by over MARGIN standard errors (`look_from`; one in three million), for
+sets of any length. The errors are of the pair at hand, so that few pairs below the limit go on to the full sets.
 """
 
 from __future__ import annotations
@@ -36,26 +38,28 @@ SHINGLE = 5
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 85
 ROWS = 5
+#: Rows of a band: of all texts, then of the members of buckets too large to be compared.
+LEVELS = (ROWS, 10, 15)
 #: Links at the limit that may share no band.
 MISSED = 1e-6
 BIN_BITS, SKETCH_BITS = 10, 11
 #: Candidates go on unless their estimated similarity is below the limit by over so many standard errors.
 MARGIN = 5
-#: Members of a block of a large bucket.
+#: Members of a block of a large bucket, and outsiders of a bucket up to which it is compared.
 BLOCK = 2048
-_BAND = constants(ROWS, 7)[None, :]
 _SECOND = constants(1, 8)[0]
 
 
-def bands_for(percent: int) -> int:
+def bands_for(percent: int, rows: int = ROWS) -> int:
     """As many bands as let fewer than MISSED of the pairs at the limit share none."""
-    same = min(max(percent, 1) / 100, 0.999) ** ROWS
+    same = min(max(percent, 1) / 100, 0.999) ** rows
     return math.ceil(math.log(MISSED) / math.log1p(-same))
 
 
 @cache
-def _hashing(bands: int) -> tuple[np.ndarray, np.ndarray]:
-    return constants(bands * ROWS, 5)[:, None], (constants(bands * ROWS, 6) | np.uint64(1))[:, None]
+def _hashing(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    seed = 2 * (rows - ROWS)
+    return constants(bands * rows, 5 + seed)[:, None], (constants(bands * rows, 6 + seed) | np.uint64(1))[:, None], constants(rows, 7)[None, :]
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -79,16 +83,19 @@ def sketch_of(s: np.ndarray) -> bytes:
     return np.packbits(parity.astype(np.uint8)).tobytes() + np.packbits(filled).tobytes() + np.uint64(len(s)).tobytes()
 
 
+def band_keys(s: np.ndarray, percent: int, rows: int = ROWS) -> np.ndarray:
+    n = bands_for(percent, rows)
+    xor, times, mixed = _hashing(n, rows)
+    minima = np.empty(n * rows, np.uint64)
+    for first in range(0, n * rows, 20):
+        part = slice(first, first + 20)
+        minima[part] = ((s ^ xor[part]) * times[part]).min(axis=1)
+    return mix64((mix64(minima.reshape(n, rows)) * mixed).sum(axis=1, dtype=np.uint64) + np.arange(n, dtype=np.uint64))
+
+
 def signature(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, bytes]:
     """Band keys and sketch of a sorted set."""
-    n = bands_for(percent)
-    xor, times = _hashing(n)
-    minima = np.empty(n * ROWS, np.uint64)
-    for first in range(0, n * ROWS, ROWS * 4):
-        part = slice(first, first + ROWS * 4)
-        minima[part] = ((s ^ xor[part]) * times[part]).min(axis=1)
-    bands = mix64((mix64(minima.reshape(n, ROWS)) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(n, dtype=np.uint64))
-    return bands, sketch_of(s)
+    return band_keys(s, percent), sketch_of(s)
 
 
 def _filled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +193,22 @@ def linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(one) + len(other) - common)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents that `ids` (id) names."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+
+
+def longer_bands(docs: DataFrame, ids: DataFrame, percent: int, rows: int) -> DataFrame:
+    """(id, bands) with bands of so many rows, of the documents that `ids` names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            keys = [band_keys(s, percent, rows).view(np.int64) if len(s) else None for s in shingle_sets(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.list_(pa.int64()))], ["id", "bands"])
+
+    return texts_of(docs, ids).mapInArrow(run, "id long, bands array<long>").where("bands is not null").dropDuplicates(["id", "bands"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of `pairs` that are links by their full sets. Only the documents named in `pairs` are read again."""
 
@@ -199,8 +222,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         return [linked(own, np.frombuffer(x.as_py(), np.uint64), percent) for x in others]
 
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    sets = written(texts.mapInArrow(run, "id long, value binary").where(F.length("value") > 0), "candidate-sets")
+    sets = written(texts_of(docs, ids).mapInArrow(run, "id long, value binary").where(F.length("value") > 0), "candidate-sets")
     return passing(pairs, sets, close)
 
 
@@ -260,6 +282,42 @@ def across_components(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def linked_nodes(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the `nodes` (id, bands, sketch) that have links."""
+    sketches = nodes.select("id", "sketch")
+    level, links, found = nodes.select("id", "bands"), None, None
+    for rows in (*LEVELS[1:], None):
+        buckets = level.select("id", F.explode("bands").alias("key"))
+        if found is None:
+            placed = buckets.withColumn("component", F.col("id"))
+        else:
+            placed = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        pivot = F.min(F.struct("id", "component")).alias("pivot")
+        shared = written(placed.groupBy("key").agg(pivot, F.count("*").alias("n")).where("n > 1"), "buckets")
+        stars = placed.join(shared, "key").where("id <> pivot.id and component <> pivot.component")
+        stars = written(stars.select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
+        alike = written(look_similar(stars, sketches, percent), "star-candidates")
+        own = written(confirmed(alike, docs, percent), "star-links")
+        links = own if links is None else links.union(own)
+        found = components(links)
+
+        wide = buckets.join(shared.where("n > 2").select("key"), "key").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        wide = written(wide, "bucket-members")
+        sizes = wide.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+        sizes = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("n_major"), (F.sum("n") - F.max("n")).alias("n_minor"))
+        split = written(sizes.where("n_minor > 0"), "split-buckets")
+        large = F.lit(False) if rows is None else F.col("n_minor") > BLOCK
+        members = wide.join(split.where(~large), "key").join(sketches, "id")
+        more = written(across_components(members, percent).join(stars, ["a", "b"], "left_anti"), "more-candidates")
+        if more.limit(1).count():
+            links = links.union(written(confirmed(more, docs, percent), "more-links"))
+            found = components(links)
+        if rows is None or split.where(large).limit(1).count() == 0:
+            return found
+        ids = written(wide.join(split.where(large).select("key"), "key").select("id").distinct(), "large-bucket-members")
+        level = written(longer_bands(docs, ids, percent, rows), "longer-bands")
+
+
 def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of `docs` (doc_id, text).
 
@@ -271,24 +329,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = ["n_shingles", "set_a", "set_b"]
     classes = written(real.groupBy(*sets).agg(F.min("doc_id").alias("id")), "classes")
     nodes = written(real.join(classes, sets).where("doc_id = id").select("id", "bands", "sketch").dropDuplicates(["id", "bands"]), "nodes")
-    buckets = nodes.select("id", F.explode("bands").alias("key"))
-    shared = written(buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    stars = written(buckets.join(shared, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
-    sketches = nodes.select("id", "sketch")
-    links = written(confirmed(written(look_similar(stars, sketches, percent), "star-candidates"), docs, percent), "star-links")
-    found = components(links)
-
-    label = F.coalesce("component", "id")
-    wide = buckets.join(shared.where("n > 2").select("key"), "key").join(found, "id", "left").select("key", "id", label.alias("component"))
-    wide = written(wide, "bucket-members")
-    sizes = wide.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
-    sizes = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("n_major"), (F.sum("n") - F.max("n")).alias("n_minor"))
-    split = sizes.where("n_minor > 0")
-    members = wide.join(written(split, "split-buckets"), "key").join(sketches, "id")
-    more = written(across_components(members, percent).join(stars, ["a", "b"], "left_anti"), "more-candidates")
-    links = links.union(confirmed(more, docs, percent))
-    if more.limit(1).count():
-        found = components(links)
+    found = linked_nodes(nodes, docs, percent)
 
     # An id may stand for several texts, so classes are joined by the id too.
     same = real.join(classes, sets).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()

@@ -567,3 +567,31 @@ def test_toxicity_learns_from_long_texts(spark):
     longer = docs.withColumn("text", F.concat("text", F.repeat(F.lit(" river stone cloud green"), 2000)))
     judged = toxicity.judge(longer, labels).join(labels, "doc_id").collect()
     assert np.mean([r.predicted == r.toxic for r in judged if r.held_out]) > 0.9
+
+
+def test_buckets_of_unlike_texts_get_longer_bands(spark, monkeypatch):
+    """Texts that share half of their words fill common buckets; links among them are found by longer bands."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    levels, longer = [], near_dedup.longer_bands
+    monkeypatch.setattr(near_dedup, "longer_bands", lambda docs, ids, percent, rows: levels.append((rows, ids.count())) or longer(docs, ids, percent, rows))
+    same = " ".join(f"s{i}" for i in range(74))
+    docs = [(i, f"{same} " + " ".join(f"d{i}w{k}" for k in range(50))) for i in range(1500)]
+    docs += [(5000 + i, f"{t} end{i}") for i, t in docs[::50]]
+    got = {r.doc_id: r.component_id for r in near_dedup.cluster(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in docs}
+    assert levels[0][0] == 10 and levels[0][1] > 500
+
+
+def test_bands_of_all_levels_hold_links():
+    for percent in (80, 85):
+        for rows in near_dedup.LEVELS:
+            assert (1 - (percent / 100) ** rows) ** near_dedup.bands_for(percent, rows) < 1e-6
+    rng = np.random.default_rng(5)
+    for rows in near_dedup.LEVELS:
+        shared = 0
+        for _ in range(40):
+            x = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
+            a, b = np.sort(x[:1850]), np.sort(x[150:])
+            shared += len(np.intersect1d(near_dedup.band_keys(a, 85, rows), near_dedup.band_keys(b, 85, rows)))
+        expected = 40 * near_dedup.bands_for(85, rows) * (1700 / 2000) ** rows
+        assert abs(shared - expected) < 6 * np.sqrt(expected)
