@@ -559,7 +559,29 @@ def ball_events(spark, sf):
     return out.select("clip", "frame", "type", rounded(F.col("u"), 1).alias("u"), rounded(F.col("v"), 1).alias("v"), rounded(F.col("x_m"), 2).alias("x_m"), rounded(F.col("y_m"), 2).alias("y_m"), "in_court")
 
 
-@query()
+def _apart(u: str, v: str) -> str:
+    return f"((c_u - {u}) * (c_u - {u}) + (c_v - {v}) * (c_v - {v}))"
+
+
+#: Blobs of a clip after each candidate: linked to the nearest within reach (of equally near ones the later), zones set when a frame's
+#: candidates are through. So few candidates a frame never park more blobs than the limit.
+BLOBS = f"""beside AS (SELECT clip, frame, 0 AS cand_idx, u, v FROM obs WHERE found UNION ALL SELECT clip, frame, 1, 500e0, 500e0 + frame % 2 FROM obs),
+    cand AS (SELECT clip, frame, cand_idx, u AS c_u, v AS c_v, row_number() OVER (PARTITION BY clip ORDER BY frame, cand_idx) AS k, cand_idx = 1 AS closes FROM beside),
+    walk AS (
+        SELECT clip, frame, k, closes, [{{'n': k, 'u': c_u, 'v': c_v, 'first': frame, 'last': frame, 'streak': 0, 'zu': NULL::DOUBLE, 'zv': NULL::DOUBLE, 'x1': c_u, 'y1': c_v, 'x2': c_u, 'y2': c_v}}] AS blobs FROM cand WHERE k = 1
+        UNION ALL
+        SELECT clip, frame, k, closes, CASE WHEN closes THEN list_transform(after, lambda b: {{'n': b.n, 'u': b.u, 'v': b.v, 'first': b.first, 'last': b.last, 'streak': b.streak,
+            'zu': CASE WHEN b.zu IS NULL THEN CASE WHEN b.streak >= 40 THEN b.u END WHEN sqrt((b.u - b.zu) * (b.u - b.zu) + (b.v - b.zv) * (b.v - b.zv)) < 60 THEN b.zu END,
+            'zv': CASE WHEN b.zu IS NULL THEN CASE WHEN b.streak >= 40 THEN b.v END WHEN sqrt((b.u - b.zu) * (b.u - b.zu) + (b.v - b.zv) * (b.v - b.zv)) < 60 THEN b.zv END, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}}) ELSE after END
+        FROM (SELECT *, CASE WHEN target IS NULL THEN list_append(before, {{'n': k, 'u': c_u, 'v': c_v, 'first': frame, 'last': frame, 'streak': 0, 'zu': NULL::DOUBLE, 'zv': NULL::DOUBLE, 'x1': c_u, 'y1': c_v, 'x2': c_u, 'y2': c_v}})
+                ELSE list_transform(before, lambda b: CASE WHEN b.n = target THEN {{'n': b.n, 'u': c_u, 'v': c_v, 'first': b.first, 'last': frame, 'streak': CASE WHEN sqrt({_apart('b.u', 'b.v')}) <= 10 THEN b.streak + 1 ELSE 0 END, 'zu': b.zu, 'zv': b.zv,
+                    'x1': least(b.x1, c_u), 'y1': least(b.y1, c_v), 'x2': greatest(b.x2, c_u), 'y2': greatest(b.y2, c_v)}} ELSE b END) END AS after
+            FROM (SELECT *, list_max(list_transform(list_filter(before, lambda b: {_apart('b.u', 'b.v')} = least_d AND least_d <= 8100), lambda b: b.n)) AS target
+                FROM (SELECT *, list_min(list_transform(before, lambda b: {_apart('b.u', 'b.v')})) AS least_d
+                    FROM (SELECT p.*, list_filter(w.blobs, lambda b: p.frame - b.last <= 10) AS before FROM walk w JOIN cand p ON p.clip = w.clip AND p.k = w.k + 1)))))"""
+
+
+@query(f"""WITH RECURSIVE {OBS}, {BLOBS} SELECT c.clip, c.frame, c.cand_idx, len(list_filter(w.blobs, lambda b: coalesce({_apart('b.zu', 'b.zv')} <= 196, false))) = 0 AS kept FROM cand c JOIN walk w ON w.clip = c.clip AND w.frame = c.frame AND w.closes""")
 def parked_suppress(spark, sf):
     rows = observations(spark, sf)
     parked = rows.select("clip", "frame", F.lit(1).alias("cand_idx"), num(500).alias("u"), (num(500) + F.col("frame") % 2).alias("v"), num(0.9).alias("confidence"))
@@ -577,7 +599,9 @@ def case_audit(spark, sf):
     return tracking.case_audit(_with_parked(spark, sf), H, TRACKER, EVENTS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBS}, {BLOBS}, flat AS (SELECT clip, frame, unnest(blobs) AS b FROM walk WHERE closes),
+    still AS (SELECT * FROM flat WHERE b.last = frame AND b.last - b.first + 1 >= 40 AND greatest(b.x2 - b.x1, b.y2 - b.y1) <= 28)
+    SELECT clip, b.first AS first_frame, arg_min(b.u, frame) AS u, arg_min(b.v, frame) AS v, max(b.last - b.first + 1) AS life FROM still GROUP BY clip, b.n, b.first""")
 def parked_balls(spark, sf):
     return tracking.parked_balls(_with_parked(spark, sf))
 
