@@ -568,14 +568,14 @@ def _apart(u: str, v: str) -> str:
 BLOBS = f"""beside AS (SELECT clip, frame, 0 AS cand_idx, u, v FROM obs WHERE found UNION ALL SELECT clip, frame, 1, 500e0, 500e0 + frame % 2 FROM obs),
     cand AS (SELECT clip, frame, cand_idx, u AS c_u, v AS c_v, row_number() OVER (PARTITION BY clip ORDER BY frame, cand_idx) AS k, cand_idx = 1 AS closes FROM beside),
     walk AS (
-        SELECT clip, frame, k, closes, [{{'n': k, 'u': c_u, 'v': c_v, 'first': frame, 'last': frame, 'streak': 0, 'zu': NULL::DOUBLE, 'zv': NULL::DOUBLE, 'x1': c_u, 'y1': c_v, 'x2': c_u, 'y2': c_v}}] AS blobs FROM cand WHERE k = 1
+        SELECT clip, frame, k, closes, [{{'n': k, 'u': c_u, 'v': c_v, 'first': frame, 'last': frame, 'streak': 0, 'zu': NULL::DOUBLE, 'zv': NULL::DOUBLE, 'x1': c_u, 'y1': c_v, 'x2': c_u, 'y2': c_v, 'path': [{{'u': c_u, 'v': c_v}}]}}] AS blobs FROM cand WHERE k = 1
         UNION ALL
         SELECT clip, frame, k, closes, CASE WHEN closes THEN list_transform(after, lambda b: {{'n': b.n, 'u': b.u, 'v': b.v, 'first': b.first, 'last': b.last, 'streak': b.streak,
             'zu': CASE WHEN b.zu IS NULL THEN CASE WHEN b.streak >= 40 THEN b.u END WHEN sqrt((b.u - b.zu) * (b.u - b.zu) + (b.v - b.zv) * (b.v - b.zv)) < 60 THEN b.zu END,
-            'zv': CASE WHEN b.zu IS NULL THEN CASE WHEN b.streak >= 40 THEN b.v END WHEN sqrt((b.u - b.zu) * (b.u - b.zu) + (b.v - b.zv) * (b.v - b.zv)) < 60 THEN b.zv END, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}}) ELSE after END
-        FROM (SELECT *, CASE WHEN target IS NULL THEN list_append(before, {{'n': k, 'u': c_u, 'v': c_v, 'first': frame, 'last': frame, 'streak': 0, 'zu': NULL::DOUBLE, 'zv': NULL::DOUBLE, 'x1': c_u, 'y1': c_v, 'x2': c_u, 'y2': c_v}})
+            'zv': CASE WHEN b.zu IS NULL THEN CASE WHEN b.streak >= 40 THEN b.v END WHEN sqrt((b.u - b.zu) * (b.u - b.zu) + (b.v - b.zv) * (b.v - b.zv)) < 60 THEN b.zv END, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'path': b.path}}) ELSE after END
+        FROM (SELECT *, CASE WHEN target IS NULL THEN list_append(before, {{'n': k, 'u': c_u, 'v': c_v, 'first': frame, 'last': frame, 'streak': 0, 'zu': NULL::DOUBLE, 'zv': NULL::DOUBLE, 'x1': c_u, 'y1': c_v, 'x2': c_u, 'y2': c_v, 'path': [{{'u': c_u, 'v': c_v}}]}})
                 ELSE list_transform(before, lambda b: CASE WHEN b.n = target THEN {{'n': b.n, 'u': c_u, 'v': c_v, 'first': b.first, 'last': frame, 'streak': CASE WHEN sqrt({_apart('b.u', 'b.v')}) <= 10 THEN b.streak + 1 ELSE 0 END, 'zu': b.zu, 'zv': b.zv,
-                    'x1': least(b.x1, c_u), 'y1': least(b.y1, c_v), 'x2': greatest(b.x2, c_u), 'y2': greatest(b.y2, c_v)}} ELSE b END) END AS after
+                    'x1': least(b.x1, c_u), 'y1': least(b.y1, c_v), 'x2': greatest(b.x2, c_u), 'y2': greatest(b.y2, c_v), 'path': list_append(b.path[-4:], {{'u': c_u, 'v': c_v}})}} ELSE b END) END AS after
             FROM (SELECT *, list_max(list_transform(list_filter(before, lambda b: {_apart('b.u', 'b.v')} = least_d AND least_d <= 8100), lambda b: b.n)) AS target
                 FROM (SELECT *, list_min(list_transform(before, lambda b: {_apart('b.u', 'b.v')})) AS least_d
                     FROM (SELECT p.*, list_filter(w.blobs, lambda b: p.frame - b.last <= 10) AS before FROM walk w JOIN cand p ON p.clip = w.clip AND p.k = w.k + 1)))))"""
@@ -594,9 +594,23 @@ def _with_parked(spark, sf):
     return _candidates(spark, sf).union(parked)
 
 
-@query()
+#: The filter with the parked blob beside each candidate: it is taken where it alone is near the prediction, or nothing is and there is no other.
+KALMAN_BESIDE = (
+    KALMAN.replace("FROM obs WHERE frame = 0", "FROM first WHERE frame = 0")
+    .replace("SELECT o.clip, o.frame,", """SELECT * REPLACE (CASE WHEN parked THEN 500e0 ELSE u END AS u, CASE WHEN parked THEN 500e0 + frame % 2 ELSE v END AS v, CASE WHEN parked THEN 0.01e0 ELSE confidence END AS confidence) FROM (SELECT *,
+            u IS NULL OR ((u - qx) * (u - qx) + (v - qy) * (v - qy) > 360000 AND (500 - qx) * (500 - qx) + (500 + frame % 2 - qy) * (500 + frame % 2 - qy) <= 360000) AS parked FROM (SELECT o.clip, o.frame,""")
+    .replace("o.frame = k.frame + 1)", "o.frame = k.frame + 1)))")
+)
+AUDITED = f"""first AS (SELECT clip, frame, coalesce(u, 500e0) AS u, coalesce(v, 500e0) AS v, CASE WHEN found THEN confidence ELSE 0.01e0 END AS confidence FROM obs WHERE frame = 0), {KALMAN_BESIDE}, {EVENT_WALK}, {BLOBS},
+    kinds AS (SELECT clip, frame, len(list_filter(blobs, lambda b: b.last = frame AND b.last - b.first + 1 >= 4 AND sqrt((b.path[-1].u - b.path[1].u) * (b.path[-1].u - b.path[1].u) + (b.path[-1].v - b.path[1].v) * (b.path[-1].v - b.path[1].v)) >= 60))::INTEGER AS n_moving,
+        list_filter(blobs, lambda b: b.last = frame AND b.last - b.first + 1 >= 40 AND greatest(b.x2 - b.x1, b.y2 - b.y1) <= 28) AS static FROM walk WHERE closes)"""
+
+
+@query(f"""WITH RECURSIVE {OBS}, {AUDITED} SELECT k.clip, k.frame, CASE WHEN o.found THEN 2 ELSE 1 END AS n_candidates, n_moving, len(static)::INTEGER AS n_static, {r('sqrt(k.vx * k.vx + k.vy * k.vy)', 1)} AS speed, k.measured, k.status = 'tracking' AS tracking, e.type AS event, 0 AS n_suppressed, n_moving >= 2 AS two_moving,
+        k.vx * k.vx + k.vy * k.vy >= 160000 AND len(list_filter(static, lambda b: (k.x - b.u) * (k.x - b.u) + (k.y - b.v) * (k.y - b.v) >= 22500)) > 0 AS static_while_fast
+    FROM kal k JOIN obs o ON o.clip = k.clip AND o.frame = k.frame JOIN ev e ON e.clip = k.clip AND e.frame = k.frame JOIN kinds s ON s.clip = k.clip AND s.frame = k.frame""")
 def case_audit(spark, sf):
-    return tracking.case_audit(_with_parked(spark, sf), H, TRACKER, EVENTS)
+    return tracking.case_audit(_with_parked(spark, sf), H, TRACKER, EVENTS).withColumn("speed", rounded(F.col("speed"), 1))
 
 
 @query(f"""WITH RECURSIVE {OBS}, {BLOBS}, flat AS (SELECT clip, frame, unnest(blobs) AS b FROM walk WHERE closes),
