@@ -1045,6 +1045,38 @@ def _two_cameras():
     return at((5, -2.2, 5.3), (5, 10, 1)), at((5, 22.1, 5.2), (5, 10, 1))
 
 
+def _space(rows: str) -> str:
+    """SQL of tables that end in `space`: the rows of a table with ua, va, ub, vb, and the point x, y, z that two cameras see there, with its larger
+    pixel error; nulls in, nulls out. The least singular vector comes from the normal equations: three of them give the point for an assumed
+    least eigenvalue, the fourth a better one by Newton's step."""
+    cameras_ = dict(zip("ab", (c.p for c in _two_cameras()), strict=True))
+    number = lambda x: f"{float(x)!r}::DOUBLE"
+    line = {f"{w}{c}": [f"({w}{c} * {number(cameras_[c][2][j])} - {number(cameras_[c][i][j])})" for j in range(4)] for c in "ab" for i, w in enumerate("uv")}
+    sums = ", ".join(f"{' + '.join(f'{own[j]} * {own[k]}' for own in line.values())} AS n{j}{k}" for j in range(4) for k in range(j, 4))
+    n = lambda j, k: f"n{min(j, k)}{max(j, k)}" + (" - e" if j == k else "")
+    columns = [[f"({n(i, j)})" for i in range(3)] for j in range(3)]
+    right = [f"(-n{i}3)" for i in range(3)]
+    det = lambda c: f"({c[0][0]} * ({c[1][1]} * {c[2][2]} - {c[1][2]} * {c[2][1]}) - {c[1][0]} * ({c[0][1]} * {c[2][2]} - {c[0][2]} * {c[2][1]}) + {c[2][0]} * ({c[0][1]} * {c[1][2]} - {c[0][2]} * {c[1][1]}))"
+    solved = ", ".join(f"{det([right if k == j else columns[k] for k in range(3)])} / {det(columns)} AS {'xyz'[j]}" for j in range(3))
+    steps = [f"p0 AS (SELECT *, {sums}, 0e0 AS e FROM {rows})"]
+    for k in range(1, 6):
+        better = "" if k == 1 else " REPLACE (e + (n03 * x + n13 * y + n23 * z + n33 - e) / (1 + x * x + y * y + z * z) AS e)"
+        drop = "" if k == 1 else " EXCLUDE (x, y, z)"
+        steps.append(f"p{k} AS (SELECT *, {solved} FROM (SELECT *{drop}{better} FROM p{k - 1}))")
+    at = lambda c, i: "(" + " + ".join(f"{number(cameras_[c][i][j])} * {'xyz'[j]}" for j in range(3)) + f" + {number(cameras_[c][i][3])})"
+    off = lambda c: f"sqrt(({at(c, 0)} / {at(c, 2)} - u{c}) * ({at(c, 0)} / {at(c, 2)} - u{c}) + ({at(c, 1)} / {at(c, 2)} - v{c}) * ({at(c, 1)} / {at(c, 2)} - v{c}))"
+    return ", ".join([*steps, f"space AS (SELECT *, greatest({off('a')}, {off('b')}) AS reproj FROM p5)"])
+
+
+def _seen_at(camera, c: str, x: str = "px", y: str = "py", z: str = "pz") -> str:
+    """SQL of the pixel where a camera sees a point: u and v with the camera's letter."""
+    own = ["(" + " + ".join(f"{float(k)!r}::DOUBLE * {v}" for k, v in zip(row, (x, y, z, "1"), strict=True)) + ")" for row in camera.p]
+    return f"{own[0]} / {own[2]} AS u{c}, {own[1]} / {own[2]} AS v{c}"
+
+
+BOTH_SEE = ", ".join(_seen_at(camera, c) for camera, c in zip(_two_cameras(), "ab", strict=True))
+
+
 @query(f"""WITH {OBS} SELECT clip, frame, {r('confidence * 10', 3)} AS x, {r('(event_id % 190) / 10e0 + 0.5e0', 3)} AS y, {r('(event_id % 37) / 10e0', 3)} AS z FROM obs""")
 def triangulate_points(spark, sf):
     """Points put in space, seen by two cameras, and found again."""
@@ -1059,6 +1091,24 @@ def triangulate_points(spark, sf):
     return rows.select("clip", "frame", *(rounded(F.col(f"t.{c}"), 3).alias(c) for c in "xyz"))
 
 
+@query(f"""WITH {OBS}, placed AS (SELECT *, confidence * 10 AS px, (event_id % 190) / 10e0 + 0.5e0 AS py, (event_id % 37) / 10e0 AS pz FROM obs), exact AS (SELECT *, {BOTH_SEE} FROM placed),
+    noisy AS (SELECT * REPLACE (CASE WHEN found THEN ua + (event_id % 5 - 2) * 1.5e0 END AS ua, CASE WHEN event_id % 10 = 3 THEN vb + 300 ELSE vb + (event_id % 7 - 3) * 2e0 END AS vb, CASE WHEN event_id % 10 = 7 THEN ub - 700 ELSE ub END AS ub) FROM exact), {_space('noisy')}
+    SELECT clip, frame, reproj <= 40 AS met, CASE WHEN reproj <= 40 THEN {r('x', 3)} END AS x, CASE WHEN reproj <= 40 THEN {r('y', 3)} END AS y, CASE WHEN reproj <= 40 THEN {r('z', 3)} END AS z, CASE WHEN reproj <= 40 THEN {r('reproj', 2)} END AS reproj_px FROM space WHERE found""")
+def triangulate_noisy(spark, sf):
+    """Rays of two cameras with errors of some pixels, and with some so large that the rays miss each other."""
+    from ..functions.cameras import triangulated
+
+    a, b = _two_cameras()
+    e = F.col("event_id")
+    rows = observations(spark, sf).where("found").withColumns({"px": F.col("confidence") * 10, "py": (e % 190) / num(10) + 0.5, "pz": (e % 37) / num(10)})
+    ua, va = G.project(tuple(a.p.ravel()), F.col("px"), F.col("py"), F.col("pz"))
+    ub, vb = G.project(tuple(b.p.ravel()), F.col("px"), F.col("py"), F.col("pz"))
+    ua, ub = ua + (e % 5 - 2) * 1.5, F.when(e % 10 == 7, ub - 700).otherwise(ub)
+    vb = F.when(e % 10 == 3, vb + 300).otherwise(vb + (e % 7 - 3) * 2.0)
+    rows = rows.withColumns({"ua": ua, "va": va, "ub": ub, "vb": vb}).withColumn("t", triangulated(a, b)(F.col("ua"), F.col("va"), F.col("ub"), F.col("vb")))
+    return rows.select("clip", "frame", F.col("t").isNotNull().alias("met"), *(rounded(F.col(f"t.{c}"), 3).alias(c) for c in "xyz"), rounded(F.col("t.reproj_px"), 2).alias("reproj_px"))
+
+
 @query()
 def ekf_rts_trajectory(spark, sf):
     a, _ = _two_cameras()
@@ -1316,7 +1366,14 @@ def _logs(spark, sf):
     return a, b, seen(a, 0, 0), seen(b, 1, OFFSET), events
 
 
-@query()
+#: The flight that `_logs` makes, as both cameras see it, and where their rays meet.
+FLIGHT = f"""flight AS (SELECT clip // 2 AS match, frame, event_id, event_id % 9 <> 0 AS measured, 2 + frame % 60 / 10e0 AS px, 3 + frame % 70 / 5e0 AS py, abs(sin(frame / 9e0)) * 3 AS pz FROM obs WHERE clip % 2 = 0),
+    exact AS (SELECT *, {BOTH_SEE} FROM flight),
+    meant AS (SELECT * REPLACE (CASE WHEN measured THEN ua + event_id % 3 * 0.5e0 END AS ua, va + event_id % 5 * 0.5e0 AS va, ub + event_id % 3 * 0.5e0 AS ub, vb + event_id % 5 * 0.5e0 AS vb) FROM exact), {_space('meant')},
+    fused AS (SELECT match, frame, CASE WHEN reproj <= 40 THEN x END AS x, CASE WHEN reproj <= 40 THEN y END AS y, CASE WHEN reproj <= 40 THEN z END AS z, CASE WHEN reproj <= 40 THEN reproj END AS reproj FROM space)"""
+
+
+@query(f"""WITH {OBS}, {FLIGHT} SELECT match, count(*) AS n_frames, count(x) AS n_3d, {r('count(x) / count(*)::DOUBLE')} AS triangulation_rate, {r('avg(reproj)', 2)} AS mean_reproj_px, {r('min(z)', 2)} AS z_min, {r('quantile_cont(z, 0.5)', 2)} AS z_median, {r('max(z)', 2)} AS z_max FROM fused GROUP BY match""")
 def ball_fusion_summary(spark, sf):
     from . import jobs
 
@@ -1333,7 +1390,7 @@ def ball_3d(spark, sf):
     return jobs.ball_3d(log_a, log_b, events, a, b, H, OFFSET, FPS)
 
 
-@query()
+@query(f"""WITH {OBS}, {FLIGHT} SELECT match, frame, CASE WHEN x IS NULL THEN 'lost' ELSE 'both' END AS source, {r('x', 2)} AS court_x_m, {r('y', 2)} AS court_y_m FROM fused""")
 def dual_view(spark, sf):
     from . import jobs
 
