@@ -1,10 +1,11 @@
+import re
 import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from rallyframe.functions import tables
+from rallyframe.functions import geometry, tables
 from rallyframe.operators import courts, sequences, signals
 from rallyframe.plans.queries import QUERIES, _flights
 from rallyframe.plans.views import FPS, H, observations
@@ -160,3 +161,13 @@ def plan_of(df):
 def test_heatmap_hits_need_no_join(spark, sf):
     """Heatmaps are made beside their targets: a join would gather them on the driver, to send them to all."""
     assert "Join" not in plan_of(QUERIES["heatmap_hits"](spark, sf))
+
+
+def test_heatmaps_take_exponentials_along_each_axis_only(spark):
+    df = spark.createDataFrame([(3.25, 1.5), (None, 1.0)], "u double, v double").select(geometry.gaussian_heatmap(8, 5, F.col("u"), F.col("v"), 1.5).alias("h"))
+    for part in plan_of(df).split("EXP(")[1:]:
+        assert len(set(re.findall(r"lambda x_\d+", part.split("lambdafunction")[0].split(", lambda")[0]))) == 1
+    assert plan_of(df).count("EXP(") == 2
+    got = [np.array(r.h) for r in df.collect()]
+    y, x = np.mgrid[:5, :8]
+    assert np.allclose(got[0], np.exp(-((x - 3.25) ** 2 + (y - 1.5) ** 2) / 4.5), rtol=1e-14, atol=0) and not got[1].any()
