@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,36 +130,79 @@ def components(mask: np.ndarray) -> list[np.ndarray]:
     return np.split(np.stack([y, x], 1)[order], np.cumsum(np.bincount(blob, minlength=n))[:-1]) if n else []
 
 
-def blob_candidates(heat: np.ndarray, threshold: float, least_area: int, most_area: int) -> list[tuple[float, float, float, int]]:
-    """(x, y, peak, area) of a heatmap's blobs, surest first: centres weighted by the heatmap."""
-    y, x, blob, n = labels_of(heat >= threshold)
-    weight = heat[y, x]
-    area, total = np.bincount(blob, minlength=n), np.bincount(blob, weights=weight, minlength=n)
-    peak = np.full(n, -np.inf)
+def blobs_of(heat: np.ndarray, threshold: float, least_area: int, most_area: int) -> tuple[np.ndarray, ...]:
+    """(picture, x, y, peak, area) of the blobs of many heatmaps (n, height, width), each picture's surest first: centres weighted by the
+    heatmap. The pictures lie below each other, a blank row between, so that all are labelled together."""
+    n, h, w = heat.shape
+    mask = np.zeros((n, h + 1, w), bool)
+    mask[:, :h] = heat >= threshold
+    row, x, blob, many = labels_of(mask.reshape(n * (h + 1), w))
+    picture, y = np.divmod(row, h + 1)
+    weight = heat[picture, y, x]
+    area, total = np.bincount(blob, minlength=many), np.bincount(blob, weights=weight, minlength=many)
+    peak, of = np.full(many, -np.inf), np.zeros(many, np.int64)
     np.maximum.at(peak, blob, weight)
-    cx, cy = (np.bincount(blob, weights=weight * v, minlength=n) / np.where(total > 0, total, 1) for v in (x, y))
+    of[blob] = picture
+    cx, cy = (np.bincount(blob, weights=weight * v, minlength=many) / np.where(total > 0, total, 1) for v in (x, y))
     keep = (area >= least_area) & (total > 0) & ((area <= most_area) if most_area else True)
-    order = [k for k in np.argsort(-peak, kind="stable") if keep[k]]
-    return [(float(cx[k]), float(cy[k]), float(peak[k]), int(area[k])) for k in order]
+    order = np.lexsort((-peak, of))
+    order = order[keep[order]]
+    return of[order], cx[order], cy[order], peak[order], area[order]
 
 
-def detect_in_heatmaps(frames: DataFrame, keys: list[str], net: tuple[int, int], full: tuple[int, int], threshold: float = 0.5, least_area: int = 2, most_area: int = 0) -> DataFrame:
-    """Blobs of heatmaps (keys, heatmap: array of rows) as candidates in full-resolution pixels, surest first: (keys,
-    cand_idx, u, v, confidence, area). A frame without any gives no row."""
+def blob_candidates(heat: np.ndarray, threshold: float, least_area: int, most_area: int) -> list[tuple[float, float, float, int]]:
+    """(x, y, peak, area) of a heatmap's blobs, surest first: centres weighted by the heatmap."""
+    return list(zip(*(a.tolist() for a in blobs_of(heat[None], threshold, least_area, most_area)[1:]), strict=True))
+
+
+def pictures(column: pa.Array, most: int = 2000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Heatmaps (lists of rows) as arrays (n, height, width) with their places in the column, up to `most` at a time. Null and empty ones
+    are left out."""
+    tall = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    rows = column.flatten()
+    wide, cells = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False), rows.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    first = np.cumsum(tall) - tall
+    some = np.flatnonzero(tall)
+    width = np.zeros(len(tall), np.int64)
+    width[some] = wide[first[some]]
+    if (np.repeat(width, tall) != wide).any():
+        raise ValueError("rows of a heatmap differ in length")
+    begin = np.cumsum(wide) - wide
+    for h, w in sorted(set(zip(tall[some].tolist(), width[some].tolist(), strict=True))):
+        same = np.flatnonzero((tall == h) & (width == w))
+        for part in np.split(same, range(most, len(same), most)) if w else ():
+            yield part, cells[begin[first[part]][:, None] + np.arange(h * w)].reshape(len(part), h, w)
+
+
+def _with_blobs(frames: DataFrame, keys: list[str], net: tuple[int, int], full: tuple[int, int], threshold: float, least_area: int, most_area: int) -> DataFrame:
+    """(keys, peak, blobs): a frame's blobs in full-resolution pixels, surest first."""
     threshold = max(threshold, 1e-6)
     sx, sy = full[0] / net[0], full[1] / net[1]
     kinds = dict(frames.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                heat = np.stack([np.asarray(r, float) for r in row[-1]])
-                out += [(*row[:-1], i, x * sx, y * sy, peak, area) for i, (x, y, peak, area) in enumerate(blob_candidates(heat, threshold, least_area, most_area))]
-            yield pd.DataFrame(out, columns=[*keys, "cand_idx", "u", "v", "confidence", "area"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heat, found = batch.column(batch.num_columns - 1), []
+            for part, maps in pictures(heat):
+                of, *values = blobs_of(maps, threshold, least_area, most_area)
+                found.append((part[of], *values))
+            of, x, y, peak, area = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64), *(np.zeros(0),) * 4)
+            order = np.argsort(of, kind="stable")
+            columns = {"u": pa.array(x[order] * sx), "v": pa.array(y[order] * sy), "confidence": pa.array(peak[order]), "area": pa.array(area[order].astype(np.int32))}
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=batch.num_rows))]).astype(np.int32)
+            blobs = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], blobs], [*batch.schema.names[:-1], "blobs"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", peak double, blobs array<struct<u: double, v: double, confidence: double, area: int>>"
+    peak = F.array_max(F.transform("heatmap", F.array_max)).cast("double")
+    return frames.select(*keys, peak.alias("peak"), "heatmap").mapInArrow(run, schema)
+
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", cand_idx int, u double, v double, confidence double, area int"
-    return frames.select(*keys, "heatmap").mapInPandas(run, schema)
+def detect_in_heatmaps(frames: DataFrame, keys: list[str], net: tuple[int, int], full: tuple[int, int], threshold: float = 0.5, least_area: int = 2, most_area: int = 0) -> DataFrame:
+    """Blobs of heatmaps (keys, heatmap: array of rows) as candidates in full-resolution pixels, surest first: (keys,
+    cand_idx, u, v, confidence, area). A frame without any gives no row."""
+    found = _with_blobs(frames, keys, net, full, threshold, least_area, most_area).select(*keys, F.posexplode("blobs").alias("cand_idx", "b"))
+    return found.select(*keys, "cand_idx", "b.u", "b.v", "b.confidence", "b.area")
 
 
 def ball_in_heatmaps(frames: DataFrame, keys: list[str], net: tuple[int, int], full: tuple[int, int], crop: tuple[int, int, int, int] | None = None, region: Polygon = (), margin: float = 0.0, threshold: float = 0.5, least_area: int = 2, most_area: int = 0) -> DataFrame:

@@ -171,3 +171,15 @@ def test_heatmaps_take_exponentials_along_each_axis_only(spark):
     got = [np.array(r.h) for r in df.collect()]
     y, x = np.mgrid[:5, :8]
     assert np.allclose(got[0], np.exp(-((x - 3.25) ** 2 + (y - 1.5) ** 2) / 4.5), rtol=1e-14, atol=0) and not got[1].any()
+
+
+def test_pictures_of_a_batch_are_labelled_together(spark):
+    """Blobs of many heatmaps at once are those of each; unlike sizes and missing heatmaps may lie in one batch."""
+    rng = np.random.default_rng(5)
+    maps = [rng.random((6, 7)) for _ in range(40)] + [np.zeros((6, 7)), rng.random((3, 9)), np.ones((6, 7))]
+    want = [(k, i, x, y, peak, area) for k, m in enumerate(maps) for i, (x, y, peak, area) in enumerate(signals.blob_candidates(m, 0.6, 2, 0))]
+    plain = [(k, len(b)) for k, m in enumerate(maps) for b in signals.components(m >= 0.6) if len(b) >= 2]
+    assert sorted((k, area) for k, *_, area in want) == sorted(plain)
+    df = spark.createDataFrame([(k, m.tolist()) for k, m in enumerate(maps)] + [(99, None), (98, [])], "frame int, heatmap array<array<double>>").coalesce(1)
+    got = [tuple(r) for r in signals.detect_in_heatmaps(df, ["frame"], (1, 1), (1, 1), 0.6).orderBy("frame", "cand_idx").collect()]
+    assert got == want
