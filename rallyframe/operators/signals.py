@@ -209,15 +209,18 @@ def ball_in_heatmaps(frames: DataFrame, keys: list[str], net: tuple[int, int], f
     """One row a frame: found, u, v, confidence and reason (ok, no-ball, out-of-court).
 
     The surest blob inside the region (dilated by the margin) is the ball; blobs of a crop of the full picture (x0, y0, x1,
-    y1) are mapped back into it. Without one the confidence is the heatmap's peak."""
+    y1) are mapped back into it. Without one the confidence is the heatmap's peak. A frame with a null key has no ball."""
     x0, y0, x1, y1 = crop or (0, 0, *full)
-    blobs = detect_in_heatmaps(frames, keys, net, (x1 - x0, y1 - y0), threshold, least_area, most_area).withColumns({"u": F.col("u") + num(x0), "v": F.col("v") + num(y0)})
-    blobs = blobs.withColumn("_in", in_region(region, F.col("u"), F.col("v"), margin))
-    found = blobs.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("_in").alias("_n_in"), F.min_by(F.struct("u", "v", "confidence"), F.when(F.col("_in"), F.col("cand_idx"))).alias("_b"))
-    peaks_ = frames.select(*keys, F.array_max(F.transform("heatmap", F.array_max)).cast("double").alias("_peak"))
-    rows = peaks_.join(found, keys, "left").withColumn("reason", blob_reason(F.col("_peak"), F.coalesce("_n", F.lit(0)), F.coalesce("_n_in", F.lit(0)), threshold))
+    rows = _with_blobs(frames, keys, net, (x1 - x0, y1 - y0), threshold, least_area, most_area)
+    moved = F.transform("blobs", lambda b: F.struct((b["u"] + num(x0)).alias("u"), (b["v"] + num(y0)).alias("v"), b["confidence"].alias("confidence")))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    rows = rows.withColumn("_all", F.when(known, moved).otherwise(F.slice(moved, 1, 0)))
+    rows = rows.withColumn("_in", F.filter("_all", lambda b: in_region(region, b["u"], b["v"], margin)))
+    rows = rows.withColumn("reason", blob_reason(F.col("peak"), F.size("_all"), F.size("_in"), threshold)).withColumn("_b", F.get("_in", F.lit(0)))
     ok = F.col("reason") == "ok"
-    return rows.select(*keys, ok.alias("found"), *(F.when(ok, F.col(f"_b.{c}")).alias(c) for c in "uv"), F.when(ok, F.col("_b.confidence")).otherwise(F.col("_peak")).alias("confidence"), "reason")
+    return rows.select(*keys, ok.alias("found"), *(F.when(ok, F.col(f"_b.{c}")).alias(c) for c in "uv"), F.when(ok, F.col("_b.confidence")).otherwise(F.col("peak")).alias("confidence"), "reason")
 
 
 def heatmap_hits(frames: DataFrame, tolerance: float) -> DataFrame:

@@ -183,3 +183,9 @@ def test_pictures_of_a_batch_are_labelled_together(spark):
     df = spark.createDataFrame([(k, m.tolist()) for k, m in enumerate(maps)] + [(99, None), (98, [])], "frame int, heatmap array<array<double>>").coalesce(1)
     got = [tuple(r) for r in signals.detect_in_heatmaps(df, ["frame"], (1, 1), (1, 1), 0.6).orderBy("frame", "cand_idx").collect()]
     assert got == want
+
+
+def test_ball_in_heatmap_is_one_pass(spark, sf):
+    """A frame's blobs stay beside its peak: no join, no grouping, and the heatmaps are made once."""
+    plan = plan_of(QUERIES["ball_in_heatmap"](spark, sf))
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 1
