@@ -1,6 +1,6 @@
 """Ordered work on clips: rows of a clip go to one task in frame order.
 
-The unit of state is a clip, and clips run in parallel. A clip's rows are handed over as one pandas frame, sorted
+The unit of state is a clip, and clips run in parallel. A fold gets a clip's rows as one pandas frame, sorted
 by frame; per-row code is a small step on a few numbers. What it gives goes back as Arrow columns."""
 
 from __future__ import annotations
@@ -11,25 +11,69 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
-def per_clip(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.DataFrame], Iterable[tuple[Any, ...]]], schema: str) -> DataFrame:
-    """`fold` takes a clip's sorted rows and gives rows of `schema` behind the keys."""
+def _whole_clips(df: DataFrame, keys: list[str], order: list[Column], worked: Callable[[pa.Table, np.ndarray], Iterable[pa.RecordBatch]], schema: str, rows: int) -> DataFrame:
+    """`worked` takes sorted rows of several whole clips and where each begins, about `rows` at a time; a longer clip comes alone."""
+
+    def clips(table: pa.Table) -> np.ndarray:
+        return np.flatnonzero(np.diff(table.select(keys).to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy(), prepend=-1))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < rows:
+                continue
+            table = pa.Table.from_batches(held)
+            first = clips(table)
+            cut = int(first[-1])  # the last clip may go on
+            if cut:
+                yield from worked(table.slice(0, cut), first[:-1])
+            held = table.slice(cut).to_batches()
+            n = table.num_rows - cut
+        if n:
+            table = pa.Table.from_batches(held)
+            yield from worked(table, clips(table))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def per_clip(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.DataFrame], Iterable[tuple[Any, ...]]], schema: str, rows: int = 20_000) -> DataFrame:
+    """`fold` takes a clip's sorted rows and gives rows of `schema` behind the keys. Clips are handed to Python many at a time, as
+    most are short and each hand-over costs milliseconds."""
     kinds = dict(df.dtypes)
     full = ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema])
     fields = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(full)]
 
-    def run(clip: pa.Table) -> pa.Table:
-        pdf = clip.to_pandas().sort_values(order, kind="stable", ignore_index=True)
-        columns = list(zip(*fold(pdf), strict=True)) or [()] * (len(fields) - len(keys))
-        key = [clip.column(k)[0].as_py() for k in keys]
-        n = len(columns[0])
-        return pa.table({name: pa.array([k] * n, kind) for k, (name, kind) in zip(key, fields, strict=False)} | {name: pa.array(c, kind, from_pandas=True) for c, (name, kind) in zip(columns, fields[len(keys) :], strict=True)})
-
-    return df.groupBy(*keys).applyInArrow(run, full)
+    def batch(table: pa.Table, first: list[int], out: list[tuple]) -> pa.RecordBatch:
+        own = [table.column(k).take(pa.array(first)).combine_chunks() for k in keys]
+        values = [pa.array(c, kind, from_pandas=True) for c, (_, kind) in zip(zip(*out, strict=True), fields[len(keys) :], strict=True)]
+        return pa.RecordBatch.from_arrays([*own, *values], [name for name, _ in fields])
+
+    def worked(table: pa.Table, first: np.ndarray) -> Iterable[pa.RecordBatch]:
+        # whole numbers and flags with nulls turn into other types in pandas, in the clips that have them: these are turned one by one
+        exact = any(c.null_count and (pa.types.is_integer(c.type) or pa.types.is_boolean(c.type)) for c in table.columns)
+        pdf = None if exact else table.to_pandas()
+        of: list[int] = []
+        out: list[tuple] = []
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), table.num_rows], strict=True):
+            clip = table.slice(lo, hi - lo).to_pandas() if exact else pdf.iloc[lo:hi].reset_index(drop=True)
+            out += fold(clip)
+            of += [lo] * (len(out) - len(of))
+            if len(out) >= rows:
+                yield batch(table, of, out)
+                of, out = [], []
+        if out:
+            yield batch(table, of, out)
+
+    return _whole_clips(df, keys, [F.col(c).asc_nulls_last() for c in order], worked, full, rows)
 
 
 def many_clips(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.DataFrame, np.ndarray], Iterable[tuple[np.ndarray, pd.DataFrame]]], schema: str, rows: int = 100_000) -> DataFrame:
@@ -39,35 +83,15 @@ def many_clips(df: DataFrame, keys: list[str], order: list[str], fold: Callable[
     full = ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema])
     fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(full)])
 
-    def worked(table: pa.Table) -> Iterable[pa.RecordBatch]:
-        pdf = table.to_pandas()
-        clip = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-        first = np.flatnonzero(np.diff(clip, prepend=-1))
-        for which, out in fold(pdf, clip):
+    def worked(table: pa.Table, first: np.ndarray) -> Iterable[pa.RecordBatch]:
+        clip = np.repeat(np.arange(len(first)), np.diff(first, append=table.num_rows))
+        for which, out in fold(table.to_pandas(), clip):
             if len(out):
                 own = [table.column(k).take(pa.array(first[which])) for k in keys]
                 values = [pa.array(out[f.name], f.type, from_pandas=True) for f in list(fields)[len(keys) :]]
                 yield from pa.Table.from_arrays([*own, *values], schema=fields).to_batches()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n < rows:
-                continue
-            table = pa.Table.from_batches(held)
-            ids = table.select(keys).to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-            cut = int(np.searchsorted(ids, ids[-1]))  # the last clip may go on
-            if cut:
-                yield from worked(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-            n = table.num_rows - cut
-        if n:
-            yield from worked(pa.Table.from_batches(held))
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)
+    return _whole_clips(df, keys, [F.col(c) for c in order], worked, full, rows)
 
 
 def stretches(frames: pd.Series) -> list[tuple[int, int, int]]:
