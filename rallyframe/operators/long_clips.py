@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import TrackerConfig
-from .clips import per_clip
+from .clips import many_clips, per_clip
 from .tracking import TRACK, Kalman, _frames
 
 #: Frames of a chunk.
@@ -61,6 +61,22 @@ def composed(many: Element) -> Element:
     return tuple(x[0] for x in many)
 
 
+def composed_by(many: Element, of: np.ndarray) -> Element:
+    """`composed` for each stretch of equal numbers in `of` (0, 1, ...), all stretches together."""
+    while len(of):
+        first = np.searchsorted(of, of)
+        even = (np.arange(len(of)) - first) % 2 == 0
+        i = np.flatnonzero(even[:-1] & (of[:-1] == of[1:]))
+        if not len(i):
+            break
+        half = compose(tuple(x[i] for x in many), tuple(x[i + 1] for x in many))
+        many = tuple(x.copy() for x in many)
+        for x, h in zip(many, half, strict=True):
+            x[i] = h
+        many, of = tuple(x[even] for x in many), of[even]
+    return many
+
+
 def carried(state: list[float], element: Element) -> list[float]:
     """The filter's state (x, y, vx, vy, p11, p12, p22) after an element."""
     x, y, vx, vy, p11, p12, p22 = state
@@ -79,23 +95,41 @@ def linear(cfg: TrackerConfig) -> TrackerConfig:
 SUMMARY = "frames int, lead int, tail int, again boolean, element array<double>, state array<double>, coast int"
 
 
-def summary(pdf: pd.DataFrame, cfg: TrackerConfig) -> tuple:
-    """A row of SUMMARY: frames; those before the first measurement and after the last; whether the track is lost and
-    begun anew in between; else the chunk's element; state and coast of a filter that begins with the chunk."""
-    own, best = Kalman(cfg), []
-    for _, found in _frames(pdf):
-        own.step(found)
-        best.append(max(found, key=lambda k: k[2]) if found else (np.nan,) * 3)
-    u = np.array(best, float)
-    there = np.flatnonzero(~np.isnan(u[:, 0]))
-    lead = int(there[0]) if len(there) else len(u)
-    tail = len(u) - 1 - int(there[-1]) if len(there) else len(u)
-    again = bool(len(there) and max([*np.diff(there) - 1, tail]) > cfg.max_coast)
-    element = None
-    if not again and lead <= cfg.max_coast:
-        noise = cfg.r * cfg.conf_ref / np.maximum(u[:, 2], cfg.conf_floor)
-        element = np.concatenate([x.ravel() for x in composed(elements(u[:, :2], noise, cfg))]).tolist()
-    return (len(u), lead, tail, again, element, own.state, own.coast)
+def _by_frame(pdf: pd.DataFrame, clip: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, float, float]]]]:
+    """Of the frames of several chunks: chunk, number, candidates."""
+    frame = pdf["frame"].to_numpy(np.int64)
+    begin = np.flatnonzero((np.diff(clip, prepend=-1) != 0) | (np.diff(frame, prepend=0) != 0))
+    rows = list(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["confidence"].tolist(), strict=True))
+    ends = [*begin[1:].tolist(), len(rows)]
+    return clip[begin], frame[begin], [[r for r in rows[a:b] if r[0] is not None and r[0] == r[0]] for a, b in zip(begin.tolist(), ends, strict=True)]
+
+
+def summaries(pdf: pd.DataFrame, clip: np.ndarray, cfg: TrackerConfig) -> Iterable[tuple[np.ndarray, pd.DataFrame]]:
+    """A row of SUMMARY for each chunk: frames; those before the first measurement and after the last; whether the track is lost and
+    begun anew in between; else the chunk's element; state and coast of a filter that begins with the chunk. The elements of all
+    chunks are composed together."""
+    of, _, candidates = _by_frame(pdf, clip)
+    u = np.array([max(found, key=lambda k: k[2]) if found else (np.nan,) * 3 for found in candidates], float)
+    edge = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+    out, whole = [], np.zeros(len(edge) - 1, bool)
+    for k, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        own = Kalman(cfg)
+        for found in candidates[lo:hi]:
+            own.step(found)
+        there = np.flatnonzero(~np.isnan(u[lo:hi, 0]))
+        n = hi - lo
+        lead = int(there[0]) if len(there) else n
+        tail = n - 1 - int(there[-1]) if len(there) else n
+        again = bool(len(there) and max(int(np.diff(there).max(initial=1)) - 1, tail) > cfg.max_coast)
+        whole[k] = not again and lead <= cfg.max_coast
+        out.append([n, lead, tail, again, None, own.state, own.coast])
+    some = np.flatnonzero(whole[of])
+    if len(some):
+        noise = cfg.r * cfg.conf_ref / np.maximum(u[some, 2], cfg.conf_floor)
+        made = composed_by(elements(u[some, :2], noise, cfg), of[some])
+        for k, element in zip(np.flatnonzero(whole).tolist(), np.concatenate([x.reshape(len(x), 4) for x in made], 1).tolist(), strict=True):
+            out[k][4] = element
+    yield np.arange(len(out)), pd.DataFrame(out, columns=[c.split()[0] for c in SUMMARY.split(", ")])
 
 
 def after(state: list[float] | None, coast: int, row: tuple, cfg: TrackerConfig) -> tuple[list[float] | None, int]:
@@ -111,7 +145,7 @@ def after(state: list[float] | None, coast: int, row: tuple, cfg: TrackerConfig)
 def _begun(candidates: DataFrame, cfg: TrackerConfig, keys: list[str], chunk: int) -> DataFrame:
     """Candidates with their chunk and the filter's state before it (start, start_coast)."""
     rows = candidates.withColumn("chunk", F.floor(F.col("frame") / chunk).cast("long"))
-    sums = per_clip(rows, [*keys, "chunk"], ["frame", "cand_idx"], lambda pdf: [summary(pdf, cfg)], SUMMARY)
+    sums = many_clips(rows, [*keys, "chunk"], ["frame", "cand_idx"], lambda pdf, clip: summaries(pdf, clip, cfg), SUMMARY)
 
     def along(pdf: pd.DataFrame) -> Iterable[tuple]:
         state, coast = None, 0
@@ -143,55 +177,69 @@ def track_long(candidates: DataFrame, cfg: TrackerConfig = TrackerConfig(), keys
     return per_clip(_begun(candidates, cfg, keys, chunk), [*keys, "chunk"], ["frame", "cand_idx"], fold, TRACK).drop("chunk")
 
 
-def back_gain(state: list[float], cfg: TrackerConfig) -> np.ndarray:
-    """How much of the correction of the next frame's state comes back to this one's (2 x 2, for either axis)."""
-    *_, p11, p12, p22 = state
+def back_gains(states: np.ndarray, cfg: TrackerConfig) -> np.ndarray:
+    """How much of the correction of the next frame's state comes back to each of these (n, 2, 2), for either axis."""
     dt, q = cfg.dt, cfg.q
-    p, f = np.array([[p11, p12], [p12, p22]]), np.array([[1.0, dt], [0.0, 1.0]])
+    p, f = states[:, [4, 5, 5, 6]].reshape(-1, 2, 2), np.array([[1.0, dt], [0.0, 1.0]])
     ahead = f @ p @ f.T + np.array([[q * dt**4 / 4, q * dt**3 / 2], [q * dt**3 / 2, q * dt**2]])
     return p @ f.T @ np.linalg.inv(ahead)
 
 
 class Backwards:
-    """Filtered states of a chunk's frames, and the maps from the smoothed state of the frame after each to its own."""
-
-    def __init__(self, pdf: pd.DataFrame, cfg: TrackerConfig):
-        kalman = _filter_of(pdf, cfg)
-        was = kalman.state
-        self.frames: list[int] = []
-        self.maps: list[tuple[np.ndarray, np.ndarray] | None] = []  # None: no track
-        self.alone: list[np.ndarray | None] = []
-        self.chained: list[bool] = []  # to the frame before
-        for frame, found in _frames(pdf):
-            kalman.step(found)
-            self.chained.append(was is not None and kalman.state is not None)
+    """Filtered states of the frames of several chunks, and the maps from the smoothed state of the frame after each to its own; all
+    chunks are gone through together, from their ends."""
+
+    def __init__(self, pdf: pd.DataFrame, clip: np.ndarray, cfg: TrackerConfig):
+        self.of, self.frames, candidates = _by_frame(pdf, clip)
+        self.edge = np.flatnonzero(np.diff(self.of, prepend=-1, append=-1))
+        self.first, self.length = self.edge[:-1], np.diff(self.edge)
+        n = len(self.frames)
+        states, self.there, self.chained = np.zeros((n, 7)), np.zeros(n, bool), np.zeros(n, bool)  # chained: to the frame before
+        begin = np.searchsorted(clip, np.arange(len(self.first)))
+        starts, coasts = pdf["start"].to_numpy(), pdf["start_coast"].to_numpy()
+        for row, lo, hi in zip(begin.tolist(), self.first.tolist(), self.edge[1:].tolist(), strict=True):
+            kalman = Kalman(cfg)
+            if starts[row] is not None:
+                kalman.state, kalman.coast = list(starts[row]), int(coasts[row])
             was = kalman.state
-            self.frames.append(frame)
-            m = None if was is None else np.array([was[:2], was[2:4]])
-            e = None if was is None else back_gain(was, cfg)
-            self.alone.append(m)
-            self.maps.append(None if was is None else (e, m - e @ np.array([[1.0, cfg.dt], [0.0, 1.0]]) @ m))
-
-    def smoothed(self, after_: np.ndarray | None) -> list[np.ndarray | None]:
-        """Smoothed states (2 x 2: place and speed by axis), from the smoothed state of the frame after the chunk (None: it isn't chained)."""
-        out: list[np.ndarray | None] = [None] * len(self.maps)
-        for k in range(len(self.maps) - 1, -1, -1):
-            if self.maps[k] is not None:
-                e, g = self.maps[k]
-                out[k] = self.alone[k] if after_ is None else e @ after_ + g
-            after_ = out[k] if k and self.chained[k] else None
+            for i in range(lo, hi):
+                kalman.step(candidates[i])
+                self.chained[i] = was is not None and kalman.state is not None
+                was = kalman.state
+                if was is not None:
+                    states[i], self.there[i] = was, True
+        self.alone = states[:, :4].reshape(n, 2, 2)
+        self.e, self.g = np.zeros((n, 2, 2)), np.zeros((n, 2, 2))
+        some, f = np.flatnonzero(self.there), np.array([[1.0, cfg.dt], [0.0, 1.0]])
+        self.e[some] = back_gains(states[some], cfg)
+        self.g[some] = self.alone[some] - self.e[some] @ (f @ self.alone[some])
+
+    def _steps(self) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+        """Chunks that have a frame left, and these frames, from the last to the first."""
+        for k in range(int(self.length.max(initial=0)) - 1, -1, -1):
+            at = np.flatnonzero(self.length > k)
+            yield at, self.first[at] + k
+
+    def smoothed(self, after_: np.ndarray, has: np.ndarray) -> np.ndarray:
+        """Smoothed states (2 x 2: place and speed by axis) of the frames that are `there`, from the smoothed states of the frames after
+        the chunks; `has`: whether there is one that is chained."""
+        out, now, has = np.zeros(self.e.shape), after_.copy(), has.copy()
+        for at, i in self._steps():
+            out[i] = np.where(has[at, None, None], self.e[i] @ now[at] + self.g[i], self.alone[i])
+            now[at], has[at] = out[i], self.chained[i]
         return out
 
-    def whole(self) -> tuple[bool, bool, np.ndarray, np.ndarray]:
-        """Whether a smoothed state after the chunk reaches its first frame; whether the first frame goes on with the track before; the
-        first frame's smoothed state as map of the state after: (E, g)."""
-        through = all(x is not None for x in self.maps) and all(self.chained[1:])
-        if through:
-            e, g = np.eye(2), np.zeros((2, 2))
-            for own_e, own_g in reversed(self.maps):
-                e, g = own_e @ e, own_e @ g + own_g
-            return True, self.chained[0], e, g
-        return False, self.chained[0], np.zeros((2, 2)), np.zeros((2, 2))
+    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each chunk: whether a smoothed state after it reaches its first frame; whether the first frame goes on with the track before;
+        the first frame's smoothed state as map of the state after: (E, g)."""
+        e, g = np.broadcast_to(np.eye(2), (len(self.first), 2, 2)).copy(), np.zeros((len(self.first), 2, 2))
+        for at, i in self._steps():
+            e[at], g[at] = self.e[i] @ e[at], self.e[i] @ g[at] + self.g[i]
+        links = self.chained.copy()
+        links[self.first] = True
+        through = np.logical_and.reduceat(self.there & links, self.first)
+        e[~through], g[~through] = 0.0, 0.0
+        return through, self.chained[self.first], e, g
 
 
 MAPS = "through boolean, goes_on boolean, e array<double>, g array<double>, first array<double>"
@@ -203,11 +251,14 @@ def smooth_long(candidates: DataFrame, cfg: TrackerConfig = TrackerConfig(), key
     keys, cfg = keys or ["clip"], linear(cfg)
     begun = _begun(candidates, cfg, keys, chunk)
 
-    def told(pdf: pd.DataFrame) -> Iterable[tuple]:
-        part = Backwards(pdf, cfg)
+    def told(pdf: pd.DataFrame, clip: np.ndarray) -> Iterable[tuple[np.ndarray, pd.DataFrame]]:
+        part = Backwards(pdf, clip, cfg)
         through, goes_on, e, g = part.whole()
-        first = part.smoothed(None)[0]
-        yield (through, goes_on, e.ravel().tolist(), g.ravel().tolist(), None if first is None else first.ravel().tolist())
+        n = len(through)
+        first = part.smoothed(np.zeros((n, 2, 2)), np.zeros(n, bool))[part.first]
+        flat = lambda m: m.reshape(n, 4).tolist()
+        begun_ = [x if there else None for x, there in zip(flat(first), part.there[part.first].tolist(), strict=True)]
+        yield np.arange(n), pd.DataFrame({"through": through, "goes_on": goes_on, "e": flat(e), "g": flat(g), "first": pd.Series(begun_, dtype=object)})
 
     def along(pdf: pd.DataFrame) -> Iterable[tuple]:
         """From the last chunk to the first: the smoothed state of the frame after each, if its last frame is chained to it."""
@@ -221,12 +272,14 @@ def smooth_long(candidates: DataFrame, cfg: TrackerConfig = TrackerConfig(), key
                 own = None if r.first is None else square(r.first)
             later = own if r.goes_on else None
 
-    ends = per_clip(per_clip(begun, [*keys, "chunk"], ["frame", "cand_idx"], told, MAPS), keys, ["chunk"], along, "chunk long, later array<double>")
+    ends = per_clip(many_clips(begun, [*keys, "chunk"], ["frame", "cand_idx"], told, MAPS), keys, ["chunk"], along, "chunk long, later array<double>")
 
-    def fold(pdf: pd.DataFrame) -> Iterable[tuple]:
-        later, part = pdf["later"].iloc[0], Backwards(pdf, cfg)
-        for frame, s in zip(part.frames, part.smoothed(None if later is None else np.array(later, float).reshape(2, 2)), strict=True):
-            if s is not None:
-                yield (frame, float(s[0, 0]), float(s[0, 1]), float(s[1, 0]), float(s[1, 1]))
+    def fold(pdf: pd.DataFrame, clip: np.ndarray) -> Iterable[tuple[np.ndarray, pd.DataFrame]]:
+        part = Backwards(pdf, clip, cfg)
+        later = pdf["later"].to_numpy()[np.searchsorted(clip, np.arange(len(part.first)))]
+        has = np.array([x is not None for x in later], bool)
+        s = part.smoothed(np.array([np.zeros(4) if x is None else x for x in later], float).reshape(-1, 2, 2), has)
+        on = np.flatnonzero(part.there)
+        yield part.of[on], pd.DataFrame({"frame": part.frames[on].astype(np.int32), "x": s[on, 0, 0], "y": s[on, 0, 1], "vx": s[on, 1, 0], "vy": s[on, 1, 1]})
 
-    return per_clip(begun.join(ends, [*keys, "chunk"]), [*keys, "chunk"], ["frame", "cand_idx"], fold, "frame int, x double, y double, vx double, vy double").drop("chunk")
+    return many_clips(begun.join(ends, [*keys, "chunk"]), [*keys, "chunk"], ["frame", "cand_idx"], fold, "frame int, x double, y double, vx double, vy double").drop("chunk")

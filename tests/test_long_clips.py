@@ -106,3 +106,20 @@ def test_chunks_give_the_smoothed_track(spark, chunk):
     want = plain_smoothed(rows, long_clips.linear(cfg))
     assert got.keys() == want.keys() and len(got) > 200
     assert all(np.allclose(got[k], want[k], rtol=1e-7, atol=1e-5) for k in want)
+
+
+def test_chunks_are_handed_over_many_at_a_time(spark):
+    """Handing chunks to Python one by one costs milliseconds each."""
+    frame = spark.createDataFrame(flights(5, 40), CANDIDATE)
+    for out in (long_clips.track_long(frame, chunk=8), long_clips.smooth_long(frame, chunk=8)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_elements_of_many_chunks_compose_together():
+    cfg, rng = long_clips.linear(TrackerConfig()), np.random.default_rng(6)
+    of = np.repeat(np.arange(5), [1, 2, 7, 8, 3])
+    many = long_clips.elements(rng.normal(500, 20, size=(len(of), 2)), np.full(len(of), 30.0), cfg)
+    got = long_clips.composed_by(many, of)
+    for k in range(5):
+        assert all(np.array_equal(a[k], b) for a, b in zip(got, long_clips.composed(tuple(x[of == k] for x in many)), strict=True))
