@@ -337,16 +337,15 @@ class Flights:
                 if len(at):
                     self._update(at, [(np.broadcast_to(_AXES[2], (len(at), 6)), z[at] - self.s[at, 2], np.full(len(at), CLAMP_VARIANCE))])
             post[:, t], post_c[:, t] = self.s, self.c
-        if most > 1:
-            later = prior_c[:, 1:]
-            chained = (length[:, None] > np.arange(1, most)) & ~broke[:, 1:] & np.isfinite(later).all((2, 3))
-            later = np.where(chained[:, :, None, None], later, np.eye(6))
+        for t in range(most - 2, -1, -1):  # gains frame by frame: those of all frames would take more than the states do
+            later = prior_c[:, t + 1]
+            chained = (length > t + 1) & ~broke[:, t + 1] & np.isfinite(later).all((1, 2))
+            later = np.where(chained[:, None, None], later, np.eye(6))
             chained &= np.linalg.det(later) != 0
-            later = np.where(chained[:, :, None, None], later, np.eye(6))
-            gains = post_c[:, :-1] @ self.f.T @ np.linalg.inv(later)
-            for t in range(most - 2, -1, -1):
-                moved = post[:, t] + np.einsum("nij,nj->ni", gains[:, t], post[:, t + 1] - prior[:, t + 1])
-                post[:, t] = np.where(chained[:, t, None], moved, post[:, t])
+            later = np.where(chained[:, None, None], later, np.eye(6))
+            gains = post_c[:, t] @ self.f.T @ np.linalg.inv(later)
+            moved = post[:, t] + np.einsum("nij,nj->ni", gains, post[:, t + 1] - prior[:, t + 1])
+            post[:, t] = np.where(chained[:, None], moved, post[:, t])
         post[:, :, 2] = np.clip(post[:, :, 2], 0.0, self.cfg.z_max)
         return post[:, :, :3]
 
