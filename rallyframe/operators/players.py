@@ -163,7 +163,11 @@ def court_positions(detections: DataFrame, cam: str, homography: Matrix, polygon
     rows = detections.where(in_polygon(polygon, *centre)).withColumns({"foot_u": fx, "foot_v": fy, "foot_source": source})
     x, y = transform_point(homography, F.col("foot_u"), F.col("foot_v"))
     gx, gy = to_global(F.lit(cam), x, y)
-    return rows.withColumns({"cam": F.lit(cam), "x": gx, "y": gy, "bh": F.col("y2") - F.col("y1")}).withColumn("inside", in_court(F.col("x"), F.col("y"))).where(in_court(F.col("x"), F.col("y"), bounds_m))
+    # out of a list of one: a filter on plain columns would move below them and work each place out dozens of times
+    placed = rows.withColumn("_at", F.explode(F.array(F.struct(gx.alias("x"), gy.alias("y")))))
+    own = [c for c in rows.columns if c not in ("cam", "x", "y", "bh", "inside")]
+    placed = placed.select(*own, F.lit(cam).alias("cam"), "_at.x", "_at.y", (F.col("y2") - F.col("y1")).alias("bh"))
+    return placed.withColumn("inside", in_court(F.col("x"), F.col("y"))).where(in_court(F.col("x"), F.col("y"), bounds_m))
 
 
 def fuse(a: DataFrame, b: DataFrame, offset: int, keys: list[str], radius: float = 1.5) -> DataFrame:
