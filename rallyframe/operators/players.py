@@ -72,6 +72,18 @@ def bhattacharyya_np(a: np.ndarray | None, b: np.ndarray | None) -> float | None
     return math.sqrt(max(0.0, 1 - float(np.sqrt(a * b).sum()) / norm)) if norm > 0 else 1.0
 
 
+def color_distances(profiles: list[np.ndarray | None], seen: list[np.ndarray | None]) -> list[list[float | None]]:
+    """`bhattacharyya_np` of each profile and each detection, at once where all have histograms of one length."""
+    every = [*profiles, *seen]
+    if not profiles or not seen or any(h is None for h in every) or len({len(h) for h in every}) > 1:
+        return [[bhattacharyya_np(a, b) for b in seen] for a in profiles]
+    a, b = np.stack(profiles), np.stack(seen)
+    norm = np.sqrt(a.sum(1)[:, None] * b.sum(1))
+    some = norm > 0
+    common = np.sqrt(a[:, None] * b).sum(2) / np.where(some, norm, 1.0)
+    return np.where(some, np.sqrt(np.maximum(0.0, 1 - common)), 1.0).tolist()
+
+
 @dataclass
 class Identities:
     """State of a match: four profiles; `step` takes a frame's detections (x, y, histogram)."""
@@ -86,20 +98,21 @@ class Identities:
     def step(self, frame: int, detections: list[tuple[float | None, float | None, np.ndarray | None]]) -> list[tuple]:
         """(index, player, cost, distance, colour distance, re-entry) of the accepted pairs."""
         c, ids, out = self.cfg, list(self.profiles), []
-        cost, parts = np.full((len(ids), len(detections)), 1e6), {}
+        cost, parts = [[1e6] * len(detections) for _ in ids], {}
+        colors = color_distances([self.profiles[k].hist for k in ids], [hist for _, _, hist in detections])
         for i, k in enumerate(ids):
             p = self.profiles[k]
             fresh = p.pos is not None and p.last >= 0 and frame - p.last <= c.position_ttl
-            for j, (x, y, hist) in enumerate(detections):
+            for j, (x, y, _) in enumerate(detections):
                 d = math.hypot(x - p.pos[0], y - p.pos[1]) if fresh and x is not None else None
-                color = bhattacharyya_np(p.hist, hist)
+                color = colors[i][j]
                 weight = (c.w_pos if d is not None else 0) + (c.w_color if color is not None else 0)
                 if weight:
-                    cost[i, j] = ((c.w_pos * min(1, d / c.diagonal_m) if d is not None else 0) + (c.w_color * color if color is not None else 0)) / weight
+                    cost[i][j] = ((c.w_pos * min(1, d / c.diagonal_m) if d is not None else 0) + (c.w_color * color if color is not None else 0)) / weight
                 parts[i, j] = (d, color)
         taken = set()
-        for i, j in assign(cost) if detections else []:
-            if cost[i, j] >= c.threshold:
+        for i, j in assign(np.array(cost)) if detections else []:
+            if cost[i][j] >= c.threshold:
                 continue
             k, p = ids[i], self.profiles[ids[i]]
             x, y, hist = detections[j]
@@ -109,7 +122,7 @@ class Identities:
             if c.ema > 0 and hist is not None:
                 p.hist = hist if p.hist is None else (1 - c.ema) * p.hist + c.ema * hist
             taken.add(k)
-            out.append((j, k, round(float(cost[i, j]), 4), *(None if z is None else round(z, 3) for z in parts[i, j]), again))
+            out.append((j, k, round(float(cost[i][j]), 4), *(None if z is None else round(z, 3) for z in parts[i, j]), again))
         for k in ids:
             if k not in taken:
                 self.profiles[k].missing = True
