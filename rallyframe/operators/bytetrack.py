@@ -6,14 +6,14 @@ filter is four of two numbers each, and those of all tracks of a task's clips ar
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .clips import many_clips
+from .clips import picked_rows
 from .players import assign
 
 
@@ -239,13 +239,14 @@ class ByteTrack(ByteTracks):
         return super().step(np.zeros(1, int), np.array([frame]), np.zeros(len(boxes), int), boxes, conf)
 
 
-def track_players(boxes: DataFrame, keys: list[str], cfg: ByteConfig = ByteConfig()) -> DataFrame:
-    """(keys, frame, det_idx, track_id) of the boxes on confirmed tracks. `boxes`: keys, frame, det_idx, x1, y1, x2, y2, conf; frames
-    without boxes just pass. Tracks are numbered from 1 in each clip, in the order in which they are confirmed; those that
-    begin in a clip's first frame are confirmed at once."""
+def tracked_boxes(boxes: DataFrame, keys: list[str], order: list[str], carry: list[str], cfg: ByteConfig = ByteConfig()) -> DataFrame:
+    """The boxes on confirmed tracks: keys, the columns `carry`, track_id, and begins (it is the track's first). `boxes`: keys, frame,
+    x1, y1, x2, y2, conf, `carry` and `order`, by which those of a frame are taken; frames without boxes just pass. Tracks are numbered
+    from 1 in each clip, in the order in which they are confirmed; those that begin in a clip's first frame are confirmed at once."""
+    columns = ["frame", "x1", "y1", "x2", "y2", "conf"]
 
-    def fold(pdf: pd.DataFrame, clip: np.ndarray) -> Iterable[tuple[np.ndarray, pd.DataFrame]]:
-        place, conf, index, frame = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float), pdf["det_idx"].to_numpy(), pdf["frame"].to_numpy(np.int64)
+    def fold(pdf: pd.DataFrame, clip: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
+        place, conf, frame = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float), pdf["frame"].to_numpy(np.int64)
         begins = np.flatnonzero((np.diff(clip, prepend=-1) != 0) | (np.diff(frame, prepend=0) != 0))  # of frames of clips
         ends, of = np.append(begins[1:], len(pdf)), clip[begins]
         turn = np.arange(len(begins)) - np.searchsorted(of, of)  # a frame's number in its clip
@@ -256,6 +257,16 @@ def track_players(boxes: DataFrame, keys: list[str], cfg: ByteConfig = ByteConfi
             rows = np.repeat(begins[part] - np.cumsum(many) + many, many) + np.arange(many.sum())
             found[rows] = tracks.step(of[part], frame[begins[part]], clip[rows], place[rows], conf[rows])
         on = np.flatnonzero(found)
-        yield clip[on], pd.DataFrame({"frame": frame[on].astype(np.int32), "det_idx": index[on].astype(np.int32), "track_id": found[on].astype(np.int32)})
+        track, first = found[on], np.zeros(len(on), bool)
+        first[np.unique(clip[on] * (found.max() + 1) + track, return_index=True)[1]] = True
+        return on, pd.DataFrame({"track_id": track.astype(np.int32), "begins": first})
+
+    rows = boxes.select(*dict.fromkeys([*keys, *columns, *order, *carry]))
+    return picked_rows(rows, keys, ["frame", *order], columns, carry, fold, "track_id int, begins boolean", 400_000)
 
-    return many_clips(boxes.select(*keys, "frame", "det_idx", "x1", "y1", "x2", "y2", "conf"), keys, ["frame", "det_idx"], fold, "frame int, det_idx int, track_id int", 400_000)
+
+def track_players(boxes: DataFrame, keys: list[str], cfg: ByteConfig = ByteConfig()) -> DataFrame:
+    """(keys, frame, det_idx, track_id) of the boxes on confirmed tracks (see `tracked_boxes`). `boxes`: keys, frame, det_idx, x1, y1, x2,
+    y2, conf."""
+    rows = tracked_boxes(boxes, keys, ["det_idx"], ["frame", "det_idx"], cfg)
+    return rows.select(*keys, *(F.col(c).cast("int").alias(c) for c in ("frame", "det_idx")), "track_id")

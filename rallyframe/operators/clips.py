@@ -17,8 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
-def _whole_clips(df: DataFrame, keys: list[str], order: list[Column], worked: Callable[[pa.Table, np.ndarray], Iterable[pa.RecordBatch]], schema: str, rows: int) -> DataFrame:
-    """`worked` takes sorted rows of several whole clips and where each begins, about `rows` at a time; a longer clip comes alone."""
+def _whole_clips(df: DataFrame, keys: list[str], order: list[Column], worked: Callable[[pa.Table, np.ndarray], Iterable[pa.RecordBatch]], schema: str, rows: int, columns: list[str] | None = None) -> DataFrame:
+    """`worked` takes sorted rows of several whole clips and where each begins, about `rows` at a time; a longer clip comes alone.
+    `columns`: those that it needs, if others only tell the order."""
 
     def clips(table: pa.Table) -> np.ndarray:
         return np.flatnonzero(np.diff(table.select(keys).to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy(), prepend=-1))
@@ -42,7 +43,7 @@ def _whole_clips(df: DataFrame, keys: list[str], order: list[Column], worked: Ca
             table = pa.Table.from_batches(held)
             yield from worked(table, clips(table))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*columns or df.columns).mapInArrow(run, schema)
 
 
 def per_clip(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.DataFrame], Iterable[tuple[Any, ...]]], schema: str, rows: int = 20_000) -> DataFrame:
@@ -94,6 +95,22 @@ def many_clips(df: DataFrame, keys: list[str], order: list[str], fold: Callable[
     return _whole_clips(df, keys, [F.col(c) for c in order], worked, full, rows)
 
 
+def picked_rows(df: DataFrame, keys: list[str], order: list[str], columns: list[str], carry: list[str], fold: Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, pd.DataFrame]], schema: str, rows: int = 100_000) -> DataFrame:
+    """The rows that `fold` picks: their keys, `carry` as it is, and new columns of `schema`. It takes the `columns` of the sorted rows of
+    several whole clips and each row's clip (0, 1, ...), and gives the numbers of the picked rows and their new columns."""
+    kinds, own = dict(df.dtypes), [*keys, *carry]
+    full = ", ".join([*(f"`{c}` {kinds[c]}" for c in own), schema])
+    new = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)]
+
+    def worked(table: pa.Table, first: np.ndarray) -> Iterable[pa.RecordBatch]:
+        which, out = fold(table.select(columns).to_pandas(), np.repeat(np.arange(len(first)), np.diff(first, append=table.num_rows)))
+        if len(which):
+            values = [pa.array(out[name], kind, from_pandas=True) for name, kind in new]
+            yield from pa.Table.from_arrays([*table.select(own).take(pa.array(which)).columns, *values], [*own, *(name for name, _ in new)]).to_batches()
+
+    return _whole_clips(df, keys, [F.col(c) for c in order], worked, full, rows, list(dict.fromkeys([*own, *columns])))
+
+
 def stretches(frames: pd.Series) -> list[tuple[int, int, int]]:
     """(frame, first, past the last) of each run of equal values of a sorted column."""
     values = frames.to_numpy()

@@ -169,11 +169,20 @@ def identity_states(detections: DataFrame, profiles: DataFrame, keys: list[str],
     return per_clip(_with_profiles(detections, profiles, keys), keys, ["frame", "det_idx"], fold, "player_id int, hist array<double>, x double, y double, last_seen int, state string")
 
 
+def inside_region(boxes: DataFrame, polygon: Polygon) -> DataFrame:
+    """Boxes whose centre lies in the region. Centres come out of a list of one: a filter on their formula would work it out again
+    several times for each edge."""
+    if len(polygon) < 3:
+        return boxes
+    x, y = box_center(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
+    centred = boxes.select("*", F.inline(F.array(F.struct(x.alias("_cx"), y.alias("_cy")))))
+    return centred.where(in_polygon(polygon, F.col("_cx"), F.col("_cy"))).drop("_cx", "_cy")
+
+
 def court_positions(detections: DataFrame, cam: str, homography: Matrix, polygon: Polygon = (), least_conf: float = 0.5, bounds_m: float = 2.0) -> DataFrame:
     """Where players stand: region, foot point, metres in the global frame, and whether on the court (within bounds)."""
-    centre = box_center(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
     fx, fy, source = foot_point(F.col("keypoints"), F.col("x1"), F.col("x2"), F.col("y2"), least_conf)
-    rows = detections.where(in_polygon(polygon, *centre)).withColumns({"foot_u": fx, "foot_v": fy, "foot_source": source})
+    rows = inside_region(detections, polygon).withColumns({"foot_u": fx, "foot_v": fy, "foot_source": source})
     x, y = transform_point(homography, F.col("foot_u"), F.col("foot_v"))
     gx, gy = to_global(F.lit(cam), x, y)
     # out of a list of one: a filter on plain columns would move below them and work each place out dozens of times

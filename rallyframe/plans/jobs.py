@@ -5,7 +5,7 @@ All of a job's stages are keyed by clip or match, so the rows of a match meet in
 from __future__ import annotations
 
 import random
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -133,27 +133,36 @@ def tiled_detection(boxes: DataFrame, keys: list[str], tile: tuple[int, int], ov
     return kept.withColumn("det_idx", (F.row_number().over(order) - 1).cast("int"))
 
 
-def single_camera_players(detections: DataFrame, frames: DataFrame, keys: list[str], homography: Matrix, roi: Polygon = (), cfg: bytetrack.ByteConfig = bytetrack.ByteConfig(), least_conf: float = 0.5, inside_m: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """One camera's players: boxes (keys, frame, det_idx, x1, y1, x2, y2, conf, keypoints) inside the region, their tracks, and where they
-    stand; and for each clip of `frames` (keys, frame: all that were processed) the summary of the run.
+def single_camera_players(detections: DataFrame, frames: DataFrame, keys: list[str], homography: Matrix, roi: Polygon = (), cfg: bytetrack.ByteConfig = bytetrack.ByteConfig(), least_conf: float = 0.5, inside_m: float = 0.0, order: Sequence[str] = ("det_idx",)) -> tuple[DataFrame, DataFrame]:
+    """One camera's players: boxes (keys, frame, x1, y1, x2, y2, conf, keypoints, and `order`, by which those of a frame are taken) inside the
+    region, their tracks, and where they stand; and for each clip of `frames` (keys, frame: all that were processed) the summary of the run.
 
-    Rows: keys, frame, track_id, conf, the box, foot_u, foot_v, foot_source, x_m, y_m, inside. Only boxes on a track are rows."""
-    centre = box_center(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
-    kept = detections.where(in_polygon(roi, *centre))
-    tracks = bytetrack.track_players(kept.select(*keys, "frame", "det_idx", "x1", "y1", "x2", "y2", "conf"), keys, cfg)
+    Rows: keys, frame, track_id, conf, the box, foot_u, foot_v, foot_source, x_m, y_m, inside. Only boxes on a track are rows. What is told
+    of a box goes through the tracking beside it, so nothing is joined again; the summary takes along only what it counts."""
+    within = in_polygon(roi, *box_center(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
+    kept = players.inside_region(detections, roi).dropna(subset=[*keys, "frame"])
     fu, fv, source = foot_point(F.col("keypoints"), F.col("x1"), F.col("x2"), F.col("y2"), least_conf)
-    rows = kept.join(tracks, [*keys, "frame", "det_idx"]).withColumns({"foot_u": fu, "foot_v": fv, "foot_source": source})
+    feet = kept.withColumns({"foot_u": fu, "foot_v": fv, "foot_source": source})
+    rows = bytetrack.tracked_boxes(feet, keys, [*order], ["frame", "conf", "x1", "y1", "x2", "y2", "foot_u", "foot_v", "foot_source"], cfg)
     x, y = transform_point(homography, F.col("foot_u"), F.col("foot_v"))
     rows = rows.withColumns({"x_m": x, "y_m": y}).withColumn("inside", in_court(F.col("x_m"), F.col("y_m"), inside_m))
     rows = rows.select(*keys, "frame", "track_id", "conf", "x1", "y1", "x2", "y2", "foot_u", "foot_v", "foot_source", "x_m", "y_m", "inside")
     height = F.col("y2") - F.col("y1")
-    seen = rows.groupBy(*keys).agg(F.count("*").alias("_n"), rounded(F.avg("conf")).alias("mean_confidence"), rounded(F.min(height), 1).alias("height_min"), rounded(F.percentile(height, F.lit(0.5)), 1).alias("height_median"), rounded(F.max(height), 1).alias("height_max"))
-    raw = detections.groupBy(*keys).agg(F.count("*").alias("_raw")).join(kept.groupBy(*keys).agg(F.count("*").alias("_kept")), keys, "left")
-    churn = metrics.id_churn(rows, frames, keys)
-    n = frames.select(*keys, "frame").distinct().groupBy(*keys).agg(F.count("*").alias("frames_processed"))
+    seen = bytetrack.tracked_boxes(kept, keys, [*order], ["frame", "conf", "y1", "y2"], cfg).groupBy(*keys).agg(
+        F.count("*").alias("_n"),
+        F.collect_list(F.when(F.col("begins"), F.col("frame"))).alias("_born"),
+        rounded(F.avg("conf")).alias("mean_confidence"),
+        rounded(F.min(height), 1).alias("height_min"),
+        rounded(F.percentile(height, F.lit(0.5)), 1).alias("height_median"),
+        rounded(F.max(height), 1).alias("height_max"),
+    )
+    raw = detections.groupBy(*keys).agg(F.count("*").alias("_raw"), F.count_if(within).alias("_kept"))
+    n = frames.select(*keys, "frame").distinct().groupBy(*keys).agg(F.count("*").alias("frames_processed"), F.min("frame").alias("_first"))
+    many = lambda a: F.array_size(a).cast("long")
+    churn = F.filter("_born", lambda f: f > F.col("_first"))  # tracks that begin after the first processed frame
     whole = lambda c: F.coalesce(c, F.lit(0))
     removed = whole("_raw") - whole("_kept")
-    summary = n.join(raw, keys, "left").join(seen, keys, "left").join(churn, keys, "left").select(
+    summary = n.join(raw, keys, "left").join(seen, keys, "left").select(
         *keys,
         "frames_processed",
         whole("_raw").alias("detections_raw_total"),
@@ -161,8 +170,8 @@ def single_camera_players(detections: DataFrame, frames: DataFrame, keys: list[s
         removed.alias("detections_removed_by_roi"),
         rounded(num(100) * removed / F.greatest(F.lit(1), whole("_raw")), 2).alias("roi_removed_pct"),
         F.coalesce("mean_confidence", num(0)).alias("mean_confidence"),
-        whole("n_tracks").alias("unique_track_ids"),
-        whole("churn").alias("id_churn_proxy"),
+        whole(many(F.col("_born"))).alias("unique_track_ids"),
+        whole(many(churn)).alias("id_churn_proxy"),
         rounded(whole("_n") / F.col("frames_processed"), 2).alias("avg_tracks_per_frame"),
         *(F.coalesce(c, num(0)).alias(c) for c in ("height_min", "height_median", "height_max")),
     )

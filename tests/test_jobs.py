@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rallyframe.functions.geometry import floor_point, min_max, project
-from rallyframe.operators import courts, metrics, sequences
-from rallyframe.plans import jobs
+from rallyframe.operators import courts, metrics, players, sequences
+from rallyframe.plans import jobs, queries
 from rallyframe.plans.queries import _two_cameras
 from rallyframe.sources import readers, writers
 
@@ -139,6 +139,38 @@ def test_single_camera_run_in_figures(spark, sf):
     assert summary[3] == {"clip": 3, "frames_processed": 30} | {k: 0 for k in summary[3] if k not in ("clip", "frames_processed")}
 
 
+def test_single_camera_run_tracks_once(spark, sf):
+    """The summary comes out of one pass over the tracked boxes, and each box's centre is worked out once before the region is looked at."""
+    summary = queries.QUERIES["single_camera_players"](spark, sf)
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan
+    kept = players.inside_region(spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_tax x1", "l_tax y1", "l_discount x2", "l_discount y2"), [(0, 0), (310, 0), (310, 400), (0, 400)])
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("/ 2.0") == 2
+
+
+def test_boxes_of_a_frame_are_taken_in_order(spark):
+    """Numbers that repeat within a frame, told apart by another column: as if the boxes had numbers of their own."""
+    rng, point = np.random.default_rng(3), [{"x": 0.0, "y": 0.0, "c": 0.0}] * 17
+    rows = []
+    for c in (1, 2, 3):
+        for f in range(40):
+            for i, k in enumerate(rng.permutation(5).tolist()):
+                x, y = 70.0 * k + float(rng.uniform(0, 20)), float(rng.uniform(0, 30))
+                rows.append((c, f, 1 + i // 2, i, 10 * f + i, x, y, x + 60, y + 150, float(rng.choice([0.2, 0.6, 0.9])), point))
+    schema = "clip long, frame int, det_idx int, part int, n int, x1 double, y1 double, x2 double, y2 double, conf double, keypoints array<struct<x: double, y: double, c: double>>"
+    boxes = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], schema).repartition(3)
+    frames = boxes.select("clip", "frame")
+    h, roi = (0.02, 0, 0, 0, 0.05, 0, 0, 0, 1), [(0, 0), (310, 0), (310, 400), (0, 400)]
+    got = jobs.single_camera_players(boxes, frames, ["clip"], h, roi, order=["det_idx", "part"])
+    want = jobs.single_camera_players(boxes.withColumn("det_idx", F.col("n")), frames, ["clip"], h, roi)
+    for a, b in zip(got, want, strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    seen = got[0].collect()
+    inside = {(r[0], r[1], r[5]) for r in rows if (r[5] + r[7]) / 2 <= 310}
+    assert len(seen) == len({(r.clip, r.frame, r.x1) for r in seen}) and {(r.clip, r.frame, r.x1) for r in seen} <= inside
+    assert {r.clip: r.unique_track_ids for r in got[1].collect()} == {c: len({r.track_id for r in seen if r.clip == c}) for c in (1, 2, 3)}
+
+
 def test_seeded_hold_out(spark):
     import random
 
