@@ -133,28 +133,32 @@ def tiled_detection(boxes: DataFrame, keys: list[str], tile: tuple[int, int], ov
     return kept.withColumn("det_idx", (F.row_number().over(order) - 1).cast("int"))
 
 
-def single_camera_players(detections: DataFrame, frames: DataFrame, keys: list[str], homography: Matrix, roi: Polygon = (), cfg: bytetrack.ByteConfig = bytetrack.ByteConfig(), least_conf: float = 0.5, inside_m: float = 0.0, order: Sequence[str] = ("det_idx",)) -> tuple[DataFrame, DataFrame]:
+def single_camera_players(detections: DataFrame, frames: DataFrame, keys: list[str], homography: Matrix, roi: Polygon = (), cfg: bytetrack.ByteConfig = bytetrack.ByteConfig(), least_conf: float = 0.5, inside_m: float = 0.0, order: Sequence[str] = ("det_idx",), with_rows: bool = False) -> tuple[DataFrame, DataFrame]:
     """One camera's players: boxes (keys, frame, x1, y1, x2, y2, conf, keypoints, and `order`, by which those of a frame are taken) inside the
     region, their tracks, and where they stand; and for each clip of `frames` (keys, frame: all that were processed) the summary of the run.
 
     Rows: keys, frame, track_id, conf, the box, foot_u, foot_v, foot_source, x_m, y_m, inside. Only boxes on a track are rows. What is told
-    of a box goes through the tracking beside it, so nothing is joined again; the summary takes along only what it counts."""
+    of a box goes through the tracking beside it, so nothing is joined again; the summary takes along only what it counts. `with_rows`: the
+    summary's `players` are its clip's rows, by frame and track; one tracking then gives both, but a clip's rows lie in one of the summary."""
     within = in_polygon(roi, *box_center(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
     kept = players.inside_region(detections, roi).dropna(subset=[*keys, "frame"])
     fu, fv, source = foot_point(F.col("keypoints"), F.col("x1"), F.col("x2"), F.col("y2"), least_conf)
     feet = kept.withColumns({"foot_u": fu, "foot_v": fv, "foot_source": source})
-    rows = bytetrack.tracked_boxes(feet, keys, [*order], ["frame", "conf", "x1", "y1", "x2", "y2", "foot_u", "foot_v", "foot_source"], cfg)
+    placed = bytetrack.tracked_boxes(feet, keys, [*order], ["frame", "conf", "x1", "y1", "x2", "y2", "foot_u", "foot_v", "foot_source"], cfg)
     x, y = transform_point(homography, F.col("foot_u"), F.col("foot_v"))
-    rows = rows.withColumns({"x_m": x, "y_m": y}).withColumn("inside", in_court(F.col("x_m"), F.col("y_m"), inside_m))
-    rows = rows.select(*keys, "frame", "track_id", "conf", "x1", "y1", "x2", "y2", "foot_u", "foot_v", "foot_source", "x_m", "y_m", "inside")
+    placed = placed.withColumns({"x_m": x, "y_m": y}).withColumn("inside", in_court(F.col("x_m"), F.col("y_m"), inside_m))
+    told = ["frame", "track_id", "conf", "x1", "y1", "x2", "y2", "foot_u", "foot_v", "foot_source", "x_m", "y_m", "inside"]
+    rows = placed.select(*keys, *told)
     height = F.col("y2") - F.col("y1")
-    seen = bytetrack.tracked_boxes(kept, keys, [*order], ["frame", "conf", "y1", "y2"], cfg).groupBy(*keys).agg(
+    tracked = placed if with_rows else bytetrack.tracked_boxes(kept, keys, [*order], ["frame", "conf", "y1", "y2"], cfg)
+    seen = tracked.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         F.collect_list(F.when(F.col("begins"), F.col("frame"))).alias("_born"),
         rounded(F.avg("conf")).alias("mean_confidence"),
         rounded(F.min(height), 1).alias("height_min"),
         rounded(F.percentile(height, F.lit(0.5)), 1).alias("height_median"),
         rounded(F.max(height), 1).alias("height_max"),
+        *([F.sort_array(F.collect_list(F.struct(*told))).alias("players")] if with_rows else []),
     )
     raw = detections.groupBy(*keys).agg(F.count("*").alias("_raw"), F.count_if(within).alias("_kept"))
     n = frames.select(*keys, "frame").distinct().groupBy(*keys).agg(F.count("*").alias("frames_processed"), F.min("frame").alias("_first"))
@@ -174,6 +178,7 @@ def single_camera_players(detections: DataFrame, frames: DataFrame, keys: list[s
         whole(many(churn)).alias("id_churn_proxy"),
         rounded(whole("_n") / F.col("frames_processed"), 2).alias("avg_tracks_per_frame"),
         *(F.coalesce(c, num(0)).alias(c) for c in ("height_min", "height_median", "height_max")),
+        *([F.coalesce("players", F.array()).alias("players")] if with_rows else []),
     )
     return rows, summary
 

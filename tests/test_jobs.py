@@ -148,6 +148,33 @@ def test_single_camera_run_tracks_once(spark, sf):
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("/ 2.0") == 2
 
 
+def test_single_camera_run_gives_places(spark, sf):
+    """The query gives where each tracked player stands beside its clip's figures."""
+    got = queries.QUERIES["single_camera_players"](spark, sf).collect()
+    assert sum(len(r.players) for r in got) > 1000
+    for r in got:
+        seen, heights = r.players, sorted(p.y2 - p.y1 for p in r.players)
+        assert [(p.frame, p.track_id) for p in seen] == sorted({(p.frame, p.track_id) for p in seen})
+        assert all(p.foot_source == "bbox" and (p.foot_u, p.foot_v) == ((p.x1 + p.x2) / 2, p.y2) for p in seen)
+        assert all(p.x_m == pytest.approx(0.02 * p.foot_u) and p.y_m == pytest.approx(0.05 * p.foot_v) and p.inside == (0 <= p.x_m <= 10 and 0 <= p.y_m <= 20) for p in seen)
+        assert len({p.track_id for p in seen}) == r.unique_track_ids and r.avg_tracks_per_frame == pytest.approx(len(seen) / r.frames_processed, abs=0.0051)
+        assert r.mean_confidence == pytest.approx(np.mean([p.conf for p in seen]), abs=1e-4) and [heights[0], heights[-1]] == pytest.approx([r.height_min, r.height_max], abs=0.051)
+
+
+def test_single_camera_run_in_one_tracking(spark):
+    """A summary with its rows holds the rows and the figures of the two tables; clips without players have none."""
+    point = [{"x": 0.0, "y": 0.0, "c": 0.0}] * 15 + [{"x": 10.0, "y": 20.0, "c": 0.9}] * 2
+    rows = [(c, f, i, 100.0 * i + 3 * f, 50.0, 100.0 * i + 3 * f + 40, 170.0 + c, 0.9, point if f % 2 else point[:15] * 2) for c in (1, 2) for f in range(30) if f % 9 != 4 for i in range(4)]
+    schema = "clip long, frame int, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double, keypoints array<struct<x: double, y: double, c: double>>"
+    boxes, frames = spark.createDataFrame(rows, schema), spark.createDataFrame([(c, f) for c in (1, 2, 3) for f in range(30)], "clip long, frame int")
+    run = lambda **more: jobs.single_camera_players(boxes, frames, ["clip"], (0.02, 0, 0, 0, 0.05, 0, 0, 0, 1), [(0, 0), (310, 0), (310, 400), (0, 400)], **more)
+    (seen, summary), (again, whole) = run(), run(with_rows=True)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, seen.collect()))
+    assert sorted(map(tuple, whole.drop("players").collect())) == sorted(map(tuple, summary.collect()))
+    assert [(r.clip, *p) for r in whole.orderBy("clip").collect() for p in r.players] == sorted(map(tuple, seen.collect()))
+    assert {r.clip: len(r.players) > 0 for r in whole.collect()} == {1: True, 2: True, 3: False}
+
+
 def test_boxes_of_a_frame_are_taken_in_order(spark):
     """Numbers that repeat within a frame, told apart by another column: as if the boxes had numbers of their own."""
     rng, point = np.random.default_rng(3), [{"x": 0.0, "y": 0.0, "c": 0.0}] * 17
